@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from marketloom.llm.mixing import op8_mixing_sources
+from marketloom.llm.secrets import op1_secret_scan
 from marketloom.llm.sharding import op4_hypergeometric_sharding
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op4_hypergeometric_sharding": op4_hypergeometric_sharding,
     "op8_mixing_sources": op8_mixing_sources,
 }
