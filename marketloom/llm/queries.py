@@ -6,12 +6,14 @@ from marketloom.llm.jaccard import op5_ngram_jaccard_join
 from marketloom.llm.mixing import op8_mixing_sources
 from marketloom.llm.secrets import op1_secret_scan
 from marketloom.llm.sharding import op4_hypergeometric_sharding
+from marketloom.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op4_hypergeometric_sharding": op4_hypergeometric_sharding,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op8_mixing_sources": op8_mixing_sources,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
