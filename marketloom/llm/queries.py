@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from marketloom.llm.jaccard import op5_ngram_jaccard_join
+from marketloom.llm.langid import op3_language_id
 from marketloom.llm.mixing import op8_mixing_sources
 from marketloom.llm.secrets import op1_secret_scan
 from marketloom.llm.sharding import op4_hypergeometric_sharding
@@ -11,6 +12,7 @@ from marketloom.llm.toxicity import op10_toxicity
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op4_hypergeometric_sharding": op4_hypergeometric_sharding,
+    "op3_language_id": op3_language_id,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op8_mixing_sources": op8_mixing_sources,
     "op10_toxicity": op10_toxicity,
