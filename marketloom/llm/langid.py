@@ -73,9 +73,8 @@ class LanguageModel:
     size: int  # number of classes
     low: np.ndarray  # code of 3 bytes -> code lengths up to order 2
     escape: np.ndarray  # code of 3 bytes of context -> order-3 escape
-    keys: np.ndarray  # codes of 4 bytes, one row each in high
-    high: np.ndarray
-    slots: list[tuple[int, np.ndarray]]  # multiplier, slot -> row
+    seen: tn.Lookup  # codes of 4 bytes; row 0 is for others
+    high: np.ndarray  # row -> code lengths
 
     def bits(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Code length of each text under each language; empty texts have 0."""
@@ -83,7 +82,7 @@ class LanguageModel:
         if not len(data):
             return out
         _, _, three, four = _codes(self.classes[data], at, self.size)
-        row = self._rows(four)
+        row = self.seen.rows(four)
         cost = self.high[row]
         missed = np.flatnonzero(row == 0)
         cost[missed] = self.low[three[missed]] + self.escape[four[missed] // self.size]
@@ -91,41 +90,6 @@ class LanguageModel:
         out[full] = np.add.reduceat(cost, at[:-1][full], axis=0, dtype=np.float64)
         return out
 
-    def _rows(self, codes: np.ndarray) -> np.ndarray:
-        """Row of high for each code; 0 (an empty row) if training hadn't it."""
-        row = np.zeros(len(codes), np.int32)
-        open_, rest = None, codes
-        for multiplier, table in self.slots:
-            shift = tn.U64(64 - int(len(table)).bit_length() + 1)
-            got = table[(rest.astype(tn.U64) * tn.U64(multiplier)) >> shift]
-            got[self.keys[got] != rest] = 0
-            if open_ is None:
-                row, open_ = got, np.flatnonzero(got == 0)
-            else:
-                row[open_] = got
-                open_ = open_[got == 0]
-            rest = codes[open_]
-        return row
-
-
-_MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
-
-
-def _slots(keys: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """Hash tables without collisions inside: what collides goes to the next."""
-    out, rows = [], np.arange(1, len(keys), dtype=np.int32)
-    for i in range(64):
-        multiplier = _MULTIPLIERS[i % len(_MULTIPLIERS)] + 2 * (i // len(_MULTIPLIERS))
-        n = 1 << max(10, int(8 * len(rows)).bit_length())
-        slot = ((keys[rows].astype(tn.U64) * tn.U64(multiplier & (2**64 - 1))) >> tn.U64(64 - n.bit_length() + 1)).astype(np.int64)
-        table = np.zeros(n, np.int32)
-        table[slot] = rows
-        out.append((multiplier & (2**64 - 1), table))
-        rows = rows[table[slot] != rows]
-        if not len(rows):
-            break
-    return out
-
 
 def fit(rows: Iterable[tuple[str, str]]) -> LanguageModel | None:
     """The model of (language, text) rows; None without any."""
@@ -174,7 +138,7 @@ def fit(rows: Iterable[tuple[str, str]]) -> LanguageModel | None:
                 wide.reshape(-1, size)[seen] += leave[:, None]
                 wide[code] = known
                 cost = wide
-    return LanguageModel(languages, classes, size, low, escape, keys, high, _slots(keys))
+    return LanguageModel(languages, classes, size, low, escape, tn.Lookup(keys[1:]), high)
 
 
 def fit_table(docs: DataFrame) -> LanguageModel | None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from marketloom.llm.decontaminate import op2_benchmark_decontamination
 from marketloom.llm.jaccard import op5_ngram_jaccard_join
 from marketloom.llm.langid import op3_language_id
 from marketloom.llm.mixing import op8_mixing_sources
@@ -12,6 +13,7 @@ from marketloom.llm.toxicity import op10_toxicity
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op4_hypergeometric_sharding": op4_hypergeometric_sharding,
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_language_id": op3_language_id,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op8_mixing_sources": op8_mixing_sources,

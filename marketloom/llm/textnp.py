@@ -23,6 +23,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, *range(9, 14)]] = True
+#: For text compared without punctuation: every ASCII byte but letters and digits.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -75,13 +77,13 @@ def pieces(column: pa.Array, chunk: int = CHUNK) -> Iterator[tuple[int, int, np.
         first = end
 
 
-def words(data: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, at: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, text, start, end) of each word, in order; start and end are bytes."""
     n = len(data)
     if n == 0:
         return np.empty(0, U64), *[np.empty(0, np.int64)] * 3
-    letters = LOWER[data] if lower else data
-    solid = ~SPACE[data]
+    letters = LOWER[data]
+    solid = ~space[data]
     opens = solid.copy()
     opens[1:] &= ~solid[:-1]
     starts_text = np.zeros(n + 1, dtype=bool)
@@ -142,3 +144,42 @@ def distinct_sorted(x: np.ndarray) -> np.ndarray:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x, dtype=U64).view(np.int64)
+
+
+class Lookup:
+    """Place of 64-bit keys in an array of distinct ones, by hash tables.
+
+    What collides in one table goes to the next, so a lookup is exact.
+    """
+
+    MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.concatenate([np.zeros(1, U64), keys.astype(U64)])
+        self.tables: list[tuple[np.uint64, np.uint64, np.ndarray]] = []
+        rows = np.arange(1, len(self.keys), dtype=np.int32)
+        while len(rows):
+            i = len(self.tables)
+            multiplier = U64((self.MULTIPLIERS[i % 5] + 2 * i) % 2**64)
+            bits = max(10, int(8 * len(rows)).bit_length())
+            shift = U64(64 - bits)
+            slot = (self.keys[rows] * multiplier) >> shift
+            table = np.zeros(1 << bits, np.int32)
+            table[slot] = rows
+            self.tables.append((multiplier, shift, table))
+            rows = rows[table[slot] != rows]
+
+    def rows(self, keys: np.ndarray) -> np.ndarray:
+        """1 + place of each key, or 0."""
+        keys = keys.astype(U64, copy=False)
+        row, open_ = np.zeros(len(keys), np.int32), None
+        for multiplier, shift, table in self.tables:
+            rest = keys if open_ is None else keys[open_]
+            got = table[(rest * multiplier) >> shift]
+            got[self.keys[got] != rest] = 0
+            if open_ is None:
+                row, open_ = got, np.flatnonzero(got == 0)
+            else:
+                row[open_] = got
+                open_ = open_[got == 0]
+        return row
