@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from marketloom.llm.chat import OP7_SQL, op7_chat_formatting
 from marketloom.llm.decontaminate import op2_benchmark_decontamination
 from marketloom.llm.jaccard import op5_ngram_jaccard_join
 from marketloom.llm.langid import op3_language_id
@@ -16,8 +17,11 @@ QUERIES = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_language_id": op3_language_id,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op7_chat_formatting": op7_chat_formatting,
     "op8_mixing_sources": op8_mixing_sources,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_chat_formatting": OP7_SQL,
+}
