@@ -7,6 +7,7 @@ from marketloom.llm.decontaminate import op2_benchmark_decontamination
 from marketloom.llm.jaccard import op5_ngram_jaccard_join
 from marketloom.llm.langid import op3_language_id
 from marketloom.llm.mixing import op8_mixing_sources
+from marketloom.llm.quality import op6_quality_classifier
 from marketloom.llm.secrets import op1_secret_scan
 from marketloom.llm.sharding import op4_hypergeometric_sharding
 from marketloom.llm.toxicity import op10_toxicity
@@ -17,11 +18,13 @@ QUERIES = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_language_id": op3_language_id,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_mixing_sources": op8_mixing_sources,
     "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_chat_formatting": OP7_SQL,
 }
