@@ -8,6 +8,7 @@ from marketloom.llm.jaccard import op5_ngram_jaccard_join
 from marketloom.llm.langid import op3_language_id
 from marketloom.llm.mixing import op8_mixing_sources
 from marketloom.llm.quality import op6_quality_classifier
+from marketloom.llm.search import op9_exact_top_k
 from marketloom.llm.secrets import op1_secret_scan
 from marketloom.llm.sharding import op4_hypergeometric_sharding
 from marketloom.llm.toxicity import op10_toxicity
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_quality_classifier": op6_quality_classifier,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_mixing_sources": op8_mixing_sources,
+    "op9_exact_top_k": op9_exact_top_k,
     "op10_toxicity": op10_toxicity,
 }
 
