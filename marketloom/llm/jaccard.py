@@ -13,17 +13,19 @@ Candidates share an indexed key.  A hot key is never expanded into pairs:
 
 1. every class meets the least class of its keys (the one with most common
    keys), and exact verification gives stars, whose components are computed;
-2. only keys that still hold several components are looked at again: each
-   member outside the key's largest component meets the members of others.
+2. only keys that still hold several components are looked at again.  With few
+   members outside the key's largest component, those meet the members of
+   others.  With many, members are compared by how they differ from one class
+   (_by_pivot), which pairs only what may link.
 
-So copies in one component cost a row each, every link between different
-components is verified exactly, and none is lost.
+So copies cost a row each, every link between different components is found
+and verified exactly, and none is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,9 @@ from marketloom.llm.components import components
 BROADCAST_IDS = 500_000
 #: Upper end of a size band over its lower end.
 BAND = 1.5
+#: Members of a key outside its largest component, up to which all of them meet
+#: the rest of the key one by one.
+FEW = 16
 #: Segments beyond the pigeonhole's, as a share; they let costly ones be left out.
 SPARE = 0.08
 
@@ -127,38 +132,27 @@ def _describe(k: int, percent: int):
                     at.append(at[-1])
             flat = tn.signed(np.concatenate(found)) if found else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index("doc_id")), pa.array(size, pa.int64()), pa.array(cls, pa.int64()),
+                [batch.column(batch.schema.get_field_index("doc_id")), batch.column(batch.schema.get_field_index("text_hash")), pa.array(size, pa.int64()), pa.array(cls, pa.int64()),
                  pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))],
-                names=["doc_id", "n_shingles", "cls", "keys"],
+                names=["doc_id", "text_hash", "n_shingles", "cls", "keys"],
             )
 
     return run
 
 
-def _set_bytes(k: int):
+def _held_sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             want = batch.column(batch.schema.get_field_index("cls")).to_pylist()
             # A repeated doc_id brings other texts along, or the same again.
-            held = {want[i]: h.tobytes() for i, h in _sets(batch, k) if want[i] not in seen and _class_of(h) == want[i]}
+            held = {want[i]: tn.signed(h) for i, h in _sets(batch, k) if want[i] not in seen and _class_of(h) == want[i]}
             seen.update(held)
-            yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.int64()), pa.array(held.values(), pa.binary())], names=["cls", "held"])
-
-    return run
-
-
-def _verify(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, x, y = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "held_a", "held_b"))
-            good = []
-            for p, q in zip(x, y, strict=True):
-                s, t = np.frombuffer(p.as_buffer(), tn.U64), np.frombuffer(q.as_buffer(), tn.U64)
-                both = np.sort(np.concatenate([s, t]))
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                good.append(100 * common >= percent * (len(s) + len(t) - common))
-            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+            at = np.cumsum([0, *map(len, held.values())])
+            flat = np.concatenate([*held.values(), np.empty(0, np.int64)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(held.keys(), pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))], names=["cls", "held"]
+            )
 
     return run
 
@@ -170,18 +164,88 @@ def _fetch(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.join(ids, "doc_id")
 
 
+def _across(mixed: DataFrame) -> DataFrame:
+    """Pairs between components within keys that have few members outside the
+    largest: at most FEW pairs for each member of a key."""
+    few = mixed.where(F.col("outside") <= FEW)
+    x = few.where("root <> major").select("key", F.col("cls").alias("x"), F.col("root").alias("rx"))
+    y = few.select("key", F.col("cls").alias("y"), F.col("root").alias("ry"), "major")
+    pairs = x.join(y, "key").where("rx <> ry and (ry = major or x < y)")
+    return stored(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "jaccard-across")
+
+
+def _by_pivot(mixed: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Pairs that may link within the other keys, found without pairing members.
+
+    Every member x of a key is set against one class p, the root of the key's
+    largest component, so most keys of a group of copies have the same p: with
+    d(x) = x without p, and p without x, the sets x and y differ in d(x) less
+    d(y) and the reverse.  Let u be the most that linked sets of their sizes
+    may differ in.
+
+    If |d(x)| + |d(y)| <= u, they link whatever the elements are.  One y is
+    best for every x: the one that maximises (100 - percent) |y| - (100 +
+    percent) |d(y)|.  So x is paired with that one only.
+
+    Otherwise d(x) and d(y) share o = ceil((|d(x)| + |d(y)| - u) / 2) >= 1
+    elements, so the first |d| - o + 1 of both, rarest first within p, share
+    one.  The smaller of both is indexed as far as that can reach, and elements
+    that only one member has are left out; what near copies of p share are its
+    own elements, which come last.
+    """
+    lost, kept = 100 - percent, 100 + percent
+    hot = mixed.where(F.col("outside") > FEW).select(F.col("major").alias("p"), "cls", "root")
+    rows = hot.union(hot.select("p", F.col("p").alias("cls"), F.col("p").alias("root"))).distinct()
+    for side in ("p", "cls"):
+        size = sizes.select(F.col("cls").alias(side), F.col("n").alias(f"n_{side}"))
+        held = sets.select(F.col("cls").alias(side), F.col("held").alias(f"held_{side}"))
+        rows = rows.join(size, side).join(held, side)
+    delta = F.concat(F.array_except("held_cls", "held_p"), F.array_except("held_p", "held_cls"))
+    rows = rows.select("p", "cls", "root", F.col("n_p").cast("long").alias("np"), F.col("n_cls").cast("long").alias("n"), delta.alias("delta"))
+    rows = stored(rows.withColumn("d", F.size("delta").cast("long")), "jaccard-deltas")
+
+    worth = F.col("n") * lost - F.col("d") * kept
+    best = rows.groupBy("p").agg(F.max(worth).alias("worth"), F.max_by(F.struct("cls", "root"), F.struct(worth, "cls")).alias("y"))
+    sure = rows.join(best.select("p", "worth", F.col("y.cls").alias("y"), F.col("y.root").alias("y_root")), "p")
+    sure = sure.where("root <> y_root").where(F.col("d") * kept <= F.col("n") * lost + F.col("worth"))
+    sure = sure.select(F.least("cls", "y").alias("a"), F.greatest("cls", "y").alias("b"))
+
+    facts = ["p", "cls", "root", "np", "n", "d"]
+    token = rows.where("d > 0").select(*facts, F.explode("delta").alias("token"))
+    token = token.withColumn("uses", F.count(F.lit(1)).over(Window.partitionBy("p", "token"))).where("uses > 1")
+    member = Window.partitionBy("p", "cls")
+    token = token.withColumn("place", F.row_number().over(member.orderBy("uses", "token")) + F.col("d") - F.count(F.lit(1)).over(member))
+    token = stored(token, "jaccard-tokens")
+    # y has the smaller difference.  If it is in p's component, x is not, so
+    # |d(x)| is more than p and x may differ in.
+    slack = F.greatest(F.lit(0), F.ceil(F.lit(lost) * (F.col("n") - F.col("np")) / kept))
+    widest = F.floor(F.lit(lost) * (F.col("n") + F.floor(F.lit(100) * F.col("n") / percent)) / kept)
+    shared = F.when(F.col("root") == F.col("p"), F.ceil((F.col("d") + 1 - slack) / 2)).otherwise(F.ceil((2 * F.col("d") - widest) / 2))
+    first = token.where(F.col("place") <= F.col("d") - F.greatest(shared, F.lit(1)) + 1)
+    y = first.select("p", "token", *[F.col(c).alias(f"y_{c}") for c in ("cls", "root", "n", "d", "place")])
+    x = token.select("p", "token", *[F.col(c).alias(f"x_{c}") for c in ("cls", "root", "n", "d", "place")])
+    u = F.floor(F.lit(lost) * (F.col("x_n") + F.col("y_n")) / kept)
+    o = F.greatest(F.lit(1), F.ceil((F.col("x_d") + F.col("y_d") - u) / 2))
+    pairs = x.join(y, ["p", "token"]).where(
+        (F.struct("x_d", "x_cls") > F.struct("y_d", "y_cls")) & (F.col("x_root") != F.col("y_root"))
+        & (F.col("x_place") <= F.col("x_d") - o + 1) & (F.col("y_place") <= F.col("y_d") - o + 1)
+    )
+    pairs = pairs.select(F.least("x_cls", "y_cls").alias("a"), F.greatest("x_cls", "y_cls").alias("b"))
+    return stored(sure.union(pairs).distinct(), "jaccard-by-pivot")
+
+
 def link(df: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
     """(documents, roots) of a table with long doc_id and string text.
 
-    documents: doc_id, n_shingles, cls - one row for each input row; equal sets
+    documents: doc_id, text_hash, n_shingles, cls - one row for each input row; equal sets
     have equal cls.  roots: v, root - of every class that links to another.
     Two sets link when 100 * common >= percent * union.  A null text is empty;
     empty sets link with nothing.  Hashes have 64 bits.
     """
-    texts = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, n_shingles long, cls long, keys array<long>"
+    texts = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
+    schema = "doc_id long, text_hash long, n_shingles long, cls long, keys array<long>"
     described = stored(texts.mapInArrow(_describe(k, percent), schema), "jaccard-documents")
-    docs = described.select("doc_id", "n_shingles", "cls")
+    docs = described.select("doc_id", "text_hash", "n_shingles", "cls")
     rep = docs.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
 
     by_key = Window.partitionBy("key")
@@ -193,7 +257,7 @@ def link(df: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataFrame, DataF
     members = shared.select("cls").distinct().join(rep, "cls")
     members = stored(members, "jaccard-members")
     fetched = _fetch(texts, members.select("doc_id", "cls"))
-    sets = stored(fetched.mapInArrow(_set_bytes(k), "cls long, held binary"), "jaccard-sets")
+    sets = stored(fetched.mapInArrow(_held_sets(k), "cls long, held array<long>"), "jaccard-sets")
     sizes = members.select("cls", "n")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -202,7 +266,9 @@ def link(df: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataFrame, DataF
         pairs = pairs.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).select("a", "b")
         held = pairs.join(sets.select(F.col("cls").alias("b"), F.col("held").alias("held_b")), "b")
         held = held.join(sets.select(F.col("cls").alias("a"), F.col("held").alias("held_a")), "a")
-        return stored(held.select("a", "b", "held_a", "held_b").mapInArrow(_verify(percent), "a long, b long"), "jaccard-links")
+        both = F.size(F.array_intersect("held_a", "held_b"))
+        union = F.size("held_a") + F.size("held_b") - both
+        return stored(held.where(both * 100 >= union * percent).select("a", "b"), "jaccard-links")
 
     stars = shared.where("cls <> least").groupBy(F.col("least").alias("a"), F.col("cls").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     stars = stars.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
@@ -210,23 +276,23 @@ def link(df: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataFrame, DataF
     roots = components(links)
 
     known = roots.select(F.col("v").alias("cls"), "root")
-    rooted = shared.join(known, "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
+    rooted = shared.join(known, "cls", "left").select("key", "least", "cls", F.coalesce("root", "cls").alias("root"))
     parts = stored(rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")), "jaccard-parts")
-    split = parts.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max_by("root", F.struct("n", "root")).alias("major"))
-    split = split.where("lo < hi").select("key", "major")
+    split = parts.groupBy("key").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.max_by("root", F.struct("n", "root")).alias("major"),
+        (F.sum("n") - F.max("n")).alias("outside"),
+    )
+    split = split.where("lo < hi").select("key", "major", "outside")
     mixed = stored(rooted.join(split, "key"), "jaccard-mixed")
-    x = mixed.where("root <> major").select("key", F.col("cls").alias("x"), F.col("root").alias("rx"))
-    y = mixed.select("key", F.col("cls").alias("y"), F.col("root").alias("ry"), "major")
-    rest = x.join(y, "key").where("rx <> ry and (ry = major or x < y)")
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    rest = stored(rest, "jaccard-rest")
-    if not rest.isEmpty():
+    more = [pairs for pairs in (_across(mixed), _by_pivot(mixed, sets, sizes, percent)) if not pairs.isEmpty()]
+    if more:
+        rest = stored(reduce(DataFrame.union, more).distinct(), "jaccard-rest")
         roots = components(links.union(verified(rest)))
     return docs, roots
 
 
 def grouped(df: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row for each input row.
+    """doc_id, text_hash, n_shingles, component_id: one row for each input row.
 
     component_id is the smallest doc_id that links reach, the row's own
     included; a row with an empty set has its own doc_id.  Repeated rows stay.
@@ -239,9 +305,22 @@ def grouped(df: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     least = least.join(roots.withColumnRenamed("v", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     whole = least.groupBy("root").agg(F.min("least").alias("component_id"))
     to = least.join(whole, "root").select("cls", "component_id")
-    out = some.join(to, "cls").select("doc_id", "n_shingles", "component_id")
-    return out.unionByName(docs.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    out = some.join(to, "cls").select("doc_id", "text_hash", "n_shingles", "component_id")
+    return out.unionByName(docs.where("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def deduplicated(df: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of df that stand for their component: of each, the row with the
+    smallest doc_id, once.  Rows without words all stay, repeated ones once.  A
+    row with null doc_id stays only if no row with a doc_id has its set.
+    """
+    keep = grouped(df, k, percent).where("component_id <=> doc_id").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    rows = df.withColumn("__own", F.xxhash64(F.col("text").cast("string")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash"))
+    rows = rows.join(keep, same, "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id", "__own").orderBy(F.xxhash64(*[f"`{c}`" for c in df.columns])))
+    return rows.withColumn("__first", first).where("__first = 1").select(*[f"`{c}`" for c in df.columns])
 
 
 def op5_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return grouped(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=4, percent=85)
+    return grouped(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=4, percent=85).drop("text_hash")

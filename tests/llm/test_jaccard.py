@@ -62,11 +62,33 @@ def test_against_brute_force(spark):
     for seed in (1, 2):
         rows = corpus(seed)
         df = spark.createDataFrame([(i, t, "c", 1) for i, t in rows], "doc_id long, text string, cls string, key int").repartition(3)
-        got = {r.doc_id: tuple(r) for r in jaccard.grouped(df).collect()}
+        got = {r.doc_id: tuple(r) for r in jaccard.grouped(df).drop("text_hash").collect()}
         assert got == brute(rows)
         assert len({x[2] for x in got.values()}) < len(rows) - 20
 
 
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """A base and many edited copies, around the threshold; chains of edits too."""
+    monkeypatch.setattr(jaccard, "FEW", 2)
+    rng = random.Random(7)
+    for size in (40, 150):
+        base = [f"w{rng.randrange(3000)}" for _ in range(size)]
+        rows, last = [" ".join(base)], list(base)
+        for i in range(170):
+            w = list(base if i % 3 else last)
+            for _ in range(rng.randint(0, 1 + size // 18)):
+                at = rng.randrange(len(w))
+                w[at : at + rng.randint(0, 1)] = [f"w{rng.randrange(3000)}"] * rng.randint(0, 2)
+            if not i % 3:
+                last = w
+            rows.append(" ".join(w))
+        rows = list(enumerate(rows))
+        rng.shuffle(rows)
+        got = {r.doc_id: tuple(r) for r in jaccard.grouped(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).drop("text_hash").collect()}
+        assert got == brute(rows)
+        assert 5 < len({x[2] for x in got.values()}) < 171
+
+
 def test_every_link_shares_a_key():
     """Pairs at the edge of the threshold, for every size: they must share an index key."""
     import numpy as np
@@ -93,7 +115,7 @@ def test_empty_table(spark):
 
 def test_nulls_and_repeated_rows(spark):
     rows = [(None, "a b c d e"), (3, "a b c d e"), (3, "a b c d e"), (4, None), (None, "q r s t"), (5, "")]
-    got = sorted(map(tuple, jaccard.grouped(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    got = sorted(map(tuple, jaccard.grouped(spark.createDataFrame(rows, "doc_id long, text string")).drop("text_hash").collect()), key=str)
     assert got == sorted([(None, 2, 3), (3, 2, 3), (3, 2, 3), (4, 0, 4), (None, 1, None), (5, 0, 5)], key=str)
 
 
@@ -116,3 +138,11 @@ def test_shingles_of_words():
             got += [frozenset(h[b[i] : b[i + 1]].tolist()) for i in range(end - first)]
         assert [len(x) for x in got] == [len(shingle_set(t)) for t in texts]
         assert got[0] == got[3] and got[4] < got[5]
+
+
+def test_deduplicated(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long, "a"), (2, long + " x", "b"), (3, "p q r s t", "c"), (3, "p q r s t", "c"), (3, long, "d"), (4, None, "e"), (5, "", "f"),
+            (None, long, "g"), (None, "only here it is", "h"), (None, "only here it is", "h"), (6, "P q r s t", "i")]
+    got = jaccard.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, cls string")).collect()
+    assert sorted((r.doc_id or -1, r.cls) for r in got) == [(-1, "h"), (1, "a"), (3, "c"), (4, "e"), (5, "f")]
