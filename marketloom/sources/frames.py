@@ -78,12 +78,12 @@ CALENDAR = "calendar as (select distinct o_orderdate::date as day, o_orderpriori
 
 
 def monthly_rate(spark: SparkSession, sf: str) -> DataFrame:
-    """month, cur, rate: mean order price of customers by nation region."""
+    """month, cur, rate: largest order price of customers by nation region."""
     o, c, n = (table(spark, sf, t) for t in ("orders", "customer", "nation"))
     rows = o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), c.c_nationkey == n.n_nationkey)  # 25 nations
     month = F.trunc(F.to_date("o_orderdate"), "month")
-    return rows.groupBy(month.alias("month"), F.col("n_regionkey").alias("cur")).agg(F.avg("o_totalprice").alias("rate"))
+    return rows.groupBy(month.alias("month"), F.col("n_regionkey").alias("cur")).agg(F.max("o_totalprice").alias("rate"))
 
 
-MONTHLY_RATE = """monthly_rate as (select date_trunc('month', o_orderdate)::date as month, n_regionkey as cur, avg(o_totalprice) as rate
+MONTHLY_RATE = """monthly_rate as (select date_trunc('month', o_orderdate)::date as month, n_regionkey as cur, max(o_totalprice) as rate
   from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1, 2)"""
