@@ -32,6 +32,8 @@ from marketloom.llm.common import held_out, stored
 ORDER = 5
 #: Rows of all tables together that one broadcast holds, about.
 SHARD_ROWS = 6_000_000
+#: Ids that are broadcast to pick the trusted texts; beyond it, a shuffle join.
+BROADCAST_IDS = 1_000_000
 #: Quantile of held-out trusted documents that is still kept.
 KEEP = 0.995
 
@@ -202,31 +204,38 @@ def score(df: DataFrame, model: KneserNey) -> DataFrame:
     return out.select(*[f"`{c}`" for c in kept], ppl.alias("perplexity"))
 
 
-def classify(df: DataFrame, trusted: str, lang: str = "lang", keep: float = KEEP) -> DataFrame:
-    """df with perplexity, limit and keep.
+def _rows_of(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of df whose doc_id is in ids; few ids go to the rows, else rows are shuffled."""
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
-    trusted: boolean column.  The model learns from trusted rows outside the
-    held-out fifth; limit is the quantile keep of the perplexity of trusted rows
-    in it, for the row's language (null is a language), or over all languages
-    if it has none there.  Without any limit all rows with text are kept.  A
-    row without text has no perplexity and is not kept.
+
+def classify(df: DataFrame, trusted: DataFrame, lang: str = "lang", keep: float = KEEP) -> DataFrame:
+    """df without text, with perplexity, limit and keep.
+
+    trusted: doc_id of trusted documents.  The model learns from those outside
+    the held-out fifth; limit is the quantile keep of the perplexity of those in
+    it, for the row's language (null is a language), or over all languages if
+    it has none there.  Without any limit all rows with text are kept.  A row
+    without text has no perplexity and is not kept.  A null doc_id is not
+    trusted.
     """
     rows = df.drop("perplexity", "limit", "keep")
-    good = F.coalesce(F.col(trusted), F.lit(False))
-    scored = stored(score(rows, train(rows.where(good & ~held_out()).select("text"))), "quality")
-    known = scored.where(good & held_out()).where("perplexity is not null")
+    ids = trusted.select("doc_id").where("doc_id is not null").distinct()
+    model = train(_rows_of(rows, ids.where(~held_out())).select("text"))
+    scored = stored(score(rows, model).drop("text"), "quality")
+    known = scored.where("perplexity is not null").join(ids.where(held_out()), "doc_id", "left_semi")
     quantile = F.percentile_approx("perplexity", F.lit(keep), F.lit(10_000)).alias("limit")
-    name = F.coalesce(F.col(lang).cast("string"), F.lit("\\0"))
+    name = F.coalesce(F.col(lang).cast("string"), F.lit("\0"))
     limits = known.groupBy(name.alias("__lang")).agg(quantile)
     overall = known.agg(quantile.alias("__overall"))
     out = scored.withColumn("__lang", name).join(F.broadcast(overall)).join(limits, "__lang", "left")
     limit = F.coalesce("limit", "__overall")
     kept = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= limit, F.lit(True))
-    return out.select(*[f"`{c}`" for c in rows.columns], "perplexity", limit.alias("limit"), kept.alias("keep"))
+    return out.select(*[f"`{c}`" for c in rows.columns if c != "text"], "perplexity", limit.alias("limit"), kept.alias("keep"))
 
 
 def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg((F.min("quality") == 1).alias("trusted"))
-    rows = docs.join(labels, "doc_id", "left")
-    return classify(rows, "trusted").select("doc_id", "lang", F.round("perplexity", 6).alias("perplexity"), F.round("limit", 6).alias("limit"), "keep")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    out = classify(docs, labels.where("quality = 1"))
+    return out.select("doc_id", "lang", F.round("perplexity", 6).alias("perplexity"), F.round("limit", 6).alias("limit"), "keep")

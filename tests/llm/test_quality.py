@@ -83,9 +83,9 @@ def test_kept_and_edge_cases(spark, tmp_path):
     assert sum(got[i].keep == bool(labels[i][1]) for i in range(500)) >= 490
     assert not got[600].keep and not got[601].keep and got[None].keep
     assert len({r.limit for r in rows}) in (2, 3)  # two languages, and all of them for the third
-    empty = spark.createDataFrame([], "doc_id long, text string, lang string, trusted boolean, keep int")
-    assert quality.classify(empty, "trusted").collect() == []
-    some = quality.classify(spark.createDataFrame([(1, "a", None, False)], "doc_id long, text string, lang string, trusted boolean"), "trusted").collect()
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string, keep int")
+    assert quality.classify(empty, empty).collect() == []
+    some = quality.classify(spark.createDataFrame([(1, "a", None)], "doc_id long, text string, lang string"), empty).collect()
     assert some[0].keep and some[0].limit is None
 
 
