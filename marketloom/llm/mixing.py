@@ -134,4 +134,4 @@ def op8_mixing_sources(spark, sf_dir: str) -> DataFrame:
         "mix-input",
     )
     mixed = mix(narrow, size=F.col("words"), quality=F.col("quality"))
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from marketloom.llm import oracles
 from marketloom.llm.chat import OP7_SQL, op7_chat_formatting
 from marketloom.llm.decontaminate import op2_benchmark_decontamination
 from marketloom.llm.jaccard import op5_ngram_jaccard_join
@@ -28,5 +29,8 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op6_quality_classifier": op6_quality_classifier,
+    "op5_ngram_jaccard_join": oracles.OP5,
     "op7_chat_formatting": OP7_SQL,
+    "op8_mixing_sources": oracles.OP8,
+    "op9_exact_top_k": oracles.OP9,
 }
