@@ -3,11 +3,12 @@
 Equal sets form a class.  Between classes, the universe of shingle hashes is
 cut into m segments, m by size band.  Two sets of a link differ in at most U
 elements, so at most U segments differ (pigeonhole).  A set indexes U + 1 of
-its segment subsets, least costly first: subsets of at most one element, which
-unrelated sets share, come last; the rest go by hash, the same order for all
-(prefix filter).  A set that would need costly subsets spends two units on a
-segment instead of one: it indexes the one-deletion neighbourhood too, which
-also finds a segment that differs in one element, so half as many segments do.
+its segment subsets, least costly first: those that fewest sets have (the same
+order for all, so a linked pair shares one).  Subsets of at most one element,
+which unrelated sets share, are left out; a set that would need them spends
+two units on a segment instead of one: it indexes the one-deletion
+neighbourhood too, which also finds a segment that differs in one element, so
+half as many segments do.
 
 Candidates share an indexed key.  A hot key is never expanded into pairs:
 
@@ -15,8 +16,9 @@ Candidates share an indexed key.  A hot key is never expanded into pairs:
    keys), and exact verification gives stars, whose components are computed;
 2. only keys that still hold several components are looked at again.  With few
    members outside the key's largest component, those meet the members of
-   others.  With many, members are compared by how they differ from one class
-   (_by_pivot), which pairs only what may link.
+   others.  With many, all members are described by how they differ from one
+   class; they meet the member nearest to their majority, and then only what
+   may link is paired (_by_pivot).
 
 So copies cost a row each, every link between different components is found
 and verified exactly, and none is lost.
@@ -25,7 +27,7 @@ and verified exactly, and none is lost.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,9 @@ BROADCAST_IDS = 500_000
 BAND = 1.5
 #: Members of a key outside its largest component, up to which all of them meet
 #: the rest of the key one by one.
-FEW = 16
+FEW = 48
+#: Stands for "every key" where a class needs its whole list.
+ALL = -1
 #: Segments beyond the pigeonhole's, as a share; they let costly ones be left out.
 SPARE = 0.08
 
@@ -65,20 +69,22 @@ def bands(percent: int, upto: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def keys(h: np.ndarray, percent: int) -> np.ndarray:
-    """Index keys of a set (sorted distinct hashes)."""
+def keys(h: np.ndarray, percent: int) -> list[tuple[np.ndarray, int]]:
+    """Index keys of a set (sorted distinct hashes) in its own size band and in
+    the one below, if linked sets can lie there; with how many of them it needs."""
     n = len(h)
     table = bands(percent, 1 << max(6, int(n).bit_length()))
+    none = np.empty(0, tn.U64), 0
     if n < table[0][0]:
-        return np.empty(0, tn.U64)
+        return [none, none]
     own = next(i for i, b in enumerate(table) if n <= b[1])
-    out = [_band_keys(h, own, table[own][2], most_differing(n + 100 * n // percent, percent))]
+    out = [_band_keys(h, own, table[own][2], most_differing(n + 100 * n // percent, percent)), none]
     if own and -(-percent * n // 100) < table[own][0]:
-        out.append(_band_keys(h, own - 1, table[own - 1][2], most_differing(n + table[own - 1][1], percent)))
-    return np.concatenate(out)
+        out[1] = _band_keys(h, own - 1, table[own - 1][2], most_differing(n + table[own - 1][1], percent))
+    return out
 
 
-def _band_keys(h: np.ndarray, band: int, m: int, differ: int) -> np.ndarray:
+def _band_keys(h: np.ndarray, band: int, m: int, differ: int) -> tuple[np.ndarray, int]:
     # h is sorted, and segments are ranges of it.
     segment = ((h >> tn.U64(32)) * tn.U64(m)) >> tn.U64(32)
     at = np.searchsorted(segment, np.arange(m + 1, dtype=tn.U64))
@@ -91,13 +97,13 @@ def _band_keys(h: np.ndarray, band: int, m: int, differ: int) -> np.ndarray:
     exact = key(total, count, place)
     cheap = exact[count >= 2]
     if len(cheap) > differ:
-        return np.sort(cheap)[: differ + 1]
+        return cheap, differ + 1
     least = 2 if 2 * len(cheap) > differ else 1
     shown = exact[count >= 1] if least == 2 else exact
     of = segment.astype(np.int64)
     cut = count[of] >= least
     fewer = key(total[of] - token, count[of] - 1, place[of])[cut]
-    return np.concatenate([shown, fewer])
+    return np.concatenate([shown, fewer]), ALL
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -119,22 +125,24 @@ def _describe(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # of this task's rows: equal sets send their keys once
         for batch in batches:
-            size, cls, at, found = [], [], [0], []
+            size, cls, needs = [], [], ([], [])
+            at, found = ([0], [0]), ([np.empty(0, tn.U64)], [np.empty(0, tn.U64)])
             for _, h in _sets(batch, k):
                 c = _class_of(h)
                 size.append(len(h))
                 cls.append(c)
-                if c not in seen:
-                    seen.add(c)
-                    found.append(keys(h, percent))
-                    at.append(at[-1] + len(found[-1]))
-                else:
-                    at.append(at[-1])
-            flat = tn.signed(np.concatenate(found)) if found else np.empty(0, np.int64)
+                got = [(None, None)] * 2 if c in seen else keys(h, percent)
+                seen.add(c)
+                for i, (x, need) in enumerate(got):
+                    needs[i].append(need)
+                    if x is not None:
+                        found[i].append(x)
+                    at[i].append(at[i][-1] + (0 if x is None else len(x)))
+            lists = [pa.ListArray.from_arrays(pa.array(at[i], pa.int32()), pa.array(tn.signed(np.concatenate(found[i])))) for i in (0, 1)]
+            column = lambda c: batch.column(batch.schema.get_field_index(c))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index("doc_id")), batch.column(batch.schema.get_field_index("text_hash")), pa.array(size, pa.int64()), pa.array(cls, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))],
-                names=["doc_id", "text_hash", "n_shingles", "cls", "keys"],
+                [column("doc_id"), column("text_hash"), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), *lists, *[pa.array(x, pa.int32()) for x in needs]],
+                names=["doc_id", "text_hash", "n_shingles", "cls", "keys0", "keys1", "need0", "need1"],
             )
 
     return run
@@ -164,6 +172,14 @@ def _fetch(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.join(ids, "doc_id")
 
 
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose classes are in different components."""
+    for side in "ab":
+        known = roots.select(F.col("v").alias(side), F.col("root").alias(f"root_{side}"))
+        pairs = pairs.join(known, side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
+    return pairs.where("root_a <> root_b").select("a", "b")
+
+
 def _across(mixed: DataFrame) -> DataFrame:
     """Pairs between components within keys that have few members outside the
     largest: at most FEW pairs for each member of a key."""
@@ -174,14 +190,48 @@ def _across(mixed: DataFrame) -> DataFrame:
     return stored(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "jaccard-across")
 
 
-def _by_pivot(mixed: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Pairs that may link within the other keys, found without pairing members.
+def _deltas(mixed: DataFrame, sets: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, tokens) of the other keys: how every member differs from one
+    class p, the root of the key's largest component.
+
+    members: p, cls, np, n, d.  tokens: the elements of each difference that
+    more than one member of p has, with the number of members (uses) and the
+    place in the difference, rarest first.
+    """
+    hot = mixed.where(F.col("outside") > FEW).select(F.col("major").alias("p"), "cls")
+    rows = hot.union(hot.select("p", F.col("p").alias("cls"))).distinct()
+    for side in ("p", "cls"):
+        size = sizes.select(F.col("cls").alias(side), F.col("n").alias(f"n_{side}"))
+        held = sets.select(F.col("cls").alias(side), F.col("held").alias(f"held_{side}"))
+        rows = rows.join(size, side).join(held, side)
+    delta = F.concat(F.array_except("held_cls", "held_p"), F.array_except("held_p", "held_cls"))
+    rows = rows.select("p", "cls", F.col("n_p").cast("long").alias("np"), F.col("n_cls").cast("long").alias("n"), delta.alias("delta"))
+    rows = stored(rows.withColumn("d", F.size("delta").cast("long")), "jaccard-deltas")
+    token = rows.where("d > 0").select("p", "cls", "np", "n", "d", F.explode("delta").alias("token"))
+    token = token.withColumn("uses", F.count(F.lit(1)).over(Window.partitionBy("p", "token"))).where("uses > 1")
+    member = Window.partitionBy("p", "cls")
+    token = token.withColumn("place", F.row_number().over(member.orderBy("uses", "token")) + F.col("d") - F.count(F.lit(1)).over(member))
+    return rows.drop("delta"), stored(token, "jaccard-tokens")
+
+
+def _centre_stars(members: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Every member of a p with the member that is nearest to what most of them
+    have: the one whose difference from p is nearest to the elements that more
+    than half of the differences hold."""
+    half = members.groupBy("p").agg((F.count(F.lit(1)) / 2).alias("half"))
+    usual = tokens.join(half, "p").where("uses > half").groupBy("p", "cls").agg(F.count(F.lit(1)).alias("usual"))
+    away = members.join(usual, ["p", "cls"], "left").withColumn("away", F.col("d") - 2 * F.coalesce("usual", F.lit(0)))
+    centre = away.groupBy("p").agg(F.min_by("cls", F.struct("away", "cls")).alias("c"))
+    pairs = members.join(centre, "p").where("cls <> c").select(F.least("cls", "c").alias("a"), F.greatest("cls", "c").alias("b"))
+    return pairs.distinct()
+
+
+def _by_pivot(members: DataFrame, tokens: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that may link, found without pairing members.
 
-    Every member x of a key is set against one class p, the root of the key's
-    largest component, so most keys of a group of copies have the same p: with
-    d(x) = x without p, and p without x, the sets x and y differ in d(x) less
-    d(y) and the reverse.  Let u be the most that linked sets of their sizes
-    may differ in.
+    With d(x) = x without p, and p without x, two members x and y differ in d(x)
+    less d(y) and the reverse.  Let u be the most that linked sets of their
+    sizes may differ in.
 
     If |d(x)| + |d(y)| <= u, they link whatever the elements are.  One y is
     best for every x: the one that maximises (100 - percent) |y| - (100 +
@@ -194,15 +244,9 @@ def _by_pivot(mixed: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int)
     own elements, which come last.
     """
     lost, kept = 100 - percent, 100 + percent
-    hot = mixed.where(F.col("outside") > FEW).select(F.col("major").alias("p"), "cls", "root")
-    rows = hot.union(hot.select("p", F.col("p").alias("cls"), F.col("p").alias("root"))).distinct()
-    for side in ("p", "cls"):
-        size = sizes.select(F.col("cls").alias(side), F.col("n").alias(f"n_{side}"))
-        held = sets.select(F.col("cls").alias(side), F.col("held").alias(f"held_{side}"))
-        rows = rows.join(size, side).join(held, side)
-    delta = F.concat(F.array_except("held_cls", "held_p"), F.array_except("held_p", "held_cls"))
-    rows = rows.select("p", "cls", "root", F.col("n_p").cast("long").alias("np"), F.col("n_cls").cast("long").alias("n"), delta.alias("delta"))
-    rows = stored(rows.withColumn("d", F.size("delta").cast("long")), "jaccard-deltas")
+    known = roots.select(F.col("v").alias("cls"), "root")
+    rooted = lambda df: df.join(known, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    rows, token = rooted(members), rooted(tokens)
 
     worth = F.col("n") * lost - F.col("d") * kept
     best = rows.groupBy("p").agg(F.max(worth).alias("worth"), F.max_by(F.struct("cls", "root"), F.struct(worth, "cls")).alias("y"))
@@ -210,17 +254,13 @@ def _by_pivot(mixed: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int)
     sure = sure.where("root <> y_root").where(F.col("d") * kept <= F.col("n") * lost + F.col("worth"))
     sure = sure.select(F.least("cls", "y").alias("a"), F.greatest("cls", "y").alias("b"))
 
-    facts = ["p", "cls", "root", "np", "n", "d"]
-    token = rows.where("d > 0").select(*facts, F.explode("delta").alias("token"))
-    token = token.withColumn("uses", F.count(F.lit(1)).over(Window.partitionBy("p", "token"))).where("uses > 1")
-    member = Window.partitionBy("p", "cls")
-    token = token.withColumn("place", F.row_number().over(member.orderBy("uses", "token")) + F.col("d") - F.count(F.lit(1)).over(member))
-    token = stored(token, "jaccard-tokens")
     # y has the smaller difference.  If it is in p's component, x is not, so
     # |d(x)| is more than p and x may differ in.
+    at_p = rows.where("cls = p").select("p", F.col("root").alias("p_root"))
+    token = token.join(at_p, "p")
     slack = F.greatest(F.lit(0), F.ceil(F.lit(lost) * (F.col("n") - F.col("np")) / kept))
     widest = F.floor(F.lit(lost) * (F.col("n") + F.floor(F.lit(100) * F.col("n") / percent)) / kept)
-    shared = F.when(F.col("root") == F.col("p"), F.ceil((F.col("d") + 1 - slack) / 2)).otherwise(F.ceil((2 * F.col("d") - widest) / 2))
+    shared = F.when(F.col("root") == F.col("p_root"), F.ceil((F.col("d") + 1 - slack) / 2)).otherwise(F.ceil((2 * F.col("d") - widest) / 2))
     first = token.where(F.col("place") <= F.col("d") - F.greatest(shared, F.lit(1)) + 1)
     y = first.select("p", "token", *[F.col(c).alias(f"y_{c}") for c in ("cls", "root", "n", "d", "place")])
     x = token.select("p", "token", *[F.col(c).alias(f"x_{c}") for c in ("cls", "root", "n", "d", "place")])
@@ -243,15 +283,25 @@ def link(df: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataFrame, DataF
     empty sets link with nothing.  Hashes have 64 bits.
     """
     texts = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
-    schema = "doc_id long, text_hash long, n_shingles long, cls long, keys array<long>"
+    schema = "doc_id long, text_hash long, n_shingles long, cls long, keys0 array<long>, keys1 array<long>, need0 int, need1 int"
     described = stored(texts.mapInArrow(_describe(k, percent), schema), "jaccard-documents")
     docs = described.select("doc_id", "text_hash", "n_shingles", "cls")
     rep = docs.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
 
     by_key = Window.partitionBy("key")
-    indexed = described.where(F.size("keys") > 0).select("cls", F.explode("keys").alias("key"))
-    indexed = indexed.withColumns({"least": F.min("cls").over(by_key), "most": F.max("cls").over(by_key)})
-    shared = stored(indexed.where("least < most").select("key", "cls", "least").distinct(), "jaccard-keys")
+    ends = {"least": F.min("cls").over(by_key), "most": F.max("cls").over(by_key)}
+    every = [described.where(F.size(f"keys{i}") > 0).select("cls", F.lit(i).alias("slot"), F.explode(f"keys{i}").alias("key")) for i in (0, 1)]
+    indexed = every[0].union(every[1]).withColumns(ends | {"uses": F.count(F.lit(1)).over(by_key)})
+    indexed = indexed.where("least < most").select("key", "cls", "slot", "uses").distinct()
+    # Of its keys a class needs the rarest; those that no other class has come first.
+    facts = described.where("need0 is not null").groupBy("cls").agg(*[F.max(F.struct(F.size(f"keys{i}").alias("size"), f"need{i}")).alias(f"s{i}") for i in (0, 1)])
+    facts = facts.select("cls", F.explode(F.array(*[F.struct(F.lit(i).alias("slot"), F.col(f"s{i}.size").alias("size"), F.col(f"s{i}.need{i}").alias("need")) for i in (0, 1)])).alias("x"))
+    own = Window.partitionBy("cls", "slot")
+    indexed = indexed.join(facts.select("cls", "x.*"), ["cls", "slot"])
+    place = F.row_number().over(own.orderBy("uses", "key")) + F.col("size") - F.count(F.lit(1)).over(own)
+    indexed = indexed.withColumn("place", place).where((F.col("need") == ALL) | (F.col("place") <= F.col("need")))
+    indexed = indexed.select("key", "cls").distinct().withColumns(ends)
+    shared = stored(indexed.where("least < most").select("key", "cls", "least"), "jaccard-keys")
 
     # Texts of the classes that share a key: their sets, once.
     members = shared.select("cls").distinct().join(rep, "cls")
@@ -284,9 +334,14 @@ def link(df: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataFrame, DataF
     )
     split = split.where("lo < hi").select("key", "major", "outside")
     mixed = stored(rooted.join(split, "key"), "jaccard-mixed")
-    more = [pairs for pairs in (_across(mixed), _by_pivot(mixed, sets, sizes, percent)) if not pairs.isEmpty()]
-    if more:
-        rest = stored(reduce(DataFrame.union, more).distinct(), "jaccard-rest")
+    members_of, tokens = _deltas(mixed, sets, sizes)
+    centred = stored(_centre_stars(members_of, tokens), "jaccard-centres")
+    if not centred.isEmpty():
+        links = links.union(verified(_apart(centred, roots)))
+        roots = components(links)
+    more = [_apart(_across(mixed), roots), _by_pivot(members_of, tokens, roots, percent)]
+    rest = stored(more[0].union(more[1]).distinct(), "jaccard-rest")
+    if not rest.isEmpty():
         roots = components(links.union(verified(rest)))
     return docs, roots
 
