@@ -1 +1 @@
-
+"""Operators: DataFrame in, DataFrame out; the series key is the column symbol."""

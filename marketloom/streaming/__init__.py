@@ -1 +1 @@
-
+"""Streaming mirrors of batch operators."""
