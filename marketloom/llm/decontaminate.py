@@ -19,8 +19,9 @@ Candidates are verified exactly: Levenshtein distance in characters between
 the item and the best part of the text around the window.  A document has a
 leak of an item when 1 - distance / item length is at least SIMILAR.
 
-Items are broadcast in blocks of at most BLOCK_ITEMS; each block is a pass over
-the documents.
+Items are broadcast in blocks of at most about BLOCK_ITEMS; each block is a pass
+over the documents.  A block's index has some 200 bytes for each of its words
+and band of lengths.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ SIMILAR = 0.8
 #: Share of a window's words that may be edited, for the target recall.
 EDITED = 0.25
 REPEATS, SAMPLES = 12, 4
-BLOCK_ITEMS = 5000
+BLOCK_ITEMS = 2000
 #: Items with fewer words are no passages; they are not looked for.
 LEAST_WORDS = 5
 #: Longest item of a band over its shortest.
@@ -87,7 +88,7 @@ class Band:
     size: int  # words of a window
     step: int
     known: np.ndarray  # word id -> whether an item of the band has it
-    bits: np.ndarray  # walk, step, word id -> move
+    bits: np.ndarray  # walk, step // 64, word id -> moves of 64 steps, one bit each
     samples: np.ndarray  # walk -> sampled steps
     partial: list[list[np.ndarray]]  # walk, sample -> sorted keys so far
     finals: list[tuple[np.ndarray, np.ndarray]]  # walk -> keys, item windows (both by key)
@@ -103,7 +104,7 @@ def _walk(ids: np.ndarray, start: np.ndarray, size: int, bits: np.ndarray, sampl
     key = np.zeros(len(start), tn.U64)
     kept, done = [], 0
     for j in range(int(samples[-1]) + 1):
-        word = np.where(i < size, ids[np.minimum(start[alive] + i, len(ids) - 1)], bits.shape[1] - 1)
+        word = np.where(i < size, ids[np.minimum(start[alive] + i, len(ids) - 1)], bits.shape[-1] - 1)
         if j == samples[done]:
             key = tn.mix(key * tn.U64(0xD1342543DE82EF95) + word.astype(tn.U64) + tn.U64(1))
             if partial is None:
@@ -114,7 +115,7 @@ def _walk(ids: np.ndarray, start: np.ndarray, size: int, bits: np.ndarray, sampl
                 good = table[at] == key
                 alive, i, key, word = alive[good], i[good], key[good], word[good]
             done += 1
-        i += bits[j, word]
+        i += ((bits[j >> 6, word] >> tn.U64(j & 63)) & tn.U64(1)).astype(np.int64)
     return kept if partial is None else (alive, key)
 
 
@@ -148,7 +149,7 @@ class Index:
             base = np.concatenate([[0], np.cumsum([len(x) for x in ids])[:-1]])
             start = (base[:, None] + np.arange(step)[None, :]).ravel()
             steps = max(SAMPLES, int(1.8 * size))
-            bits = rng.integers(0, 2, (REPEATS, steps, n_ids), dtype=np.int8)
+            bits = rng.integers(0, 2**64, (REPEATS, -(-steps // 64), n_ids), dtype=np.uint64)
             samples = np.array([np.sort(rng.choice(steps, SAMPLES, replace=False)) for _ in range(REPEATS)])
             partial, finals = [], []
             for r in range(REPEATS):
