@@ -17,7 +17,7 @@ _ONE = 0x9E3779B97F4A7C15
 _BASE = 0xD1342543DE82EF95  # odd, so that it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 2**64)
 #: Bytes of text that are looked at together.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

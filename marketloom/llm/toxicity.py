@@ -33,6 +33,8 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 3000
 #: Characters of a labelled document that the fit holds at most in its sample's
 #: text budget; longer documents are left out of the sample (not cut).
 SAMPLE_CHARS = 40_000
+#: Rows of a batch that Python strings are made of at a time.
+ROWS = 512
 #: Terms are this long.
 SHORTEST, LONGEST = 4, 10
 #: Least lower bound (two standard errors) of a term's log ratio.
@@ -222,7 +224,7 @@ def score(df: DataFrame, model: ToxicModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.matcher()
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             values, found = [], []
             for text in batch.column(batch.num_columns - 1):
                 x, got = m.feature(text.as_py() or "")
