@@ -1,27 +1,23 @@
-"""Benchmark decontamination by CGK embedding, bit sampling and edit distance.
-
-Items and documents are sequences of words without case and punctuation.
-Items go by bands of length.  In a band, windows have one size a little below
-the shortest item's; documents are cut at every step-th word, items at each of
-the first step offsets, so a passage of an item always holds a document window
-that starts at one of those offsets.
-
-A CGK walk reads a window by random bits: at each step it emits the word it
-stands on, and a bit that depends on the step and the word says whether it
-moves on.  Windows at small edit distance give emissions at small Hamming
-distance.  Each of REPEATS walks has SAMPLES sampled steps, whose words are the
-hash key; a window that shares a key with an item's window is a candidate.
-Walks stop where the words so far match no item.  Windows in which too few
-words occur in any item of the band are left out first: they are further from
-every item than the target distance.
-
-Candidates are verified exactly: Levenshtein distance in characters between
-the item and the best part of the text around the window.  A document has a
-leak of an item when 1 - distance / item length is at least SIMILAR.
+"""Benchmark decontamination by exact character seeds and edit distance.
+
+Items and documents are sequences of words without case and punctuation, joined
+by single spaces, and are read as characters.  An item of m characters with k
+edits keeps k + 1 runs between them.  Seeds are an item's strings of q characters;
+q is the largest at which edits of SIMILAR at random places break every run of
+that length with a probability of at most MISS (or at which they never can).
+Shorter items have shorter seeds.
+
+A seed that a document has too gives an item and a diagonal.  The part of SEGMENT
+characters of the item that surrounds the seed is compared with the text on that
+diagonal by edit distance (bit-parallel, many at once in numpy); parts with more
+than LOOSE of their characters edited are dropped.
+
+What is left is verified exactly: Levenshtein distance in characters between the
+item and the best part of the text around the diagonal.  A document has a leak of
+an item when 1 - distance / item length is at least SIMILAR.
 
 Items are broadcast in blocks of at most about BLOCK_ITEMS; each block is a pass
-over the documents.  A block's index has some 200 bytes for each of its words
-and band of lengths.
+over the documents.  A block's index has some 100 bytes for each of its characters.
 """
 
 from __future__ import annotations
@@ -38,15 +34,16 @@ from pyspark.sql import types as T
 from marketloom.llm import textnp as tn
 
 SIMILAR = 0.8
-#: Share of a window's words that may be edited, for the target recall.
-EDITED = 0.25
-REPEATS, SAMPLES = 12, 4
+#: Probability that an item at SIMILAR, edited at random places, has no seed left.
+MISS = 0.005
+#: Lengths of seeds.
+SEEDS = (2, 3, 4, 5, 6, 7, 8, 9, 10, 12)
+#: Characters of the part that is compared first (a machine word), share of them
+#: that may be edited, and how far the text's part may be moved.
+SEGMENT, LOOSE, MOVED = 64, 0.32, 12
 BLOCK_ITEMS = 2000
 #: Items with fewer words are no passages; they are not looked for.
 LEAST_WORDS = 5
-#: Longest item of a band over its shortest.
-BAND = 1.4
-
 
 def normal(text: str) -> str:
     """The words of a text without case (A-Z) and ASCII punctuation, joined by spaces."""
@@ -83,126 +80,183 @@ def distance_inside(item: str, text: str) -> int:
     return best
 
 
+def seed_length(m: int) -> int:
+    """Characters of the seeds of an item of m characters."""
+    k = int((1 - SIMILAR) * m + 1e-9)
+    sure = -(-(m - k) // (k + 1))  # k edits leave a run of this length
+    best = SEEDS[0]
+    for q in SEEDS:
+        if q <= m and (q <= sure or (1 - SIMILAR**q) ** (k + 1) <= MISS):
+            best = q
+    return best
+
+
+def flatten(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, codes, first byte of each code, bounds of the texts in codes) of
+    the texts as normal() has them, but for a space at either end.  A character
+    has one code; others may share it."""
+    space = tn.PUNCTUATION[data]
+    keep = ~space
+    keep[1:] |= space[1:] & ~space[:-1]
+    flat = np.where(space, np.uint8(32), tn.LOWER[data])[keep]
+    lead = (flat & 0xC0) != 0x80
+    byte = np.flatnonzero(lead)
+    code = flat[byte].copy()
+    wide = np.flatnonzero(code >= 0xC0)
+    if len(wide):
+        mixed = code[wide].astype(np.int64)
+        for j in (1, 2, 3):
+            x = np.minimum(byte[wide] + j, len(flat) - 1)
+            mixed += np.where(j < np.append(byte, len(flat))[wide + 1] - byte[wide], flat[x].astype(np.int64) * (7 * j), 0)
+        code[wide] = 128 + mixed % 128
+    chars = np.concatenate([[0], np.cumsum(lead)])
+    return flat, code, byte, chars[np.concatenate([[0], np.cumsum(keep)])[at]]
+
+
+def _sums(code: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(code) + 1, tn.U64)
+    np.cumsum(tn._BYTE[code] * tn.powers(tn._BASE, len(code)), out=out[1:])
+    return out
+
+
+def _grams(sums: np.ndarray, q: int) -> np.ndarray:
+    """Hashes of all strings of q codes."""
+    n = len(sums) - q
+    return tn.mix((sums[q:] - sums[:n]) * tn.powers(tn._INVERSE, n)) if n > 0 else np.empty(0, tn.U64)
+
+
 @dataclass
-class Band:
-    size: int  # words of a window
-    step: int
-    known: np.ndarray  # word id -> whether an item of the band has it
-    bits: np.ndarray  # walk, step // 64, word id -> moves of 64 steps, one bit each
-    samples: np.ndarray  # walk -> sampled steps
-    partial: list[list[np.ndarray]]  # walk, sample -> sorted keys so far
-    finals: list[tuple[np.ndarray, np.ndarray]]  # walk -> keys, item windows (both by key)
-    item: np.ndarray  # item window -> item
-    offset: np.ndarray  # item window -> word of the item at which it starts
-
-
-def _walk(ids: np.ndarray, start: np.ndarray, size: int, bits: np.ndarray, samples: np.ndarray, partial: list[np.ndarray] | None):
-    """Keys of the windows at start; with partial, only of those whose keys so
-    far all occur there.  Returns (window, key), or all keys at each sample."""
-    alive = np.arange(len(start))
-    i = np.zeros(len(start), np.int64)
-    key = np.zeros(len(start), tn.U64)
-    kept, done = [], 0
-    for j in range(int(samples[-1]) + 1):
-        word = np.where(i < size, ids[np.minimum(start[alive] + i, len(ids) - 1)], bits.shape[-1] - 1)
-        if j == samples[done]:
-            key = tn.mix(key * tn.U64(0xD1342543DE82EF95) + word.astype(tn.U64) + tn.U64(1))
-            if partial is None:
-                kept.append(key)
-            else:
-                table = partial[done]
-                at = np.minimum(np.searchsorted(table, key), len(table) - 1)
-                good = table[at] == key
-                alive, i, key, word = alive[good], i[good], key[good], word[good]
-            done += 1
-        i += ((bits[j >> 6, word] >> tn.U64(j & 63)) & tn.U64(1)).astype(np.int64)
-    return kept if partial is None else (alive, key)
+class Seeds:
+    q: int
+    maybe: np.ndarray  # first bits of a hash -> whether a seed has them
+    lookup: tn.Lookup
+    start: np.ndarray  # seed -> its first posting
+    segment: np.ndarray  # posting -> segment
+    offset: np.ndarray  # posting -> character of the item
 
 
 class Index:
-    """The windows of a block of items."""
-
-    def __init__(self, items: Iterable[tuple[object, str]], seed: int = 11):
-        rng = np.random.default_rng(seed)
-        known = [(name, text, normal(text)) for name, text in items if text]
-        hashes = []
-        for _, _, flat in known:
-            data = np.frombuffer(flat.encode(), np.uint8)
-            hashes.append(tn.words(data, np.array([0, len(data)]), tn.PUNCTUATION)[0])
-        held = [(known[i][0], known[i][2], h) for i, h in enumerate(hashes) if len(h) >= LEAST_WORDS]
-        self.names = [x[0] for x in held]
-        self.texts = [x[1] for x in held]
-        self.length = np.array([len(x[2]) for x in held], int)
-        self.vocabulary = tn.Lookup(np.unique(np.concatenate([x[2] for x in held])) if held else np.empty(0, tn.U64))
-        n_ids = len(self.vocabulary.keys) + 1  # 0: no item's word; the last: after the window
-        self.bands: list[Band] = []
-        order = np.argsort(self.length, kind="stable")
-        first = 0
-        while first < len(order):
-            low = int(self.length[order[first]])
-            end = first + int(np.searchsorted(self.length[order[first:]], max(low + 1, int(low * BAND)), side="left"))
-            own, first = order[first:end], end
-            step = max(1, low // 4)
-            size = low - step + 1
-            ids = [self.vocabulary.rows(held[i][2]) for i in own]
-            flat = np.concatenate(ids)
-            base = np.concatenate([[0], np.cumsum([len(x) for x in ids])[:-1]])
-            start = (base[:, None] + np.arange(step)[None, :]).ravel()
-            steps = max(SAMPLES, int(1.8 * size))
-            bits = rng.integers(0, 2**64, (REPEATS, -(-steps // 64), n_ids), dtype=np.uint64)
-            samples = np.array([np.sort(rng.choice(steps, SAMPLES, replace=False)) for _ in range(REPEATS)])
-            partial, finals = [], []
-            for r in range(REPEATS):
-                keys = _walk(flat, start, size, bits[r], samples[r], None)
-                partial.append([np.unique(k) for k in keys])
-                by = np.argsort(keys[-1], kind="stable")
-                finals.append((keys[-1][by], by))
-            mark = np.zeros(n_ids, bool)
-            mark[flat] = True
-            self.bands.append(Band(size, step, mark, bits, samples, partial, finals, np.repeat(own, step), np.tile(np.arange(step), len(own))))
+    """The seeds and segments of a block of items."""
+
+    def __init__(self, items: Iterable[tuple[object, str]]):
+        self.names, self.texts = [], []
+        for name, text in items:
+            flat = normal(text) if text else ""
+            if len(flat.split()) >= LEAST_WORDS:
+                self.names.append(name)
+                self.texts.append(flat)
+        self.length = np.array([len(x) for x in self.texts], int)
+        found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        item, begin, size, equal = [], [], [], []
+        for i, text in enumerate(self.texts):
+            data = np.frombuffer(text.encode(), np.uint8)
+            code = flatten(data, np.array([0, len(data)]))[1]
+            m, first = len(code), len(item)
+            for b in [*range(0, m - SEGMENT, SEGMENT // 2), max(0, m - SEGMENT)]:
+                part = code[b : b + SEGMENT]
+                item.append(i)
+                begin.append(b)
+                size.append(len(part))
+                row = np.zeros(256, tn.U64)
+                np.bitwise_or.at(row, part, tn.U64(1) << np.arange(len(part), dtype=tn.U64))
+                equal.append(row)
+            middle = np.array(begin[first:]) + np.array(size[first:]) / 2
+            q = seed_length(m)
+            gram = _grams(_sums(code), q)
+            at = np.arange(len(gram))
+            near = np.abs(at[:, None] + q / 2 - middle[None, :]).argmin(1)
+            found.setdefault(q, []).append((gram, first + near, at))
+        self.item, self.begin, self.size = (np.array(x, np.int64) for x in (item, begin, size))
+        self.equal = np.concatenate(equal) if equal else np.empty(0, tn.U64)
+        most = ((1 - SIMILAR) * self.size + 1e-9).astype(np.int64)
+        self.most = np.where(self.size < SEGMENT, most, int(LOOSE * SEGMENT))
+        self.seeds = []
+        for q, own in sorted(found.items()):
+            gram, segment, offset = (np.concatenate(x) for x in zip(*own, strict=True))
+            order = np.argsort(gram, kind="stable")
+            keys, start = np.unique(gram[order], return_index=True)
+            maybe = np.zeros(1 << 20, bool)
+            maybe[keys >> tn.U64(44)] = True
+            self.seeds.append(Seeds(q, maybe, tn.Lookup(keys), np.append(start, len(gram)), segment[order], offset[order]))
+
+    def _near(self, code: np.ndarray, segment: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+        """Whether each segment is near the text on its diagonal."""
+        good = np.zeros(len(segment), bool)
+        one = tn.U64(1)
+        for lo in range(0, len(segment), 1 << 13):
+            seg, dia = segment[lo : lo + (1 << 13)], diagonal[lo : lo + (1 << 13)]
+            size = self.size[seg]
+            last = (size - 1).astype(tn.U64)
+            row, first = seg * 256, dia + self.begin[seg] - MOVED
+            plus, minus = np.full(len(seg), 2**64 - 1, tn.U64), np.zeros(len(seg), tn.U64)
+            score, best = size.copy(), size.copy()
+            for j in range(int(size.max()) + 2 * MOVED):
+                eq = self.equal[row + code[np.clip(first + j, 0, len(code) - 1)]]
+                across = (((eq & plus) + plus) ^ plus) | eq
+                up = minus | ~(across | plus)
+                less = plus & across
+                score += ((up >> last) & one).view(np.int64)
+                score -= ((less >> last) & one).view(np.int64)
+                np.minimum(best, score, out=best)
+                up <<= one
+                less <<= one
+                down = eq | minus
+                plus = less | ~(down | up)
+                minus = up & down
+            good[lo : lo + (1 << 13)] = best <= self.most[seg]
+        return good
+
+    def candidates(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, diagonal): where the text has a seed and what surrounds it."""
+        segments, diagonals = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        sums, shift = _sums(code), 1 << 20
+        for s in self.seeds:
+            gram = _grams(sums, s.q)
+            p = np.flatnonzero(s.maybe[gram >> tn.U64(44)])
+            row = s.lookup.rows(gram[p])
+            p, row = p[row > 0], row[row > 0] - 1
+            times = s.start[row + 1] - s.start[row]
+            posting = np.arange(times.sum()) + np.repeat(s.start[row] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) if len(p) else np.empty(0, np.int64)
+            # Hits of one segment on neighbouring diagonals are one candidate.
+            key = np.sort(s.segment[posting] << 40 | (np.repeat(p, times) - s.offset[posting] + shift))
+            key = key[np.append(True, key[1:] >> 2 != key[:-1] >> 2)] if len(key) else key
+            segments.append(key >> 40)
+            diagonals.append((key & ((1 << 40) - 1)) - shift)
+        segment, diagonal = np.concatenate(segments), np.concatenate(diagonals)
+        good = self._near(code, segment, diagonal)
+        return self.item[segment[good]], diagonal[good]
 
     def leaks(self, data: np.ndarray, at: np.ndarray) -> list[dict[int, tuple[int, int]]]:
         """For each text: item -> (distance, word at which the passage begins, about)."""
         n = len(at) - 1
         found: list[dict[int, tuple[int, int]]] = [{} for _ in range(n)]
-        word, text, begin, end = tn.words(data, at, tn.PUNCTUATION)
-        if not len(word) or not self.bands:
+        if not len(data) or not self.seeds:
+            return found
+        flat, code, byte, bounds = flatten(data, at)
+        if not len(code):
             return found
-        ids = self.vocabulary.rows(word).astype(np.int64)
-        bounds = np.searchsorted(text, np.arange(n + 1))
-        place = np.arange(len(ids)) - bounds[text]
-        lower = tn.LOWER[data]
-        tried: set[tuple[int, int]] = set()
-        for band in self.bands:
-            count = np.concatenate([[0], np.cumsum(band.known[ids])])
-            start = np.flatnonzero(place % band.step == 0)
-            start = start[start + band.size <= bounds[text[start] + 1]]
-            start = start[count[start + band.size] - count[start] >= (1 - EDITED) * band.size]
-            if not len(start):
-                continue
-            for r in range(REPEATS):
-                alive, key = _walk(ids, start, band.size, band.bits[r], band.samples[r], band.partial[r])
-                keys, windows = band.finals[r]
-                lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-                for p, a, b in zip(start[alive], lo, hi, strict=True):
-                    for w in windows[a:b]:
-                        item, head = int(band.item[w]), int(p) - int(band.offset[w])
-                        if (item, head) in tried:
-                            continue
-                        tried.add((item, head))
-                        t = int(text[p])
-                        # Other windows of the same passage give heads a few words off.
-                        if item in found[t] and found[t][item][0] == 0:
-                            continue
-                        size = int(self.length[item])
-                        slack = size // 4 + 1
-                        x, y = max(int(bounds[t]), head - slack), min(int(bounds[t + 1]), head + size + slack)
-                        spans = zip(begin[x:y].tolist(), end[x:y].tolist(), strict=True)
-                        around = b" ".join([lower[s:e].tobytes() for s, e in spans]).decode(errors="replace")
-                        most = int((1 - SIMILAR) * len(self.texts[item]) + 1e-9)
-                        d = distance_inside(self.texts[item], around)
-                        if d <= most and (item not in found[t] or d < found[t][item][0]):
-                            found[t][item] = (d, max(0, head - int(bounds[t])))
+        byte = np.append(byte, len(flat))
+        opens = code != 32
+        opens[1:] &= code[:-1] == 32
+        opens[bounds[:-1][bounds[:-1] < len(code)]] |= code[bounds[:-1][bounds[:-1] < len(code)]] != 32
+        words = np.concatenate([[0], np.cumsum(opens)])
+        item, diagonal = self.candidates(code)
+        tried: set[tuple[int, int, int]] = set()
+        for i, head in zip(item.tolist(), diagonal.tolist(), strict=True):
+            size = int(self.length[i])
+            most = int((1 - SIMILAR) * size + 1e-9)
+            # A window may reach into a neighbouring text; each is looked at by itself.
+            low, high = max(0, head - most - 1), min(len(code), head + size + most + 1)
+            for t in range(max(0, int(np.searchsorted(bounds, low, "right")) - 1), int(np.searchsorted(bounds, high, "left"))):
+                x, y = max(low, int(bounds[t])), min(high, int(bounds[t + 1]))
+                if y - x < size - most or (t, i, head // 4) in tried or found[t].get(i, (1,))[0] == 0:
+                    continue
+                tried.add((t, i, head // 4))
+                around = flat[byte[x] : byte[y]].tobytes().decode(errors="replace")
+                d = distance_inside(self.texts[i], around)
+                if d <= most and (i not in found[t] or d < found[t][i][0]):
+                    place = x + around.find(self.texts[i]) if d == 0 else min(max(head, int(bounds[t])), len(code) - 1)
+                    found[t][i] = (d, int(words[place] - words[bounds[t]]))
         return found
 
 

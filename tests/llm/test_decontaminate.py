@@ -80,3 +80,24 @@ def test_blocks_and_empty_tables(spark, monkeypatch):
     assert [r.leaks for r in dc.annotate(docs, table.limit(0)).collect()] == [[]] * 12
     assert dc.annotate(docs.limit(0), table).collect() == []
     assert dc.Index([]).leaks(np.frombuffer(b"a b", np.uint8), np.array([0, 3])) == [{}]
+
+
+def test_edited_characters():
+    # A typo in every third word, or characters edited anywhere up to the bound.
+    rng = random.Random(6)
+    parts = ["ka", "lo", "mi", "ru", "té", "shin", "br", "og", "ul", "vest", "na", "di"]
+    text = lambda n: " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    items = [(i, text(rng.randint(15, 59))) for i in range(60)]
+    texts = []
+    for i, x in items:
+        c, bounds = list(x), [0, *(k + 1 for k, ch in enumerate(x) if ch == " ")]
+        at = bounds[:: rng.choice([3, 4])] if i % 2 else rng.sample(range(len(c)), int(0.19 * len(c)))
+        for k in at:
+            c[k] = rng.choice("zéq")
+        texts.append(text(80) + " " + "".join(c) + " " + text(80))
+    raw = [t.encode() for t in texts]
+    found = dc.Index(items).leaks(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    near = [i for i, x in items if 1 - dc.distance_inside(x, texts[i]) / len(x) >= dc.SIMILAR]
+    assert len(near) == 60 and sum(i in found[i] for i in near) >= 58
+    for own, t in zip(found, texts, strict=True):
+        assert all(d == dc.distance_inside(items[i][1], t) for i, (d, _) in own.items())
