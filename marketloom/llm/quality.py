@@ -11,8 +11,10 @@ of about SHARD_ROWS rows.  Each shard is broadcast and scores the bytes that
 belong to it in one pass over the documents; the passes' code lengths add up.
 So a model of any size is used whole, with bounded memory.
 
-A document is kept when its perplexity per byte is at most the quantile that
-trusted documents of its language reach that were not trained on.
+A document is kept when its perplexity per byte is at most a limit that follows
+from trusted documents of its language that were not trained on: their quantile
+KEEP, but at most FENCE times the quartiles' distance above the upper quartile,
+so that no single odd document sets it.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ SHARD_ROWS = 6_000_000
 BROADCAST_IDS = 1_000_000
 #: Quantile of held-out trusted documents that is still kept.
 KEEP = 0.995
+#: Distances of the quartiles above the upper one at which a trusted document is odd.
+FENCE = 3.0
 
 
 def codes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -214,7 +218,7 @@ def classify(df: DataFrame, trusted: DataFrame, lang: str = "lang", keep: float
 
     trusted: doc_id of trusted documents.  The model learns from those outside
     the held-out fifth; limit is the quantile keep of the perplexity of those in
-    it, for the row's language (null is a language), or over all languages if
+    it, or their fence if that is lower, for the row's language (null is a language), or over all languages if
     it has none there.  Without any limit all rows with text are kept.  A row
     without text has no perplexity and is not kept.  A null doc_id is not
     trusted.
@@ -224,7 +228,8 @@ def classify(df: DataFrame, trusted: DataFrame, lang: str = "lang", keep: float
     model = train(_rows_of(rows, ids.where(~held_out())).select("text"))
     scored = stored(score(rows, model).drop("text"), "quality")
     known = scored.where("perplexity is not null").join(ids.where(held_out()), "doc_id", "left_semi")
-    quantile = F.percentile_approx("perplexity", F.lit(keep), F.lit(10_000)).alias("limit")
+    at = lambda q: F.percentile_approx("perplexity", F.lit(q), F.lit(10_000))
+    quantile = F.least(at(keep), at(0.75) + FENCE * (at(0.75) - at(0.25))).alias("limit")
     name = F.coalesce(F.col(lang).cast("string"), F.lit("\0"))
     limits = known.groupBy(name.alias("__lang")).agg(quantile)
     overall = known.agg(quantile.alias("__overall"))

@@ -1,5 +1,6 @@
 import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -93,3 +94,15 @@ def test_codes_of_texts():
     data = np.frombuffer(b"abcdefg", np.uint8)
     got = quality.codes(data, np.array([0, 0, 2, 7, 7]))
     assert [int(x).to_bytes(5, "big") for x in got] == [b"\0\0\0\0a", b"\0\0\0ab", b"\0\0\0\0c", b"\0\0\0cd", b"\0\0cde", b"\0cdef", b"cdefg"]
+
+
+def test_one_odd_trusted_document(spark):
+    # One odd document among few held-out trusted ones doesn't let its like pass.
+    rng = random.Random(7)
+    odd = lambda: "".join(rng.choice("0123456789#") for _ in range(200))
+    docs = [(i, words(rng, 40), "aa") for i in range(300)]
+    held = next(i for i in range(300, 400) if zlib.crc32(str(i).encode()) % 5 == 0)
+    docs += [(held, odd(), "aa")] + [(1000 + i, odd(), "aa") for i in range(30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.keep for r in quality.classify(df, df.where("doc_id < 1000")).collect()}
+    assert not any(got[1000 + i] for i in range(30)) and sum(got[i] for i in range(300)) >= 297
