@@ -1,6 +1,7 @@
 """Uniform sharding by a hypergeometric communication matrix.
 
-Rows are dealt into blocks by a hash.  The driver draws how many rows each
+Rows are dealt into blocks by a hash of their values and of their number among
+equal rows, so equal rows go different ways.  The driver draws how many rows each
 block sends to each shard: block by block, a multivariate hypergeometric draw
 from the capacities that are left.  Row and column sums are exact, so shard
 sizes are exact before any row moves.  Each block permutes its rows locally,
@@ -84,6 +85,19 @@ def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> in
     return mode
 
 
+def _numbered(df: DataFrame, value) -> DataFrame:
+    """df with __number: 0, 1, ... among rows of equal value.  Counts of the
+    partitions give each partition its first number, so a value that many rows
+    have is never in one task."""
+    keyed = df.withColumns({"__part": F.spark_partition_id(), "__value": value})
+    counts = keyed.groupBy("__part", "__value").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("__value").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("__part", "__value", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__part", "__value").orderBy(F.lit(0))) - 1
+    out = keyed.withColumn("__own", own).join(first, ["__part", "__value"])
+    return out.select(*[f"`{c}`" for c in df.columns], (F.col("__before") + F.col("__own")).alias("__number"))
+
+
 def shard(
     df: DataFrame,
     shards: int = 8,
@@ -103,10 +117,12 @@ def shard(
     df = df.drop("shard", "slot")
     names = [f"`{c}`" for c in (key_columns or df.columns)]
     # A row's own random numbers; nulls must move the hash too.
-    salt = lambda k: F.xxhash64(F.lit(seed * 31 + k), *names, *[F.col(c).isNull() for c in names])
-    n_rows = df.count()
+    salt = lambda k, *more: F.xxhash64(F.lit(seed * 31 + k), *names, *[F.col(c).isNull() for c in names], *more)
+    numbered = stored(_numbered(df, salt(4)), "shard-numbered")
+    n_rows = numbered.count()
     blocks = max(min_blocks, -(-n_rows // rows_per_block))
-    keyed = df.withColumns({"__block": F.pmod(salt(1), F.lit(blocks)).cast("int"), "__in": salt(2), "__out": salt(3)})
+    own = [salt(k, "__number") for k in (1, 2, 3)]
+    keyed = numbered.withColumns({"__block": F.pmod(own[0], F.lit(blocks)).cast("int"), "__in": own[1], "__out": own[2]}).drop("__number")
 
     counted = {r["__block"]: r["n"] for r in keyed.groupBy("__block").agg(F.count(F.lit(1)).alias("n")).collect()}
     matrix = communication_matrix([counted.get(b, 0) for b in range(blocks)], shards, seed)

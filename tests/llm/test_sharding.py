@@ -43,3 +43,16 @@ def test_few_rows_and_none(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
     assert sorted((r.shard, r.slot) for r in sharding.shard(df).collect()) == [(0, 0), (1, 0)]
     assert sharding.shard(df.limit(0)).collect() == []
+
+
+def test_equal_rows_part(spark):
+    twins = [(i, f"t{i}") for i in range(2000)] * 2
+    df = spark.createDataFrame(twins + [(-1, "hot")] * 1000, "doc_id long, text string").repartition(6)
+    out = sharding.shard(df, 8).collect()
+    at = {}
+    for r in out:
+        at.setdefault(r.doc_id, []).append((r.shard, r.slot))
+    met = [a for i, a in at.items() if i >= 0 and a[0][0] == a[1][0]]
+    assert 0.09 < len(met) / 2000 < 0.16  # 1 in 8
+    assert sum(abs(a[0][1] - a[1][1]) <= 2 for a in met) < 20
+    assert all(80 < n < 170 for n in Counter(s for s, _ in at[-1]).values())
