@@ -28,7 +28,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
-    "op6_quality_classifier": op6_quality_classifier,
     "op5_ngram_jaccard_join": oracles.OP5,
     "op7_chat_formatting": OP7_SQL,
     "op8_mixing_sources": oracles.OP8,
