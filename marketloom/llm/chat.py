@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketloom.llm.common import columns
+
 #: Marks around a turn.
 OPEN, AFTER_ROLE, CLOSE = "<|", "|>\n", "<|end|>\n"
 TURNS = "array<struct<role:string,text:string>>"
@@ -36,14 +38,14 @@ def conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", r
 
 
 def pair_by_id(convs: DataFrame) -> DataFrame:
-    """chosen_id, rejected_id, chosen, rejected: conversations 2i and 2i + 1.
+    """chosen_id, rejected_id, chosen, rejected: conversations 2i and 2i + 1 (whole numbers of 64 bits).
 
     The one with more assistant text (code points) is chosen, the one with the
     smaller id if both have as much.  A conversation without its partner has no
     pair.
     """
     said = F.aggregate("turns", F.lit(0).cast("long"), lambda n, t: n + F.when(t["role"] == "assistant", F.length(t["text"])).otherwise(0))
-    rows = convs.select(F.floor(F.col("conv_id") / 2).alias("pair"), F.struct(-said, F.col("conv_id"), F.col("turns")).alias("side"))
+    rows = convs.select(F.shiftright(F.col("conv_id").cast("long"), 1).alias("pair"), F.struct(-said, F.col("conv_id"), F.col("turns")).alias("side"))
     two = rows.groupBy("pair").agg(F.sort_array(F.collect_list("side")).alias("sides")).where(F.size("sides") == 2)
     side = lambda i, name: F.element_at("sides", i)[name]
     return two.select(
@@ -73,10 +75,12 @@ def preference_format(pairs: DataFrame) -> DataFrame:
     sides its completion and its mask.
 
     A null side has no turns.  If one side is a prefix of the other, its
-    completion is empty.  Input columns with these names are replaced.
+    completion is empty.  Turns may have any length, repeated pairs stay, and an
+    empty table gives an empty table.  Input columns with these names are
+    replaced; others may have any names.
     """
     made = ("prompt", "common_turns", "chosen_completion", "rejected_completion", "chosen_mask", "rejected_mask")
-    rows = pairs.drop(*made)
+    rows = pairs.select(*columns(pairs, made))
     for side in ("chosen", "rejected"):
         rows = rows.withColumn(side, F.coalesce(F.col(side).cast(TURNS), F.array().cast(TURNS)))
     # The first turn at which the sides differ, counted from 1; arrays_zip ends the shorter side with nulls.

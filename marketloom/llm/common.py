@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Used only where the session names no shared folder (tests, local runs).
+#: Used only by a local master that names no shared folder.
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints/marketloom"
 
 #: A word: a run of characters that are neither space nor U+0009-U+000D.
@@ -21,18 +25,104 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    return (root or LOCAL_CHECKPOINTS).rstrip("/")
+    if not root:
+        master = spark.conf.get("spark.master", "local")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = LOCAL_CHECKPOINTS
+    return root.rstrip("/")
+
+
+_scratch: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What stored() writes inside is removed at the end.  Results that read it
+    must have been written by then."""
+    path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    try:
+        yield
+    finally:
+        _scratch.remove(path)
+        remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the store that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and
     a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_scratch[-1] if _scratch else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it, whatever it has in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def columns(df: DataFrame, without: Iterable[str] = ()) -> list[Column]:
+    """The columns of df but those named; names have no case, as in Spark."""
+    left_out = {c.lower() for c in without}
+    return [df[quoted(c)] for c in df.columns if c.lower() not in left_out]
+
+
+def packed(df: DataFrame, without: Iterable[str] = ()) -> Column:
+    """The columns of df as one struct, so that no name can clash with those of
+    an operator; select("row.*") gives them back."""
+    return F.struct(*columns(df, without)).alias("row")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or with underscores until df has no such column."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def text_at(df: DataFrame, name: str = "text") -> int:
+    """Place of a column by its name, which has no case."""
+    return next(i for i, c in enumerate(df.columns) if c.lower() == name.lower())
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[list[pa.Array]]], schema: T.StructType) -> DataFrame:
+    """mapInArrow for tables with any column names; run gives the columns of schema."""
+    names = [f"c{i}" for i in range(len(schema))]
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for made in run(batches):
+            yield pa.RecordBatch.from_arrays(made, names=names)
+
+    plain = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, schema.fields, strict=True)])
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(named, plain).toDF(*schema.names)
+
+
+def identity(df: DataFrame, seed: int) -> Column:
+    """64 bits of the values of a row.  Nulls count; arrays and maps count as JSON."""
+    parts: list[Column] = []
+
+    def add(kind: T.DataType, col: Column) -> None:
+        parts.append(col.isNull())
+        if isinstance(kind, T.StructType):
+            for f in kind.fields:
+                add(f.dataType, col.getField(f.name))
+        else:
+            parts.append(F.to_json(F.struct(col.alias("v"))) if isinstance(kind, (T.ArrayType, T.MapType)) else col)
+
+    for field, col in zip(df.schema.fields, columns(df), strict=True):
+        add(field.dataType, col)
+    return F.xxhash64(F.lit(seed), *parts)
+
+
 def held_out(doc_id: str | object = "doc_id"):
     """True for the fifth of documents that is never learned from (a null id
     is learned from)."""

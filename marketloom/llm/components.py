@@ -11,16 +11,21 @@ from marketloom.llm.common import stored
 def components(edges: DataFrame) -> DataFrame:
     """(v, root) for every vertex of edges (a, b): the least vertex of its component.
 
-    Each round sends every vertex to the least of itself and its neighbours
-    and maps the edges along, so the vertices that are left at least halve.
-    The rounds are written tables; nothing is collected but their counts.
+    Each round sends every vertex to the one with the least random number among
+    itself and its neighbours, and maps the edges along.  Numbers are drawn anew
+    each round, so whatever the order of the ids, about half of the vertices of
+    a chain are left, and fewer of denser graphs.  The rounds are written
+    tables; nothing is collected but their counts.
     """
     edges = stored(edges.select("a", "b").where("a <> b").distinct(), "edges")
     both = edges.select(F.col("a").alias("v")).union(edges.select("b")).distinct()
     root = both.select("v", F.col("v").alias("root"))
+    turn = 0
     while not edges.isEmpty():
+        turn += 1
+        drawn = lambda c: F.struct(F.xxhash64(F.lit(turn), c), F.col(c).alias("v"))
         out = edges.union(edges.select("b", "a"))
-        to = stored(out.groupBy("a").agg(F.least("a", F.min("b")).alias("to")), "hooks")
+        to = stored(out.groupBy("a").agg(F.least(drawn("a"), F.min(drawn("b")))["v"].alias("to")), "hooks")
         root = root.join(to, F.col("root") == F.col("a"), "left").select("v", F.coalesce("to", "root").alias("root"))
         mapped = edges.join(to.select("a", F.col("to").alias("x")), "a").select("x", "b")
         mapped = mapped.join(to.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
@@ -28,5 +33,5 @@ def components(edges: DataFrame) -> DataFrame:
             mapped.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges"
         )
         root = stored(root, "roots")
-    # Contraction follows least neighbours, so a root is the least of its component.
-    return root
+    least = root.groupBy("root").agg(F.min("v").alias("least"))
+    return root.join(least, "root").select("v", F.col("least").alias("root"))

@@ -32,18 +32,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketloom.llm import textnp as tn
+from marketloom.llm.common import columns, map_batches, quoted, text_at
 
 SIMILAR = 0.8
 #: Probability that an item at SIMILAR, edited at random places, has no seed left.
 MISS = 0.005
 #: Lengths of seeds.
-SEEDS = (2, 3, 4, 5, 6, 7, 8, 9, 10, 12)
+SEEDS = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12)
 #: Characters of the part that is compared first (a machine word), share of them
 #: that may be edited, and how far the text's part may be moved.
 SEGMENT, LOOSE, MOVED = 64, 0.32, 12
 BLOCK_ITEMS = 2000
-#: Items with fewer words are no passages; they are not looked for.
-LEAST_WORDS = 5
+
 
 def normal(text: str) -> str:
     """The words of a text without case (A-Z) and ASCII punctuation, joined by spaces."""
@@ -142,7 +142,7 @@ class Index:
         self.names, self.texts = [], []
         for name, text in items:
             flat = normal(text) if text else ""
-            if len(flat.split()) >= LEAST_WORDS:
+            if flat:
                 self.names.append(name)
                 self.texts.append(flat)
         self.length = np.array([len(x) for x in self.texts], int)
@@ -263,30 +263,32 @@ class Index:
 LEAK = "item_id", "edits", "similarity", "at_word"
 
 
-def annotate(df: DataFrame, items: DataFrame, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def annotate(df: DataFrame, items: DataFrame, item_id: str = "item_id", item_text: str = "text", name: str = "leaks") -> DataFrame:
     """df with leaks: array of (item_id, edits, similarity, at_word), by item_id.
 
-    A null or empty text has no leaks; null or too short items (LEAST_WORDS) are
-    not looked for; equal items are found each.  An input column named leaks is
-    replaced.
+    Whole texts of any length are read.  A null or empty text has no leaks; null
+    items and those without a letter or digit are not looked for; equal items
+    are found each; repeated rows have equal leaks.  Of places where an item
+    fits equally well, one is reported.  An empty table gives an empty table,
+    and no items give empty arrays.  An input column with the result's name is
+    replaced; others may have any names.
     """
-    kept = [c for c in df.columns if c != "leaks"]
+    df = df.select(*columns(df, (name,)))
+    at_text = text_at(df)
     items = items.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text")).where("text is not null")
     blocks = max(1, -(-items.count() // BLOCK_ITEMS))
     leak = T.StructType().add("item_id", "string").add("edits", "integer").add("similarity", "double").add("at_word", "long")
-    out = df.select(*[f"`{c}`" for c in kept], F.col("text").cast("string").alias("__text"))
-    schema = T.StructType([*out.schema.fields, T.StructField("__new", T.ArrayType(leak))])
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(leak))])
     arrow = pa.list_(pa.struct([("item_id", pa.string()), ("edits", pa.int32()), ("similarity", pa.float64()), ("at_word", pa.int64())]))
-    total = None
+    out = df
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block)
         index = Index(sorted(((r["id"], r["text"]) for r in own.collect()), key=lambda x: (x[0] or "", x[1])))
         shared = df.sparkSession.sparkContext.broadcast(index)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, more=block > 0) -> Iterator[list[pa.Array]]:
             index = shared.value
             for batch in batches:
-                at_text = batch.schema.get_field_index("__text")
                 rows = []
                 for _, _, data, at in tn.pieces(batch.column(at_text)):
                     for own in index.leaks(data, at):
@@ -294,13 +296,13 @@ def annotate(df: DataFrame, items: DataFrame, item_id: str = "item_id", item_tex
                             {"item_id": index.names[i], "edits": d, "similarity": 1 - d / len(index.texts[i]), "at_word": w}
                             for i, (d, w) in sorted(own.items())
                         ])
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, arrow)], names=[*batch.schema.names, "__new"])
+                columns = batch.columns
+                if more:  # what earlier blocks of items found comes last
+                    rows = [a + b for a, b in zip(columns.pop().to_pylist(), rows, strict=True)]
+                yield [*columns, pa.array(rows, arrow)]
 
-        here = T.StructType([*out.schema.fields, schema.fields[-1]])
-        out = out.mapInArrow(run, here)
-        out = out.withColumn("__leaks", F.concat("__leaks", "__new") if total else F.col("__new")).drop("__new")
-        total = True
-    return out.select(*[f"`{c}`" for c in kept], F.array_sort("__leaks").alias("leaks"))
+        out = map_batches(out, run, schema)
+    return out.withColumn(name, F.array_sort(quoted(name)))
 
 
 def op2_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -14,7 +14,8 @@ with the order-3 code lengths of every four-byte string seen in training.
 Their sum is exactly the code length above.
 
 The trees are fit on a bounded sample of whole documents: about SAMPLE_DOCS
-per language, and fewer if there are more than 20 languages.
+per language, fewer if there are more than 20 languages or if documents are so
+long that they go beyond SAMPLE_BYTES.
 """
 
 from __future__ import annotations
@@ -24,17 +25,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketloom.llm import textnp as tn
-from marketloom.llm.common import held_out
+from marketloom.llm.common import columns, fresh, held_out, map_batches
 
 #: Documents per language in the training sample, about, and in all.
 SAMPLE_DOCS, SAMPLE_ALL = 300, 6000
-#: Longer documents are left out of the sample (they are scored like any other).
-SAMPLE_CHARS = 40_000
+#: Bytes of their texts: a language's documents are taken whole, in order of a
+#: hash, until they have its part of so many (so one document more at most).
+SAMPLE_BYTES = 40_000_000
 #: Bits per byte are multiplied by this before they become probabilities.
 SHARPNESS = 20.0
 UNDETERMINED = "und"
@@ -142,34 +144,45 @@ def fit(rows: Iterable[tuple[str, str]]) -> LanguageModel | None:
 
 
 def fit_table(docs: DataFrame) -> LanguageModel | None:
-    """Fit on a bounded sample outside the held-out fifth, chosen by text hash."""
-    known = docs.where("lang is not null").where(~held_out()).where(F.length("text").between(1, SAMPLE_CHARS))
+    """Fit on a bounded sample outside the held-out fifth, chosen by text hash.
+    Null and empty texts say nothing; equal texts of a language count once."""
+    known = docs.where("lang is not null").where(~held_out()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("text <> ''")
     count = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not count:
         return None
     each = min(SAMPLE_DOCS, max(1, SAMPLE_ALL // len(count)))
     shares = F.create_map(*[F.lit(x) for lang, n in sorted(count.items()) for x in (lang, min(1.0, each / n))])
-    some = known.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.element_at(shares, F.col("lang")) * (1 << 20))
-    return fit(sorted((r["lang"], r["text"]) for r in some.select("lang", "text").distinct().collect()))
+    hashed = known.withColumn("hash", F.xxhash64("text"))
+    drawn = hashed.where(F.pmod("hash", F.lit(1 << 20)) < F.element_at(shares, F.col("lang")) * (1 << 20))
+    sizes = drawn.groupBy("lang", "hash").agg(F.max(F.octet_length("text")).cast("long").alias("size"))
+    before = Window.partitionBy("lang").orderBy("hash").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    keys = sizes.where(F.col("before") < SAMPLE_BYTES // len(count)).select("lang", "hash")
+    some = hashed.join(F.broadcast(keys), ["lang", "hash"]).select("lang", "text").distinct()
+    return fit(sorted((r["lang"], r["text"]) for r in some.collect()))
 
 
 def identify(df: DataFrame, model: LanguageModel | None) -> DataFrame:
     """df with lang_pred, lang_score (0 to 1) and lang_bits (code length per byte).
 
     A null text, one without a letter, or any text without a model is "und"
-    with score 0 and null bits.  Ties go to the first language by code point.
-    Input columns with these names are replaced.
+    with score 0 and null bits.  Whole texts of any length are scored.  Ties go
+    to the first language by code point; repeated rows get equal answers; an
+    empty table gives an empty table.  Input columns with these three names are
+    replaced; others may have any names.
     """
-    kept = [c for c in df.columns if c not in ("lang_pred", "lang_score", "lang_bits")]
+    made = ("lang_pred", "lang_score", "lang_bits")
+    df = df.select(*columns(df, made))
+    kept = len(df.columns)
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    df = df.select(*[f"`{c}`" for c in kept], F.when(letters, F.col("text").cast("string")).alias("__text"))
-    schema = T.StructType([*df.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_bits", T.DoubleType())])
+    schema = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_bits", T.DoubleType())])
+    df = df.select(*columns(df), F.when(letters, F.col("text").cast("string")).alias(fresh(df, "read")))
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         model = shared.value
         for batch in batches:
-            text = batch.column(batch.num_columns - 1)
+            text = batch.column(kept)
             none = np.asarray(text.is_null()) if model is not None else np.ones(len(text), bool)
             best, score, bits = np.zeros(len(text), int), np.zeros(len(text)), np.zeros(len(text))
             if model is not None:
@@ -182,13 +195,10 @@ def identify(df: DataFrame, model: LanguageModel | None) -> DataFrame:
             names = np.array([*(model.languages if model is not None else []), UNDETERMINED], dtype=object)
             best[none] = len(names) - 1
             score[none] = 0.0
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(names[best], pa.string()), pa.array(score), pa.array(bits, mask=none)],
-                names=[*kept, "lang_pred", "lang_score", "lang_bits"],
-            )
+            new = [pa.array(names[best], pa.string()), pa.array(score), pa.array(bits, mask=none)]
+            yield [*batch.columns[:kept], *new]
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,9 @@ Selection: floor(target / size) complete epochs of every document, then a
 fraction of one more epoch in order of the exponential key -ln(u) / quality,
 up to the rest of the target.  Key ranges are summed first; only the one range
 per source in which the target falls is ordered row by row, so a source that
-holds most rows is never gathered in one task.
+holds most rows is never gathered in one task.  Ranges are equal parts of the
+key's logarithm, where a quality only shifts the keys: whatever the qualities,
+a range holds about a 4000th of a source at most.
 """
 
 from __future__ import annotations
@@ -17,10 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import n_words, stored
+from marketloom.llm.common import identity, n_words, packed, quoted, stored
 
-#: Key ranges per source.
-RANGES = 4096
+#: Key ranges in a doubling of the key.
+RANGES = 1024
 
 
 def quality_weight(text: Column) -> Column:
@@ -77,54 +79,47 @@ def mix(
 ) -> DataFrame:
     """df with size, source_size, target and copies (times the mix takes the row).
 
-    size: words of text by default; a null text has 0.  quality: weight of the
-    row in the fractional epoch, by default quality_weight(text).  key: columns
-    that give a row its random number; rows equal in them are ordered by text
-    hash, and are interchangeable if that is equal too.  Input columns with the
-    names of the output are replaced.  Null source is a source.  An empty table
-    gives an empty table.  The total taken from a source differs from its
-    target by at most half of the row at which the target falls.
+    size: words of the whole text by default; a null text has 0.  quality:
+    weight of the row in the fractional epoch, by default quality_weight(text).
+    key: columns that give a row its random number; rows equal in them are
+    ordered by a hash of all values, and are interchangeable if that is equal
+    too.  Input columns with the names of the output are replaced; others may
+    have any names.  Null source is a source; a source of empty texts has target
+    0.  An empty table gives an empty table.  The total taken from a source
+    differs from its target by at most half of the row at which the target
+    falls, and copies is at most max_epochs.
     """
     size = n_words(F.col("text")) if size is None else size
     quality = quality_weight(F.col("text")) if quality is None else quality
-    kept = [c for c in df.columns if c not in ("size", "source_size", "target", "copies")]
-    u = uniform(F.lit(seed), *[F.col(c) for c in key])
-    rows = df.select("*", size.cast("long").alias("__size"), quality.alias("__quality"))
-    rows = rows.withColumn("__key", -F.log(u) / F.col("__quality"))
-    rows = rows.withColumns(
-        {
-            "__src": F.col(source),
-            "__null": F.col(source).isNull(),
-            "__named": F.coalesce(F.col(source).cast("string"), F.lit("")),
-            "__range": F.least(F.floor((1 - F.exp(-F.col("__key"))) * RANGES), F.lit(RANGES - 1)).cast("int"),
-            "__tie": F.xxhash64(*[F.col(c) for c in kept]),
-        }
-    )
-    names = ["__null", "__named"]
-    sums = stored(
-        rows.groupBy(*names, "__range").agg(F.sum("__size").alias("__sum"), F.first("__src").alias("source")), "mix-ranges"
+    of = F.col(quoted(source))
+    u = uniform(F.lit(seed), *[F.col(quoted(c)) for c in key])
+    rows = df.select(
+        packed(df, ("size", "source_size", "target", "copies")), size.cast("long").alias("size"), (-F.log(u) / quality).alias("key"), of.alias("source"),
+        of.isNull().alias("unnamed"), F.coalesce(of.cast("string"), F.lit("")).alias("name"), identity(df, 8).alias("tie"),
     )
+    rows = rows.withColumn("range", F.floor(F.log2("key") * RANGES).cast("int"))
+    names = ["unnamed", "name"]
+    sums = stored(rows.groupBy(*names, "range").agg(F.sum("size").alias("sum"), F.first("source").alias("source")), "mix-ranges")
     targets = source_targets(
-        sums.groupBy(*names).agg(F.sum("__sum").alias("source_size"), F.first("source").alias("source")).select("source", "source_size"),
+        sums.groupBy(*names).agg(F.sum("sum").alias("source_size"), F.first("source").alias("source")).select("source", "source_size"),
         budget_share, list(cycle), max_epochs,
-    ).select(F.col("source").isNull().alias("__null"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("__named"), "source_size", "target")
-    upto = Window.partitionBy(*names).orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)
-    bounds = sums.withColumn("__end", F.sum("__sum").over(upto)).join(targets, names)
+    ).select(F.col("source").isNull().alias("unnamed"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("name"), "source_size", "target")
+    upto = Window.partitionBy(*names).orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
+    bounds = sums.drop("source").withColumn("end", F.sum("sum").over(upto)).join(targets, names)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    bounds = bounds.withColumn("__epochs", epochs.cast("int"))
-    bounds = bounds.withColumn("__rest", F.col("target") - F.col("__epochs") * F.col("source_size"))
-    start = F.col("__end") - F.col("__sum")
-    cut = (F.col("__end") > F.col("__rest")) & (start < F.col("__rest"))
+    bounds = bounds.withColumn("epochs", epochs.cast("int")).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
+    start = F.col("end") - F.col("sum")
+    cut = (F.col("end") > F.col("rest")) & (start < F.col("rest"))
     bounds = bounds.select(
-        *names, "__range", "source_size", "target", "__epochs", F.when(cut, F.col("__rest") - start).alias("__cut"),
-        (F.col("__end") <= F.col("__rest")).alias("__whole"),
+        *names, "range", "source_size", "target", "epochs", F.when(cut, F.col("rest") - start).alias("cut"),
+        ((F.col("rest") > 0) & (F.col("end") <= F.col("rest"))).alias("whole"),
     )
-    placed = rows.drop("size", "source_size", "target", "copies", "__src").join(bounds, [*names, "__range"])
-    out = lambda d, more: d.select(*[f"`{c}`" for c in kept], F.col("__size").alias("size"), "source_size", "target", (F.col("__epochs") + more).cast("int").alias("copies"))
-    ordered = Window.partitionBy(*names).orderBy("__key", "__tie").rowsBetween(Window.unboundedPreceding, 0)
-    middle = F.sum("__size").over(ordered) - F.col("__size") / 2
-    inside = placed.where(F.col("__cut").isNotNull()).withColumn("__in", (middle <= F.col("__cut")).cast("int"))
-    return out(placed.where(F.col("__cut").isNull()), F.col("__whole").cast("int")).unionByName(out(inside, F.col("__in")))
+    placed = rows.drop("source").join(bounds, [*names, "range"])
+    out = lambda d, more: d.select("row.*", "size", "source_size", "target", (F.col("epochs") + more).cast("int").alias("copies"))
+    ordered = Window.partitionBy(*names).orderBy("key", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    middle = F.sum("size").over(ordered) - F.col("size") / 2
+    inside = placed.where(F.col("cut").isNotNull()).withColumn("in", (middle <= F.col("cut")).cast("int"))
+    return out(placed.where(F.col("cut").isNull()), F.col("whole").cast("int")).unionByName(out(inside, F.col("in")))
 
 
 def op8_mixing_sources(spark, sf_dir: str) -> DataFrame:

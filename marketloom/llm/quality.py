@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketloom.llm import textnp as tn
-from marketloom.llm.common import held_out, stored
+from marketloom.llm.common import columns, held_out, map_batches, packed, quoted, stored, text_at
 
 ORDER = 5
 #: Rows of all tables together that one broadcast holds, about.
@@ -188,24 +188,25 @@ def _shards(model: KneserNey) -> list[list[int]]:
 
 def score(df: DataFrame, model: KneserNey) -> DataFrame:
     """df with perplexity (per byte; null without text).  An input column of that name is replaced."""
-    kept = [c for c in df.columns if c != "perplexity"]
-    out = df.select(*[f"`{c}`" for c in kept], F.col("text").cast("string").alias("__text"), F.lit(0.0).alias("__bits"))
+    df = df.select(*columns(df, ("perplexity",)))
+    kept, at_text = len(df.columns), text_at(df)
+    out = df.select(*columns(df), F.lit(0.0).alias("perplexity"))
     for after in _shards(model):
         rows = model.grams.where(F.col("v").isin(after)).select("order", "g", "bits", "leave")
         shared = df.sparkSession.sparkContext.broadcast(Shard(rows.toArrow(), after, model.base))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[list[pa.Array]]:
             shard = shared.value
             for batch in batches:
-                n = batch.num_columns
-                bits = batch.column(n - 1).to_numpy().copy()
-                for first, end, data, at in tn.pieces(batch.column(n - 2)):
+                bits = batch.column(kept).to_numpy().copy()
+                for first, end, data, at in tn.pieces(batch.column(at_text)):
                     bits[first:end] += shard.bits(data, at)
-                yield pa.RecordBatch.from_arrays([*batch.columns[: n - 1], pa.array(bits)], names=batch.schema.names)
+                yield [*batch.columns[:kept], pa.array(bits)]
 
-        out = out.mapInArrow(run, T.StructType(out.schema.fields))
-    ppl = F.when(F.length("__text") > 0, F.pow(F.lit(2.0), F.col("__bits") / F.octet_length("__text")))
-    return out.select(*[f"`{c}`" for c in kept], ppl.alias("perplexity"))
+        out = map_batches(out, run, out.schema)
+    text = F.col("text").cast("string")
+    ppl = F.when(F.length(text) > 0, F.pow(F.lit(2.0), F.col("perplexity") / F.octet_length(text)))
+    return out.withColumn("perplexity", ppl)
 
 
 def _rows_of(df: DataFrame, ids: DataFrame) -> DataFrame:
@@ -218,25 +219,29 @@ def classify(df: DataFrame, trusted: DataFrame, lang: str = "lang", keep: float
 
     trusted: doc_id of trusted documents.  The model learns from those outside
     the held-out fifth; limit is the quantile keep of the perplexity of those in
-    it, or their fence if that is lower, for the row's language (null is a language), or over all languages if
-    it has none there.  Without any limit all rows with text are kept.  A row
-    without text has no perplexity and is not kept.  A null doc_id is not
-    trusted.
+    it, or their fence if that is lower, for the row's language (null is a
+    language), or over all languages if it has none there.  Without any limit
+    all rows with text are kept.  A row without text has no perplexity and is
+    not kept; one at the limit is kept.  A null doc_id is not trusted.  Whole
+    texts of any length are scored, repeated rows alike; an empty table gives an
+    empty table.  Input columns with these three names are replaced; others may
+    have any names.
     """
-    rows = df.drop("perplexity", "limit", "keep")
+    rows = df.select(*columns(df, ("perplexity", "limit", "keep")))
     ids = trusted.select("doc_id").where("doc_id is not null").distinct()
     model = train(_rows_of(rows, ids.where(~held_out())).select("text"))
     scored = stored(score(rows, model).drop("text"), "quality")
-    known = scored.where("perplexity is not null").join(ids.where(held_out()), "doc_id", "left_semi")
-    at = lambda q: F.percentile_approx("perplexity", F.lit(q), F.lit(10_000))
-    quantile = F.least(at(keep), at(0.75) + FENCE * (at(0.75) - at(0.25))).alias("limit")
-    name = F.coalesce(F.col(lang).cast("string"), F.lit("\0"))
-    limits = known.groupBy(name.alias("__lang")).agg(quantile)
-    overall = known.agg(quantile.alias("__overall"))
-    out = scored.withColumn("__lang", name).join(F.broadcast(overall)).join(limits, "__lang", "left")
-    limit = F.coalesce("limit", "__overall")
-    kept = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= limit, F.lit(True))
-    return out.select(*[f"`{c}`" for c in rows.columns if c != "text"], "perplexity", limit.alias("limit"), kept.alias("keep"))
+    language = lambda d: F.coalesce(d[quoted(lang)].cast("string"), F.lit("\0")).alias("language")
+    known = _rows_of(scored, ids.where(held_out())).where("perplexity is not null")
+    known = known.select(language(known), F.col("perplexity").alias("p"))
+    at = lambda q: F.percentile_approx("p", F.lit(q), F.lit(10_000))
+    quantile = F.least(at(keep), at(0.75) + FENCE * (at(0.75) - at(0.25)))
+    overall = known.agg(quantile.alias("overall"))
+    limits = known.groupBy("language").agg(quantile.alias("own"))
+    whole = scored.select(packed(scored, ("perplexity",)), "perplexity", language(scored))
+    out = whole.join(F.broadcast(overall)).join(limits, "language", "left").withColumn("limit", F.coalesce("own", "overall"))
+    kept = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("limit"), F.lit(True))
+    return out.select("row.*", "perplexity", "limit", kept.alias("keep"))
 
 
 def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:

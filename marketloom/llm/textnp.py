@@ -54,7 +54,7 @@ def powers(base: int, n: int) -> np.ndarray:
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets): text i is bytes[offsets[i]:offsets[i + 1]]; null texts are empty."""
     if pa.types.is_large_string(column.type):
-        width = np.int64
+        width = np.int64  # also longer than 2 GB together
     else:
         column, width = column.cast(pa.string()), np.int32
     if column.null_count:

@@ -8,7 +8,7 @@ through a logistic curve.
 
 Terms are word beginnings that toxic labelled documents use more often than
 clean ones for certain; weights are the logarithms of that ratio of rates.  The model is fit
-on a bounded sample of labelled rows (SAMPLE_TOXIC, SAMPLE_CLEAN); every
+on a bounded sample of labelled rows (SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES); every
 document is scored over its whole text.
 """
 
@@ -22,17 +22,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketloom.llm.common import held_out
+from marketloom.llm.common import columns, held_out, map_batches, text_at
 
 #: Labelled documents that a fit reads, about: bounds of the driver's sample.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 3000
-#: Characters of a labelled document that the fit holds at most in its sample's
-#: text budget; longer documents are left out of the sample (not cut).
-SAMPLE_CHARS = 40_000
+#: Bytes of their texts, for each label: documents are taken whole, in order of a
+#: hash, until they have so many (so one document more at most).
+SAMPLE_BYTES = 16_000_000
 #: Rows of a batch that Python strings are made of at a time.
 ROWS = 512
 #: Terms are this long.
@@ -198,42 +198,47 @@ def fit_tables(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     """Fit on a bounded sample of labelled rows outside the held-out fifth.
 
     A document with several labels is toxic if one says so.  The sample is a
-    fixed share of each label, by a hash of doc_id.
+    fixed share of each label, by a hash of doc_id, as far as SAMPLE_BYTES
+    reaches.  Texts of any length may be in it; null and empty ones say nothing.
     """
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     count = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.when(F.col("toxic") == 1, min(1.0, SAMPLE_TOXIC / max(1, count.get(1, 0)))).otherwise(min(1.0, SAMPLE_CLEAN / max(1, count.get(0, 0))))
-    ids = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    texts = docs.select("doc_id", "text").where(F.length("text").between(1, SAMPLE_CHARS))
+    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text <> ''")
+    sizes = texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "toxic").agg(F.max(F.octet_length("text")).cast("long").alias("size"))
+    before = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    ids = sizes.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).where(F.col("before") < SAMPLE_BYTES).select("doc_id", "toxic")
     rows = texts.join(F.broadcast(ids), "doc_id").select("text", "toxic").distinct().collect()
     return fit(sorted((r["text"], r["toxic"]) for r in rows))
 
 
-def score(df: DataFrame, model: ToxicModel) -> DataFrame:
+def score(df: DataFrame, model: ToxicModel, names: tuple[str, str] = ("toxicity", "toxic_terms")) -> DataFrame:
     """df with toxicity (0 to 1) and toxic_terms (array of start, end, term; code points).
 
-    A null or empty text is scored like one without a match.  Input columns
-    with these names are replaced.
+    Whole texts of any length are scored; a null or empty one is scored like one
+    without a match.  Repeated rows get equal scores; an empty table gives an
+    empty table.  Input columns with the names of these two are replaced; others
+    may have any names.
     """
-    kept = [c for c in df.columns if c not in ("toxicity", "toxic_terms")]
-    df = df.select(*[f"`{c}`" for c in kept], F.col("text").cast("string").alias("__text"))
+    df = df.select(*columns(df, names))
+    at = text_at(df)
     term = T.StructType().add("start", "integer").add("end", "integer").add("term", "string")
-    schema = T.StructType([*df.schema.fields[:-1], T.StructField("toxicity", T.DoubleType()), T.StructField("toxic_terms", T.ArrayType(term))])
+    schema = T.StructType([*df.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.ArrayType(term))])
     terms = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("term", pa.string())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         m = model.matcher()
         for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             values, found = [], []
-            for text in batch.column(batch.num_columns - 1):
+            for text in batch.column(at).cast(pa.string()):
                 x, got = m.feature(text.as_py() or "")
                 values.append(m.score(x))
                 found.append([{"start": s, "end": e, "term": t} for s, e, t in got])
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(values, pa.float64()), pa.array(found, terms)], names=[*kept, "toxicity", "toxic_terms"])
+            yield [*batch.columns, pa.array(values, pa.float64()), pa.array(found, terms)]
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:

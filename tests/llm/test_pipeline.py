@@ -3,6 +3,7 @@ from collections import Counter
 
 import corpus_pipeline
 from marketloom.llm import decontaminate, jaccard, mixing, toxicity
+from marketloom.llm.common import stored
 from tests.llm.test_jaccard import shingle_set
 from tests.llm.test_mixing import targets
 
@@ -25,13 +26,13 @@ def test_stages_against_plain_code(spark, tmp_path):
     docs += [(900, None, None, None, None), (901, "", "en", "s1", 0)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    spark.createDataFrame([(0, item), (1, "too short")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(0, item), (1, "qq zz xx")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
 
     now = spark.read.parquet(f"{tmp_path}/documents.parquet")
     kept = {}
     for name, stage in corpus_pipeline.STAGES:
         before = now.collect()
-        now = corpus_pipeline.stored(stage(spark, now, str(tmp_path)), name)
+        now = stored(stage(spark, now, str(tmp_path)), name)
         kept[name] = (before, now.collect())
         if name != "sharding":
             assert now.columns == ["doc_id", "text", "lang", "source", "n_chars"]
