@@ -18,10 +18,13 @@ the allow-list are dropped, and so are spans inside a span found by pattern.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketloom.llm.common import packed, quoted
+
 KINDS = ("assign", "access", "hex", "entropy")
 
 #: kind -> (pattern, group whose length counts, least length).  Runs that the
@@ -90,33 +93,33 @@ def _matches(text: str, pattern: str, group: int, least: int, rank: int) -> Colu
 
 def _entropy_spans(found: str, k: EntropyClass, allow: tuple[str, ...], rank: int) -> Column:
     """Of candidate spans, the parts with windows of high entropy."""
-    piece = "lower(x.piece)" if k.fold else "x.piece"
     keep = " and ".join([f"x.piece rlike {_quoted(n)}" for n in k.needs] + [f"not x.piece rlike {_quoted(a)}" for a in allow])
-    c_log_c = lambda c: f"(case when {c} > 1 then {c} * log2({c}) else 0d end)"
-    # counts: one entry for each character of the alphabet; total: sum of c * log2(c).
-    # The entering character is counted first, then the leaving one goes.
-    grow = f"""aggregate(sequence(1, length(x.piece)),
-        named_struct('counts', array_repeat(0, {len(k.alphabet)}), 'total', 0d, 'first', cast(null as int), 'last', cast(null as int), 'best', 0d),
-        (a, i) -> aggregate(array(named_struct(
-              'new', locate(substring({piece}, i, 1), {_quoted(k.alphabet)}),
-              'old', case when i > {k.width} then locate(substring({piece}, i - {k.width}, 1), {_quoted(k.alphabet)}) end)),
+    c_log_c = "array(" + ",".join(["0d", *(f"{c * log2(c)!r}d" for c in range(1, k.width + 2))]) + ")"  # of counts 0, 1, 2, ...
+    # A run is made an array of places in the alphabet once, so a step costs the
+    # same wherever it is.  counts: one entry for each character of the alphabet;
+    # total: sum of c * log2(c).  The entering character is counted first, then
+    # the leaving one goes.
+    piece = "lower(x.piece)" if k.fold else "x.piece"
+    places = f"transform(split({piece}, ''), c -> locate(c, {_quoted(k.alphabet)}))"
+    grow = f"""aggregate(sequence(1, size(at)),
+        named_struct('counts', array_repeat(0, {len(k.alphabet)}), 'total', 0d, 'first', cast(null as int), 'last', cast(null as int), 'least', {k.width * (log2(k.width) + 1)}d),
+        (a, i) -> aggregate(array(named_struct('new', at[i - 1], 'old', case when i > {k.width} then at[i - {k.width} - 1] end)),
             a,
-            (b, m) -> aggregate(array(b.total
-                  + case when m.old <=> m.new then 0d else
-                      {c_log_c('(element_at(b.counts, m.new) + 1)')} - {c_log_c('element_at(b.counts, m.new)')}
-                    + case when m.old is null then 0d else {c_log_c('(element_at(b.counts, m.old) - 1)')} - {c_log_c('element_at(b.counts, m.old)')} end end),
+            (b, m) -> aggregate(array(case when m.old <=> m.new then b.total else b.total
+                  + {c_log_c}[b.counts[m.new - 1] + 1] - {c_log_c}[b.counts[m.new - 1]]
+                  + case when m.old is null then 0d else {c_log_c}[b.counts[m.old - 1] - 1] - {c_log_c}[b.counts[m.old - 1]] end end),
                 b,
                 (c, t) -> named_struct(
                   'counts', case when m.old <=> m.new then c.counts else
                      transform(c.counts, (n, j) -> n + int(j + 1 = m.new) - int(j + 1 <=> m.old)) end,
                   'total', t,
-                  'first', case when i >= {k.width} and log2({k.width}) - t / {k.width} >= {k.bits} then coalesce(c.first, i - {k.width}) else c.first end,
-                  'last', case when i >= {k.width} and log2({k.width}) - t / {k.width} >= {k.bits} then i else c.last end,
-                  'best', case when i >= {k.width} then greatest(c.best, log2({k.width}) - t / {k.width}) else c.best end))))"""
+                  'first', case when i >= {k.width} and t <= {k.width * (log2(k.width) - k.bits)}d then coalesce(c.first, i - {k.width}) else c.first end,
+                  'last', case when i >= {k.width} and t <= {k.width * (log2(k.width) - k.bits)}d then i else c.last end,
+                  'least', case when i >= {k.width} then least(c.least, t) else c.least end))))"""
     return F.expr(
-        f"""filter(transform(filter({found}, x -> {keep}), x -> aggregate(array({grow}),
+        f"""filter(transform(filter({found}, x -> {keep}), x -> aggregate(transform(array({places}), at -> {grow}),
               named_struct('start', 0, 'rank', {rank}, 'end', 0, 'bits', 0d, 'piece', ''),
-              (z, g) -> named_struct('start', x.start + g.first, 'rank', {rank}, 'end', x.start + g.last, 'bits', g.best,
+              (z, g) -> named_struct('start', x.start + g.first, 'rank', {rank}, 'end', x.start + g.last, 'bits', log2({k.width}) - g.least / {k.width},
                                      'piece', substring(x.piece, g.first + 1, g.last - g.first)))), s -> s.start is not null)"""
     )
 
@@ -125,27 +128,24 @@ def scan(df: DataFrame, text: str = "text", classes: tuple[EntropyClass, ...] =
     """df with spans: array of (start, rank, end, bits, piece), by start, then kind.
 
     rank is the kind's place in KINDS; bits the highest entropy of a window
-    (null for patterns); piece the text of the span.  A null or empty text has
-    no spans.  An input column named spans is replaced.
+    (null for patterns); piece the text of the span.  Whole texts of any length
+    are read; a null or empty one has no spans; repeated rows have equal spans;
+    of spans that start together the kinds' order decides.  An empty table gives
+    an empty table.  An input column named spans is replaced; others may have
+    any names.
     """
-    base = [_matches("ml_text", *PATTERNS[kind], rank) for rank, kind in enumerate(KINDS[:-1])]
-    rows = df.drop("spans").withColumn("ml_text", F.coalesce(F.col(text), F.lit("")))
-    rows = rows.withColumn("ml_base", F.concat(*base))
-    cand = {}
-    for i, k in enumerate(classes):
-        cand[f"ml_found{i}"] = _matches("ml_text", k.pattern, 0, k.width, len(KINDS) - 1)
-    rows = rows.withColumns(cand)
-    more = [_entropy_spans(f"ml_found{i}", k, allow, len(KINDS) - 1) for i, k in enumerate(classes)]
-    rows = rows.withColumn("ml_more", F.concat(*more))
-    rows = rows.withColumn(
-        "spans",
-        F.expr(
-            """array_sort(concat(ml_base, array_distinct(filter(ml_more, (m, i) ->
-                 not exists(ml_base, b -> b.start <= m.start and m.end <= b.end)
-                 and not exists(slice(ml_more, 1, i), o -> o.start <= m.start and m.end <= o.end)))))"""
-        ),
+    rows = df.select(packed(df, ("spans",)), F.coalesce(F.col(quoted(text)).cast("string"), F.lit("")).alias("text"))
+    base = [_matches("text", *PATTERNS[kind], rank) for rank, kind in enumerate(KINDS[:-1])]
+    found = {f"found{i}": _matches("text", k.pattern, 0, k.width, len(KINDS) - 1) for i, k in enumerate(classes)}
+    rows = rows.withColumns({"base": F.concat(*base)} | found)
+    more = [_entropy_spans(f"found{i}", k, allow, len(KINDS) - 1) for i, k in enumerate(classes)]
+    rows = rows.withColumn("more", F.concat(*more))
+    spans = F.expr(
+        """array_sort(concat(base, array_distinct(filter(more, (m, i) ->
+             not exists(base, b -> b.start <= m.start and m.end <= b.end)
+             and not exists(slice(more, 1, i), o -> o.start <= m.start and m.end <= o.end)))))"""
     )
-    return rows.select(*[f"`{c}`" for c in df.columns if c != "spans"], "spans")
+    return rows.select("row.*", spans.alias("spans"))
 
 
 def op1_secret_scan(spark, sf_dir: str) -> DataFrame:
