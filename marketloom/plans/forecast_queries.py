@@ -7,11 +7,14 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from marketloom.functions import recursive, special
+from marketloom.functions import recursive
 from marketloom.operators import bars, forecast
 from marketloom.operators import indicators as ind
+from marketloom.plans import series_sql as ssql
+from marketloom.plans.bar_queries import RET, RET2
 from marketloom.plans.catalog import query, rounded
 from marketloom.plans.relational_queries import BINS, RETURNS, binned, returns
+from marketloom.plans.score_queries import PB, binary
 from marketloom.sources import frames
 
 LV = f"""with {frames.DAILY}, v as (select symbol, day, ln(greatest((ln(high) - ln(low)) ** 2 / (4 * ln(2)), 1e-4)) as lv, (ln(high) - ln(low)) ** 2 / (4 * ln(2)) as rv from daily),
@@ -32,9 +35,9 @@ def design(spark, sf):
     return rounded(log_variance(spark, sf).select("symbol", "day", "lv", "lw", "lm", "y"))
 
 
-@query("har04_full_design")
+@query("har04_full_design", ssql.full_design(RET2))
 def full_design(spark, sf):
-    return forecast.har_design(bars.realized(frames.hourly(spark, sf)), month=10, z_window=10)
+    return rounded(forecast.har_design(bars.realized(frames.hourly(spark, sf)), month=10, z_window=10).select("symbol", "day", "n", "rv", "rq", "bpv", "rsp", "rsn", "lv", "lq", "lp", "ln", "lw", "lm", "regime", "y", "lqv"))
 
 
 @query("har02_calendar_features", f"with {frames.DAILY} select symbol, day, (isodow(day) = 1)::integer as monday, (row_number() over (partition by symbol, date_trunc('month', day) order by day desc) <= 2)::integer as month_end, (isodow(day) = 5 and day(day) <= 7)::integer as payrolls from daily")
@@ -57,9 +60,13 @@ def expanding_simple(spark, sf):
     return rounded(forecast.simple_ols(log_variance(spark, sf), "lw", "y").select("symbol", "day", "slope", "intercept"), 5)
 
 
-@query("har05_06_expanding_har")
+@query("har05_06_expanding_har", ssql.expanding_har(LV) + " select symbol, day, " + ", ".join(f"round({c}, 5) as {c}" for c in ("y", "expanding", "rolling", "shrunk", "combined")) + " from f")
 def expanding_har(spark, sf):
     """Forecasts of the day, week and month model, expanding and rolling, with panel shrinkage."""
+    return rounded(har_forecasts(spark, sf), 5)
+
+
+def har_forecasts(spark, sf):
     x = ["lv", "lw", "lm"]
     rows = forecast.predict(forecast.expanding_ols(log_variance(spark, sf), x, "y"), x, "expanding")
     rows = forecast.predict(forecast.expanding_ols(rows.drop("beta"), x, "y", window=500), x, "rolling")
@@ -67,11 +74,14 @@ def expanding_har(spark, sf):
     return rows.select("symbol", "day", "y", "expanding", "rolling", "shrunk", forecast.geometric_mean(["expanding", "rolling", "shrunk"]).alias("combined"))
 
 
-@query("har16_combination_loss")
+HAR_LOSS = ", ".join(f"round(avg(exp(y - {c}) - (y - {c}) - 1), 5) as {n}" for c, n in (("expanding", "expanding"), ("rolling", "rolling"), ("shrunk", "shrunk"), ("ln(combined)", "combined")))
+
+
+@query("har16_combination_loss", ssql.expanding_har(LV) + f" select symbol, {HAR_LOSS} from f where y is not null and combined is not null group by 1")
 def combination(spark, sf):
-    f = expanding_har(spark, sf).where("y is not null and combined is not null")
+    f = har_forecasts(spark, sf).where("y is not null and combined is not null")
     loss = lambda c: F.avg(F.exp(F.col("y") - c) - (F.col("y") - c) - 1)
-    return f.groupBy("symbol").agg(*[loss(F.col(c)).alias(c) for c in ("expanding", "rolling", "shrunk")], loss(F.ln("combined")).alias("combined"))
+    return rounded(f.groupBy("symbol").agg(*[loss(F.col(c)).alias(c) for c in ("expanding", "rolling", "shrunk")], loss(F.ln("combined")).alias("combined")), 5)
 
 
 @query("har12_moving_average", f"with {frames.DAILY}, g as (select symbol, day, 0.5 * (ln(high) - ln(low)) ** 2 - (2 * ln(2) - 1) * (ln(close) - ln(open)) ** 2 as gk from daily) select symbol, day, round(case when count(gk) over w = 20 then sqrt(greatest(avg(gk) over w, 0)) end, 6) as sigma from g window w as (partition by symbol order by day rows between 20 preceding and 1 preceding)")
@@ -81,24 +91,24 @@ def moving_average(spark, sf):
     return rounded(g.select("symbol", "day", F.when(F.count("gk").over(o) == 20, F.sqrt(F.greatest(F.avg("gk").over(o), F.lit(0.0)))).alias("sigma")))
 
 
-@query("har13_jump_model")
+@query("har13_jump_model", ssql.jump_model(RET2))
 def jump_model(spark, sf):
     r = bars.realized(frames.hourly(spark, sf)).withColumns({"lv": F.ln(F.greatest("rv", F.lit(1e-12))), "jump": F.ln(1 + F.greatest(F.col("rv") - F.col("bpv"), F.lit(0.0)))})
     r = r.withColumns({"lw": ind.full(F.avg, "lv", 5), "y": F.lead("lv").over(ind.w())})
     x = ["lv", "lw", "jump"]
-    return forecast.predict(forecast.expanding_ols(r, x, "y", least=9), x, "forecast").select("symbol", "day", "y", "forecast")
+    return rounded(forecast.predict(forecast.expanding_ols(r, x, "y", least=9), x, "forecast").select("symbol", "day", "y", "forecast"), 6, forecast=4)
 
 
-@query("har15_seasonal_ewma")
+@query("har15_seasonal_ewma", ssql.seasonal_ewma(RET))
 def seasonal_ewma(spark, sf):
     s = bars.seasonality(frames.hourly(spark, sf), F.hour("ts")).select("symbol", F.col("slot").alias("hour"), "factor")
     h = frames.hourly(spark, sf).withColumn("hour", F.hour("ts")).withColumn("r", bars.log_return("close", ind.w("ts"))).where("r is not null")
     h = h.join(F.broadcast(s), ["symbol", "hour"]).withColumn("x", F.pow(F.col("r") / F.greatest("factor", F.lit(1e-6)), F.lit(2)))  # 24 rows per symbol
     e = ind.per_symbol(h, ["x"], {"v": "double"}, lambda x: {"v": recursive.ewm(x, 0.06)}, "ts")
-    return e.join(h.select("symbol", "ts", "factor"), ["symbol", "ts"]).select("symbol", "ts", (F.sqrt("v") * F.col("factor")).alias("sigma"))
+    return rounded(e.join(h.select("symbol", "ts", "factor"), ["symbol", "ts"]).select("symbol", "ts", (F.sqrt("v") * F.col("factor")).alias("sigma")), 5)
 
 
-@query("har17_weighted_models")
+@query("har17_weighted_models", ssql.weighted_models(RETURNS))
 def weighted(spark, sf):
     """Online weights of three variance forecasts by their QLIKE."""
 
@@ -114,7 +124,7 @@ def weighted(spark, sf):
     o = lambda n: F.avg("p").over(ind.w().rowsBetween(-n, -1))
     rows = returns(spark, sf).where("r is not null").withColumn("p", F.greatest(F.col("r") * F.col("r"), F.lit(1e-8)))
     rows = rows.withColumns({"a": o(5), "b": o(20), "c": o(100), "k": F.row_number().over(ind.w())}).where("k > 100")
-    return ind.per_symbol(rows, ["p", "a", "b", "c"], {"mixed": "double"}, f)
+    return rounded(ind.per_symbol(rows, ["p", "a", "b", "c"], {"mixed": "double"}, f))
 
 
 @query("har18_machine_learning")
@@ -231,17 +241,21 @@ def persistence(spark, sf):
     return rounded(aggregates.transitions(b, "bin").select("symbol", "prev", "cur", "p"))
 
 
-@query("p307_student_classes")
+EDGE = "(band / sigma * sqrt(1.5))"
+
+
+@query("p307_student_classes", S + f" select symbol, day, round({ssql.t6_cdf('-' + EDGE)}, 6) as p0, round({ssql.t6_cdf(EDGE)} - {ssql.t6_cdf('-' + EDGE)}, 6) as p1, round(1 - {ssql.t6_cdf(EDGE)}, 6) as p2 from d where band is not null and sigma is not null")
 def student(spark, sf):
     """Class probabilities of a scaled Student t with 6 degrees of freedom."""
 
-    @F.pandas_udf("double")
-    def below(x: pd.Series) -> pd.Series:
-        return pd.Series(special.t_cdf(x.to_numpy(float) * np.sqrt(6 / 4), 6.0)).where(x.notna())
+    def below(x):  # of a t with deviation 1; for 6 degrees of freedom the integral is closed
+        t2 = x * x * 1.5
+        c2 = 6 / (6 + t2)
+        return 0.5 + x * 1.5**0.5 / F.sqrt(6 + t2) / 2 * (1 + c2 / 2 + 0.375 * c2 * c2)
 
     t = targets(spark, sf).where("band is not null and sigma is not null")
     edge = F.col("band") / F.col("sigma")
-    return t.select("symbol", "day", below(-edge).alias("p0"), (below(edge) - below(-edge)).alias("p1"), (1 - below(edge)).alias("p2"))
+    return rounded(t.select("symbol", "day", below(-edge).alias("p0"), (below(edge) - below(-edge)).alias("p1"), (1 - below(edge)).alias("p2")))
 
 
 @query("p308_regime_cdf", S + ", e as (select symbol, regime, count(*) as n, avg((rh / (sigma * sqrt(5) * c) <= -0.43)::integer) as p0, avg((rh / (sigma * sqrt(5) * c) > 0.43)::integer) as p2 from d where day < date '1999-10-13' and rh is not null and sigma is not null group by 1, 2 having count(*) >= 50) select symbol, regime::integer as regime, n, round(p0, 6) as p0, round(1 - p0 - p2, 6) as p1, round(p2, 6) as p2 from e")
@@ -258,7 +272,7 @@ def expanding_refit(spark, sf):
     return rounded(forecast.refit_rates(binned(spark, sf), "bin").select("symbol", "day", "p2"))
 
 
-@query("p310_online_mixture")
+@query("p310_online_mixture", ssql.online_mixture(BINS))
 def online_mixture(spark, sf):
     """Fixed-share mixture of three fixed experts with outcomes five rows late."""
     experts = np.array([[0.34, 0.33, 0.33], [0.6, 0.2, 0.2], [0.2, 0.2, 0.6]])
@@ -268,7 +282,7 @@ def online_mixture(spark, sf):
         p, weights = recursive.share_experts(np.repeat(experts[:, None, :], len(y), 1), labels, delay=5, share=0.01)
         return {"p0": p[:, 0], "p1": p[:, 1], "p2": p[:, 2], "w0": weights[:, 0]}
 
-    return ind.per_symbol(binned(spark, sf).select("symbol", "day", F.col("bin").cast("double").alias("y")), ["y"], dict.fromkeys(("p0", "p1", "p2", "w0"), "double"), f)
+    return rounded(ind.per_symbol(binned(spark, sf).select("symbol", "day", F.col("bin").cast("double").alias("y")), ["y"], dict.fromkeys(("p0", "p1", "p2", "w0"), "double"), f))
 
 
 @query("p311_temperature", BINS + ", t as (select symbol, day, 0.5::double as p0, 0.3::double as p1, 0.2::double as p2 from b where bin is not null), s as (select symbol, day, sqrt(p0) as a, sqrt(p1) as b, sqrt(p2) as c from t) select symbol, count(*) as n, round(avg(a / (a + b + c)), 6) as p0, round(avg(c / (a + b + c)), 6) as p2 from s group by 1")
@@ -305,18 +319,18 @@ def next_session(spark, sf):
     return rounded(g.select("symbol", quality.next_session("day").alias("next_day"), "sigma"))
 
 
-@query("inf14_isotonic")
+@query("inf14_isotonic", f"with {PB}" + ssql.ISOTONIC)
 def isotonic(spark, sf):
     from pyspark.ml.regression import IsotonicRegression
 
-    from marketloom.plans.score_queries import binary
-
     b = binary(spark, sf).select(F.col("p").alias("features"), F.col("y").cast("double").alias("label"))
     m = IsotonicRegression().fit(b)
-    return m.transform(b).groupBy(F.floor(F.col("features") * 10).alias("bin")).agg(F.avg("prediction").alias("calibrated"), F.count(F.lit(1)).alias("n"))
+    return rounded(m.transform(b).groupBy(F.floor(F.col("features") * 10).alias("bin")).agg(F.avg("prediction").alias("calibrated"), F.count(F.lit(1)).alias("n")))
 
 
-@query("inf16_poolability")
+@query("inf16_poolability", LV + """, v2 as (select * from h where lw is not null and y is not null and day < date '1999-10-13'), o as (select symbol, regr_syy(y, lw) - regr_sxy(y, lw) ** 2 / regr_sxx(y, lw) as rss, count(*) as n from v2 group by 1),
+  t as (select sum(rss) as own, sum(n)::double as n, count(*)::double as k from o), q as (select regr_syy(y, lw) - regr_sxy(y, lw) ** 2 / regr_sxx(y, lw) as pooled from v2)
+  select round((pooled - own) / (2 * (k - 1)) / (own / (n - 2 * k)), 5) as f, (2 * (k - 1))::bigint as df1, (n - 2 * k)::bigint as df2 from t, q""")
 def poolability(spark, sf):
     """Chow F that the regression of the next day on the week is the same for all symbols."""
     v = log_variance(spark, sf).where("lw is not null and y is not null").where(F.col("day") < F.lit("1999-10-13").cast("date"))
@@ -324,7 +338,7 @@ def poolability(spark, sf):
     own = v.groupBy("symbol").agg(rss, F.count(F.lit(1)).alias("n")).agg(F.sum("rss").alias("own"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
     both = own.crossJoin(v.agg(rss.alias("pooled")))  # one row each
     d1, d2 = 2 * (F.col("k") - 1), F.col("n") - 2 * F.col("k")
-    return both.select(((F.col("pooled") - F.col("own")) / d1 / (F.col("own") / d2)).alias("f"), d1.alias("df1"), d2.alias("df2"))
+    return rounded(both.select(((F.col("pooled") - F.col("own")) / d1 / (F.col("own") / d2)).alias("f"), d1.alias("df1"), d2.alias("df2")), 5)
 
 
 @query("src16_simulated_bars")

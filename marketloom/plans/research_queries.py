@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marketloom.operators import bars, research
 from marketloom.operators import indicators as ind
+from marketloom.plans import series_sql as ssql
 from marketloom.plans.catalog import query, rounded
 from marketloom.plans.relational_queries import BINS, RETURNS, binned, returns
 from marketloom.sources import frames
@@ -143,15 +144,21 @@ def _count_sql(words: list[str]) -> str:
 NW = "len(regexp_extract_all(text, '[^\\s]+'))"
 
 
-@query("txt02_length_change", f"select doc_id, {NW} as words, round({NW} / nullif(lag({NW}) over (order by doc_id), 0)::double - 1, 6) as change from documents where doc_id < 1000000000")
+def previous(df, key: str, value):
+    """df with before: value of the row with the next smaller key.  Ranges of keys
+    keep the order parallel; a range's first row takes the last of the ranges
+    before, which are a row each."""
+    rows = df.withColumns({"part": F.floor(F.col(key) / 100_000), "value": value})
+    last = rows.groupBy("part").agg(F.max_by("value", key).alias("carry"))
+    last = last.select("part", F.lag("carry").over(Window.orderBy("part")).alias("carry"))
+    own = F.lag("value").over(Window.partitionBy("part").orderBy(key))
+    return rows.withColumn("own", own).join(last, "part").withColumn("before", F.coalesce("own", "carry")).drop("part", "value", "own", "carry")
+
+
+@query("txt02_length_change", f"select doc_id, {NW} as words, round({NW} / nullif(lag({NW}) over (order by doc_id), 0)::double - 1, 6) as change from documents")
 def length_change(spark, sf):
     d = frames.table(spark, sf, "documents").select("doc_id", F.regexp_count("text", F.lit(r"\S+")).cast("long").alias("words"))
-    # Ranges of ids keep the order parallel; a range's first row looks at the last of the range before.
-    d = d.withColumn("part", F.floor(F.col("doc_id") / 100_000))
-    edge = d.groupBy("part").agg(F.max_by("words", "doc_id").alias("carry"))
-    edge = edge.withColumn("carry", F.lag("carry").over(Window.orderBy("part")))  # a row per range
-    before = F.coalesce(F.lag("words").over(Window.partitionBy("part").orderBy("doc_id")), F.col("carry"))
-    d = d.join(F.broadcast(edge), "part").withColumn("before", before)
+    d = previous(d, "doc_id", F.col("words"))
     return rounded(d.select("doc_id", "words", (F.col("words") / F.nullif(F.col("before"), F.lit(0).cast("long")) - 1).alias("change")))
 
 
@@ -174,22 +181,26 @@ def topic(spark, sf):
     return frames.table(spark, sf, "documents").select("doc_id", research.dominant(scores, "none").alias("topic"))
 
 
-@query("txt01_tfidf_change")
+@query("txt01_tfidf_change", ssql.TFIDF)
 def tfidf(spark, sf):
-    """Cosine of neighbouring statements' hashed TF-IDF vectors of one and two words."""
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer
-    from pyspark.ml.functions import vector_to_array
-
-    d = frames.table(spark, sf, "documents").where("length(text) > 0")
-    words = F.split(F.lower(F.trim("text")), r"\s+")
-    two = F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
-    d = d.select("doc_id", F.floor(F.col("doc_id") / 100_000).alias("part"), F.concat(words, two).alias("terms"))
-    tf = HashingTF(inputCol="terms", outputCol="tf", numFeatures=1024).transform(d)
-    v = Normalizer(inputCol="w", outputCol="v").transform(IDF(inputCol="tf", outputCol="w").fit(tf).transform(tf))
-    v = v.select("doc_id", "part", vector_to_array("v").alias("v"))
-    before = F.lag("v").over(Window.partitionBy("part").orderBy("doc_id"))
-    dot = F.aggregate(F.zip_with("v", "b", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    return v.withColumn("b", before).select("doc_id", F.round(1 - dot, 6).alias("change"))
+    """One less the cosine of neighbouring statements' TF-IDF vectors of one and
+    two words.  Every term counts; weights are joined and summed, so no vector
+    is as wide as the vocabulary."""
+    d = frames.table(spark, sf, "documents").where(F.col("text").rlike(r"\S"))
+    words = F.split(F.regexp_replace(F.lower("text"), r"^\s+|\s+$", ""), r"\s+")
+    two = F.transform(F.sequence(F.lit(2), F.size("w")), lambda i: F.concat_ws(" ", F.element_at("w", i - 1), F.element_at("w", i)))
+    terms = d.select("doc_id", words.alias("w")).select("doc_id", F.explode(F.when(F.size("w") > 1, F.concat("w", two)).otherwise(F.col("w"))).alias("term"))
+    tf = terms.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    n = d.agg(F.count(F.lit(1)).alias("n"))  # one row
+    idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("term", (F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    v = tf.join(idf, "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("v"))
+    norm = v.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    pair = previous(d.select("doc_id"), "doc_id", F.col("doc_id")).select("doc_id", "before")
+    own = v.join(pair, "doc_id")
+    dots = own.join(v.select(F.col("doc_id").alias("before"), "term", F.col("v").alias("u")), ["before", "term"]).groupBy("doc_id").agg(F.sum(F.col("v") * F.col("u")).alias("dot"))
+    both = pair.join(dots, "doc_id", "left").join(norm, "doc_id").join(norm.select(F.col("doc_id").alias("before"), F.col("norm").alias("other")), "before", "left")
+    change = F.when(F.col("before").isNotNull(), 1 - F.coalesce("dot", F.lit(0.0)) / F.col("norm") / F.col("other"))
+    return rounded(both.select("doc_id", change.alias("change")))
 
 
 @query("txt05_embedding_components")
@@ -251,13 +262,17 @@ def cheapest(spark, sf):
     return cost_table(spark, sf).withColumn("k", k).where("k <= 6").select("regime", "symbol", "hour")
 
 
-@query("cst03_slippage_table")
+SLIPPAGE = f"""with {frames.HOURLY}, x as (select *, ts::date as day, first_value(open) over w as start from hourly window w as (partition by symbol, ts::date order by ts)),
+  h as (select *, start * (1 - d) as stop from x, (values (0.01), (0.05), (0.2)) v(d) where low <= start * (1 - d) and start > 0), f as (select *, (stop - low) / start as slip, row_number() over (partition by symbol, day, d order by ts) as k from h)"""
+
+
+@query("cst03_slippage_table", SLIPPAGE + " select symbol, d::double as distance, count(*) as n, round(quantile_cont(slip, 0.5), 6) as med, round(quantile_cont(slip, 0.95), 6) as p95, round(avg(slip) / d, 6) as of_distance from f where k = 1 group by symbol, d")
 def slippage_table(spark, sf):
     s = bars.slippage(frames.hourly(spark, sf), (0.01, 0.05, 0.2))
-    return s.groupBy("symbol", "distance").agg(F.count(F.lit(1)).alias("n"), F.percentile("slip_low", F.lit(0.5)).alias("med"), F.percentile("slip_low", F.lit(0.95)).alias("p95"), (F.avg("slip_low") / F.col("distance")).alias("of_distance"))
+    return rounded(s.groupBy("symbol", "distance").agg(F.count(F.lit(1)).alias("n"), F.percentile("slip_low", F.lit(0.5)).alias("med"), F.percentile("slip_low", F.lit(0.95)).alias("p95"), (F.avg("slip_low") / F.col("distance")).alias("of_distance")), 6, distance=9)
 
 
-@query("cst04_sign_backtest")
+@query("cst04_sign_backtest", ssql.sign_backtest(RETURNS))
 def sign_backtest(spark, sf):
     from marketloom.functions import recursive as rec
 
@@ -265,7 +280,7 @@ def sign_backtest(spark, sf):
     s = ind.per_symbol(r, ["r"], {"signal": "double"}, lambda r: {"signal": np.sign(rec.ema(r, 20))})
     rows = r.join(s, ["symbol", "day"]).withColumns({"held": F.lag("signal").over(ind.w())}).withColumn("turn", F.abs(F.col("held") - F.lag("held").over(ind.w())))
     gross = F.col("held") * F.col("r")
-    return rows.groupBy("symbol").agg(F.avg(gross).alias("gross"), F.avg(gross - 0.001 * F.coalesce("turn", F.lit(0.0))).alias("net"), F.avg("turn").alias("turnover"))
+    return rounded(rows.groupBy("symbol").agg(F.avg(gross).alias("gross"), F.avg(gross - 0.001 * F.coalesce("turn", F.lit(0.0))).alias("net"), F.avg("turn").alias("turnover")))
 
 
 @query("cst05_06_cross_section_long_short", RETURNS + """, s as (select symbol, day, r, lag(r) over (partition by symbol order by day) as sig from ret), k as (select day, r, sig, rank() over (partition by day order by sig desc, symbol) as top, rank() over (partition by day order by sig, symbol) as low, count(*) over (partition by day) as n from s where sig is not null and r is not null)
@@ -353,21 +368,27 @@ def horizon_sigmas(spark, sf):
     return rounded(g.select("symbol", "horizon", "sigma", (F.col("sigma") / (F.col("s1") * F.sqrt("horizon"))).alias("factor")))
 
 
-@query("dec04_optimal_stopping")
+@query("dec04_optimal_stopping", ssql.optimal_stopping(RETURNS))
 def optimal_stopping(spark, sf):
     """Value of holding up to n days with a stop cost, by backward induction on
-    the empirical returns: the grid of states is fixed, so it fits the driver."""
-    q = returns(spark, sf).where("symbol = 'A' and r is not null").agg(F.percentile("r", F.array(*[F.lit((i + 0.5) / 40) for i in range(40)])).alias("q")).first()["q"]
-    grid, step = np.linspace(-3, 3, 121), np.array(q)
-    value = np.minimum(grid, 1.5)
-    rows = []
-    for n in range(1, 11):
-        ahead = np.array([np.interp(np.clip(g + step, -3, 3), grid, value).mean() - 0.002 for g in grid])
+    each symbol's returns: 40 quantiles of them and a grid of 121 states."""
+    q = returns(spark, sf).where("r is not null").groupBy("symbol").agg(F.percentile("r", F.array(*[F.lit((i + 0.5) / 40) for i in range(40)])).alias("q"))
+
+    def induce(batches):
+        grid = np.linspace(-3, 3, 121)
         stop = np.minimum(grid, 1.5)
-        value = np.maximum(stop, ahead)
-        first = grid[np.argmax(stop >= ahead)] if (stop >= ahead).any() else None
-        rows.append((n, float(value[60]), None if first is None else float(first)))
-    return spark.createDataFrame(rows, "days_left int, value double, stop_at double")
+        for pdf in batches:
+            rows = []
+            for symbol, moves in zip(pdf["symbol"], pdf["q"], strict=True):
+                value = stop
+                for n in range(1, 11):
+                    ahead = np.interp(np.clip(grid[:, None] + np.asarray(moves)[None, :], -3, 3), grid, value).mean(1) - 0.002
+                    value = np.maximum(stop, ahead)
+                    at = np.flatnonzero(stop >= ahead)
+                    rows.append((symbol, n, round(float(value[60]), 6), round(float(grid[at[0]]), 6) if len(at) else None))
+            yield pd.DataFrame(rows, columns=["symbol", "days_left", "value", "stop_at"])
+
+    return q.mapInPandas(induce, "symbol string, days_left int, value double, stop_at double")
 
 
 @query("jrn01_append_only", D + """, l as (select symbol, max(day) as last_day from daily where day < date '2001-06-01' group by 1), j as (select symbol, day from daily where day between date '2001-06-10' and date '2001-06-20'), n as (select symbol, day, close from daily where day >= date '2001-05-20' and day < date '2001-07-01')

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from marketloom.functions import special
 from marketloom.operators import scoring
 from marketloom.operators import indicators as ind
+from marketloom.plans import series_sql as ssql
 from marketloom.plans.catalog import query, rounded
 from marketloom.plans.relational_queries import BINS, RETURNS, binned, returns
 from marketloom.sources import frames
@@ -65,7 +66,7 @@ def pinball(spark, sf):
     return rounded(rows.groupBy("symbol").agg(F.avg(scoring.pinball(F.col("q")[2], F.col("r"), F.lit(0.5))).alias("pinball_median"), F.avg(scoring.crps_grid(rows, "q", TAUS, "r")).alias("crps")))
 
 
-@query("scr03_crps_normal")
+@query("scr03_crps_normal", VOL + f", z as (select symbol, sqrt(h) as s, r / sqrt(h) as z from vv) select symbol, round(avg(s * (z * (2 * {ssql.normal_cdf('z')} - 1) + 2 * exp(-z * z / 2) / sqrt(2 * pi()) - 1 / sqrt(pi()))), 6) as crps from z group by 1")
 def crps_normal(spark, sf):
     @F.pandas_udf("double")
     def crps(y: pd.Series, h: pd.Series) -> pd.Series:
@@ -73,7 +74,7 @@ def crps_normal(spark, sf):
         z = y / s
         return pd.Series(s * (z * (2 * special.normal_cdf(z) - 1) + 2 * np.exp(-z * z / 2) / np.sqrt(2 * np.pi) - 1 / np.sqrt(np.pi)))
 
-    return vol_forecast(spark, sf).groupBy("symbol").agg(F.avg(crps("r", "h")).alias("crps"))
+    return rounded(vol_forecast(spark, sf).groupBy("symbol").agg(F.avg(crps("r", "h")).alias("crps")))
 
 
 @query("scr04_crps_sample", RETURNS + """, x as (select symbol, year(day) as y, r, row_number() over (partition by symbol, year(day) order by r) as i, count(*) over (partition by symbol, year(day)) as n from ret where r is not null) select symbol, y::integer as year, round(avg(abs(r - 0.01)) - sum((2 * i - n - 1) * r) / (count(*) * count(*)), 6) as crps from x group by 1, 2""")
@@ -170,7 +171,7 @@ def christoffersen(spark, sf):
     return rounded(scoring.christoffersen(tail(spark, sf), "hit"))
 
 
-@query("var03_dynamic_quantile")
+@query("var03_dynamic_quantile", ssql.dynamic_quantile(TAIL))
 def dynamic_quantile(spark, sf):
     """DQ test: hits on four lags and the quantile, chi-square tail of the fit."""
     rows = tail(spark, sf).withColumn("d", F.col("hit") - 0.05)
@@ -184,7 +185,7 @@ def dynamic_quantile(spark, sf):
         stat = float(beta @ x.T @ x @ beta / (0.05 * 0.95))
         return pd.DataFrame([(pdf["symbol"].iloc[0], stat, float(special.chi2_tail(stat, 6)))], columns=["symbol", "dq", "p"])
 
-    return rows.select("symbol", "day", "d", "q").groupBy("symbol").applyInPandas(run, "symbol string, dq double, p double")
+    return rows.select("symbol", "day", "d", "q").groupBy("symbol").applyInPandas(run, "symbol string, dq double, p double").select("symbol", F.round("dq", 4).alias("dq"), F.round("p", 5).alias("p"))
 
 
 @query("var04_fz0_loss", TAIL + " select symbol, round(avg(-case when r <= q then (q - r) / (0.05 * es) else 0 end + q / es + ln(-es) - 1), 6) as fz0 from h where es < 0 group by 1")
@@ -198,7 +199,7 @@ def backtest(spark, sf):
     return rounded(tail(spark, sf).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hits"), F.avg(F.col("hit").cast("double")).alias("rate"), on(F.col("r")).alias("mean_loss"), on(F.col("es")).alias("mean_es"), on(F.col("r") - F.col("es")).alias("excess")))
 
 
-@query("var07_08_adaptive_tails")
+@query("var07_08_adaptive_tails", ssql.adaptive_tails(RETURNS))
 def adaptive(spark, sf):
     """ACI and PID filters: rates of hits and mean quantiles."""
     from marketloom.functions import recursive as rec
@@ -208,10 +209,12 @@ def adaptive(spark, sf):
         return {"aci_q": a[0], "aci_es": a[1], "aci_level": a[2], "pid_q": p[0], "pid_es": p[1], "pid_level": p[2]}
 
     r = returns(spark, sf).where("r is not null")
-    return ind.per_symbol(r, ["r"], dict.fromkeys(("aci_q", "aci_es", "aci_level", "pid_q", "pid_es", "pid_level"), "double"), f)
+    return rounded(ind.per_symbol(r, ["r"], dict.fromkeys(("aci_q", "aci_es", "aci_level", "pid_q", "pid_es", "pid_level"), "double"), f))
 
 
-@query("var10_generalised_pareto")
+@query("var10_generalised_pareto", RETURNS + """, l as (select symbol, -r as loss from ret where r is not null), u as (select symbol, quantile_cont(loss, 0.9) as u, count(*)::double as n from l group by 1), x as (select symbol, loss - u as x, u, n from l join u using (symbol) where loss > u),
+  g as (select symbol, avg(x) as m, var_samp(x) as v, any_value(u) as u, any_value(n) as n, count(*)::double as k from x group by 1), s as (select *, 0.5 * (1 - m * m / v) as shape from g)
+  select symbol, round(shape, 6) as shape, round(m * (1 - shape), 6) as scale, round(u + m * (1 - shape) / shape * ((n / k * 0.01) ** -shape - 1), 6) as loss99 from s""")
 def pareto_tail(spark, sf):
     """Tail by moments of losses beyond the 90 % quantile: shape, scale, and the 99 % loss."""
     r = returns(spark, sf).where("r is not null").withColumn("loss", -F.col("r"))
@@ -220,7 +223,7 @@ def pareto_tail(spark, sf):
     g = e.groupBy("symbol").agg(F.avg("x").alias("m"), F.var_samp("x").alias("v"), F.first("u").alias("u"), F.first("n").alias("n"), F.count(F.lit(1)).alias("k"))
     shape = 0.5 * (1 - F.col("m") * F.col("m") / F.col("v"))
     g = g.withColumns({"shape": shape, "scale": F.col("m") * (1 - shape)})
-    return g.select("symbol", "shape", "scale", (F.col("u") + F.col("scale") / F.col("shape") * (F.pow(F.col("n") / F.col("k") * 0.01, -F.col("shape")) - 1)).alias("loss99"))
+    return rounded(g.select("symbol", "shape", "scale", (F.col("u") + F.col("scale") / F.col("shape") * (F.pow(F.col("n") / F.col("k") * 0.01, -F.col("shape")) - 1)).alias("loss99")))
 
 
 @query("var12_regime_tails", RETURNS + ", g as (select symbol, r, n_bars >= 8 as busy, day between date '1997-01-01' and date '1997-12-31' as event from ret where r is not null) select symbol, busy, count(*) as n, round(quantile_cont(r, 0.05), 6) as q05, round(quantile_cont(case when not event then r end, 0.05), 6) as q05_calm from g group by 1, 2")
@@ -327,7 +330,7 @@ def sharpe(spark, sf):
     return rounded(returns(spark, sf).groupBy("symbol").agg(*scoring.sharpe_parts("r")))
 
 
-@query("inf13_overfitting")
+@query("inf13_overfitting", ssql.overfitting(RETURNS))
 def overfitting(spark, sf):
     r = returns(spark, sf).where("r is not null")
     block = F.ntile(8).over(Window.partitionBy("symbol").orderBy("day"))
@@ -335,7 +338,7 @@ def overfitting(spark, sf):
     for k in range(1, 7):
         rows = rows.withColumn(f"s{k}", F.signum(F.lag("r", k).over(ind.w())) * F.col("r"))
     g = rows.groupBy("block").agg(*[F.avg(f"s{k}").alias(f"s{k}") for k in range(1, 7)]).orderBy("block").toPandas()  # eight rows
-    return spark.createDataFrame([(float(scoring.overfitting(g[[f"s{k}" for k in range(1, 7)]].to_numpy())),)], "pbo double")
+    return rounded(spark.createDataFrame([(float(scoring.overfitting(g[[f"s{k}" for k in range(1, 7)]].to_numpy())),)], "pbo double"))
 
 
 @query("inf16_yearly_card", P3 + ", c as (select avg((y = 1)::integer) as c from p where day < date '1999-10-13') select year(day)::integer as year, count(*) as n, round(1 - avg((p1 - (y = 1)::integer) ** 2) / avg((c - (y = 1)::integer) ** 2), 6) as skill from p, c group by 1 having count(*) >= 200")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marketloom.operators import indicators as ind
+from marketloom.plans import series_sql as ssql
 from marketloom.plans.catalog import query, rounded
 from marketloom.plans.relational_queries import BINS, RETURNS, binned, returns
 from marketloom.sources import frames
@@ -48,9 +49,9 @@ def recursive_indicators(spark, sf):
     return rounded(ind.rsi_macd_atr(frames.daily(spark, sf)), 4)
 
 
-@query("ind06_07_13_trend")
+@query("ind06_07_13_trend", ssql.trend(D))
 def trend(spark, sf):
-    return ind.trend(frames.daily(spark, sf))
+    return rounded(ind.trend(frames.daily(spark, sf)), 5)
 
 
 @query(
@@ -92,9 +93,9 @@ def swings(spark, sf):
     return ind.pivots(frames.daily(spark, sf)).select("symbol", "day", "swing_high", "swing_low")
 
 
-@query("ind18_support_resistance")
+@query("ind18_support_resistance", ssql.levels(SWING))
 def levels(spark, sf):
-    return ind.levels(frames.daily(spark, sf))
+    return rounded(ind.levels(frames.daily(spark, sf)), 5)
 
 
 @query(
@@ -143,12 +144,12 @@ def tsmom(spark, sf):
     return rounded(ind.momentum(frames.daily(spark, sf), 20).select("symbol", "day", "tsmom", "side"))
 
 
-@query("ind25_exponential_sums")
+@query("ind25_exponential_sums", ssql.exponential_sums(RETURNS))
 def exponential_sums(spark, sf):
     from marketloom.functions import recursive as rec
 
     r = returns(spark, sf).where("r is not null")
-    return ind.per_symbol(r, ["r"], {"k10": "double", "k100": "double"}, lambda r: {"k10": rec.exponential_sum(r, 0.1), "k100": rec.exponential_sum(r, 0.01)})
+    return rounded(ind.per_symbol(r, ["r"], {"k10": "double", "k100": "double"}, lambda r: {"k10": rec.exponential_sum(r, 0.1), "k100": rec.exponential_sum(r, 0.01)}))
 
 
 @query("win01_lag_lead", D + f" select symbol, day, close - lag(close) over w as diff, lead(close) over w as ahead, lag(close, 5) over w as week from daily {W}")
@@ -264,7 +265,7 @@ def worst_of_path(spark, sf):
     return rounded(rows.select("symbol", "day", worst.alias("worst")))
 
 
-@query("ind21_bundle_is_causal")
+@query("ind21_bundle_is_causal", ssql.causal_bundle(D))
 def bundle(spark, sf):
     """Largest change of an indicator of the first rows when the last 40 rows go (0: causal)."""
     d = frames.daily(spark, sf)
@@ -273,7 +274,7 @@ def bundle(spark, sf):
     a, b = ind.rsi_macd_atr(d), ind.rsi_macd_atr(cut)
     names = [c for c in a.columns if c not in ("symbol", "day")]
     both = a.join(b.select("symbol", "day", *[F.col(c).alias(f"{c}_cut") for c in names]), ["symbol", "day"])
-    return both.groupBy("symbol").agg(*[F.max(F.abs(F.col(c) - F.col(f"{c}_cut"))).alias(c) for c in names])
+    return rounded(both.groupBy("symbol").agg(*[F.max(F.abs(F.col(c) - F.col(f"{c}_cut"))).alias(c) for c in names]))
 
 
 @query("ind22_hourly_features", f"""with {frames.HOURLY} select symbol, ts, round(case when count(close) over w = 24 then (close - avg(close) over w) / greatest(2 * stddev_pop(close) over w, 1e-12) end, 5) as pct_b, round(case when count(close) over w = 24 then (close - min(low) over w) / greatest(max(high) over w - min(low) over w, 1e-12) end, 6) as place

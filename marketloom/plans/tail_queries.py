@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from marketloom.functions import special, tails
 from marketloom.operators import forecast, scoring
 from marketloom.operators import indicators as ind
+from marketloom.plans import series_sql as ssql
 from marketloom.plans.catalog import query, rounded
 from marketloom.plans.forecast_queries import LV, log_variance
-from marketloom.plans.relational_queries import RETURNS, returns
+from marketloom.plans.relational_queries import BINS, RETURNS, returns
 from marketloom.plans.research_queries import CAP, RULES, SIZ, _cap_constant, rule_rows, sized
-from marketloom.plans.score_queries import three_class
+from marketloom.plans.score_queries import P3, three_class
 from marketloom.sources import frames
 
 
@@ -47,26 +48,26 @@ def score_scale(spark, sf):
     return _fits(spark, sf, f, "symbol string, omega double, alpha double, beta double, rate double")
 
 
-@query("var08_quantile_tracking")
+@query("var08_quantile_tracking", ssql.tracking(RETURNS))
 def tracking(spark, sf):
     def f(r):
         return {"tracked": tails.track_quantile(r, 0.05, 0.05), "mixed": tails.aggregate_trackers(r, 0.05)}
 
-    return ind.per_symbol(returns(spark, sf).where("r is not null"), ["r"], {"tracked": "double", "mixed": "double"}, f)
+    return rounded(ind.per_symbol(returns(spark, sf).where("r is not null"), ["r"], {"tracked": "double", "mixed": "double"}, f))
 
 
-@query("cnf04_online_sets")
+@query("cnf04_online_sets", ssql.online_sets(P3))
 def online_sets(spark, sf):
     def f(y, p0, p1, p2):
         size, covered, level = tails.online_sets(1 - np.stack([p0, p1, p2], 1), y.astype(int))
         return {"size": size, "covered": covered, "level": level}
 
     rows = three_class(spark, sf).withColumn("y", F.col("y").cast("double"))
-    out = ind.per_symbol(rows, ["y", "p0", "p1", "p2"], dict.fromkeys(("size", "covered", "level"), "double"), f).where(~F.isnan("size"))
-    return out.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.avg("covered").alias("coverage"), F.avg("size").alias("mean_size"), F.avg("level").alias("level"))
+    out = ind.per_symbol(rows, ["y", "p0", "p1", "p2"], dict.fromkeys(("size", "covered", "level"), "double"), f).where("size is not null")
+    return rounded(out.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.avg("covered").alias("coverage"), F.avg("size").alias("mean_size"), F.avg("level").alias("level")))
 
 
-@query("inf08_clustered_test")
+@query("inf08_clustered_test", ssql.clustered(BINS))
 def clustered(spark, sf):
     """Does a falling last state say more about a rise than the month's level does?"""
     rows, _ = rule_rows(spark, sf)
@@ -76,26 +77,26 @@ def clustered(spark, sf):
         b, t = tails.clustered_t(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["month"].to_numpy(), pdf[["c"]].to_numpy())
         return pd.DataFrame([(pdf["symbol"].iloc[0], b, t)], columns=["symbol", "b", "t"])
 
-    return rows.groupBy("symbol").applyInPandas(f, "symbol string, b double, t double")
+    return rounded(rows.groupBy("symbol").applyInPandas(f, "symbol string, b double, t double"), 6, t=4)
 
 
-@query("inf09_granger")
+@query("inf09_granger", ssql.granger(RETURNS))
 def granger(spark, sf):
     """F that the lags of one symbol say nothing about another, given its own."""
-    wide = returns(spark, sf).where("r is not null").groupBy("day").pivot("symbol", ["A", "N", "R"]).agg(F.first("r")).dropna()
-    pairs = F.array(*[F.struct(F.lit(a).alias("cause"), F.lit(b).alias("effect")) for a in "ANR" for b in "ANR" if a != b])
-    long = wide.withColumn("pair", F.explode(pairs)).select("day", "A", "N", "R", "pair.cause", "pair.effect")
+    r = returns(spark, sf).where("r is not null")
+    effect = r.select("day", F.col("symbol").alias("effect"), F.col("r").alias("y"))
+    long = r.select("day", F.col("symbol").alias("cause"), F.col("r").alias("x")).join(effect, "day").where("cause <> effect")  # a day has few symbols
 
     def f(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("day")
         a, b = pdf["cause"].iloc[0], pdf["effect"].iloc[0]
-        x, y = pdf[a].to_numpy(), pdf[b].to_numpy()
+        x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
         lag = lambda v: np.stack([v[3 - k : len(v) - k] for k in (1, 2, 3)], 1)
         stat, d1, d2 = tails.nested_f(y[3:], lag(y), np.hstack([lag(y), lag(x)]))
         p = float(special.incomplete_beta(d2 / 2, d1 / 2, np.array(d2 / (d2 + d1 * stat))))
         return pd.DataFrame([(a, b, float(stat), p)], columns=["cause", "effect", "f", "p"])
 
-    return long.groupBy("cause", "effect").applyInPandas(f, "cause string, effect string, f double, p double")
+    return rounded(long.groupBy("cause", "effect").applyInPandas(f, "cause string, effect string, f double, p double"), 5, f=4)
 
 
 @query("inf10_partial_correlation", RETURNS + """, w as (select day, max(r) filter (symbol = 'A') as a, max(r) filter (symbol = 'N') as n, max(r) filter (symbol = 'R') as s from ret group by 1), c as (select corr(a, n) as an, corr(a, s) as a_s, corr(n, s) as ns from w where a is not null and n is not null and s is not null) select round((an - a_s * ns) / sqrt((1 - a_s ** 2) * (1 - ns ** 2)), 6) as partial, round(an, 6) as plain from c""")
@@ -138,7 +139,7 @@ def qlike_regression(spark, sf):
     return p.groupBy("symbol", "year").agg(F.avg(scoring.qlike_ratio(h, F.exp("y"))).alias("qlike"), F.count(F.lit(1)).alias("n"))
 
 
-@query("har08_10_forecast_grid")
+@query("har08_10_forecast_grid", ssql.forecast_grid(LV))
 def forecast_grid(spark, sf):
     """Loss by window and recalibration; a forecast goes to the next session only within four days."""
     x, out = ["lv", "lw", "lm"], None
@@ -151,7 +152,7 @@ def forecast_grid(spark, sf):
         loss = lambda f: F.avg(F.exp(F.col("y") - f) - (F.col("y") - f) - 1)
         g = p.groupBy("symbol").agg(loss(F.col("g")).alias("plain"), loss(F.col("intercept") + F.col("slope") * F.col("g")).alias("recalibrated"), F.avg("level").alias("mean_level"), F.count(F.lit(1)).alias("n")).withColumn("window", F.lit(window or 0))
         out = g if out is None else out.unionByName(g)
-    return out
+    return rounded(out, 5)
 
 
 @query("har23_shadow_log", LV + ", f as (select symbol, day, lw as forecast from h where year(day) = 2000 and lw is not null), o as (select symbol, day, y from h where y is not null) select symbol, day, round(forecast, 6) as forecast, round(y, 6) as outcome, round(abs(forecast - y), 6) as error from f left join o using (symbol, day)")
@@ -191,12 +192,19 @@ def equity(spark, sf):
     return rounded(g, 5)
 
 
-@query("dec03_05_decision_record")
+RECORD = """, l as (select symbol, max(day) as day from f group by 1), x as (select f.* from f join l using (symbol, day))
+  select symbol, '{"day":"' || day || '","for":"' || (day + case isodow(day) when 5 then 3 when 6 then 2 else 1 end)::date || '","sigma":"' || printf('%.6f', sigma) || '","size":"' || printf('%.6f', f) || '","rule":"size ' || printf('%.3f', f) || ' bound by ' || binding || '"}' as record from x"""
+SIZED = SIZ + f""", f0 as (select symbol, day, sigma, mu / (sigma * sigma) as kelly, {CAP.format(c=_cap_constant())} as cap from s join q using (symbol) where n = 60),
+  f as (select *, least(greatest(least(kelly, cap), 0), 30) as f, case when kelly <= 0 then 'no edge' when least(kelly, cap) >= 30 then 'leverage' when kelly < cap then 'kelly' else 'risk cap' end as binding from f0)"""
+
+
+@query("dec03_05_decision_record", SIZED + RECORD)
 def record(spark, sf):
     """The last decision of each symbol as one JSON document."""
     from marketloom.operators import quality, research
 
     rows = research.position(sized(spark, sf), F.col("q")[0], F.col("q")[1], F.col("q")[2], F.col("mu"), F.lit(0.0), k=3)
     last = rows.groupBy("symbol").agg(F.max_by(F.struct("day", "close", "sigma", "f", "binding"), "day").alias("x"))
-    rule = F.concat(F.lit("size "), F.round("x.f", 3).cast("string"), F.lit(" bound by "), F.col("x.binding"))
-    return last.select("symbol", F.to_json(F.struct(F.col("x.day").alias("day"), quality.next_session("x.day").alias("for"), F.round("x.sigma", 6).alias("sigma"), F.round("x.f", 6).alias("size"), rule.alias("rule"))).alias("record"))
+    text = lambda c, d: F.format_string(f"%.{d}f", c)
+    rule = F.concat(F.lit("size "), text("x.f", 3), F.lit(" bound by "), F.col("x.binding"))
+    return last.select("symbol", F.to_json(F.struct(F.col("x.day").alias("day"), quality.next_session("x.day").alias("for"), text("x.sigma", 6).alias("sigma"), text("x.f", 6).alias("size"), rule.alias("rule"))).alias("record"))
