@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.llm import textnp as tn
-from marketloom.llm.common import stored
+from marketloom.llm.common import identity, packed, stored
 from marketloom.llm.components import components
 
 #: Ids that are broadcast to fetch candidate texts; beyond it, a shuffle join.
@@ -45,6 +45,8 @@ BAND = 1.5
 #: Members of a key outside its largest component, up to which all of them meet
 #: the rest of the key one by one.
 FEW = 48
+#: A class has its rows in so many parts where it may hold most of a table.
+PARTS = 32
 #: Stands for "every key" where a class needs its whole list.
 ALL = -1
 #: Segments beyond the pigeonhole's, as a share; they let costly ones be left out.
@@ -194,9 +196,9 @@ def _deltas(mixed: DataFrame, sets: DataFrame, sizes: DataFrame) -> tuple[DataFr
     """(members, tokens) of the other keys: how every member differs from one
     class p, the root of the key's largest component.
 
-    members: p, cls, np, n, d.  tokens: the elements of each difference that
-    more than one member of p has, with the number of members (uses) and the
-    place in the difference, rarest first.
+    members: p, cls, np, n, d, delta.  tokens: the elements of each difference
+    that more than one member of p has, with the number of members (uses) and
+    the place in the difference, rarest first.
     """
     hot = mixed.where(F.col("outside") > FEW).select(F.col("major").alias("p"), "cls")
     rows = hot.union(hot.select("p", F.col("p").alias("cls"))).distinct()
@@ -211,18 +213,27 @@ def _deltas(mixed: DataFrame, sets: DataFrame, sizes: DataFrame) -> tuple[DataFr
     token = token.withColumn("uses", F.count(F.lit(1)).over(Window.partitionBy("p", "token"))).where("uses > 1")
     member = Window.partitionBy("p", "cls")
     token = token.withColumn("place", F.row_number().over(member.orderBy("uses", "token")) + F.col("d") - F.count(F.lit(1)).over(member))
-    return rows.drop("delta"), stored(token, "jaccard-tokens")
+    return rows, stored(token, "jaccard-tokens")
 
 
-def _centre_stars(members: DataFrame, tokens: DataFrame) -> DataFrame:
+def _with_p(rows: DataFrame, of_p: DataFrame, part: str = "cls") -> DataFrame:
+    """rows joined with what each p has (a row), in PARTS parts of each p."""
+    parts = of_p.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return rows.withColumn("part", F.pmod(F.xxhash64(part), F.lit(PARTS)).cast("int")).join(parts, ["p", "part"]).drop("part")
+
+
+def _centre_stars(members: DataFrame) -> DataFrame:
     """Every member of a p with the member that is nearest to what most of them
     have: the one whose difference from p is nearest to the elements that more
-    than half of the differences hold."""
+    than half of the differences hold.  Those are at most twice as many as a
+    difference has on average, so they are one array for each p."""
     half = members.groupBy("p").agg((F.count(F.lit(1)) / 2).alias("half"))
-    usual = tokens.join(half, "p").where("uses > half").groupBy("p", "cls").agg(F.count(F.lit(1)).alias("usual"))
-    away = members.join(usual, ["p", "cls"], "left").withColumn("away", F.col("d") - 2 * F.coalesce("usual", F.lit(0)))
+    uses = members.select("p", F.explode("delta").alias("token")).groupBy("p", "token").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1")
+    usual = _with_p(uses, half, "token").where("uses > half").groupBy("p").agg(F.collect_list("token").alias("usual"))
+    usual = half.join(usual, "p", "left").select("p", F.coalesce("usual", F.array().cast("array<bigint>")).alias("usual"))
+    away = _with_p(members, usual).select("p", "cls", (F.col("d") - 2 * F.size(F.array_intersect("delta", "usual"))).alias("away"))
     centre = away.groupBy("p").agg(F.min_by("cls", F.struct("away", "cls")).alias("c"))
-    pairs = members.join(centre, "p").where("cls <> c").select(F.least("cls", "c").alias("a"), F.greatest("cls", "c").alias("b"))
+    pairs = _with_p(members.select("p", "cls"), centre).where("cls <> c").select(F.least("cls", "c").alias("a"), F.greatest("cls", "c").alias("b"))
     return pairs.distinct()
 
 
@@ -246,18 +257,18 @@ def _by_pivot(members: DataFrame, tokens: DataFrame, roots: DataFrame, percent:
     lost, kept = 100 - percent, 100 + percent
     known = roots.select(F.col("v").alias("cls"), "root")
     rooted = lambda df: df.join(known, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    rows, token = rooted(members), rooted(tokens)
+    rows, token = rooted(members.drop("delta")), rooted(tokens)
 
     worth = F.col("n") * lost - F.col("d") * kept
     best = rows.groupBy("p").agg(F.max(worth).alias("worth"), F.max_by(F.struct("cls", "root"), F.struct(worth, "cls")).alias("y"))
-    sure = rows.join(best.select("p", "worth", F.col("y.cls").alias("y"), F.col("y.root").alias("y_root")), "p")
+    sure = _with_p(rows, best.select("p", "worth", F.col("y.cls").alias("y"), F.col("y.root").alias("y_root")))
     sure = sure.where("root <> y_root").where(F.col("d") * kept <= F.col("n") * lost + F.col("worth"))
     sure = sure.select(F.least("cls", "y").alias("a"), F.greatest("cls", "y").alias("b"))
 
     # y has the smaller difference.  If it is in p's component, x is not, so
     # |d(x)| is more than p and x may differ in.
     at_p = rows.where("cls = p").select("p", F.col("root").alias("p_root"))
-    token = token.join(at_p, "p")
+    token = _with_p(token, at_p)
     slack = F.greatest(F.lit(0), F.ceil(F.lit(lost) * (F.col("n") - F.col("np")) / kept))
     widest = F.floor(F.lit(lost) * (F.col("n") + F.floor(F.lit(100) * F.col("n") / percent)) / kept)
     shared = F.when(F.col("root") == F.col("p_root"), F.ceil((F.col("d") + 1 - slack) / 2)).otherwise(F.ceil((2 * F.col("d") - widest) / 2))
@@ -335,7 +346,7 @@ def link(df: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataFrame, DataF
     split = split.where("lo < hi").select("key", "major", "outside")
     mixed = stored(rooted.join(split, "key"), "jaccard-mixed")
     members_of, tokens = _deltas(mixed, sets, sizes)
-    centred = stored(_centre_stars(members_of, tokens), "jaccard-centres")
+    centred = stored(_centre_stars(members_of), "jaccard-centres")
     if not centred.isEmpty():
         links = links.union(verified(_apart(centred, roots)))
         roots = components(links)
@@ -352,7 +363,9 @@ def grouped(df: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     component_id is the smallest doc_id that links reach, the row's own
     included; a row with an empty set has its own doc_id.  Repeated rows stay.
     A row with null doc_id joins rows with an equal set; a set that only such
-    rows have has null component_id.
+    rows have has null component_id.  Whole texts of any length count; an empty
+    table gives an empty table; only doc_id and text are read, so other columns
+    may have any names.
     """
     docs, roots = link(df, k, percent)
     some = docs.where("n_shingles > 0")
@@ -366,15 +379,20 @@ def grouped(df: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
 
 def deduplicated(df: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of df that stand for their component: of each, the row with the
-    smallest doc_id, once.  Rows without words all stay, repeated ones once.  A
-    row with null doc_id stays only if no row with a doc_id has its set.
+    smallest doc_id, once.
+
+    Rows without words all stay, repeated ones once.  A row with null doc_id
+    stays only if no row with a doc_id has its set.  Of several rows with that
+    id and text, the one with the least hash of its values stays.  Whole texts
+    of any length count; an empty table gives an empty table; other columns may
+    have any names.
     """
-    keep = grouped(df, k, percent).where("component_id <=> doc_id").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    rows = df.withColumn("__own", F.xxhash64(F.col("text").cast("string")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash"))
+    keep = grouped(df, k, percent).where("component_id <=> doc_id").select("doc_id", "text_hash").distinct()
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), identity(df, 5).alias("tie"), packed(df))
+    same = rows["doc_id"].eqNullSafe(keep["doc_id"]) & (rows["text_hash"] == keep["text_hash"])
     rows = rows.join(keep, same, "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id", "__own").orderBy(F.xxhash64(*[f"`{c}`" for c in df.columns])))
-    return rows.withColumn("__first", first).where("__first = 1").select(*[f"`{c}`" for c in df.columns])
+    first = F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("tie"))
+    return rows.withColumn("first", first).where("first = 1").select("row.*")
 
 
 def op5_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
