@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import stored
+from marketloom.llm.common import columns, identity, packed, stored
 
 #: Beyond this many entries the matrix is joined by shuffle, not broadcast.
 BROADCAST_ENTRIES = 1_000_000
@@ -85,82 +85,67 @@ def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> in
     return mode
 
 
-def _numbered(df: DataFrame, value) -> DataFrame:
-    """df with __number: 0, 1, ... among rows of equal value.  Counts of the
-    partitions give each partition its first number, so a value that many rows
-    have is never in one task."""
-    keyed = df.withColumns({"__part": F.spark_partition_id(), "__value": value})
-    counts = keyed.groupBy("__part", "__value").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("__value").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select("__part", "__value", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    own = F.row_number().over(Window.partitionBy("__part", "__value").orderBy(F.lit(0))) - 1
-    out = keyed.withColumn("__own", own).join(first, ["__part", "__value"])
-    return out.select(*[f"`{c}`" for c in df.columns], (F.col("__before") + F.col("__own")).alias("__number"))
-
-
-def shard(
-    df: DataFrame,
-    shards: int = 8,
-    seed: int = 20_24,
-    rows_per_block: int = 100_000,
-    min_blocks: int = 48,
-    key_columns: list[str] | None = None,
-) -> DataFrame:
-    """df with int column shard and long column slot (from 0, gapless in each shard).
+def _numbered(values: DataFrame) -> DataFrame:
+    """values (v, w) with number: 0, 1, ... among equal rows.  Partitions count
+    their own, and the counts give each its first number, so a value that many
+    rows have is never in one task."""
+    parts = values.groupBy("v", "w", F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    counts = stored(parts, "shard-counts")
+    before = Window.partitionBy("v", "w").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return first.select("v", "w", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("number"))
 
-    key_columns (default: all) seed the permutations; rows that agree in all
-    of them are interchangeable.  Nulls count as values.  Input columns named
-    shard or slot are replaced.  An empty table gives an empty table.
-    """
-    if shards < 1:
-        raise ValueError("shards must be positive")
-    df = df.drop("shard", "slot")
-    names = [f"`{c}`" for c in (key_columns or df.columns)]
-    # A row's own random numbers; nulls must move the hash too.
-    salt = lambda k, *more: F.xxhash64(F.lit(seed * 31 + k), *names, *[F.col(c).isNull() for c in names], *more)
-    numbered = stored(_numbered(df, salt(4)), "shard-numbered")
+
+def _assigned(values: DataFrame, shards: int, seed: int, rows_per_block: int, min_blocks: int) -> DataFrame:
+    """values (v, w) with shard and slot."""
+    numbered = stored(_numbered(values), "shard-numbered")
     n_rows = numbered.count()
     blocks = max(min_blocks, -(-n_rows // rows_per_block))
-    own = [salt(k, "__number") for k in (1, 2, 3)]
-    keyed = numbered.withColumns({"__block": F.pmod(own[0], F.lit(blocks)).cast("int"), "__in": own[1], "__out": own[2]}).drop("__number")
+    drawn = lambda k: F.xxhash64(F.lit(seed * 31 + k), "v", "w", "number")
+    keyed = numbered.select("v", "w", F.pmod(drawn(1), F.lit(blocks)).cast("int").alias("block"), drawn(2).alias("in"), drawn(3).alias("out"))
 
-    counted = {r["__block"]: r["n"] for r in keyed.groupBy("__block").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counted = {r["block"]: r["n"] for r in keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}
     matrix = communication_matrix([counted.get(b, 0) for b in range(blocks)], shards, seed)
-    cuts = df.sparkSession.createDataFrame(
-        [(b, row.tolist()) for b, row in enumerate(matrix.cumsum(axis=1))], "__block int, __cuts array<bigint>"
+    cuts = values.sparkSession.createDataFrame(
+        [(b, row.tolist()) for b, row in enumerate(matrix.cumsum(axis=1))], "block int, cuts array<bigint>"
     )
     if matrix.size <= BROADCAST_ENTRIES:
         cuts = F.broadcast(cuts)
-    place = F.row_number().over(Window.partitionBy("__block").orderBy("__in", "__out"))
-    dealt = (
-        keyed.withColumn("__place", place)
-        .join(cuts, "__block")
-        .withColumn("shard", F.expr("cast(size(filter(__cuts, c -> c < __place)) as int)"))
-        .drop("__block", "__in", "__cuts", "__place")
-    )
-    # The second permutation sorts each shard by __out.  It is cut into ranges
-    # of __out, whose sizes give the first slot of each range, so no task
+    place = F.row_number().over(Window.partitionBy("block").orderBy("in", "out"))
+    dealt = keyed.withColumn("place", place).join(cuts, "block").withColumn("shard", F.expr("cast(size(filter(cuts, c -> c < place)) as int)"))
+    # The second permutation sorts each shard by `out`.  It is cut into ranges
+    # of `out`, whose sizes give the first slot of each range, so no task
     # holds a shard.
     ranges = max(8, -(-n_rows // (shards * rows_per_block)))
-    width = -(-(2**63) // ranges)
-    dealt = stored(
-        dealt.withColumn("__out", F.col("__out").bitwiseAND(F.lit(2**63 - 1))).withColumn(
-            "__range", F.expr(f"cast(__out div {width} as int)")
-        ),
-        "sharded",
-    )
-    sizes = dealt.groupBy("shard", "__range").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("shard").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("shard", "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    out = F.col("out").bitwiseAND(F.lit(2**63 - 1))
+    dealt = dealt.select("v", "w", "shard", out.alias("out")).withColumn("range", F.expr(f"cast(out div {-(-(2**63) // ranges)} as int)"))
+    dealt = stored(dealt, "shard-dealt")
+    sizes = dealt.groupBy("shard", "range").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("shard", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     if shards * ranges <= BROADCAST_ENTRIES:
         starts = F.broadcast(starts)
-    rank = F.row_number().over(Window.partitionBy("shard", "__range").orderBy("__out"))
-    return (
-        dealt.withColumn("__rank", rank)
-        .join(starts, ["shard", "__range"])
-        .withColumn("slot", (F.col("__first") + F.col("__rank") - 1).cast("long"))
-        .select(*[f"`{c}`" for c in df.columns], "shard", "slot")
-    )
+    rank = F.row_number().over(Window.partitionBy("shard", "range").orderBy("out", "v", "w"))
+    slots = dealt.withColumn("rank", rank).join(starts, ["shard", "range"])
+    return stored(slots.select("v", "w", "shard", (F.col("first") + F.col("rank") - 1).cast("long").alias("slot")), "shard-slots")
+
+
+def shard(df: DataFrame, shards: int = 8, seed: int = 20_24, rows_per_block: int = 100_000, min_blocks: int = 48) -> DataFrame:
+    """df with int column shard and long column slot (from 0, gapless in each shard).
+
+    128 bits of a row's values, and its number among equal rows, seed the
+    permutations.  These keys alone are drawn, ranked and stored; then every
+    distinct row moves once, to meet the places drawn for it.  Nulls count as
+    values.  Input columns named shard or slot are replaced, others may have any
+    names.  Texts may have any length.  An empty table gives an empty table.
+    """
+    if shards < 1:
+        raise ValueError("shards must be positive")
+    kept = df.select(*columns(df, ("shard", "slot")))
+    rows = kept.select(identity(kept, seed * 31 + 4).alias("v"), identity(kept, seed * 31 + 5).alias("w"), packed(kept))
+    places = _assigned(rows.select("v", "w"), shards, seed, rows_per_block, min_blocks)
+    once = rows.dropDuplicates(["v", "w"])
+    return once.join(places, ["v", "w"]).select("row.*", "shard", "slot")
 
 
 def op4_hypergeometric_sharding(spark, sf_dir: str) -> DataFrame:
