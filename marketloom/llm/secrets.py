@@ -110,8 +110,10 @@ def _entropy_spans(found: str, k: EntropyClass, allow: tuple[str, ...], rank: in
                   + case when m.old is null then 0d else {c_log_c}[b.counts[m.old - 1] - 1] - {c_log_c}[b.counts[m.old - 1]] end end),
                 b,
                 (c, t) -> named_struct(
-                  'counts', case when m.old <=> m.new then c.counts else
-                     transform(c.counts, (n, j) -> n + int(j + 1 = m.new) - int(j + 1 <=> m.old)) end,
+                  'counts', case when m.old <=> m.new then c.counts
+                    when m.old is null then concat(slice(c.counts, 1, m.new - 1), array(c.counts[m.new - 1] + 1), slice(c.counts, m.new + 1, {len(k.alphabet)} - m.new))
+                    when m.new < m.old then concat(slice(c.counts, 1, m.new - 1), array(c.counts[m.new - 1] + 1), slice(c.counts, m.new + 1, m.old - m.new - 1), array(c.counts[m.old - 1] - 1), slice(c.counts, m.old + 1, {len(k.alphabet)} - m.old))
+                    else concat(slice(c.counts, 1, m.old - 1), array(c.counts[m.old - 1] - 1), slice(c.counts, m.old + 1, m.new - m.old - 1), array(c.counts[m.new - 1] + 1), slice(c.counts, m.new + 1, {len(k.alphabet)} - m.new)) end,
                   'total', t,
                   'first', case when i >= {k.width} and t <= {k.width * (log2(k.width) - k.bits)}d then coalesce(c.first, i - {k.width}) else c.first end,
                   'last', case when i >= {k.width} and t <= {k.width * (log2(k.width) - k.bits)}d then i else c.last end,
