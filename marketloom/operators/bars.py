@@ -80,6 +80,26 @@ def signature(df: DataFrame, widths: tuple[str, ...], order: Column) -> DataFram
     return rows.groupBy("symbol").pivot("width", list(widths)).agg(F.avg("rv"))
 
 
+def scale_to_finer(coarse: DataFrame, fine: DataFrame, per: int, least: int = 20) -> DataFrame:
+    """Measures of finer bars where there are any, else those of coarse bars, scaled.
+
+    The scale of each measure is its median ratio over the days that both have
+    (1 with fewer than `least`).  The two semivariances are shared out of the
+    scaled variance by the coarse ones, so their sum stays the variance.
+    """
+    names = ["rv", "rq", "bpv", "rsp", "rsn", "n"]
+    f = fine.select("symbol", "day", *[F.col(c).alias(f"f_{c}") for c in names])
+    rows = coarse.join(f, ["symbol", "day"], "left")
+    ratio = lambda c: F.when(F.col(c) > EPS, F.col(f"f_{c}") / F.col(c))
+    both = rows.where(F.col("f_rv").isNotNull() & (F.col("rv") > EPS))
+    scale = both.groupBy("symbol").agg(*[F.when(F.count(ratio(c)) >= least, F.percentile(ratio(c), F.lit(0.5))).alias(f"k_{c}") for c in names[:3]])
+    rows = rows.join(F.broadcast(scale), "symbol", "left")  # a row per symbol
+    made = {c: F.coalesce(f"f_{c}", F.col(c) * F.coalesce(f"k_{c}", F.lit(1.0))) for c in names[:3]}
+    share = F.coalesce(F.least(F.greatest(F.col("rsp") / F.greatest(F.col("rsp") + F.col("rsn"), F.lit(EPS)), F.lit(0.05)), F.lit(0.95)), F.lit(0.5))
+    parts = [F.coalesce("f_rsp", made["rv"] * share).alias("rsp"), F.coalesce("f_rsn", made["rv"] * (1 - share)).alias("rsn")]
+    return rows.select("symbol", "day", *[v.alias(c) for c, v in made.items()], *parts, F.coalesce("f_n", F.col("n") * per).cast("long").alias("n"), F.col("f_rv").isNull().alias("estimated"))
+
+
 def concentration(df: DataFrame, top: tuple[int, ...] = (1, 12), price: str = "close", ts: str = "ts") -> DataFrame:
     """How much of a day's realized variance its largest returns hold, and their HHI."""
     w = Window.partitionBy("symbol", "day").orderBy(ts)

@@ -33,11 +33,12 @@ def har_design(df: DataFrame, rv: str = "rv", ts: str = "day", month: int = 22,
     return rows.withColumn("lqv", F.col("lq") * F.col("lv"))
 
 
-def expanding_ols(df: DataFrame, x: list[str], y: str, ts: str = "day", window: int | None = None, least: int | None = None, ridge: float = RIDGE) -> DataFrame:
+def expanding_ols(df: DataFrame, x: list[str], y: str, ts: str = "day", window: int | None = None, least: int | None = None, ridge: float = RIDGE, residuals: bool = False) -> DataFrame:
     """df with beta (array: constant, then x): the fit on the rows before.
 
     window: only that many rows before.  Rows with a null in x or y don't
     count; beta is null until `least` rows do (default: twice the unknowns).
+    residuals: also n_fit and ssr, the sum of squared residuals.
     """
     names = ["__one", *x]
     valid = F.lit(True)
@@ -51,6 +52,8 @@ def expanding_ols(df: DataFrame, x: list[str], y: str, ts: str = "day", window:
             sums[f"__a{i}_{j}"] = F.sum(F.when(F.col("__ok"), F.col(a) * F.col(names[j]))).over(before)
         sums[f"__b{i}"] = F.sum(F.when(F.col("__ok"), F.col(a) * F.col(y))).over(before)
     sums["__n"] = F.count(F.when(F.col("__ok"), 1)).over(before)
+    if residuals:
+        sums["__s"] = F.sum(F.when(F.col("__ok"), F.col(y) * F.col(y))).over(before)
     rows = rows.withColumns(sums)
     k = len(names)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
@@ -72,7 +75,16 @@ def expanding_ols(df: DataFrame, x: list[str], y: str, ts: str = "day", window:
             yield pd.Series(out)
 
     beta = solve(*[F.col(f"__a{i}_{j}") for i, j in pairs], *[F.col(f"__b{i}") for i in range(k)], F.col("__n").cast("double"))
-    return rows.withColumn("beta", beta).drop(*sums, "__one", "__ok")
+    rows = rows.withColumn("beta", beta)
+    if residuals:  # y'y - 2 b'X'y + b'X'X b
+        b = [F.col("beta")[i] for i in range(k)]
+        ssr = F.col("__s")
+        for i in range(k):
+            ssr = ssr - 2 * b[i] * F.col(f"__b{i}")
+            for j in range(k):
+                ssr = ssr + b[i] * b[j] * F.col(f"__a{min(i, j)}_{max(i, j)}")
+        rows = rows.withColumns({"ssr": ssr, "n_fit": F.col("__n")})
+    return rows.drop(*sums, "__one", "__ok")
 
 
 def predict(df: DataFrame, x: list[str], name: str) -> DataFrame:

@@ -115,12 +115,22 @@ def levels(df: DataFrame, k: int = 2, tolerance: float = 0.0015, most: int = 6,
     hit = p.select("symbol", ts, F.explode(F.array(F.struct(F.col("swing_high").alias("on"), F.col("high").alias("p"), F.lit(1).alias("kind")), F.struct(F.col("swing_low").alias("on"), F.col("low").alias("p"), F.lit(-1).alias("kind")))).alias("x"))
     hit = hit.where("x.on = 1").select("symbol", F.unix_date(ts).cast("long").alias("t"), "x.p", "x.kind")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "p"])
-        got = rec.cluster_levels(pdf["p"].to_numpy(), pdf["t"].to_numpy(), tolerance, most)
-        return pd.DataFrame([(pdf["symbol"].iloc[0], i + 1, *x) for i, x in enumerate(got)], columns=["symbol", "rank", "level", "touches", "last"])
-
-    return hit.groupBy("symbol").applyInPandas(run, "symbol string, rank long, level double, touches long, last long")
+    # Hits in order of time, then price.  A hit joins the first level it is near
+    # to, whose mean it moves, or opens a level; so the order of levels matters
+    # and they are one array for each symbol.
+    hits = hit.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("t", "p"))).alias("hits"))
+    none = F.array().cast("array<struct<level:double,touches:bigint,last:bigint>>")
+
+    def joined(held: Column, x: Column) -> Column:
+        near = F.transform(held, lambda l: F.abs(l["level"] - x["p"]) <= tolerance * F.greatest(x["p"], F.lit(EPS)))
+        at = F.array_position(near, True)
+        moved = lambda l, i: F.when(i + 1 == at, F.struct(((l["level"] * l["touches"] + x["p"]) / (l["touches"] + 1)).alias("level"), (l["touches"] + 1).alias("touches"), x["t"].alias("last"))).otherwise(l)
+        opened = F.array(F.struct(x["p"].alias("level"), F.lit(1).cast("long").alias("touches"), x["t"].alias("last")))
+        return F.when(at > 0, F.transform(held, moved)).otherwise(F.concat(held, opened))
+
+    found = hits.select("symbol", F.explode(F.aggregate("hits", none, joined)).alias("l")).select("symbol", "l.*")
+    rank = F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("touches").desc(), F.col("last").desc(), "level"))
+    return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= most).select("symbol", "rank", "level", "touches", "last")
 
 
 def open_gaps(df: DataFrame, most: int = 12, ts: str = "day") -> DataFrame:

@@ -124,6 +124,20 @@ def position(df: DataFrame, s1: Column, s2: Column, stress: Column, mu: Column,
     return rows.withColumns({"f": f, "binding": why})
 
 
+def stopping_results(df: DataFrame, path: str, stops: str, most: float, cost: float, key: str = "symbol") -> DataFrame:
+    """Mean results per key of stopping at the first day whose sum is at least
+    the level for the days left (stops[n - 1] for n), of holding to the end of
+    the path and of closing half way; a day costs `cost`, gains end at `most`."""
+    n = F.size(path)
+    sums = F.transform(F.sequence(F.lit(0), n), lambda i: F.aggregate(F.slice(path, 1, i), F.lit(0.0), lambda a, v: a + v))
+    rows = df.withColumn("sums", sums)
+    out = F.filter(F.sequence(F.lit(0), n - 1), lambda h: F.get("sums", h) >= F.get(stops, n - h - 1))
+    rows = rows.withColumn("h", F.coalesce(F.get(out, F.lit(0)), n))
+    result = lambda h: F.least(F.get("sums", h), F.lit(most)) - cost * h
+    half = F.floor(n / 2).cast("int")
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg(result(F.col("h"))).alias("optimal"), F.avg("h").alias("mean_days"), F.avg(result(n)).alias("hold"), F.avg(result(half)).alias("five_days"))
+
+
 def journal_new(new: DataFrame, journal: DataFrame, last_known: DataFrame, keys: list[str]) -> DataFrame:
     """Forecast rows to append: for days after the last known one, and not yet written."""
     return new.join(last_known, "symbol").where(F.col("day") > F.col("last_day")).drop("last_day").join(journal.select(*keys), keys, "left_anti")

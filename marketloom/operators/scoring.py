@@ -162,14 +162,66 @@ def newey_west_dm(df: DataFrame, d: str, key: str, ts: str) -> DataFrame:
     return rows.groupBy(key).agg((F.first("__m") / F.sqrt(var / F.first("__n"))).alias("dm"), F.first("__n").alias("n"))
 
 
-def fdr(df: DataFrame, p: str, dependent: bool = False) -> DataFrame:
-    """Benjamini-Hochberg (dependent: Benjamini-Yekutieli) adjusted p-values."""
-    rows = df.withColumns({"__i": F.row_number().over(Window.orderBy(p)), "__n": F.count(F.lit(1)).over(Window.partitionBy())})
-    scale = F.aggregate(F.sequence(F.lit(1), F.col("__n").cast("int")), F.lit(0.0), lambda a, i: a + 1 / i) if dependent else F.lit(1.0)
-    raw = F.col(p) * F.col("__n") * scale / F.col("__i")
-    rows = rows.withColumn("__q", raw)
-    q = F.min("__q").over(Window.orderBy(F.col("__i").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("q", F.least(F.lit(1.0), q)).drop("__i", "__n", "__q")
+def fdr(df: DataFrame, p: str, dependent: bool = False, ranges: int = 4096) -> DataFrame:
+    """Benjamini-Hochberg (dependent: Benjamini-Yekutieli) adjusted p-values.
+
+    Equal p-values have equal results, so distinct ones are ranked: ranges of p
+    are counted first, and each range is ordered by itself, from the count of
+    the ranges before and with the least value of those after.
+    """
+    spark = df.sparkSession
+    counts = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("range", F.floor(F.col("p") * ranges).cast("int"))
+    sizes = counts.groupBy("range").agg(F.sum("n").alias("size"))
+    ordered = Window.orderBy("range")  # a row for each range
+    sizes = sizes.select("range", (F.sum("size").over(ordered) - F.col("size")).alias("before"), F.sum("size").over(Window.partitionBy()).alias("total"))
+    scale = F.lit(1.0)
+    if dependent:
+        total = counts.agg(F.sum("n")).first()[0] or 0
+        scale = F.lit(spark.range(1, total + 1).agg(F.sum(1 / F.col("id"))).first()[0])
+    own = Window.partitionBy("range").orderBy("p")
+    rows = counts.join(sizes, "range").withColumn("raw", F.col("p") * F.col("total") * scale / (F.col("before") + F.sum("n").over(own)))
+    least = rows.groupBy("range").agg(F.min("raw").alias("least"))
+    after = least.select("range", F.min("least").over(Window.orderBy(F.col("range").desc()).rowsBetween(Window.unboundedPreceding, -1)).alias("later"))
+    inside = F.min("raw").over(Window.partitionBy("range").orderBy(F.col("p").desc()))
+    q = rows.withColumn("inside", inside).join(after, "range").select(F.col("p").alias(p), F.least(F.lit(1.0), "inside", "later").alias("q"))
+    return df.join(q, p, "left")
+
+
+def weighted_quantile(df: DataFrame, value: str, weight: str, level: float, key: str, ts: str) -> DataFrame:
+    """Per key, the least value at which the share of weight reaches the level, and the plain quantile."""
+    w = Window.partitionBy(key)
+    upto = F.sum(weight).over(w.orderBy(value, ts)) / F.sum(weight).over(w)
+    rows = df.withColumn("upto", upto)
+    return rows.groupBy(key).agg(F.coalesce(F.min(F.when(F.col("upto") >= level, F.col(value))), F.max(value)).alias(f"q{int(level * 100)}"), F.percentile(value, F.lit(level)).alias("plain"))
+
+
+def permuted_runs(df: DataFrame, value: str, run: int, draws: int, key: str = "symbol", place: str = "place") -> DataFrame:
+    """key, draw, place, value: the values in `draws` orders of runs of `run`
+    rows.  The order is that of a hash, so it is the same on every run; draws of
+    a key are ordered apart."""
+    rows = df.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    h = F.md5(F.concat_ws("|", key, "draw", F.floor(F.col(place) / run).cast("string")))
+    moved = F.row_number().over(Window.partitionBy(key, "draw").orderBy("h", place)) - 1
+    return rows.withColumn("h", h).withColumn("moved", moved).select(key, "draw", F.col("moved").alias(place), value)
+
+
+def crps_student4(y: Column, scale: Column, key: list[str], paths: int) -> Column:
+    """CRPS of scale x Student t (4) from `paths` draws: E|X - y| less half of E|X - X'|.
+    Uniform numbers are digits of hashes of the key; a normal over the root of a
+    chi-square, both made of logarithms, is the draw."""
+    half = lambda h, at: (F.conv(F.substring(h, at, 13), 16, 10).cast("bigint") + 0.5) / F.lit(float(2**52))
+    text = [F.col(c).cast("string") for c in key]
+
+    def draw(j: Column) -> Column:
+        a, b = (F.md5(F.concat_ws("|", *t, j.cast("string"))) for t in (text, text[::-1]))
+        normal = F.sqrt(-2 * F.ln(half(a, 1))) * F.cos(2 * math.pi * half(a, 14))
+        return scale * normal / F.sqrt(-2 * (F.ln(half(b, 1)) + F.ln(half(b, 14))) / 4)
+
+    x = F.transform(F.sequence(F.lit(1), F.lit(paths)), draw)
+    mean = lambda a, n: F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / n
+    apart = F.zip_with(F.slice(x, 1, paths // 2), F.slice(x, paths // 2 + 1, paths // 2), lambda a, b: F.abs(a - b))
+    return mean(F.transform(x, lambda v: F.abs(v - y)), paths) - 0.5 * mean(apart, paths // 2)
 
 
 def step_down(statistics: np.ndarray, null: np.ndarray) -> np.ndarray:

@@ -410,9 +410,9 @@ def articles(spark, sf):
     return p.select("page_id", F.md5("text").alias("text_md5"), F.length("text").alias("chars"))
 
 
-@query("src13_text_corpus", "select doc_id, length(text) as chars from documents where length(text) > 500")
+@query("src13_text_corpus", r"select doc_id, length(t)::bigint as chars from (select doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') as t from documents) where length(t) > 500")
 def corpus(spark, sf):
-    return frames.table(spark, sf, "documents").where(F.length("text") > 500).select("doc_id", F.length("text").cast("long").alias("chars"))
+    return readers.long_enough(frames.table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.length("text").cast("long").alias("chars"))
 
 
 @query("src10_shortest_name", "select code, name from (select n_regionkey as code, n_name as name, row_number() over (partition by n_regionkey order by length(n_name), n_name) as k from nation) where k = 1")
@@ -421,12 +421,26 @@ def shortest(spark, sf):
     return n.groupBy(F.col("n_regionkey").alias("code")).agg(F.min_by("n_name", F.struct(F.length("n_name"), "n_name")).alias("name"))
 
 
-@query("src08_json_props", "select event_id, cast(json_extract(props, '$.k') as bigint) as k from events")
-def json_props(spark, sf):
-    return frames.table(spark, sf, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+@query("src08_chart_rows", "select epoch(date_trunc('second', ts))::bigint as at, round(value, 6) as open, round(value + 1, 6) as high, round(value - 1, 6) as low, round(value, 6) as close from events where event_id % 7 <> 0 and value is not null")
+def chart_rows(spark, sf):
+    """A columnar answer for each symbol and day, parsed; rows with a missing price go."""
+    e = frames.ticks(spark, sf).select("symbol", F.to_date("ts").alias("day"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t"), "id", F.when(F.col("id") % 7 != 0, F.col("price")).alias("p"))
+    x = F.sort_array(F.collect_list(F.struct("t", "id", "p")))
+    days = e.groupBy("symbol", "day").agg(x.alias("x"))
+    part = lambda f: F.transform("x", f)
+    quote = F.array(F.struct(part(lambda v: v["p"]).alias("open"), part(lambda v: v["p"] + 1).alias("high"), part(lambda v: v["p"] - 1).alias("low"), part(lambda v: v["p"]).alias("close")))
+    result = F.array(F.struct(part(lambda v: v["t"]).alias("timestamp"), F.struct(quote.alias("quote")).alias("indicators")))
+    payload = days.select(F.to_json(F.struct(F.struct(result.alias("result")).alias("chart"))).alias("json"))
+    return rounded(readers.chart_rows(payload).select(F.unix_timestamp("ts").alias("at"), "open", "high", "low", "close"))
 
 
-@query("src14_split_quote", "select p_partkey, (cast(floor(p_retailprice) as bigint) || '.' || lpad(cast(p_partkey % 100 as varchar), 2, '0'))::double as mid from part")
-def split_quote(spark, sf):
+@query("src14_live_quotes", """with q as (select p_partkey as k, floor(p_retailprice)::bigint as big, lpad((p_partkey % 100)::varchar, 2, '0')::integer as pips from part where p_partkey % 5 <> 0 and p_partkey % 7 <> 0)
+  select 'P' || k as pair, k * 1000 as at, round(big + pips / 100::double, 6) as bid, round(big + 1 + pips / 100::double, 6) as ask, round(big + 0.5 + pips / 100::double, 6) as mid from q""")
+def live_quotes(spark, sf):
+    """Quotes of nine fields; a line without a field, or with a broken one, goes."""
     p = frames.table(spark, sf, "part")
-    return p.select("p_partkey", readers.split_quote(F.concat(F.floor("p_retailprice").cast("string"), F.lit(".")), F.lpad((F.col("p_partkey") % 100).cast("string"), 2, "0")).alias("mid"))
+    big, key = F.floor("p_retailprice"), F.col("p_partkey")
+    pips = F.when(key % 7 == 0, F.lit("x1")).otherwise(F.lpad((key % 100).cast("string"), 2, "0"))
+    fields = [F.concat(F.lit("P"), key.cast("string")), (key * 1000 * 1000).cast("string"), F.concat(big.cast("string"), F.lit(".")), pips, F.concat((big + 1).cast("string"), F.lit(".")), pips, F.lit("0"), F.lit("0")]
+    line = F.concat(F.concat_ws(",", *fields), F.when(key % 5 == 0, F.lit("")).otherwise(F.lit(",0")))
+    return rounded(readers.live_quotes(p.select(line.alias("value"))).select("pair", F.unix_timestamp("ts").alias("at"), "bid", "ask", "mid"))

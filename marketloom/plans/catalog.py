@@ -30,7 +30,5 @@ def rounded(df: DataFrame, digits: int = 6, **more: int) -> DataFrame:
 
 
 def load() -> None:
-    from marketloom.plans import bar_queries, forecast_queries, relational_queries, research_queries, score_queries, sequence_queries, tail_queries  # noqa: F401
-
-
-load()
+    """Import the query modules; each can also be imported on its own."""
+    from marketloom.plans import adaptive_queries, bar_queries, forecast_queries, relational_queries, research_queries, score_queries, sequence_queries, tail_queries  # noqa: F401

@@ -167,27 +167,31 @@ def yearly_refit(spark, sf):
     return rounded(s.select("symbol", "year", "slope", ((F.col("y") - F.col("slope") * F.col("x")) / F.col("n")).alias("intercept")), 5)
 
 
-@query("har21_22_spillover")
+@query("har21_spillover")
 def spillover(spark, sf):
     """VAR(1) of log variances and its generalised decomposition, refit by year."""
-    v = log_variance(spark, sf).groupBy("day").pivot("symbol", ["A", "N", "R"]).agg(F.first("lv")).dropna()
-    years = v.withColumn("upto", F.explode(F.sequence(F.year("day") + 1, F.lit(2002)))).where("upto <= 2001")
+    v = log_variance(spark, sf).select("symbol", "day", "lv", F.year("day").alias("year"))
+    last = F.broadcast(v.agg(F.max("year").alias("last")))  # one row
+    years = v.crossJoin(last).withColumn("upto", F.explode(F.sequence(F.col("year") + 1, F.greatest("year", F.col("last")) + 1))).where("upto <= last")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("day")[["A", "N", "R"]].to_numpy()
+        wide = pdf.pivot(index="day", columns="symbol", values="lv").sort_index().dropna()
+        names, x = list(wide.columns), wide.to_numpy()
+        m = len(names)
+        if len(x) < 2 * (m + 1):
+            return pd.DataFrame({"year": [], "to": [], "from": [], "share": []})
         z = np.c_[np.ones(len(x) - 1), x[:-1]]
-        b = np.linalg.solve(z.T @ z + forecast.RIDGE * np.eye(4), z.T @ x[1:])
+        b = np.linalg.solve(z.T @ z + forecast.RIDGE * np.eye(m + 1), z.T @ x[1:])
         e = x[1:] - z @ b
-        s, a, step = e.T @ e / len(e), b[1:].T, np.eye(3)
-        num, den = np.zeros((3, 3)), np.zeros(3)
+        s, a, step = e.T @ e / len(e), b[1:].T, np.eye(m)
+        num, den = np.zeros((m, m)), np.zeros(m)
         for _ in range(10):
             num += (step @ s) ** 2 / np.diag(s)[None, :]
             den += np.diag(step @ s @ step.T)
             step = a @ step
         share = num / den[:, None]
         share /= share.sum(1, keepdims=True)
-        names = "ANR"
-        return pd.DataFrame([(int(pdf["upto"].iloc[0]), names[i], names[j], float(share[i, j])) for i in range(3) for j in range(3)], columns=["year", "to", "from", "share"])
+        return pd.DataFrame([(int(pdf["upto"].iloc[0]), names[i], names[j], float(share[i, j])) for i in range(m) for j in range(m)], columns=["year", "to", "from", "share"])
 
     return years.groupBy("upto").applyInPandas(run, "year int, to string, from string, share double")
 
@@ -246,16 +250,20 @@ EDGE = "(band / sigma * sqrt(1.5))"
 
 @query("p307_student_classes", S + f" select symbol, day, round({ssql.t6_cdf('-' + EDGE)}, 6) as p0, round({ssql.t6_cdf(EDGE)} - {ssql.t6_cdf('-' + EDGE)}, 6) as p1, round(1 - {ssql.t6_cdf(EDGE)}, 6) as p2 from d where band is not null and sigma is not null")
 def student(spark, sf):
-    """Class probabilities of a scaled Student t with 6 degrees of freedom."""
+    t = student_probabilities(targets(spark, sf).where("band is not null and sigma is not null"))
+    return rounded(t.select("symbol", "day", "p0", "p1", "p2"))
 
-    def below(x):  # of a t with deviation 1; for 6 degrees of freedom the integral is closed
+
+def student_probabilities(rows):
+    """p0, p1, p2 of a scaled Student t with 6 degrees of freedom, whose integral is closed."""
+
+    def below(x):  # of a t with deviation 1
         t2 = x * x * 1.5
         c2 = 6 / (6 + t2)
         return 0.5 + x * 1.5**0.5 / F.sqrt(6 + t2) / 2 * (1 + c2 / 2 + 0.375 * c2 * c2)
 
-    t = targets(spark, sf).where("band is not null and sigma is not null")
     edge = F.col("band") / F.col("sigma")
-    return rounded(t.select("symbol", "day", below(-edge).alias("p0"), (below(edge) - below(-edge)).alias("p1"), (1 - below(edge)).alias("p2")))
+    return rows.withColumns({"p0": below(-edge), "p1": below(edge) - below(-edge), "p2": 1 - below(edge)})
 
 
 @query("p308_regime_cdf", S + ", e as (select symbol, regime, count(*) as n, avg((rh / (sigma * sqrt(5) * c) <= -0.43)::integer) as p0, avg((rh / (sigma * sqrt(5) * c) > 0.43)::integer) as p2 from d where day < date '1999-10-13' and rh is not null and sigma is not null group by 1, 2 having count(*) >= 50) select symbol, regime::integer as regime, n, round(p0, 6) as p0, round(1 - p0 - p2, 6) as p1, round(p2, 6) as p2 from e")
@@ -285,20 +293,6 @@ def online_mixture(spark, sf):
     return rounded(ind.per_symbol(binned(spark, sf).select("symbol", "day", F.col("bin").cast("double").alias("y")), ["y"], dict.fromkeys(("p0", "p1", "p2", "w0"), "double"), f))
 
 
-@query("p311_temperature", BINS + ", t as (select symbol, day, 0.5::double as p0, 0.3::double as p1, 0.2::double as p2 from b where bin is not null), s as (select symbol, day, sqrt(p0) as a, sqrt(p1) as b, sqrt(p2) as c from t) select symbol, count(*) as n, round(avg(a / (a + b + c)), 6) as p0, round(avg(c / (a + b + c)), 6) as p2 from s group by 1")
-def temperature(spark, sf):
-    rows = binned(spark, sf).where("bin is not null")
-    p = [F.pow(F.lit(x), F.lit(1 / 2.0)) for x in (0.5, 0.3, 0.2)]
-    total = p[0] + p[1] + p[2]
-    return rounded(rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.avg(p[0] / total).alias("p0"), F.avg(p[2] / total).alias("p2")))
-
-
-@query("p312_regime_switch", S + f" select symbol, regime::integer as regime, count(*) as n, round(avg(case when regime = 2 then c else 1 end), 5) as used from d where regime is not null group by 1, 2")
-def regime_switch(spark, sf):
-    t = targets(spark, sf).where("regime is not null")
-    return rounded(t.groupBy("symbol", "regime").agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("regime") == 2, F.col("c")).otherwise(1.0)).alias("used")), 5)
-
-
 @query("p313_stacked_classifier")
 def stacked(spark, sf):
     from pyspark.ml.classification import LogisticRegression

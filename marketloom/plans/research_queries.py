@@ -232,12 +232,31 @@ def event_study(spark, sf):
     return rounded(rows.groupBy("symbol", "event").agg(F.count(F.lit(1)).alias("n"), F.percentile(F.abs("r") / F.col("med"), F.lit(0.5)).alias("ratio"), F.avg((F.col("r") > 0).cast("double")).alias("up")))
 
 
-@query("evt03_weekend_gap", f"""with {frames.OTHER_DAILY}, g as (select symbol, day - lag(day) over w as gap, ln(open) - ln(lag(close) over w) as jump, stddev_samp(ln(close) - ln(open)) over (partition by symbol) as s from other_daily window w as (partition by symbol order by day))
-  select symbol, count(*) as n, round(quantile_cont(abs(jump), 0.95), 6) as q95, round(avg((abs(jump) > 1.5)::integer), 6) as beyond from g where gap >= 2 group by 1""")
-def weekend_gap(spark, sf):
+GAPS = f"""with {frames.OTHER_DAILY}, g as (select symbol, day, day - lag(day) over w as days, ln(open) - ln(lag(close) over w) as jump, ln(close) - ln(lag(close) over w) as r from other_daily window w as (partition by symbol order by day)),
+  s as (select *, case when count(r) over w = 20 then stddev_samp(r) over w end as sigma from g window w as (partition by symbol order by day rows between 20 preceding and 1 preceding)), z as (select symbol, days >= 3 as weekend, abs(jump) / sigma as z from s where jump is not null and sigma > 0)"""
+
+
+def gaps(spark, sf):
+    """weekend (three days or more since the bar before) and z, the size of the opening jump in deviations."""
     w = ind.w()
-    g = frames.other_daily(spark, sf).select("symbol", F.datediff("day", F.lag("day").over(w)).alias("gap"), (F.ln("open") - F.ln(F.lag("close").over(w))).alias("jump")).where("gap >= 2")
-    return rounded(g.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.percentile(F.abs("jump"), F.lit(0.95)).alias("q95"), F.avg((F.abs("jump") > 1.5).cast("double")).alias("beyond")))
+    g = frames.other_daily(spark, sf).select("symbol", "day", F.datediff("day", F.lag("day").over(w)).alias("days"), (F.ln("open") - F.ln(F.lag("close").over(w))).alias("jump"), (F.ln("close") - F.ln(F.lag("close").over(w))).alias("r"))
+    o = w.rowsBetween(-20, -1)
+    s = g.withColumn("sigma", F.when(F.count("r").over(o) == 20, F.stddev_samp("r").over(o))).where("jump is not null and sigma > 0")
+    return s.select("symbol", (F.col("days") >= 3).alias("weekend"), (F.abs("jump") / F.col("sigma")).alias("z"))
+
+
+@query("evt03_weekend_gap", GAPS + " select symbol, weekend, count(*) as n, round(quantile_cont(z, 0.5), 6) as median, round(quantile_cont(z, 0.9), 6) as p90, round(quantile_cont(z, 0.99), 6) as p99, round(max(z), 6) as most from z group by 1, 2")
+def weekend_gap(spark, sf):
+    q = lambda p: F.percentile("z", F.lit(p))
+    return rounded(gaps(spark, sf).groupBy("symbol", "weekend").agg(F.count(F.lit(1)).alias("n"), q(0.5).alias("median"), q(0.9).alias("p90"), q(0.99).alias("p99"), F.max("z").alias("most")))
+
+
+@query("evt03_stop_jumps", GAPS + " select weekend, k::double as stop, count(*) as n, round(avg((z > k)::integer), 6) as jumped, round(coalesce(avg(case when z > k then z - k end), 0), 6) as beyond from z, (values (1.0), (1.5), (2.0), (3.0)) v(k) group by 1, k")
+def stop_jumps(spark, sf):
+    """How often a jump passes a stop of so many deviations, and how far beyond it goes."""
+    rows = gaps(spark, sf).withColumn("stop", F.explode(F.array(*[F.lit(k) for k in (1.0, 1.5, 2.0, 3.0)])))
+    over = F.col("z") > F.col("stop")
+    return rounded(rows.groupBy("weekend", "stop").agg(F.count(F.lit(1)).alias("n"), F.avg(over.cast("double")).alias("jumped"), F.coalesce(F.avg(F.when(over, F.col("z") - F.col("stop"))), F.lit(0.0)).alias("beyond")))
 
 
 COST = f"""with c as (select case when ts < timestamp '2024-01-16' then 'first' else 'second' end as regime, event_type as symbol, hour(ts)::integer as hour, quantile_cont(value, 0.5) as med, quantile_cont(value, 0.95) as p95, count(*) as n from events group by 1, 2, 3),

@@ -205,7 +205,7 @@ def adaptive(spark, sf):
     from marketloom.functions import recursive as rec
 
     def f(r):
-        a, p = rec.adaptive_tail(r, 0.05), rec.adaptive_tail(r, 0.05, gains=(0.01, 0.001, 0.002, 0.98))
+        a, p = rec.adaptive_tail(r, 0.05), rec.adaptive_tail(r, 0.05, rec.three_terms(0.05, 0.01, 0.001, 0.002, 0.98))
         return {"aci_q": a[0], "aci_es": a[1], "aci_level": a[2], "pid_q": p[0], "pid_es": p[1], "pid_level": p[2]}
 
     r = returns(spark, sf).where("r is not null")

@@ -100,14 +100,16 @@ def levels(spark, sf):
 
 @query(
     "ind19_open_gaps",
-    D + """, x as (select *, lag(high) over w as h0, lag(low) over w as l0, lead(high) over w as h2, lead(low) over w as l2, min(low) over f as ll, max(high) over f as hl from daily
+    D + """, drift as (select symbol, day, high + 500 * k as high, low + 500 * k as low from (select *, row_number() over (partition by symbol order by day) as k from daily)), x as (select *, lag(high) over w as h0, lag(low) over w as l0, lead(high) over w as h2, lead(low) over w as l2, min(low) over f as ll, max(high) over f as hl from drift
       window w as (partition by symbol order by day), f as (partition by symbol order by day rows between 2 following and unbounded following)),
     g as (select symbol, day, case when l2 > h0 then 1 when h2 < l0 then -1 end as side, case when l2 > h0 then h0 else h2 end as bottom, case when l2 > h0 then l2 else l0 end as top, ll, hl from x),
     k as (select *, row_number() over (partition by symbol order by day desc) as k from g where side is not null and not coalesce(case when side = 1 then ll <= bottom else hl >= top end, false))
     select symbol, day, side, bottom, top from k where k <= 12""",
 )
 def open_gaps(spark, sf):
-    return ind.open_gaps(frames.daily(spark, sf))
+    # Prices here have no trend, which would close every gap; a drift leaves some open.
+    drift = 500 * F.row_number().over(ind.w())
+    return ind.open_gaps(frames.daily(spark, sf).withColumns({"high": F.col("high") + drift, "low": F.col("low") + drift}))
 
 
 @query(

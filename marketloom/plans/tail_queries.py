@@ -40,12 +40,12 @@ def caviar(spark, sf):
 @query("var11_score_driven_scale")
 def score_scale(spark, sf):
     def f(s, z):
-        th = tails.fit_score_scale(z[:800], tries=40)
-        scale = tails.score_scale(z, *th, 6.0, float(z[:800].std()))
+        response, memory, level = tails.fit_scale(z[:800])
+        scale = tails.scale_paths(z, np.array([response]), np.array([memory]), 6.0, level)[:, 0]
         q = special.t_quantile(0.05, 6.0) * scale
-        return pd.DataFrame([(s, *map(float, th), float((z <= q).mean()))], columns=["symbol", "omega", "alpha", "beta", "rate"])
+        return pd.DataFrame([(s, response, memory, level, float((z <= q).mean()))], columns=["symbol", "response", "memory", "level", "rate"])
 
-    return _fits(spark, sf, f, "symbol string, omega double, alpha double, beta double, rate double")
+    return _fits(spark, sf, f, "symbol string, response double, memory double, level double, rate double")
 
 
 @query("var08_quantile_tracking", ssql.tracking(RETURNS))

@@ -98,10 +98,25 @@ def split_quote(big: Column, small: Column) -> Column:
     return F.concat(big, small).try_cast("double")
 
 
+def live_quotes(lines: DataFrame, line: str = "value") -> DataFrame:
+    """pair, ts, bid, ask, mid of lines of nine fields: pair, milliseconds, and
+    the big figure and pips of bid and ask; lines without them go."""
+    part = F.split(F.trim(line), ",")
+    get = lambda i: F.get(part, F.lit(i))
+    rows = lines.where(F.size(part) == 9).select(
+        get(0).alias("pair"), F.timestamp_millis(get(1).try_cast("bigint")).alias("ts"), split_quote(get(2), get(3)).alias("bid"), split_quote(get(4), get(5)).alias("ask")
+    )
+    return rows.dropna().withColumn("mid", (F.col("bid") + F.col("ask")) / 2)
+
+
 def text_corpus(spark: SparkSession, path: str, least: int = 500) -> DataFrame:
-    """name, text of whole text files of more than `least` characters."""
+    """name, text of whole text files of more than `least` characters; space at the ends goes."""
     rows = spark.read.text(path, wholetext=True).withColumn("name", F.regexp_extract(F.input_file_name(), r"([^/]+)\.[^.]*$", 1))
-    return rows.where(F.length("value") > least).select("name", F.col("value").alias("text"))
+    return long_enough(rows.withColumnRenamed("value", "text"), least).select("name", "text")
+
+
+def long_enough(texts: DataFrame, least: int = 500) -> DataFrame:
+    return texts.withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", "")).where(F.length("text") > least)
 
 
 def article_text(html: Column, least: int = 500) -> Column:

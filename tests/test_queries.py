@@ -4,6 +4,8 @@ import decimal
 import glob
 import math
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -53,3 +55,10 @@ def test_same_rows_as_sql(spark, duck, name):
 def test_entry(spark):
     assert len(entry.entry(spark).collect()) > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+    for name, sql in entry.oracle_sql().items():
+        assert isinstance(sql, str) and sql.strip().lower().startswith(("select", "with")), name
+
+
+@pytest.mark.parametrize("name", ["adaptive", "bar", "forecast", "relational", "research", "score", "sequence", "tail"])
+def test_modules_import_on_their_own(name):
+    subprocess.run([sys.executable, "-c", f"import marketloom.plans.{name}_queries"], check=True, cwd=os.path.dirname(os.path.abspath(entry.__file__)))
