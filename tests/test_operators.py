@@ -66,8 +66,8 @@ def test_delayed_mixture_uses_only_known_outcomes():
 def test_adaptive_tail_reaches_its_rate():
     rng = np.random.default_rng(3)
     z = rng.standard_t(4, 3000) * np.where(np.arange(3000) > 1500, 2.0, 1.0)
-    for gains in (None, (0.01, 0.001, 0.002, 0.98)):
-        q, es, level = rec.adaptive_tail(z, 0.05, gains=gains)
+    for respond in (None, rec.three_terms(0.05, 0.01, 0.001, 0.002, 0.98)):
+        q, es, level = rec.adaptive_tail(z, 0.05, respond)
         ok = np.isfinite(q)
         assert abs((z[ok] <= q[ok]).mean() - 0.05) < 0.015
         assert (es[ok] <= q[ok] + 1e-12).all() and ((level[ok] > 0) & (level[ok] < 1)).all()
