@@ -45,3 +45,83 @@ s as (select query_id, doc_id, round(sum(q.w * tf * 2.2 / (tf + 1.2 * (0.25 + 0.
 r as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from s)
 select query_id, rank::integer as rank, doc_id, score from r where rank <= 10
 """
+
+
+def _spans(kind: int, pattern: str, group: int, least: int) -> str:
+    return f"select doc_id, {kind} as rank, {least} as least, regexp_extract_all(t, '{pattern}', 0) as m, regexp_extract_all(t, '{pattern}', {group}) as g, string_split_regex(t, '{pattern}') as s from d"
+
+
+#: Runs of base64 characters, and runs of letters and digits: the entropy candidates.
+RUNS = {3: r"[A-Za-z0-9+/_=-]{24,}", 4: r"[0-9A-Za-z]{16,}"}
+ALLOWED = " or ".join(f"regexp_matches(piece, '{p}')" for p in (r"(?i)example", r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", r"(?i)0123456789abcdef|fedcba9876543210|abcdefghijklmnop", r"(?i)deadbeefdeadbeef"))
+
+
+def _entropy(name: str, width: int, bits: float, fold: str) -> str:
+    """Windows of a run whose sum of c * log2(c) is small enough, as the span from the first to the last."""
+    c_log_c = "list_sum(list_transform(map_values(list_histogram(x[i:i + {w} - 1])), lambda c: c * log2(c)))".format(w=width)
+    return f"""{name}w as (select doc_id, start, len(x) as n, x, unnest(range(1, len(x) - {width} + 2)) as i from (select doc_id, start, string_split({fold}, '') as x from {name})),
+      {name}e as (select doc_id, start + min(i) - 1 as start, start + max(i) + {width} - 1 as stop from (select doc_id, start, i, {c_log_c} as t from {name}w) where t <= {width} * (log2({width}) - {bits}) + 1e-9 group by doc_id, start)"""
+
+
+OP1 = rf"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+b as ({_spans(0, """(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 8)} union all {_spans(1, 'AKIA[A-Z0-9]+', 0, 16)} union all {_spans(2, '[0-9a-f]+', 0, 32)}
+  union all {_spans(3, RUNS[3], 0, 24)} union all {_spans(4, RUNS[4], 0, 16)}),
+p as (select doc_id, rank, least, m, g, s, unnest(range(1, len(m) + 1)) as i from b),
+q as (select doc_id, rank, m[i] as piece, coalesce(list_sum(list_transform(s[1:i], lambda x: length(x))), 0)::bigint + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)::bigint as start from p where length(g[i]) >= least),
+a as (select doc_id, rank, start::integer as start, (start + length(piece))::integer as stop, piece from q),
+base as (select doc_id, rank, start, stop from a where rank < 3),
+h as (select * from a where rank = 4 and regexp_full_match(piece, '[0-9A-Fa-f]+') and regexp_matches(piece, '[0-9]') and regexp_matches(piece, '[A-Fa-f]') and not ({ALLOWED})),
+r as (select * from a where rank = 3 and regexp_matches(piece, '[0-9]') and regexp_matches(piece, '[A-Z]') and regexp_matches(piece, '[a-z]') and not ({ALLOWED})),
+{_entropy('h', 16, 2.75, 'lower(piece)')}, {_entropy('r', 24, 3.9, 'piece')},
+e as (select doc_id, 3 as rank, start, stop from he union select doc_id, 3, start, stop from re where not exists (select 1 from he where he.doc_id = re.doc_id and he.start <= re.start and re.stop <= he.stop)),
+x as (select * from base union all select * from e where not exists (select 1 from base where base.doc_id = e.doc_id and base.start <= e.start and e.stop <= base.stop)),
+n as (select doc_id, rank, start, stop, ['assign', 'access', 'hex', 'entropy'][rank + 1] || ':' || start || ':' || stop as said from x)
+select d.doc_id, count(*) filter (rank = 0) as n_assign, count(*) filter (rank = 1) as n_access, count(*) filter (rank = 2) as n_hex, sha256(coalesce(string_agg(said, ',' order by start, rank, stop) filter (rank < 3), '')) as base_sha256,
+  coalesce(string_agg(said, ',' order by start, rank, stop), '') as spans, count(*) filter (rank = 3) as n_entropy from d left join n on n.doc_id = d.doc_id group by d.doc_id
+"""
+
+
+def _discounted(k: int) -> str:
+    """CTEs of order k: n{k} with cut, x{k} (contexts), p{k} (probabilities by interpolation)."""
+    cut = "case when c = 1 then d1 when c = 2 then d2 else d3 end"
+    made = f"""f{k} as (select count(*) filter (c = 1)::double as n1, count(*) filter (c = 2)::double as n2, count(*) filter (c = 3)::double as n3, count(*) filter (c = 4)::double as n4 from c{k}),
+      y{k} as (select *, n1 / (n1 + 2 * n2) as y from f{k}), e{k} as (select case when n1 = 0 or n2 = 0 then 0.5 else least(greatest(1 - 2 * y * n2 / n1, 0.05), 0.95) end as d1, case when n1 = 0 or n2 = 0 then 0.75 else least(greatest(2 - 3 * y * n3 / n2, 0.05), 1.9) end as d2,
+        case when n1 = 0 or n2 = 0 then 0.9 when n3 > 0 then least(greatest(3 - 4 * y * n4 / n3, 0.05), 2.9) else least(greatest(2 - 3 * y * n3 / n2, 0.05), 2.9) end as d3 from y{k}),
+      n{k} as (select g, c::double as c, left(g, {2 * k - 2}) as x, substr(g, 3) as s, {cut} as cut from c{k}, e{k})"""
+    if k == 1:
+        return made + ", z1 as (select sum(c) as total, sum(cut) as spared from n1), p1 as (select v as g, greatest(coalesce(c - cut, 0), 0) / total + spared / total / 256 as p from (select lpad(to_hex(unnest(range(256))), 2, '0') as v) left join n1 on n1.g = v, z1)"
+    return made + f", x{k} as (select x, sum(c) as total, sum(cut) / sum(c) as leave from n{k} group by 1), p{k} as (select n.g, (c - cut) / total + leave * l.p as p from n{k} n join x{k} using (x) join p{k - 1} l on l.g = n.s)"
+
+
+def _backed_off(k: int) -> str:
+    """What is open at order k: found in p{k}, or it leaves the context."""
+    rest = "0.0::double" if k == 5 else f"o{k + 1}.bits"
+    source = "m" if k == 5 else f"o{k + 1}"
+    where = "" if k == 5 else f" where not o{k + 1}.done"
+    if k == 1:
+        return "o1 as (select o2.g, o2.bits - log2(p1.p) as bits from o2 join p1 on p1.g = right(o2.g, 2) where not o2.done)"
+    return f"o{k} as (select {source}.g, {rest} + case when p.p is not null then -log2(p.p) else coalesce(-log2(x.leave), 0) end as bits, p.p is not null as done from {source} left join p{k} p on p.g = right({source}.g, {2 * k}) left join x{k} x on x.x = left(right({source}.g, {2 * k}), {2 * k - 2}){where})"
+
+
+#: Whether crc32 of the id's digits is divisible by 5: eight steps for each byte.
+HELD = """xor(list_reduce(list_concat([4294967295::bigint], flatten(list_transform(string_split(doc_id::varchar, ''), lambda c: [ascii(c)::bigint, 0, 0, 0, 0, 0, 0, 0]))),
+  lambda c, x: xor(xor(c, x) >> 1, case when xor(c, x) & 1 = 1 then 3988292384 else 0 end)), 4294967295) % 5 = 0"""
+
+OP6 = f"""
+with t as (select doc_id from (select doc_id, min(quality) as q from labels group by 1) where q = 1 and doc_id is not null),
+d as (select row_number() over () as i, doc_id, lang, text from documents), h as (select i, doc_id, string_split(hex(encode(text)), '') as x from d where text <> ''),
+b as (select i, doc_id, list_concat(['00', '00', '00', '00'], list_transform(range(1, len(x) // 2 + 1), lambda j: x[2 * j - 1] || x[2 * j])) as b from h),
+r as (select i, doc_id, unnest(list_transform(range(1, len(b) - 3), lambda j: b[j] || b[j + 1] || b[j + 2] || b[j + 3] || b[j + 4])) as g from b),
+u as (select distinct doc_id, {HELD} as held from t),
+c5 as (select g, count(*) as c from r where doc_id in (select doc_id from u where not held) group by 1), {', '.join(f'c{k} as (select substr(g, 3) as g, count(*) as c from c{k + 1} group by 1)' for k in (4, 3, 2, 1))},
+{', '.join(_discounted(k) for k in range(1, 6))}, m as (select distinct g from r), {', '.join(_backed_off(k) for k in (5, 4, 3, 2, 1))},
+w as ({' union all '.join(f'select g, bits from o{k} where done' for k in (5, 4, 3, 2))} union all select g, bits from o1),
+s as (select r.i, sum(bits) / count(*) as bits from r join w using (g) group by 1),
+a as (select d.i, d.doc_id, d.lang, 2 ** bits as perplexity from d left join s on s.i = d.i),
+k as (select coalesce(lang, chr(1)) as lang, perplexity as p from a where perplexity is not null and doc_id in (select doc_id from u where held)),
+o as (select lang, p, row_number() over (partition by lang order by p) as i, count(*) over (partition by lang) as n, row_number() over (order by p) as j, count(*) over () as m from k),
+l as (select lang, least(min(p) filter (i >= ceil(0.995 * n)), min(p) filter (i >= ceil(0.75 * n)) + 3 * (min(p) filter (i >= ceil(0.75 * n)) - min(p) filter (i >= ceil(0.25 * n)))) as own from o group by 1),
+f as (select least(min(p) filter (j >= ceil(0.995 * m)), min(p) filter (j >= ceil(0.75 * m)) + 3 * (min(p) filter (j >= ceil(0.75 * m)) - min(p) filter (j >= ceil(0.25 * m)))) as overall from o)
+select doc_id, a.lang, round(perplexity, 6) as perplexity, round(coalesce(own, overall), 6) as limit, perplexity is not null and coalesce(perplexity <= coalesce(own, overall), true) as keep from a cross join f left join l on l.lang = coalesce(a.lang, chr(1))
+"""

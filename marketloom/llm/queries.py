@@ -28,7 +28,9 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_secret_scan": oracles.OP1,
     "op5_ngram_jaccard_join": oracles.OP5,
+    "op6_quality_classifier": oracles.OP6,
     "op7_chat_formatting": OP7_SQL,
     "op8_mixing_sources": oracles.OP8,
     "op9_exact_top_k": oracles.OP9,

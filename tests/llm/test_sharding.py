@@ -56,3 +56,31 @@ def test_equal_rows_part(spark):
     assert 0.09 < len(met) / 2000 < 0.16  # 1 in 8
     assert sum(abs(a[0][1] - a[1][1]) <= 2 for a in met) < 20
     assert all(80 < n < 170 for n in Counter(s for s, _ in at[-1]).values())
+
+
+def test_against_plain_permutations(spark):
+    # The same draws, dealt by plain code: each block's order is cut at its row of the matrix, each shard is ordered again.
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(i % 700, i % 13) for i in range(900)] + [(-1, -1)] * 300, "v long, w long").repartition(5)
+    seed, shards, blocks = 20_24, 8, 48
+    got = Counter((r.v, r.w, r.shard, r.slot) for r in sharding._assigned(df, shards, seed, 100_000, blocks).collect())
+    number, rows = Counter(), []
+    for v, w in sorted(tuple(r) for r in df.collect()):
+        rows.append((v, w, number[v, w]))
+        number[v, w] += 1
+    drawn = lambda k: F.xxhash64(F.lit(seed * 31 + k), "v", "w", "number")
+    keyed = spark.createDataFrame(rows, "v long, w long, number long").select("v", "w", *[drawn(k).alias(f"h{k}") for k in (1, 2, 3)]).collect()
+    by_block = {b: sorted((r for r in keyed if r.h1 % blocks == b), key=lambda r: (r.h2, r.h3)) for b in range(blocks)}
+    matrix = sharding.communication_matrix([len(by_block[b]) for b in range(blocks)], shards, seed)
+    dealt = [[] for _ in range(shards)]
+    for b, own in by_block.items():
+        place = 0
+        for s in range(shards):
+            dealt[s] += own[place : place + int(matrix[b, s])]
+            place += int(matrix[b, s])
+    want = Counter()
+    for s, own in enumerate(dealt):
+        for slot, r in enumerate(sorted(own, key=lambda r: r.h3 & (2**63 - 1))):
+            want[r.v, r.w, s, slot] += 1
+    assert got == want
