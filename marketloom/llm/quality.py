@@ -6,10 +6,12 @@ their five-byte strings, and the rest is grouping and joining of count tables,
 spread by n-gram: continuation counts, context totals, discounts, and the
 interpolated probability of each n-gram from that of its suffix.
 
-The finished tables are cut by the byte before the predicted one into shards
-of about SHARD_ROWS rows.  Each shard is broadcast and scores the bytes that
-belong to it in one pass over the documents; the passes' code lengths add up.
-So a model of any size is used whole, with bounded memory.
+Documents meet the model in sharded count joins.  Distinct texts are dealt into
+blocks of about BLOCK_BYTES.  A block asks for the strings of up to five bytes
+that it has, each once; the requests are joined with the model's rows, spread by
+string, and what the model has comes back to the block, which adds up the code
+lengths of its texts.  Nothing is broadcast, and a task holds one block and the
+rows of its strings, whatever the sizes of model and corpus.
 
 A document is kept when its perplexity per byte is at most a limit that follows
 from trusted documents of its language that were not trained on: their quantile
@@ -21,19 +23,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from marketloom.llm import textnp as tn
-from marketloom.llm.common import columns, held_out, map_batches, packed, quoted, stored, text_at
+from marketloom.llm.common import columns, held_out, packed, quoted, stored
 
 ORDER = 5
-#: Rows of all tables together that one broadcast holds, about.
-SHARD_ROWS = 6_000_000
+#: Bytes of text of a block, about, and of what a task packs at a time.
+BLOCK_BYTES, PACK_BYTES = 64_000_000, 32_000_000
 #: Ids that are broadcast to pick the trusted texts; beyond it, a shuffle join.
 BROADCAST_IDS = 1_000_000
 #: Quantile of held-out trusted documents that is still kept.
@@ -80,14 +82,19 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class KneserNey:
-    """grams: order, g, v, bits, leave.  A row with bits is an n-gram of that
-    order and the code length of its last byte; a row with leave is a context
-    (one byte shorter than the order) and the code length of leaving it."""
+    """strings: key (length and bytes), bits (code length of the last byte after
+    those before it; null for what only begins texts) and leave (code length of
+    leaving the string as a context; null at the longest)."""
 
-    grams: DataFrame
+    strings: DataFrame
     base: np.ndarray = field(default_factory=lambda: np.full(256, 8.0))  # order 1
 
 
+def key(length: int, g):
+    """The number of a string of bytes g (a number too)."""
+    return g + (length << 8 * ORDER)
+
+
 def discounts(counted: dict[int, int]) -> tuple[float, float, float]:
     """For counts 1, 2 and more, from the numbers of n-grams with counts 1 to 4."""
     n1, n2, n3, n4 = (float(counted.get(i, 0)) for i in (1, 2, 3, 4))
@@ -127,37 +134,88 @@ def train(trusted: DataFrame) -> KneserNey:
         gram = stored(gram.select("g", p.alias("p")), f"kn-p{k}")
         lower = gram.select(F.col("g").alias("suffix"), F.col("p").alias("lower"))
         two = [
-            gram.select(F.lit(k).alias("order"), "g", F.shiftright("g", 8).bitwiseAND(255).cast("int").alias("v"), (-F.log2("p")).cast("float").alias("bits"), F.lit(None).cast("float").alias("leave")),
-            context.select(F.lit(k).alias("order"), F.col("ctx").alias("g"), F.col("ctx").bitwiseAND(255).cast("int").alias("v"), F.lit(None).cast("float").alias("bits"), (-F.log2("leave")).cast("float").alias("leave")),
+            gram.select(key(k, F.col("g")).alias("key"), (-F.log2("p")).alias("bits"), F.lit(None).cast("double").alias("leave")),
+            context.select(key(k - 1, F.col("ctx")).alias("key"), F.lit(None).cast("double").alias("bits"), (-F.log2("leave")).alias("leave")),
         ]
         for t in two:
             rows = t if rows is None else rows.unionByName(t)
-    return KneserNey(stored(rows, "kn-model"), base)
-
-
-class Shard:
-    """Tables for the bytes that follow a byte of `after`."""
-
-    def __init__(self, rows: pa.Table, after: list[int], base: np.ndarray):
-        self.after = np.zeros(256, bool)
-        self.after[after] = True
-        self.base = base.astype(np.float32)
-        order, g = rows["order"].to_numpy(), rows["g"].to_numpy()
-        bits, leave = (rows[c].to_numpy() for c in ("bits", "leave"))
+    return KneserNey(stored(rows.groupBy("key").agg(F.max("bits").alias("bits"), F.max("leave").alias("leave")), "kn-model"), base)
+
+
+def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, texts) of rows (block, v, w, text): a block's texts as one compressed value."""
+    held: list[pa.RecordBatch] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        block = rows["block"].to_numpy()
+        order = np.argsort(block, kind="stable")
+        cuts = [0, *(np.flatnonzero(np.diff(block[order])) + 1), len(order)] if len(order) else [0]
+        for x, y in pairwise(cuts):
+            part, sink = rows.take(pa.array(order[x:y])).select(["v", "w", "text"]), pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(part)
+            yield pa.RecordBatch.from_arrays([pa.array(block[order[x : x + 1]], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "texts"])
+
+    for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
+        held.append(batch)
+        if sum(b.nbytes for b in held) > PACK_BYTES:
+            yield from flush()
+            held = []
+    if held:
+        yield from flush()
+
+
+def _texts(block: pa.Table) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, places, bytes, offsets) of a block's distinct texts, a piece at a time."""
+    seen: set[tuple[int, int]] = set()
+    for value in block["texts"]:
+        rows = pa.ipc.open_stream(value.as_buffer()).read_all().combine_chunks()
+        both = list(zip(rows["v"].to_pylist(), rows["w"].to_pylist(), strict=True))
+        new = np.array([x not in seen and not seen.add(x) for x in both], bool)
+        rows = rows.filter(pa.array(new)).combine_chunks()
+        column = rows["text"].chunk(0) if rows.num_rows else pa.array([], pa.string())
+        for first, end, data, at in tn.pieces(column):
+            yield rows, np.arange(first, end), data, at
+
+
+def _wanted(block: pa.Table) -> pa.Table:
+    """The strings of up to five bytes that a block has, as keys."""
+    held = [np.empty(0, np.int64)]
+    for _, _, data, at in _texts(block):
+        held.append(np.unique(codes(data, at)))
+        if len(held) > 16:
+            held = [np.unique(np.concatenate(held))]
+    now, keys = np.unique(np.concatenate(held)), []
+    for k in range(ORDER, 0, -1):
+        # What ends at a byte, and what ends before one (a text's first byte has only zeros before).
+        now = np.unique(np.concatenate([now & ((1 << 8 * k) - 1), np.zeros(1, np.int64)]))
+        keys.append(key(k, now))
+    keys = np.concatenate(keys)
+    return pa.table({"block": pa.array(np.repeat(block["block"][0].as_py(), len(keys)), pa.int32()), "key": keys})
+
+
+class Strings:
+    """The model's rows for the strings of a block."""
+
+    def __init__(self, rows: pa.Table, base: np.ndarray):
+        self.base = base
+        keys = rows["key"].to_numpy()
+        bits, leave = (rows[c].to_numpy().astype(float) for c in ("bits", "leave"))
+        length, g = keys >> 8 * ORDER, keys & ((1 << 8 * ORDER) - 1)
         self.grams, self.contexts = {}, {}
         for k in range(2, ORDER + 1):
-            is_gram, is_context = (order == k) & ~np.isnan(bits), (order == k) & ~np.isnan(leave)
-            for to, pick, value in ((self.grams, is_gram, bits), (self.contexts, is_context, leave)):
-                to[k] = (tn.Lookup(g[pick]), np.concatenate([np.zeros(1), value[pick]]).astype(np.float32))
+            for to, pick, value in ((self.grams, (length == k) & ~np.isnan(bits), bits), (self.contexts, (length == k - 1) & ~np.isnan(leave), leave)):
+                to[k] = (tn.Lookup(g[pick]), np.concatenate([np.zeros(1), value[pick]]))
 
     def bits(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Code length of each text's bytes that belong to this shard."""
+        """Code length of each text."""
         out = np.zeros(len(at) - 1)
         if not len(data):
             return out
         code = codes(data, at)
-        cost = np.zeros(len(data), np.float32)
-        open_ = np.flatnonzero(self.after[(code >> 8) & 255])
+        cost = np.zeros(len(data))
+        open_ = np.arange(len(data))
         for k in range(ORDER, 1, -1):
             table, value = self.grams[k]
             own = code[open_] & ((1 << 8 * k) - 1)
@@ -169,44 +227,39 @@ class Shard:
             cost[open_] += leave[context.rows(own >> 8)]
         cost[open_] += self.base[code[open_] & 255]
         full = np.flatnonzero(at[1:] > at[:-1])
-        out[full] = np.add.reduceat(cost, at[:-1][full], dtype=np.float64)
+        out[full] = np.add.reduceat(cost, at[:-1][full])
         return out
 
 
-def _shards(model: KneserNey) -> list[list[int]]:
-    rows = {r["v"]: r["n"] for r in model.grams.groupBy("v").agg(F.count(F.lit(1)).alias("n")).collect()}
-    out, size = [[]], 0
-    for v in range(256):
-        n = rows.get(v, 0)
-        if size and size + n > SHARD_ROWS:
-            out.append([])
-            size = 0
-        out[-1].append(v)
-        size += n
-    return out
+def code_lengths(texts: DataFrame, model: KneserNey) -> DataFrame:
+    """v, w, bits: the code length of every distinct text; v and w are 128 bits
+    of it.  texts: text, without nulls."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    v, w = F.xxhash64("text"), F.xxhash64("text", F.lit(6))
+    dealt = texts.select(F.pmod(v, F.lit(blocks)).cast("int").alias("block"), v.alias("v"), w.alias("w"), "text")
+    by_block = dealt.mapInArrow(_packed_texts, "block int, texts binary").groupBy("block")
+    wanted = by_block.applyInArrow(_wanted, "block int, key long")
+    have = wanted.join(model.strings, "key").select("block", "key", "bits", "leave")
+    base = model.base
+
+    def add_up(block: pa.Table, rows: pa.Table) -> pa.Table:
+        strings, out = Strings(rows, base), []
+        for own, place, data, at in _texts(block):
+            out.append(own.select(["v", "w"]).take(pa.array(place)).append_column("bits", pa.array(strings.bits(data, at))))
+        return pa.concat_tables(out) if out else pa.table({"v": pa.array([], pa.int64()), "w": pa.array([], pa.int64()), "bits": pa.array([], pa.float64())})
+
+    return by_block.cogroup(have.groupBy("block")).applyInArrow(add_up, "v long, w long, bits double")
 
 
 def score(df: DataFrame, model: KneserNey) -> DataFrame:
-    """df with perplexity (per byte; null without text).  An input column of that name is replaced."""
-    df = df.select(*columns(df, ("perplexity",)))
-    kept, at_text = len(df.columns), text_at(df)
-    out = df.select(*columns(df), F.lit(0.0).alias("perplexity"))
-    for after in _shards(model):
-        rows = model.grams.where(F.col("v").isin(after)).select("order", "g", "bits", "leave")
-        shared = df.sparkSession.sparkContext.broadcast(Shard(rows.toArrow(), after, model.base))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[list[pa.Array]]:
-            shard = shared.value
-            for batch in batches:
-                bits = batch.column(kept).to_numpy().copy()
-                for first, end, data, at in tn.pieces(batch.column(at_text)):
-                    bits[first:end] += shard.bits(data, at)
-                yield [*batch.columns[:kept], pa.array(bits)]
-
-        out = map_batches(out, run, out.schema)
+    """df without text, with perplexity (per byte; null without text).  An input
+    column of that name is replaced; others may have any names."""
     text = F.col("text").cast("string")
-    ppl = F.when(F.length(text) > 0, F.pow(F.lit(2.0), F.col("perplexity") / F.octet_length(text)))
-    return out.withColumn("perplexity", ppl)
+    lengths = stored(code_lengths(df.select(text.alias("text")).where("text <> ''"), model), "code-lengths")
+    rows = df.select(packed(df, ("text", "perplexity")), F.xxhash64(text).alias("v"), F.xxhash64(text, F.lit(6)).alias("w"), F.octet_length(text).alias("size"))
+    ppl = F.when(F.col("size") > 0, F.pow(F.lit(2.0), F.col("bits") / F.col("size")))
+    return rows.join(lengths, ["v", "w"], "left").select("row.*", ppl.alias("perplexity"))
 
 
 def _rows_of(df: DataFrame, ids: DataFrame) -> DataFrame:
@@ -230,7 +283,7 @@ def classify(df: DataFrame, trusted: DataFrame, lang: str = "lang", keep: float
     rows = df.select(*columns(df, ("perplexity", "limit", "keep")))
     ids = trusted.select("doc_id").where("doc_id is not null").distinct()
     model = train(_rows_of(rows, ids.where(~held_out())).select("text"))
-    scored = stored(score(rows, model).drop("text"), "quality")
+    scored = stored(score(rows, model), "quality")
     language = lambda d: F.coalesce(d[quoted(lang)].cast("string"), F.lit("\0")).alias("language")
     known = _rows_of(scored, ids.where(held_out())).where("perplexity is not null")
     known = known.select(language(known), F.col("perplexity").alias("p"))

@@ -52,11 +52,11 @@ def test_perplexity_against_formulas(spark, monkeypatch):
     train = [words(rng, rng.randint(1, 60)) for _ in range(12)] + ["", None]
     test = train[:3] + [words(rng, 30, ("zq", "lo", "7")), "k", "é", "\U0001f600 ka", None, ""]
     plain = Plain([t for t in train if t])
-    for size in (quality.SHARD_ROWS, 60):  # one shard, then several
-        monkeypatch.setattr(quality, "SHARD_ROWS", size)
+    for size in (quality.BLOCK_BYTES, 60):  # one block, then several
+        monkeypatch.setattr(quality, "BLOCK_BYTES", size)
         model = quality.train(spark.createDataFrame([(t,) for t in train], "text string").repartition(3))
-        assert (len(quality._shards(model)) > 2) == (size == 60)
-        rows = quality.score(spark.createDataFrame(list(enumerate(test)), "i int, text string"), model).collect()
+        rows = quality.score(spark.createDataFrame([*enumerate(test), (0, test[0])], "i int, text string").repartition(2), model).collect()
+        assert len(rows) == len(test) + 1
         for r in rows:
             if test[r.i]:
                 assert abs(r.perplexity / plain.perplexity(test[r.i]) - 1) < 1e-4, test[r.i]
