@@ -1,23 +1,28 @@
-"""Benchmark decontamination by exact character seeds and edit distance.
+"""Benchmark decontamination by random-walk embeddings and edit distance.
 
 Items and documents are sequences of words without case and punctuation, joined
-by single spaces, and are read as characters.  An item of m characters with k
-edits keeps k + 1 runs between them.  Seeds are an item's strings of q characters;
-q is the largest at which edits of SIMILAR at random places break every run of
-that length with a probability of at most MISS (or at which they never can).
-Shorter items have shorter seeds.
-
-A seed that a document has too gives an item and a diagonal.  The part of SEGMENT
-characters of the item that surrounds the seed is compared with the text on that
-diagonal by edit distance (bit-parallel, many at once in numpy); parts with more
-than LOOSE of their characters edited are dropped.
+by single spaces, and are read as characters.
+
+Windows: an item of m characters with k edits keeps k + 1 runs between them.
+Seeds are an item's strings of q characters; q is the largest at which edits of
+SIMILAR at random places break every run of that length with a probability of at
+most MISS (or at which they never can).  A seed that a document has too aligns
+an item with the text.
+
+Embedding: from both ends of the seed, item and text walk outward together (CGK).
+A step looks at one character and moves on by one or stays, as a fixed random
+function of step and character says, so after an edit the two fall into step
+again, and edit distance becomes Hamming distance between the characters looked
+at.  An item's embedding at each of its seeds is made once.  A few steps are
+compared first, all only for what is left; a window is a candidate if at least
+AGREE of its steps agree.  An edited item has many seeds, and one of them is enough.
 
 What is left is verified exactly: Levenshtein distance in characters between the
 item and the best part of the text around the diagonal.  A document has a leak of
 an item when 1 - distance / item length is at least SIMILAR.
 
 Items are broadcast in blocks of at most about BLOCK_ITEMS; each block is a pass
-over the documents.  A block's index has some 100 bytes for each of its characters.
+over the documents.  A block's index has some 150 bytes for each of its characters.
 """
 
 from __future__ import annotations
@@ -39,9 +44,12 @@ SIMILAR = 0.8
 MISS = 0.005
 #: Lengths of seeds.
 SEEDS = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12)
-#: Characters of the part that is compared first (a machine word), share of them
-#: that may be edited, and how far the text's part may be moved.
-SEGMENT, LOOSE, MOVED = 64, 0.32, 12
+#: Steps of a walk to one side, and share of all steps that must agree.
+WALK, AGREE = 48, 0.42
+#: Steps to one side that are compared first, and steps of both sides that must agree there.
+FIRST, FIRST_AGREE = 12, 6
+#: Items shorter than this are verified wherever they have a seed.
+SHORT = 24
 BLOCK_ITEMS = 2000
 
 
@@ -125,18 +133,35 @@ def _grams(sums: np.ndarray, q: int) -> np.ndarray:
     return tn.mix((sums[q:] - sums[:n]) * tn.powers(tn._INVERSE, n)) if n > 0 else np.empty(0, tn.U64)
 
 
+#: Whether a walk moves on at a step (of one side, then of the other) from a character.
+MOVES = np.random.default_rng(20).integers(0, 2, (2 * WALK, 256))
+
+
 @dataclass
 class Seeds:
     q: int
     maybe: np.ndarray  # first bits of a hash -> whether a seed has them
     lookup: tn.Lookup
     start: np.ndarray  # seed -> its first posting
-    segment: np.ndarray  # posting -> segment
+    item: np.ndarray  # posting -> item
     offset: np.ndarray  # posting -> character of the item
+    seen: np.ndarray  # (step, posting) -> character that the item's walk looks at; 0 beyond the item
+
+
+def _walks(code: np.ndarray, offset: np.ndarray, q: int) -> np.ndarray:
+    """What an item's walks from its seeds look at: (step, seed)."""
+    padded = np.concatenate([np.zeros(WALK, np.uint8), code, np.zeros(WALK, np.uint8)])
+    out = np.empty((2 * WALK, len(offset)), np.uint8)
+    for side, at in enumerate((offset + q, offset - 1)):
+        at = at + WALK
+        for t in range(side * WALK, (side + 1) * WALK):
+            out[t] = padded[at]
+            at = at + (1 - 2 * side) * MOVES[t][out[t]]
+    return out
 
 
 class Index:
-    """The seeds and segments of a block of items."""
+    """The seeds and embeddings of a block of items."""
 
     def __init__(self, items: Iterable[tuple[object, str]]):
         self.names, self.texts = [], []
@@ -146,70 +171,29 @@ class Index:
                 self.names.append(name)
                 self.texts.append(flat)
         self.length = np.array([len(x) for x in self.texts], int)
-        found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-        item, begin, size, equal = [], [], [], []
+        # Beyond an item's ends nothing agrees: of a seed in the middle, about 2 steps for each character can.
+        self.need = np.where(self.length < SHORT, 0, AGREE * np.minimum(2 * WALK, 2 * self.length))
+        found: dict[int, list[tuple[np.ndarray, ...]]] = {}
         for i, text in enumerate(self.texts):
             data = np.frombuffer(text.encode(), np.uint8)
             code = flatten(data, np.array([0, len(data)]))[1]
-            m, first = len(code), len(item)
-            for b in [*range(0, m - SEGMENT, SEGMENT // 2), max(0, m - SEGMENT)]:
-                part = code[b : b + SEGMENT]
-                item.append(i)
-                begin.append(b)
-                size.append(len(part))
-                row = np.zeros(256, tn.U64)
-                np.bitwise_or.at(row, part, tn.U64(1) << np.arange(len(part), dtype=tn.U64))
-                equal.append(row)
-            middle = np.array(begin[first:]) + np.array(size[first:]) / 2
-            q = seed_length(m)
+            q = seed_length(len(code))
             gram = _grams(_sums(code), q)
             at = np.arange(len(gram))
-            near = np.abs(at[:, None] + q / 2 - middle[None, :]).argmin(1)
-            found.setdefault(q, []).append((gram, first + near, at))
-        self.item, self.begin, self.size = (np.array(x, np.int64) for x in (item, begin, size))
-        self.equal = np.concatenate(equal) if equal else np.empty(0, tn.U64)
-        most = ((1 - SIMILAR) * self.size + 1e-9).astype(np.int64)
-        self.most = np.where(self.size < SEGMENT, most, int(LOOSE * SEGMENT))
+            found.setdefault(q, []).append((gram, np.full(len(gram), i), at, _walks(code, at, q)))
         self.seeds = []
         for q, own in sorted(found.items()):
-            gram, segment, offset = (np.concatenate(x) for x in zip(*own, strict=True))
+            gram, item, offset, seen = (np.concatenate(x, axis=-1) for x in zip(*own, strict=True))
             order = np.argsort(gram, kind="stable")
             keys, start = np.unique(gram[order], return_index=True)
             maybe = np.zeros(1 << 20, bool)
             maybe[keys >> tn.U64(44)] = True
-            self.seeds.append(Seeds(q, maybe, tn.Lookup(keys), np.append(start, len(gram)), segment[order], offset[order]))
-
-    def _near(self, code: np.ndarray, segment: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
-        """Whether each segment is near the text on its diagonal."""
-        good = np.zeros(len(segment), bool)
-        one = tn.U64(1)
-        for lo in range(0, len(segment), 1 << 13):
-            seg, dia = segment[lo : lo + (1 << 13)], diagonal[lo : lo + (1 << 13)]
-            size = self.size[seg]
-            last = (size - 1).astype(tn.U64)
-            row, first = seg * 256, dia + self.begin[seg] - MOVED
-            plus, minus = np.full(len(seg), 2**64 - 1, tn.U64), np.zeros(len(seg), tn.U64)
-            score, best = size.copy(), size.copy()
-            for j in range(int(size.max()) + 2 * MOVED):
-                eq = self.equal[row + code[np.clip(first + j, 0, len(code) - 1)]]
-                across = (((eq & plus) + plus) ^ plus) | eq
-                up = minus | ~(across | plus)
-                less = plus & across
-                score += ((up >> last) & one).view(np.int64)
-                score -= ((less >> last) & one).view(np.int64)
-                np.minimum(best, score, out=best)
-                up <<= one
-                less <<= one
-                down = eq | minus
-                plus = less | ~(down | up)
-                minus = up & down
-            good[lo : lo + (1 << 13)] = best <= self.most[seg]
-        return good
+            self.seeds.append(Seeds(q, maybe, tn.Lookup(keys), np.append(start, len(gram)), item[order], offset[order], np.ascontiguousarray(seen[:, order])))
 
     def candidates(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, diagonal): where the text has a seed and what surrounds it."""
-        segments, diagonals = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        sums, shift = _sums(code), 1 << 20
+        """(item, diagonal): where the text has a seed, and walks from it agree."""
+        items, diagonals = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        sums = _sums(code)
         for s in self.seeds:
             gram = _grams(sums, s.q)
             p = np.flatnonzero(s.maybe[gram >> tn.U64(44)])
@@ -217,14 +201,33 @@ class Index:
             p, row = p[row > 0], row[row > 0] - 1
             times = s.start[row + 1] - s.start[row]
             posting = np.arange(times.sum()) + np.repeat(s.start[row] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) if len(p) else np.empty(0, np.int64)
-            # Hits of one segment on neighbouring diagonals are one candidate.
-            key = np.sort(s.segment[posting] << 40 | (np.repeat(p, times) - s.offset[posting] + shift))
-            key = key[np.append(True, key[1:] >> 2 != key[:-1] >> 2)] if len(key) else key
-            segments.append(key >> 40)
-            diagonals.append((key & ((1 << 40) - 1)) - shift)
-        segment, diagonal = np.concatenate(segments), np.concatenate(diagonals)
-        good = self._near(code, segment, diagonal)
-        return self.item[segment[good]], diagonal[good]
+            p = np.repeat(p, times)
+            for lo in range(0, len(p), 1 << 16):
+                own, at = posting[lo : lo + (1 << 16)], p[lo : lo + (1 << 16)]
+                good = self._agree(code, s, own, at)
+                items.append(s.item[own[good]])
+                diagonals.append(at[good] - s.offset[own[good]])
+        key = np.unique(np.concatenate(items) << 40 | (np.concatenate(diagonals) + (1 << 20)))
+        # Neighbouring diagonals of an item are one candidate.
+        key = key[np.append(True, key[1:] >> 2 != key[:-1] >> 2)] if len(key) else key
+        return key >> 40, (key & ((1 << 40) - 1)) - (1 << 20)
+
+    def _agree(self, code: np.ndarray, s: Seeds, posting: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Which of the seeds' walks in the text agree with the items'."""
+        left, last = np.arange(len(p)), len(code) - 1
+        ends, hits = [p + s.q, p - 1], np.zeros(len(p), np.int16)
+        for lo, hi in ((0, FIRST), (FIRST, WALK)):
+            for side, ahead in ((0, 1), (1, -1)):
+                at = ends[side]
+                for t in range(side * WALK + lo, side * WALK + hi):
+                    x = code[np.minimum(at, last) if ahead > 0 else np.maximum(at, 0)]
+                    hits += x == s.seen[t][posting]
+                    at = at + ahead * MOVES[t][x]
+                ends[side] = at
+            need = self.need[s.item[posting]]
+            keep = (hits >= (FIRST_AGREE if hi == FIRST else need)) | (need == 0)
+            left, posting, hits, ends = left[keep], posting[keep], hits[keep], [e[keep] for e in ends]
+        return left
 
     def leaks(self, data: np.ndarray, at: np.ndarray) -> list[dict[int, tuple[int, int]]]:
         """For each text: item -> (distance, word at which the passage begins, about)."""
