@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketloom.functions import hashed
+
 EPS = 1e-12
 
 
@@ -210,13 +212,11 @@ def crps_student4(y: Column, scale: Column, key: list[str], paths: int) -> Colum
     """CRPS of scale x Student t (4) from `paths` draws: E|X - y| less half of E|X - X'|.
     Uniform numbers are digits of hashes of the key; a normal over the root of a
     chi-square, both made of logarithms, is the draw."""
-    half = lambda h, at: (F.conv(F.substring(h, at, 13), 16, 10).cast("bigint") + 0.5) / F.lit(float(2**52))
-    text = [F.col(c).cast("string") for c in key]
+    text = [F.col(c) for c in key]
 
     def draw(j: Column) -> Column:
-        a, b = (F.md5(F.concat_ws("|", *t, j.cast("string"))) for t in (text, text[::-1]))
-        normal = F.sqrt(-2 * F.ln(half(a, 1))) * F.cos(2 * math.pi * half(a, 14))
-        return scale * normal / F.sqrt(-2 * (F.ln(half(b, 1)) + F.ln(half(b, 14))) / 4)
+        a, b = hashed.digest(*text, j), hashed.digest(*text[::-1], j)
+        return scale * hashed.normal(a) / F.sqrt(-2 * (F.ln(hashed.half(b)) + F.ln(hashed.half(b, 14))) / 4)
 
     x = F.transform(F.sequence(F.lit(1), F.lit(paths)), draw)
     mean = lambda a, n: F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / n
@@ -238,8 +238,8 @@ def step_down(statistics: np.ndarray, null: np.ndarray) -> np.ndarray:
 def bootstrap(df: DataFrame, columns: list[str], statistic, replicates: int, block: int, key: str = "symbol", ts: str = "day", seed: int = 5, tasks: int = 16) -> DataFrame:
     """Block bootstrap of statistic(arrays) per key: one row per replicate.
 
-    Replicates of a key are spread over tasks; each draws from a generator of
-    (seed, replicate), so results don't depend on partitions.
+    Replicates of a key are spread over tasks; the starts of a replicate's blocks
+    are hashed numbers, so results don't depend on partitions.
     """
     part = df.select(key, ts, *columns).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
 
@@ -247,8 +247,7 @@ def bootstrap(df: DataFrame, columns: list[str], statistic, replicates: int, blo
         pdf = pdf.sort_values(ts)
         x, n, rows = [pdf[c].to_numpy(float) for c in columns], len(pdf), []
         for b in range(int(pdf["part"].iloc[0]), replicates, tasks):
-            rng = np.random.default_rng([seed, b])
-            start = rng.integers(0, n, -(-n // block))
+            start = (hashed.uniforms(f"{seed}|{b}", -(-n // block)) * n).astype(int)
             at = ((start[:, None] + np.arange(block)[None, :]).ravel() % n)[:n]
             rows.append((pdf[key].iloc[0], b, float(statistic(*[v[at] for v in x]))))
         return pd.DataFrame(rows, columns=[key, "replicate", "value"])

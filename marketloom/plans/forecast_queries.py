@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from marketloom.functions import recursive
+from marketloom.functions import hashed, recursive
 from marketloom.operators import bars, forecast
 from marketloom.operators import indicators as ind
 from marketloom.plans import series_sql as ssql
@@ -335,17 +335,17 @@ def poolability(spark, sf):
     return rounded(both.select(((F.col("pooled") - F.col("own")) / d1 / (F.col("own") / d2)).alias("f"), d1.alias("df1"), d2.alias("df2")), 5)
 
 
-@query("src16_simulated_bars")
+@query("src16_simulated_bars", ssql.simulated_bars())
 def simulated(spark, sf):
     """Geometric Brownian bars of known volatility, and what the estimators make of it."""
-    n = spark.range(64 * 390).withColumns({"day": F.floor(F.col("id") / 390), "r": F.randn(7) * 0.01 / 390**0.5})
+    n = spark.range(64 * 390).withColumns({"day": F.floor(F.col("id") / 390), "r": hashed.normal(hashed.digest(F.lit("bars"), F.col("id"))) * 0.01 / 390**0.5})
     p = n.withColumn("p", F.exp(F.sum("r").over(Window.partitionBy("day").orderBy("id"))))
     b = p.groupBy("day").agg(F.min_by("p", "id").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", "id").alias("close")).withColumn("symbol", F.lit("sim"))
     e = bars.estimators(b)
-    return e.groupBy("symbol").agg(F.sqrt(F.avg("parkinson")).alias("parkinson"), F.sqrt(F.avg("gk")).alias("gk"), F.lit(0.01).alias("truth"))
+    return rounded(e.groupBy("symbol").agg(F.sqrt(F.avg("parkinson")).alias("parkinson"), F.sqrt(F.avg("gk")).alias("gk"), F.lit(0.01).alias("truth")), 8)
 
 
-@query("src17_simulated_garch")
+@query("src17_simulated_garch", ssql.simulated_garch())
 def simulated_garch(spark, sf):
     def f(z):
         v, out = 1e-4, np.empty(len(z))
@@ -354,5 +354,5 @@ def simulated_garch(spark, sf):
             v = 1e-6 + 0.08 * v * z[t] ** 2 + 0.91 * v
         return {"variance": out, "r": np.sqrt(out) * z}
 
-    z = spark.range(2000).select(F.lit("sim").alias("symbol"), F.col("id").alias("day"), F.randn(11).alias("z"))
-    return ind.per_symbol(z, ["z"], {"variance": "double", "r": "double"}, f)
+    z = spark.range(2000).select(F.lit("sim").alias("symbol"), F.col("id").alias("day"), hashed.normal(hashed.digest(F.lit("garch"), F.col("id"))).alias("z"))
+    return rounded(ind.per_symbol(z, ["z"], {"variance": "double", "r": "double"}, f), 9, r=8)

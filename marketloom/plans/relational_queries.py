@@ -107,9 +107,9 @@ def calendar_range(spark, sf):
     return frames.daily(spark, sf).select("symbol", "day").join(c, "day", "left").groupBy("symbol", "day").agg(F.count("hit").alias("near"))
 
 
-@query("jn15_month_with_lag", f"{D}, {frames.MONTHLY_RATE} select symbol, day, cur, round(rate, 4) as rate from daily left join monthly_rate on cast(month + interval 2 month as date) = date_trunc('month', day)::date where symbol = 'A'")
+@query("jn15_month_with_lag", f"{D}, {frames.MONTHLY_RATE} select symbol, day, cur, round(rate, 4) as rate from daily left join monthly_rate on cast(month + interval 2 month as date) = date_trunc('month', day)::date")
 def month_lag(spark, sf):
-    d = frames.daily(spark, sf).where("symbol = 'A'").select("symbol", "day")
+    d = frames.daily(spark, sf).select("symbol", "day")
     return rounded(joins.with_month_lag(d, frames.monthly_rate(spark, sf), 2).select("symbol", "day", "cur", "rate"), 4)
 
 

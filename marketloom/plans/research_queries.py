@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from marketloom.functions import hashed
 from marketloom.operators import bars, research
 from marketloom.operators import indicators as ind
 from marketloom.plans import series_sql as ssql
@@ -339,30 +340,43 @@ def position(spark, sf):
     return rounded(rows.select("symbol", "day", "kelly", "cap", "f", "binding"), 5)
 
 
+FALL = ", c as (select symbol, day, sum(coalesce(r, 0)) over (partition by symbol order by day) / 10 as cum from ret), dd as (select symbol, day, 1 - exp(cum - max(cum) over (partition by symbol order by day)) as dd from c)"
+
+
+@query("siz02_drawdown_cap", SIZ + FALL + f", f as (select symbol, day, dd, mu / (sigma * sigma) as kelly, {CAP.format(c=_cap_constant())} * least(greatest(1 - 2 * dd, 0.5), 1) as cap from s join q using (symbol) join dd using (symbol, day) where n = 60) select symbol, day, round(dd, 6) as drawdown, round(cap, 5) as cap, round(least(greatest(least(kelly, cap), 0), 30), 5) as f from f")
+def drawdown_cap(spark, sf):
+    """The cap falls with the account's drawdown, to one half at most (a tenth of each return is earned)."""
+    cum = returns(spark, sf).withColumn("cum", F.sum(F.coalesce("r", F.lit(0.0))).over(ind.w()) / 10)
+    dd = cum.select("symbol", "day", (1 - F.exp(F.col("cum") - F.max("cum").over(ind.w()))).alias("drawdown"))
+    rows = sized(spark, sf).join(dd, ["symbol", "day"])
+    rows = research.position(rows, F.col("q")[0], F.col("q")[1], F.col("q")[2], F.col("mu"), F.col("drawdown"), k=3)
+    return rounded(rows.select("symbol", "day", "drawdown", "cap", "f"), 5, drawdown=6)
+
+
 @query("siz01_fixed_and_cvar", SIZ + " select symbol, day, round(0.02 / sigma, 6) as fixed, round(0.5 * mu / (sigma * sigma), 5) as half_kelly, round(0.02 / (2.3378 * sigma), 6) as cvar from s where n = 60")
 def fixed_and_cvar(spark, sf):
     s = F.col("sigma")
     return rounded(sized(spark, sf).select("symbol", "day", research.fixed_risk(s).alias("fixed"), research.kelly(F.col("mu"), s, 0.5).alias("half_kelly"), research.cvar_size(s, -2.3378).alias("cvar")), 6, half_kelly=5)
 
 
-@query("siz04_05_equity_paths")
+@query("siz04_05_equity_paths", ssql.equity_paths(RETURNS))
 def equity_paths(spark, sf):
-    """Block-bootstrap equity paths: ruin, worst drawdown and final equity."""
+    """Block-bootstrap equity paths: ruin, worst drawdown and final equity, and
+    how often a path ends, and how often it ever lies, a fifth below its start."""
     r = returns(spark, sf).where("r is not null").select("symbol", "day", (F.col("r") / 100).alias("r"))
     part = r.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(7))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x, rows = pdf.sort_values("day")["r"].to_numpy(), []
         for b in range(int(pdf["part"].iloc[0]), 200, 8):
-            rng = np.random.default_rng([9, b])
-            start = rng.integers(0, len(x), 25)
+            start = (hashed.uniforms(f"9|{b}", 25) * len(x)).astype(int)
             path = np.exp(np.cumsum(5 * x[(start[:, None] + np.arange(10)).ravel() % len(x)]))
             peak = np.maximum.accumulate(path)
-            rows.append((pdf["symbol"].iloc[0], b, float(path[-1]), float((1 - path / peak).max()), float(np.sqrt(((1 - path / peak) ** 2).mean())), bool((path <= 0.5).any())))
-        return pd.DataFrame(rows, columns=["symbol", "path", "final", "drawdown", "ulcer", "ruin"])
+            rows.append((pdf["symbol"].iloc[0], b, float(path[-1]), float((1 - path / peak).max()), float(np.sqrt(((1 - path / peak) ** 2).mean())), bool((path <= 0.5).any()), bool(path[-1] <= 0.8), bool((path <= 0.8).any())))
+        return pd.DataFrame(rows, columns=["symbol", "path", "final", "drawdown", "ulcer", "ruin", "ended_low", "was_low"])
 
-    paths = part.groupBy("symbol", "part").applyInPandas(run, "symbol string, path long, final double, drawdown double, ulcer double, ruin boolean")
-    return paths.groupBy("symbol").agg(F.count(F.lit(1)).alias("paths"), F.avg("final").alias("final"), F.avg("drawdown").alias("drawdown"), F.avg("ulcer").alias("ulcer"), F.avg(F.col("ruin").cast("double")).alias("ruin"))
+    paths = part.groupBy("symbol", "part").applyInPandas(run, "symbol string, path long, final double, drawdown double, ulcer double, ruin boolean, ended_low boolean, was_low boolean")
+    return rounded(paths.groupBy("symbol").agg(F.count(F.lit(1)).alias("paths"), F.avg("final").alias("final"), F.avg("drawdown").alias("drawdown"), F.avg("ulcer").alias("ulcer"), *[F.avg(F.col(c).cast("double")).alias(c) for c in ("ruin", "ended_low", "was_low")]))
 
 
 @query("dec01_touch_probability", RETURNS + """, h as (select symbol, list(r) over (partition by symbol order by day rows between 1 following and 10 following) as x from ret), w as (select symbol, list_min(list_transform(range(1, 11), lambda i: list_sum(x[1:i]))) as low, list_sum(x) as e from h where len(x) = 10) select symbol, count(*) as n, round(avg((low <= -1)::integer), 6) as touched, round(avg((e <= -1)::integer), 6) as ended, round(avg((low <= -1)::integer) / nullif(avg((e <= -1)::integer), 0), 6) as reflection from w group by 1""")

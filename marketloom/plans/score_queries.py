@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from marketloom.functions import special
+from marketloom.functions import hashed, special
 from marketloom.operators import scoring
 from marketloom.operators import indicators as ind
 from marketloom.plans import series_sql as ssql
@@ -130,10 +130,10 @@ def f1(spark, sf):
     return rounded(scoring.macro_f1(p.withColumn("g", guess), "y", "g"))
 
 
-@query("scr10_bootstrap_interval")
+@query("scr10_bootstrap_interval", P3 + ", rows_ as (select symbol, (p0 - (y = 0)::integer) ** 2 + (p1 - (y = 1)::integer) ** 2 + (p2 - (y = 2)::integer) ** 2 as s, row_number() over (partition by symbol order by day) - 1 as i, count(*) over (partition by symbol) as n from p), " + ssql.bootstrapped("rows_", "s", "avg({})", 400, 20))
 def bootstrap(spark, sf):
     p = three_class(spark, sf).withColumn("s", scoring.brier(F.col("y"), [F.col(f"p{k}") for k in range(3)]))
-    return scoring.interval(scoring.bootstrap(p, ["s"], np.mean, 400, 20))
+    return rounded(scoring.interval(scoring.bootstrap(p, ["s"], np.mean, 400, 20)))
 
 
 @query("scr11_score_card", P3 + " select year(day)::integer as year, count(*) as n, round(avg(-ln(case y when 0 then p0 when 1 then p1 else p2 end)), 6) as log_score, round(avg(p1), 6) as sharpness from p group by 1 having count(*) >= 200")
@@ -313,16 +313,21 @@ def by(spark, sf):
     return rounded(scoring.fdr(p, "p", dependent=True).select("k", "q"))
 
 
-@query("inf04_05_step_down")
+@query("inf04_05_step_down", ssql.step_down(RETURNS, 400))
 def step_down(spark, sf):
-    """Mean returns by weekday against rotations of the series: step-down p-values."""
-    r = returns(spark, sf).where("symbol = 'A' and r is not null").select("day", "r", F.dayofweek("day").alias("dow")).orderBy("day").toPandas()  # one series
-    x, dow = r["r"].to_numpy(), r["dow"].to_numpy()
-    stat = lambda v: np.array([abs(v[dow == k].mean()) / (v[dow == k].std() / np.sqrt((dow == k).sum())) for k in range(1, 8)])
-    rng = np.random.default_rng(1)
-    null = np.stack([stat(np.roll(x, int(s))) for s in rng.integers(30, len(x) - 30, 400)])
-    p = scoring.step_down(stat(x), null)
-    return spark.createDataFrame([(k + 1, float(v)) for k, v in enumerate(p)], "dow int, p double")
+    """Mean returns by weekday against rotations of each symbol's series: step-down p-values."""
+    r = returns(spark, sf).where("r is not null").select("symbol", "day", "r", F.dayofweek("day").alias("dow"))
+
+    def f(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("day")
+        x, dow = pdf["r"].to_numpy(), pdf["dow"].to_numpy()
+        stat = lambda v: np.array([abs(v[dow == k].mean()) / (v[dow == k].std() / np.sqrt((dow == k).sum())) for k in range(1, 8)])
+        shifts = 30 + np.floor(hashed.uniforms("1", 400) * (len(x) - 60)).astype(int)
+        null = np.stack([stat(np.roll(x, s)) for s in shifts])
+        p = scoring.step_down(stat(x), null)
+        return pd.DataFrame({"symbol": pdf["symbol"].iloc[0], "dow": np.arange(1, 8), "p": p})
+
+    return rounded(r.groupBy("symbol").applyInPandas(f, "symbol string, dow int, p double"))
 
 
 @query("inf12_sharpe", RETURNS + """, m as (select symbol, avg(r) / stddev_samp(r) as s, (avg(r ** 3) - 3 * avg(r) * avg(r ** 2) + 2 * avg(r) ** 3) / stddev_pop(r) ** 3 as g, kurtosis_pop(r) as k, count(r) as n from ret group by 1) select symbol, round(s, 6) as sharpe, round(sqrt((1 - g * s + (k + 2) / 4 * s * s) / (n - 1)), 6) as spread from m""")
@@ -351,8 +356,8 @@ def yearly_card(spark, sf):
     return rounded(g.where("n >= 200"))
 
 
-@query("inf17_event_bootstrap")
+@query("inf17_event_bootstrap", RETURNS + f", {frames.CALENDAR}, rows_ as (select symbol, abs(r) as s, row_number() over (partition by symbol order by day) - 1 as i, count(*) over (partition by symbol) as n from ret where r is not null and day in (select day from calendar)), " + ssql.bootstrapped("rows_", "s", "quantile_cont({}, 0.5)", 300, 1))
 def event_bootstrap(spark, sf):
     c = frames.calendar(spark, sf).select("day").distinct()
     r = returns(spark, sf).where("r is not null").join(c, "day", "left_semi").select("symbol", "day", F.abs("r").alias("size"))
-    return scoring.interval(scoring.bootstrap(r, ["size"], np.median, 300, 1))
+    return rounded(scoring.interval(scoring.bootstrap(r, ["size"], np.median, 300, 1)))

@@ -6,6 +6,7 @@ regression is a Gram matrix from window or group sums, eliminated step by step.
 
 from __future__ import annotations
 
+from marketloom.functions import hashed
 from marketloom.sources import frames
 
 EXPANDING = "partition by symbol order by day rows between unbounded preceding and 1 preceding"
@@ -329,3 +330,64 @@ TFIDF = r"""with w as (select doc_id, regexp_split_to_array(regexp_replace(lower
   v as (select doc_id, term, tf * idf as v from f join d using (term)), s as (select doc_id, sqrt(sum(v * v)) as norm from v group by 1), l as (select doc_id, lag(doc_id) over (order by doc_id) as before from w),
   dots as (select l.doc_id, sum(a.v * b.v) as dot from l join v a on a.doc_id = l.doc_id join v b on b.doc_id = l.before and b.term = a.term group by 1)
   select l.doc_id, round(case when before is not null then 1 - coalesce(dot, 0) / x.norm / y.norm end, 6) as change from l left join dots using (doc_id) left join s x on x.doc_id = l.doc_id left join s y on y.doc_id = l.before"""
+
+
+def bootstrapped(rows: str, value: str, statistic: str, replicates: int, block: int, seed: int = 5) -> str:
+    """CTEs from rows (symbol, i from 0, n, value) to a 95 % interval of the statistic over replicates."""
+    return f"""st as (select symbol, n, b, k, floor({hashed.half_sql(f"md5('{seed}|' || b || '|' || k)")} * n)::bigint as start from (select symbol, any_value(n) as n from {rows} group by 1), (select unnest(range({replicates})) as b), (select unnest(range(100000)) as k) where k < ceil(n / {block}::double)),
+      picked as (select symbol, b, (start + j) % n as i from st, (select unnest(range({block})) as j) where k * {block} + j < n), bs as (select symbol, b, {statistic.format(f'r.{value}')} as v from picked join {rows} r using (symbol, i) group by symbol, b)
+      select symbol, round(quantile_cont(v, 0.025), 6) as low, round(quantile_cont(v, 0.975), 6) as high, count(*) as replicates from bs group by 1"""
+
+
+def equity_paths(returns: str) -> str:
+    u = hashed.half_sql("md5('9|' || b || '|' || k)")
+    return f"""{returns}, x as (select symbol, r / 100 as r, row_number() over (partition by symbol order by day) - 1 as i, count(*) over (partition by symbol) as n from ret where r is not null),
+      st as (select symbol, n, b, k, floor({u} * n)::bigint as start from (select symbol, any_value(n) as n from x group by 1), (select unnest(range(200)) as b), (select unnest(range(25)) as k)),
+      p as (select st.symbol, b, k * 10 + j as t, 5 * r as r from st, (select unnest(range(10)) as j), x where x.symbol = st.symbol and x.i = (start + j) % st.n),
+      e as (select symbol, b, t, exp(sum(r) over (partition by symbol, b order by t)) as v from p), f as (select *, 1 - v / max(v) over (partition by symbol, b order by t) as dd from e),
+      g as (select symbol, b, arg_max(v, t) as final, max(dd) as drawdown, sqrt(avg(dd * dd)) as ulcer, max((v <= 0.5)::integer) as ruin, max((v <= 0.8)::integer) as was_low from f group by 1, 2)
+      select symbol, count(*) as paths, round(avg(final), 6) as final, round(avg(drawdown), 6) as drawdown, round(avg(ulcer), 6) as ulcer, round(avg(ruin), 6) as ruin, round(avg((final <= 0.8)::integer), 6) as ended_low, round(avg(was_low), 6) as was_low from g group by 1"""
+
+
+def step_down(returns: str, draws: int) -> str:
+    """Rotations of each symbol's series against its weekdays; p from the running maximum from the weakest up."""
+    u = hashed.half_sql("md5('1|' || b)")
+    stat = "abs(avg(r)) / (stddev_pop(r) / sqrt(count(*)))"
+    return f"""{returns}, x as (select symbol, r, (isodow(day) % 7 + 1)::integer as dow, row_number() over (partition by symbol order by day) - 1 as i, count(*) over (partition by symbol) as n from ret where r is not null),
+      o as (select symbol, dow, {stat} as s from x group by 1, 2), d as (select symbol, b, n, 30 + floor({u} * (n - 60))::bigint as shift from (select symbol, any_value(n) as n from x group by 1), (select unnest(range({draws})) as b)),
+      z as (select a.symbol, b, a.dow, {stat.replace('(r)', '(y.r)')} as s from d join x a using (symbol) join x y on y.symbol = a.symbol and y.i = (a.i - shift + d.n) % d.n group by 1, 2, 3),
+      k as (select symbol, dow, s, row_number() over (partition by symbol order by s) as place from o), w as (select z.symbol, b, z.dow, place, max(z.s) over (partition by z.symbol, b order by place) as worst, k.s from z join k on k.symbol = z.symbol and k.dow = z.dow),
+      p as (select symbol, dow, any_value(place) as place, (1 + count(*) filter (worst >= s)) / ({draws} + 1)::double as p from w group by 1, 2) select symbol, dow, round(max(p) over (partition by symbol order by place desc), 6) as p from p"""
+
+
+def simulated_garch() -> str:
+    z = hashed.normal_sql("md5('garch|' || (k - 1))")
+    return recursive(f"with x as (select 'sim' as symbol, unnest(range(1, 2001)) as k), y as (select symbol, k, {z} as z from x), " + along("m", "y", {"v": "1e-6 + 0.08 * p.v * p.z * p.z + 0.91 * p.v", "z": "t.z"}, {"v": "1e-4::double", "z": "t.z"}) + " select symbol, (k - 1)::bigint as day, round(v, 9) as variance, round(sqrt(v) * z, 8) as r from m")
+
+
+def simulated_bars() -> str:
+    z = hashed.normal_sql("md5('bars|' || id)")
+    return f"""with n as (select unnest(range({64 * 390})) as id), r as (select id, id // 390 as day, {z} * 0.01 / sqrt(390) as r from n), p as (select id, day, exp(sum(r) over (partition by day order by id)) as p from r),
+      b as (select day, arg_min(p, id) as open, max(p) as high, min(p) as low, arg_max(p, id) as close from p group by 1)
+      select 'sim' as symbol, round(sqrt(avg((ln(high) - ln(low)) ** 2 / (4 * ln(2)))), 8) as parkinson, round(sqrt(avg(0.5 * (ln(high) - ln(low)) ** 2 - (2 * ln(2) - 1) * (ln(close) - ln(open)) ** 2)), 8) as gk, 0.01::double as truth from b"""
+
+
+def detectable() -> str:
+    u = hashed.half_sql("md5('power|' || draw || '|' || k)")
+    return f"""with d as (select draw, draw % 5 as step, unnest(range(2000)) as k from (select unnest(range({5 * 64})) as draw)), m as (select draw, step, avg(({u} < 1 / 3::double * (1 + 0.05 * step))::integer) as m from d group by 1, 2)
+      select round(1 + 0.05 * step, 2) as lift, round(avg(((m - 1 / 3::double) / sqrt(2 / 9::double / 2000) > 1.96)::integer), 6) as power, count(*) as samples from m group by step"""
+
+
+def score_scale(returns: str, responses: list[float], memories: list[float]) -> str:
+    """Grid of responses and memories; the likeliest over the first 800 rows gives the path of scales."""
+    nu, log_c = 6, "(lgamma(3.5::double) - lgamma(3::double) - ln(6 * pi()) / 2)"
+    u = "(7 * (p.z * p.z) / (6 * exp(2 * (t.level + p.away)) + p.z * p.z + 1e-12) - 1)"
+    density = "({c} - 3.5 * ln(1 + t.z * t.z / exp(2 * (t.level + {a})) / 6) - (t.level + {a}))"
+    away = f"(t.memory * p.away + t.response * {u})"
+    grid = "(select unnest([" + ", ".join(f"{{'a': {a!r}::double, 'm': {m!r}::double}}" for m in memories for a in responses) + "]) as g)"
+    step = f"m as (select symbol, g, k, 0.0::double as away, z, {density.format(c=log_c, a='0')} as ll from y t where k = 1 union all select t.symbol, t.g, t.k, {away}, t.z, p.ll + case when t.k <= 800 then {density.format(c=log_c, a=away)} else 0 end from m p join y t on t.symbol = p.symbol and t.g = p.g and t.k = p.k + 1)"
+    q = -1.9431802805153022  # the 5 % quantile of a t with 6 degrees of freedom
+    return recursive(f"""{returns}, x as (select symbol, r as z, row_number() over (partition by symbol order by day) as k from ret where r is not null), l as (select symbol, ln(greatest(stddev_pop(z) * sqrt({nu - 2} / {nu}::double), 1e-12)) as level from x where k <= 800 group by 1),
+      y as (select x.symbol, k, z, level, row_number() over (partition by x.symbol, k order by g.m, g.a) as g, g.a as response, g.m as memory from x join l using (symbol), {grid}), {step},
+      best as (select symbol, arg_max(g, ll) as g from (select symbol, g, max(ll) filter (k = least(800, n)) as ll from (select *, max(k) over (partition by symbol) as n from m) group by 1, 2) group by 1)
+      select y.symbol, any_value(response) as response, any_value(memory) as memory, round(any_value(level), 6) as level, round(avg((y.z <= {q} * exp(level + away))::integer), 6) as rate from y join best using (symbol, g) join m using (symbol, g, k) group by 1""")

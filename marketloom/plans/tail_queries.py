@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from marketloom.functions import special, tails
+from marketloom.functions import hashed, special, tails
 from marketloom.operators import forecast, scoring
 from marketloom.operators import indicators as ind
 from marketloom.plans import series_sql as ssql
@@ -37,7 +37,7 @@ def caviar(spark, sf):
     return _fits(spark, sf, f, "symbol string, kind string, loss double, rate double")
 
 
-@query("var11_score_driven_scale")
+@query("var11_score_driven_scale", ssql.score_scale(RETURNS, tails.RESPONSES.tolist(), tails.MEMORIES.tolist()))
 def score_scale(spark, sf):
     def f(s, z):
         response, memory, level = tails.fit_scale(z[:800])
@@ -45,7 +45,7 @@ def score_scale(spark, sf):
         q = special.t_quantile(0.05, 6.0) * scale
         return pd.DataFrame([(s, response, memory, level, float((z <= q).mean()))], columns=["symbol", "response", "memory", "level", "rate"])
 
-    return _fits(spark, sf, f, "symbol string, response double, memory double, level double, rate double")
+    return rounded(_fits(spark, sf, f, "symbol string, response double, memory double, level double, rate double"), 6, response=9, memory=9)
 
 
 @query("var08_quantile_tracking", ssql.tracking(RETURNS))
@@ -106,27 +106,22 @@ def partial(spark, sf):
     return rounded(c.select(((F.col("an") - F.col("ar") * F.col("nr")) / F.sqrt((1 - F.col("ar") ** 2) * (1 - F.col("nr") ** 2))).alias("partial"), F.col("an").alias("plain")))
 
 
-@query("inf15_detectable_effect")
+@query("inf15_detectable_effect", ssql.detectable())
 def detectable(spark, sf):
     """Share of simulated samples in which a planted lift is found, by size of lift."""
-    grid = spark.range(0, 5 * 64, numPartitions=8).select((F.col("id") % 5).alias("step"), F.col("id").alias("draw"))
-
-    def f(batches):
-        for pdf in batches:
-            out = []
-            for step, draw in zip(pdf["step"], pdf["draw"], strict=True):
-                rng = np.random.default_rng([3, int(draw)])
-                y = rng.random(2000) < 1 / 3 * (1 + 0.05 * step)
-                out.append((float(1 + 0.05 * step), bool((y.mean() - 1 / 3) / np.sqrt(2 / 9 / 2000) > 1.96)))
-            yield pd.DataFrame(out, columns=["lift", "found"])
-
-    return grid.mapInPandas(f, "lift double, found boolean").groupBy("lift").agg(F.avg(F.col("found").cast("double")).alias("power"), F.count(F.lit(1)).alias("samples"))
+    rows = spark.range(0, 5 * 64 * 2000, numPartitions=16).select(F.floor(F.col("id") / 2000).alias("draw"), (F.col("id") % 2000).alias("k"))
+    u = hashed.half(hashed.digest(F.lit("power"), F.col("draw"), F.col("k")))
+    step = F.col("draw") % 5
+    m = rows.groupBy("draw", step.alias("step")).agg(F.avg((u < F.lit(1 / 3) * (1 + 0.05 * step)).cast("double")).alias("m"))
+    found = (F.col("m") - 1 / 3) / (2 / 9 / 2000) ** 0.5 > 1.96
+    return m.groupBy(F.round(1 + 0.05 * F.col("step"), 2).alias("lift")).agg(F.round(F.avg(found.cast("double")), 6).alias("power"), F.count(F.lit(1)).alias("samples"))
 
 
 @query("har14_qlike_regression")
 def qlike_regression(spark, sf):
     rows = log_variance(spark, sf).where("lw is not null and lm is not null and y is not null").select("symbol", F.year("day").alias("year"), "day", "lv", "lw", "lm", "y")
-    fits = rows.withColumn("upto", F.explode(F.sequence(F.col("year") + 1, F.lit(2001)))).where("upto <= 2001")
+    last = F.broadcast(rows.agg(F.max("year").alias("last")))  # one row
+    fits = rows.crossJoin(last).withColumn("upto", F.explode(F.sequence(F.col("year") + 1, F.col("last") + 1))).where("upto <= last")
 
     def f(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("day")
