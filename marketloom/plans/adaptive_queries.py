@@ -222,7 +222,7 @@ def residual_sums(spark, sf):
     return rounded(rows.select("symbol", "day", F.col("n_fit").alias("n"), "ssr"), 3)
 
 
-@query("har22_weighted_spillover")
+@query("har22_weighted_spillover", ssql.weighted_spillover(LV))
 def weighted_spillover(spark, sf):
     """Others' log variance, standardised by its own past and weighted by what each passes on."""
     v = log_variance(spark, sf)

@@ -167,7 +167,11 @@ def yearly_refit(spark, sf):
     return rounded(s.select("symbol", "year", "slope", ((F.col("y") - F.col("slope") * F.col("x")) / F.col("n")).alias("intercept")), 5)
 
 
-@query("har21_spillover")
+@query("har21_spillover", ssql.spillover(LV) + ' select year::integer as year, to_ as "to", from_ as "from", round(share, 6) as share from share')
+def spillover_shares(spark, sf):
+    return rounded(spillover(spark, sf))
+
+
 def spillover(spark, sf):
     """VAR(1) of log variances and its generalised decomposition, refit by year."""
     v = log_variance(spark, sf).select("symbol", "day", "lv", F.year("day").alias("year"))

@@ -391,3 +391,29 @@ def score_scale(returns: str, responses: list[float], memories: list[float]) ->
       y as (select x.symbol, k, z, level, row_number() over (partition by x.symbol, k order by g.m, g.a) as g, g.a as response, g.m as memory from x join l using (symbol), {grid}), {step},
       best as (select symbol, arg_max(g, ll) as g from (select symbol, g, max(ll) filter (k = least(800, n)) as ll from (select *, max(k) over (partition by symbol) as n from m) group by 1, 2) group by 1)
       select y.symbol, any_value(response) as response, any_value(memory) as memory, round(any_value(level), 6) as level, round(avg((y.z <= {q} * exp(level + away))::integer), 6) as rate from y join best using (symbol, g) join m using (symbol, g, k) group by 1""")
+
+
+def spillover(lv: str, names: tuple[str, ...] = ("A", "N", "R")) -> str:
+    """CTEs that end in share (year, to, from, share): VAR(1) by year and its generalised decomposition over ten steps."""
+    m = range(len(names))
+    x = [f"l{j}" for j in m]
+    wide = ", ".join(f"max(lv) filter (symbol = '{s}') as v{i}" for i, s in enumerate(names))
+    fits = ", ".join(f"g{i} as (select upto, {gram(x, f'v{i}')} from r group by 1), {solved(f's{i}', f'g{i}', len(names) + 1, 'upto', 1e-8)}" for i in m)
+    joined = " ".join(f"join s{i} using (upto)" for i in m)
+    error = lambda i: f"(v{i} - s{i}.x0 - " + " - ".join(f"s{i}.x{j + 1} * l{j}" for j in m) + ")"
+    own = ", ".join([f"any_value(s{i}.x{j + 1}) as a{i}{j}" for i in m for j in m] + [f"avg({error(i)} * {error(j)}) as s{i}{j}" for i in m for j in m])
+    dot = lambda i, j: "(" + " + ".join(f"t{i}{k} * s{k}{j}" for k in m) + ")"
+    step = [" + ".join(f"a{i}{k} * t{k}{j}" for k in m) + f" as t{i}{j}" for i in m for j in m]
+    step += [f"n{i}{j} + {dot(i, j)} ** 2 / s{j}{j} as n{i}{j}" for i in m for j in m]
+    step += [f"d{i} + " + " + ".join(f"t{i}{k} * s{k}{l} * t{i}{l}" for k in m for l in m) + f" as d{i}" for i in m]
+    first = [f"{float(i == j)}::double as t{i}{j}" for i in m for j in m] + [f"0.0::double as n{i}{j}" for i in m for j in m] + [f"0.0::double as d{i}" for i in m]
+    rows = " union all ".join(f"select upto as year, '{names[i]}' as to_, '{names[j]}' as from_, n{i}{j} / d{i} / (" + " + ".join(f"n{i}{k} / d{i}" for k in m) + ") as share from w where k = 10" for i in m for j in m)
+    return recursive(f"""{lv}, p as (select day, {wide} from v group by 1), f as (select * from p where {' and '.join(f'v{i} is not null' for i in m)}), o as (select *, {', '.join(f'lag(v{i}) over (order by day) as l{i}' for i in m)} from f),
+      u as (select distinct year(day) as y from v), r as (select u.y as upto, o.* from o join u on year(o.day) < u.y where l0 is not null), {fits},
+      c as (select upto, count(*) as rows_, {own} from r {joined} group by 1), w as (select upto, 0 as k, {', '.join(first)} from c where rows_ + 1 >= {2 * (len(names) + 1)} union all select upto, k + 1, {', '.join(step)} from w join c using (upto) where k < 10), share as ({rows})""")
+
+
+def weighted_spillover(lv: str) -> str:
+    return spillover(lv) + f""", z as (select symbol, day, case when count(lv) over ({EXPANDING}) >= 60 then (lv - avg(lv) over ({EXPANDING})) / greatest(stddev_samp(lv) over ({EXPANDING}), 1e-12) end as z from v),
+      q as (select year, to_, from_, share / greatest(sum(share) over (partition by year, to_), 1e-12) as share from share where to_ <> from_)
+      select to_ as symbol, day, round(sum(share * z), 5) as weighted from z join q on q.from_ = z.symbol and q.year = year(day) where z is not null group by 1, 2"""
