@@ -115,8 +115,8 @@ def _entropy_spans(found: str, k: EntropyClass, allow: tuple[str, ...], rank: in
                     when m.new < m.old then concat(slice(c.counts, 1, m.new - 1), array(c.counts[m.new - 1] + 1), slice(c.counts, m.new + 1, m.old - m.new - 1), array(c.counts[m.old - 1] - 1), slice(c.counts, m.old + 1, {len(k.alphabet)} - m.old))
                     else concat(slice(c.counts, 1, m.old - 1), array(c.counts[m.old - 1] - 1), slice(c.counts, m.old + 1, m.new - m.old - 1), array(c.counts[m.new - 1] + 1), slice(c.counts, m.new + 1, {len(k.alphabet)} - m.new)) end,
                   'total', t,
-                  'first', case when i >= {k.width} and t <= {k.width * (log2(k.width) - k.bits)}d then coalesce(c.first, i - {k.width}) else c.first end,
-                  'last', case when i >= {k.width} and t <= {k.width * (log2(k.width) - k.bits)}d then i else c.last end,
+                  'first', case when i >= {k.width} and t <= {k.width * (log2(k.width) - k.bits) + 1e-9}d then coalesce(c.first, i - {k.width}) else c.first end,
+                  'last', case when i >= {k.width} and t <= {k.width * (log2(k.width) - k.bits) + 1e-9}d then i else c.last end,
                   'least', case when i >= {k.width} then least(c.least, t) else c.least end))))"""
     return F.expr(
         f"""filter(transform(filter({found}, x -> {keep}), x -> aggregate(transform(array({places}), at -> {grow}),
