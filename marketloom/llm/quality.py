@@ -38,6 +38,8 @@ ORDER = 5
 BLOCK_BYTES, PACK_BYTES = 64_000_000, 32_000_000
 #: Ids that are broadcast to pick the trusted texts; beyond it, a shuffle join.
 BROADCAST_IDS = 1_000_000
+#: Languages whose limits are broadcast; beyond it, a shuffle join.
+BROADCAST_LANGUAGES = 10_000
 #: Quantile of held-out trusted documents that is still kept.
 KEEP = 0.995
 #: Distances of the quartiles above the upper one at which a trusted document is odd.
@@ -290,7 +292,8 @@ def classify(df: DataFrame, trusted: DataFrame, lang: str = "lang", keep: float
     at = lambda q: F.percentile_approx("p", F.lit(q), F.lit(10_000))
     quantile = F.least(at(keep), at(0.75) + FENCE * (at(0.75) - at(0.25)))
     overall = known.agg(quantile.alias("overall"))
-    limits = known.groupBy("language").agg(quantile.alias("own"))
+    limits = stored(known.groupBy("language").agg(quantile.alias("own")), "limits")
+    limits = F.broadcast(limits) if limits.count() <= BROADCAST_LANGUAGES else limits
     whole = scored.select(packed(scored, ("perplexity",)), "perplexity", language(scored))
     out = whole.join(F.broadcast(overall)).join(limits, "language", "left").withColumn("limit", F.coalesce("own", "overall"))
     kept = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("limit"), F.lit(True))
