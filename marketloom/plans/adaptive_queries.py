@@ -98,6 +98,27 @@ def weighted_quantile(spark, sf):
     return rounded(scoring.weighted_quantile(a, "z", "w", 0.95, "symbol", "day"))
 
 
+@query("var12_drift_tails")
+def drift_tails(spark, sf):
+    """Quantiles estimated anew from the last drift of the size on, against those of training."""
+
+    def f(z, seen):
+        last = int(seen.sum())
+        found = [t for t in recursive.drifts(np.abs(z)) if t > last]
+        fixed, path = np.full(len(z), np.nan), np.full(len(z), np.nan)
+        for t in range(last, len(z)):
+            known = [d for d in found if d <= t]
+            own = z[known[-1] : t] if known else z[:0]
+            fixed[t] = np.quantile(z[:last], 0.05)
+            path[t] = np.quantile(own, 0.05) if len(own) >= 60 else fixed[t]
+        return {"z": z, "fixed": fixed, "reset": path, "drift": np.isin(np.arange(len(z)), found).astype(float)}
+
+    rows = returns(spark, sf).where("r is not null").withColumn("seen", train().cast("double"))
+    out = ind.per_symbol(rows, ["r", "seen"], dict.fromkeys(("z", "fixed", "reset", "drift"), "double"), f).where("reset is not null")
+    rate = lambda c: F.avg((F.col("z") <= F.col(c)).cast("double"))
+    return rounded(out.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), rate("fixed").alias("fixed_rate"), rate("reset").alias("reset_rate"), F.sum("drift").cast("long").alias("drifts")))
+
+
 @query("var12_breakpoints")
 def breakpoints(spark, sf):
     """Where the level of the 60-row deviation breaks: least squares with a penalty for each break."""

@@ -29,6 +29,29 @@ def test_breaks_against_every_set():
         assert rec.breaks(x, 3.0, least=6, step=3) == best_cuts(x, 3.0, 6, 3), seed
 
 
+def test_drifts_follow_changes():
+    rng = np.random.default_rng(6)
+    flat = [rec.drifts(np.abs(rng.normal(size=1500))) for _ in range(10)]
+    assert sum(map(len, flat)) <= 1
+    for _ in range(5):
+        x = np.abs(rng.normal(size=1500) * np.where(np.arange(1500) < 700, 1, 2.5))
+        found = rec.drifts(x)
+        assert found and 700 < found[0] < 850
+        assert rec.drifts(x[:900]) == [t for t in found if t <= 900]  # known in time
+
+
+def test_components_of_vectors(spark):
+    from marketloom.plans import research_queries
+
+    sf = "/root/testdata/sf0.001"
+    rows = sorted(spark.read.parquet(f"{sf}/embeddings.parquet").collect(), key=lambda r: r.vec_id)
+    x = np.array([r.embedding for r in rows], float)
+    _, v = np.linalg.eigh(np.cov(x.T))
+    want = np.abs(x @ v[:, ::-1][:, :3])
+    got = sorted(research_queries.components(spark, sf).collect(), key=lambda r: r.vec_id)
+    assert np.allclose([[r.size0, r.size1, r.size2] for r in got], want, atol=2e-5)
+
+
 def test_scale_fit_finds_clusters_of_size():
     rng = np.random.default_rng(4)
     away, z = 0.0, []
