@@ -2,9 +2,12 @@
 
 from pyspark.sql import SparkSession
 
+#: On a cluster, name a folder that driver and executors share instead.
+LOCAL_CHECKPOINTS = "file:///tmp/checkpoints/marketloom"
+
 
 def session(master: str = "local[*]", partitions: int = 8, memory: str = "8g") -> SparkSession:
-    return (
+    builder = (
         SparkSession.builder.master(master)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", memory)
@@ -12,5 +15,7 @@ def session(master: str = "local[*]", partitions: int = 8, memory: str = "8g") -
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    if master.startswith("local"):
+        builder = builder.config("spark.checkpoint.dir", LOCAL_CHECKPOINTS)
+    return builder.getOrCreate()
