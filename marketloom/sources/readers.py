@@ -80,10 +80,10 @@ def minute_records(spark: SparkSession, path: str, scale: float = 1e5) -> DataFr
 
 
 def chart_rows(payload: DataFrame, column: str = "json") -> DataFrame:
-    """ts, open, high, low, close of a columnar chart answer; incomplete rows go."""
+    """ts, open, high, low, close of a columnar chart answer; incomplete rows and empty answers go."""
     schema = "chart struct<result:array<struct<timestamp:array<bigint>,indicators:struct<quote:array<struct<open:array<double>,high:array<double>,low:array<double>,close:array<double>>>>>>>"
-    one = F.element_at(F.from_json(column, schema)["chart"]["result"], 1)
-    quote = F.element_at(one["indicators"]["quote"], 1)
+    one = F.get(F.from_json(column, schema)["chart"]["result"], F.lit(0))
+    quote = F.get(one["indicators"]["quote"], F.lit(0))
     rows = payload.select(F.explode(F.arrays_zip(one["timestamp"].alias("t"), quote["open"].alias("o"), quote["high"].alias("h"), quote["low"].alias("l"), quote["close"].alias("c"))).alias("x"))
     return rows.select(F.timestamp_seconds("x.t").alias("ts"), F.col("x.o").alias("open"), F.col("x.h").alias("high"), F.col("x.l").alias("low"), F.col("x.c").alias("close")).dropna()
 
