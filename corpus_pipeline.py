@@ -55,9 +55,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, twice at most.  Null is a
     source; a source without words is left out whole; of repeated rows that tie
     at the target any may be taken, the same on every run."""
-    text = F.col("text").cast("string")
-    rows = docs.select("doc_id", "source", n_words(text).alias("words"), mixing.quality_weight(text).alias("quality"), packed(docs))
-    mixed = mixing.mix(rows, size=F.col("words"), quality=F.col("quality")).where("copies > 0")
+    text = F.col("row.text").cast("string")
+    mixed = mixing.mix(docs.select("doc_id", "source", packed(docs)), size=n_words(text), quality=mixing.quality_weight(text)).where("copies > 0")
     return mixed.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
