@@ -125,3 +125,42 @@ l as (select lang, least(min(p) filter (i >= ceil(0.995 * n)), min(p) filter (i
 f as (select least(min(p) filter (j >= ceil(0.995 * m)), min(p) filter (j >= ceil(0.75 * m)) + 3 * (min(p) filter (j >= ceil(0.75 * m)) - min(p) filter (j >= ceil(0.25 * m)))) as overall from o)
 select doc_id, a.lang, round(perplexity, 6) as perplexity, round(coalesce(own, overall), 6) as limit, perplexity is not null and coalesce(perplexity <= coalesce(own, overall), true) as keep from a cross join f left join l on l.lang = coalesce(a.lang, chr(1))
 """
+
+
+OP11 = rf"""
+with d as (select row_number() over () as i, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+u as (select i, lang, source, unnest(w) as t from d), k as (select lang, t from u group by 1, 2 having count(distinct i) >= 30),
+c as (select lang, source, t, count(*) as c from u join k using (lang, t) group by 1, 2, 3), v as (select lang, count(*) as v from k group by 1),
+g as (select distinct lang, source from d), n as (select g.lang, g.source, coalesce(sum(c), 0)::bigint as n from g left join c on c.lang = g.lang and c.source = g.source group by 1, 2),
+m as (select lang, sum(n)::bigint as n from n group by 1), l as (select lang, t, sum(c)::bigint as c from c group by 1, 2),
+p as (select n.lang, n.source, k.t, coalesce(c.c, 0) as c, 1 + 1000000000::hugeint * (coalesce(c.c, 0) + 5) // (n.n + 5 * v.v) as p from n join v on v.lang = n.lang join k on k.lang = n.lang left join c on c.lang = n.lang and c.source = n.source and c.t = k.t),
+q as (select lang, t, 1 + 1000000000::hugeint * (l.c + 5) // (m.n + 5 * v.v) as q from l join m using (lang) join v using (lang)),
+pairs as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(sum(abs(x.p - y.p)), 0)::bigint as value from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join p x on x.lang = a.lang and x.source = a.source left join p y on y.lang = b.lang and y.source = b.source and y.t = x.t group by 1, 2, 4),
+terms as (select p.lang, source, 'term' as part, t as item, (p - q)::bigint as value from p join q using (lang, t) where c > 0 and p > q),
+r as (select *, row_number() over (partition by lang, source, part order by value desc, item)::integer as rank from (select * from pairs union all select * from terms))
+select * from r where part = 'pair' or rank <= 50
+"""
+
+#: Unsigned CRC-32 of the bytes of a text, a bit at a time.
+CRC = """xor(list_reduce(list_concat([4294967295::bigint], flatten(list_transform(range(1, length(hex(encode(t))) // 2 + 1), lambda i: [('0x' || substr(hex(encode(t)), 2 * i - 1, 2))::bigint, 0, 0, 0, 0, 0, 0, 0]))),
+  lambda c, x: xor(xor(c, x) >> 1, case when xor(c, x) & 1 = 1 then 3988292384 else 0 end)), 4294967295)"""
+
+
+def _features(name: str, table: str, id_: str) -> str:
+    """Words of a table's texts as rows."""
+    return f"{name} as (select {id_} as id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) as t from {table})"
+
+
+OP13 = f"""
+with {_features('a', 'documents', 'doc_id')}, {_features('e', 'benchmark', 'item_id')},
+h as (select t, {CRC} % 10000 as b from (select distinct t from (select t from a union all select t from e))),
+x as (select id, b from a join h using (t)), s as (select b, count(*) as n from x group by 1), y as (select b, count(*) as n from e join h using (t) group by 1),
+g as (select b, floor(1000 * ln((coalesce(y.n, 0) + 1.0::double) * ((select count(*) from a) + 10000.0::double) / ((coalesce(s.n, 0) + 1.0::double) * ((select count(*) from e) + 10000.0::double))))::bigint as gain
+  from (select unnest(range(10000)) as b) left join s using (b) left join y using (b)),
+w as (select id as doc_id, count(*) as n, floor(sum(gain)::double / count(*))::bigint as weight from x join g using (b) group by 1),
+o as (select doc_id, coalesce(n, 0) as n_features, coalesce(weight, 0) as weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::bigint + 0.5::double) / 4294967296.0::double)))::bigint as score
+  from documents left join w using (doc_id)),
+r as (select doc_id, row_number() over (order by score desc, doc_id) as rank, count(*) over () as n from o where n_features >= 20)
+select o.doc_id, n_features, weight, score, case when rank <= 10 * n // 100 then rank end as rank from o left join r using (doc_id)
+"""
