@@ -27,6 +27,7 @@ never evaluated has bounds strictly below that value.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,31 +53,26 @@ COUNTS = T.StructType().add("lang", "string").add("source", "string").add("term"
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
     """(lang, source, term, count, documents) of texts, summed as far as a task holds them."""
-    held: dict[tuple[str, str], dict[bytes, list[int]]] = {}
+    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
     size = 0
 
     def flushed() -> list[pa.Array]:
-        rows = [(lang, source, term, n, d) for (lang, source), terms in held.items() for term, (n, d) in terms.items()]
-        lang, source, term, n, d = zip(*rows, strict=True)
-        return [pa.array(lang, pa.string()), pa.array(source, pa.string()), pa.array(term, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(d, pa.int64())]
+        n = [len(counts) for counts, _ in held.values()]
+        lang, source = (pa.array([g[i] for g in held], pa.string()).take(pa.array(np.repeat(np.arange(len(n)), n))) for i in (0, 1))
+        terms = pa.array([w for counts, _ in held.values() for w in counts], pa.binary()).cast(pa.string())
+        count = pa.array([c for counts, _ in held.values() for c in counts.values()], pa.int64())
+        return [lang, source, terms, count, pa.array([docs[w] for counts, docs in held.values() for w in counts], pa.int64())]
 
     for batch in batches:
         data, at = tn.buffers(batch.column(2))
         groups = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
         for i, group in enumerate(groups):
             words = data[at[i] : at[i + 1]].tobytes().translate(TERMS).split()
-            own: dict[bytes, int] = {}
-            for w in words:
-                own[w] = own.get(w, 0) + 1
-            terms = held.setdefault(group, {})
-            size -= len(terms)
-            for w, n in own.items():
-                if (had := terms.get(w)) is None:
-                    terms[w] = [n, 1]
-                else:
-                    had[0] += n
-                    had[1] += 1
-            size += len(terms)
+            counts, docs = held.get(group) or held.setdefault(group, (Counter(), Counter()))
+            size -= len(counts)
+            counts.update(words)
+            docs.update(set(words))
+            size += len(counts)
             if size > HELD:
                 yield flushed()
                 held, size = {}, 0
