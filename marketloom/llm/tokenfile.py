@@ -21,10 +21,11 @@ both, so a lost executor leaves no half file.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import islice
+from itertools import chain, islice
 from zlib import crc32
 
 import numpy as np
@@ -41,7 +42,7 @@ MAGIC = b"DAC1"
 BLOCK, BLOCK_WORDS = 512, 8
 #: A segment ends with the document that brings it to so many ids.
 SEGMENT = 1 << 16
-#: Distinct words, and ids of them, that a task remembers.
+#: Distinct words, and ids of them, that a worker remembers.
 REMEMBERED, REMEMBERED_IDS = 1 << 19, 1 << 22
 
 
@@ -142,14 +143,36 @@ def _tokenizer(path: str):
 
 
 class _Numbers(dict):
+    """Strings to 0, 1, ... as they are asked for."""
+
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
         return n
 
 
+def _last(numbers: _Numbers, had: int) -> list[str]:
+    """The strings from number `had` on."""
+    return list(islice(reversed(numbers), len(numbers) - had))[::-1]
+
+
+def _appended(ids: np.ndarray, ends: np.ndarray, more: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([ids, more]), np.concatenate([ends, ends[-1] + np.cumsum(size)])
+
+
+def _picked(ids: np.ndarray, ends: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of some numbers one after another, and how many each has."""
+    size = ends[own + 1] - ends[own]
+    upto = np.cumsum(size)
+    return ids[np.arange(upto[-1] if len(upto) else 0) + np.repeat(ends[own + 1] - upto, size)], size
+
+
+#: Between an ASCII letter or digit and punctuation but the apostrophe, where the tokenizer always parts.
+PARTS = re.compile(r"(?<=[a-z0-9])(?=[!-&(-/:-@\[-`{-~])|(?<=[!-&(-/:-@\[-`{-~])(?=[a-z0-9])")
+
+
 class WordEncoder:
-    """Ids of texts by a tokenizer that never joins what a blank parts (it drops
-    white space and merges inside words only): a distinct word is encoded once."""
+    """Ids of texts by a tokenizer that lowers case, drops white space and merges
+    inside words only: a distinct word, and a distinct part of one, is encoded once."""
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
@@ -157,6 +180,19 @@ class WordEncoder:
 
     def _forget(self) -> None:
         self.words, self.ids, self.ends = _Numbers(), np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self.parts, self.part_ids, self.part_ends = _Numbers(), np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        # Special tokens are known in their own case only.
+        split = [[w] if "<|" in w else PARTS.split(w.encode().lower().decode()) for w in words]
+        had = len(self.parts)
+        own = np.array(list(map(self.parts.__getitem__, chain.from_iterable(split))), np.int64)
+        if len(self.parts) > had:
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(_last(self.parts, had), add_special_tokens=False)]
+            self.part_ids, self.part_ends = _appended(self.part_ids, self.part_ends, np.fromiter(chain.from_iterable(found), np.uint32), np.array(list(map(len, found))))
+        flat, size = _picked(self.part_ids, self.part_ends, own)
+        upto = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(list(map(len, split)))])]
+        self.ids, self.ends = _appended(self.ids, self.ends, flat, np.diff(upto))
 
     def ids_of(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.words) > REMEMBERED or len(self.ids) > REMEMBERED_IDS:
@@ -165,17 +201,15 @@ class WordEncoder:
         for text in texts:
             own = list(map(number, text.replace("\n", " ").replace("\t", " ").split(" "))) if text else []
             rows.append(np.array(own, np.int64))
-        new = list(islice(reversed(self.words), len(self.words) - had))[::-1]
-        if new:
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in found])])
-            self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x], np.uint32)])
-        out = []
-        for own in rows:
-            start, size = self.ends[own], self.ends[own + 1] - self.ends[own]
-            ends = np.cumsum(size)
-            out.append(self.ids[np.arange(ends[-1]) + np.repeat(start - ends + size, size)] if len(own) else np.empty(0, np.uint32))
-        return out
+        if len(self.words) > had:
+            self._learn(_last(self.words, had))
+        return [_picked(self.ids, self.ends, own)[0] for own in rows]
+
+
+@cache
+def _encoder(path: str) -> WordEncoder:
+    """A worker's, which remembers words from task to task."""
+    return WordEncoder(path)
 
 
 SEGMENTS = T.StructType().add("part", "integer").add("segment", "integer").add("doc_ids", T.ArrayType(T.LongType())).add("ends", T.ArrayType(T.LongType())).add("codes", "binary")
@@ -197,7 +231,7 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int = 1, segment: in
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
-        encoder, part = WordEncoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = _encoder(tokenizer), TaskContext.get().partitionId()
         number, names, ends, held, total = 0, [], [], [], 0
 
         def closed() -> list[pa.Array]:
@@ -247,7 +281,8 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
                 part, segment, names, ends = (batch.column(k)[i].as_py() for k in range(4))
                 codes = Codes(batch.column(4)[i].as_buffer())
                 starts = [0, *ends[:-1]]
-                sums = [crc32(codes.between(a, b).astype("<u4").tobytes()) for a, b in zip(starts, ends, strict=True)]
+                ids = codes.between(0, len(codes)).astype("<u4")
+                sums = [crc32(ids[a:b]) for a, b in zip(starts, ends, strict=True)]
                 n = len(names)
                 yield [
                     pa.array([part] * n, pa.int32()), pa.array([segment] * n, pa.int32()), pa.array(names, pa.int64()), pa.array(starts, pa.int64()),
