@@ -120,7 +120,7 @@ def _pairs(postings: DataFrame, groups: DataFrame, smoothing: int) -> DataFrame:
 
 
 def _top_terms(postings: DataFrame, groups: DataFrame, smoothing: int, top: int) -> DataFrame:
-    """lang, source, item, value of each group's terms that can be among its top ones."""
+    """lang, source, item, value, rank of each group's top terms."""
     group = ["lang", "source"]
     placed = postings.withColumn("bucket", F.floor(F.log2(F.col("count").cast("double")) * STEPS).cast("int"))
     buckets = placed.groupBy(*group, "bucket").agg(F.max("count").alias("most"), F.min("lang_count").alias("least"), F.count(F.lit(1)).alias("size")).join(groups, group)
@@ -137,10 +137,17 @@ def _top_terms(postings: DataFrame, groups: DataFrame, smoothing: int, top: int)
         return found.select(*group, F.col("term").alias("item"), value.alias("value")).where("value > 0")
 
     first = stored(evaluated(buckets.where("first")), "divergence-first")
-    place = F.row_number().over(Window.partitionBy(*group).orderBy(F.col("value").desc()))
-    reached = first.withColumn("place", place).where(F.col("place") == top).select(*group, F.col("value").alias("reached"))
+    reached = _ranked(first.select(*group, "value", F.lit("").alias("item")), group, top).where(F.col("rank") == top).select(*group, F.col("value").alias("reached"))
     rest = buckets.where("not first").join(reached, group, "left").where(F.col("bound") >= F.coalesce("reached", F.lit(1)))
-    return first.unionByName(evaluated(rest))
+    return _ranked(first.unionByName(evaluated(rest)), group, top)
+
+
+def _ranked(df: DataFrame, group: list[str], top: int | None = None) -> DataFrame:
+    """df with rank by value descending and item; with top, tasks hand on no
+    more rows of a group than that."""
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.col("value").desc(), "item"))
+    ranked = df.withColumn("rank", rank)
+    return ranked if top is None else ranked.where(F.col("rank") <= top)
 
 
 def audit(df: DataFrame, least_docs: int = 30, smoothing: int = 5, top: int = 50, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
@@ -170,10 +177,10 @@ def audit(df: DataFrame, least_docs: int = 30, smoothing: int = 5, top: int = 50
 
     pairs = _pairs(postings, groups, smoothing)
     ways = F.explode(F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("item")), F.struct(F.col("b").alias("source"), F.col("a").alias("item")))).alias("way")
-    pairs = pairs.select("lang", ways, "value").select("lang", "way.source", F.lit("pair").alias("part"), "way.item", "value")
-    terms = _top_terms(postings, groups, smoothing, top).select("lang", "source", F.lit("term").alias("part"), "item", "value")
-    rank = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.col("value").desc(), "item"))
-    return pairs.unionByName(terms).withColumn("rank", rank).where((F.col("part") == "pair") | (F.col("rank") <= top))
+    pairs = _ranked(pairs.select("lang", ways, "value").select("lang", "way.source", "way.item", "value"), ["lang", "source"])
+    terms = _top_terms(postings, groups, smoothing, top)
+    names = ["lang", "source", "part", "item", "value", "rank"]
+    return pairs.withColumn("part", F.lit("pair")).select(*names).unionByName(terms.withColumn("part", F.lit("term")).select(*names))
 
 
 def op11_source_divergence(spark, sf_dir: str) -> DataFrame:
