@@ -141,10 +141,10 @@ def breakpoints(spark, sf):
 def _strata_sql(two_way: bool) -> str:
     cell = "vol * 2 + dd" if two_way else "vol * 2"
     pick = "case when len(own) >= 60 then own when len(near) >= 60 then near else every end"
-    # The level an interval asks of the sizes seen before, by stratum; the row's stratum moves its own level.
-    half = ssql.quantile_of("t.held", "least(greatest(1 - {a}[t.cell + 1], 0) * (1 + 1 / len(t.held)), 0.9999)")
+    # A level asks for a place among the sizes seen before; the row's stratum moves its own level.
+    half = "t.held[greatest(least(ceil((len(t.held) + 1) * (1 - {a}[t.cell + 1])), len(t.held)), 1)::integer]"
     miss = f"(t.z > {half.format(a='a')})::integer"
-    step = "list_transform(p.a, lambda v, i: case when i = p.cell + 1 then least(greatest(v + 0.01 * (0.1 - p.miss), 1e-4), 0.5) else v end)"
+    step = "list_transform(p.a, lambda v, i: case when i = p.cell + 1 then v + 0.01 * (0.1 - p.miss) else v end)"
     row = f"select symbol, k, cell, held, z, a, {miss} as miss, {half.format(a='a')} as half from"
     return ssql.recursive(
         S + f""", edges as (select symbol, quantile_cont(sigma, 0.5) as edge from s where {TRAIN} and r is not null group by 1),

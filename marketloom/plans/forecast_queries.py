@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marketloom.functions import hashed, recursive
-from marketloom.operators import bars, forecast
+from marketloom.operators import bars, forecast, panel
 from marketloom.operators import indicators as ind
 from marketloom.plans import series_sql as ssql
 from marketloom.plans.bar_queries import RET, RET2
@@ -174,30 +174,26 @@ def spillover_shares(spark, sf):
 
 def spillover(spark, sf):
     """VAR(1) of log variances and its generalised decomposition, refit by year."""
-    v = log_variance(spark, sf).select("symbol", "day", "lv", F.year("day").alias("year"))
-    last = F.broadcast(v.agg(F.max("year").alias("last")))  # one row
-    years = v.crossJoin(last).withColumn("upto", F.explode(F.sequence(F.col("year") + 1, F.greatest("year", F.col("last")) + 1))).where("upto <= last")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index="day", columns="symbol", values="lv").sort_index().dropna()
-        names, x = list(wide.columns), wide.to_numpy()
-        m = len(names)
-        if len(x) < 2 * (m + 1):
-            return pd.DataFrame({"year": [], "to": [], "from": [], "share": []})
-        z = np.c_[np.ones(len(x) - 1), x[:-1]]
-        b = np.linalg.solve(z.T @ z + forecast.RIDGE * np.eye(m + 1), z.T @ x[1:])
-        e = x[1:] - z @ b
-        s, a, step = e.T @ e / len(e), b[1:].T, np.eye(m)
-        num, den = np.zeros((m, m)), np.zeros(m)
-        for _ in range(10):
-            num += (step @ s) ** 2 / np.diag(s)[None, :]
-            den += np.diag(step @ s @ step.T)
-            step = a @ step
-        share = num / den[:, None]
-        share /= share.sum(1, keepdims=True)
-        return pd.DataFrame([(int(pdf["upto"].iloc[0]), names[i], names[j], float(share[i, j])) for i in range(m) for j in range(m)], columns=["year", "to", "from", "share"])
-
-    return years.groupBy("upto").applyInPandas(run, "year int, to string, from string, share double")
+    shares = panel.spillover(log_variance(spark, sf), F.year("day"))
+    return shares.withColumnRenamed("block", "year")
+
+
+@query("har21_spillover_blocks", ssql.spillover(LV, block="k // 21", among="f") + ' select year::bigint as block, to_ as "to", from_ as "from", round(share, 6) as share from share')
+def spillover_blocks(spark, sf):
+    """The same, refit every 21 common days from sums of products by block."""
+    return rounded(panel.spillover(log_variance(spark, sf), F.floor(F.col("k") / 21)))
+
+
+@query("har10_configuration_grid", ssql.configuration_grid(LV))
+def configuration_grid(spark, sf):
+    """Loss of 64 configurations: weekday factors, window, other symbols, events, shrinkage to the panel, recalibration."""
+    v = log_variance(spark, sf).select("symbol", "day", "lv")
+    dow = F.weekday("day")
+    m = v.where(F.col("day") < F.lit("1999-10-13").cast("date")).groupBy("symbol", dow.alias("dow")).agg(F.percentile("lv", F.lit(0.5)).alias("m"))
+    m = m.select("symbol", "dow", (F.col("m") - F.avg("m").over(Window.partitionBy("symbol"))).alias("factor"))
+    event = ((dow == 4) & (F.dayofmonth("day") <= 7)).cast("double")
+    rows = v.withColumns({"dow": dow, "event": event}).join(F.broadcast(m), ["symbol", "dow"], "left")  # seven rows a symbol
+    return rounded(panel.forecast_grid(rows), 5)
 
 
 S = RETURNS + """, s as (select symbol, day, r, case when count(r) over w = 60 then stddev_pop(r) over w end as sigma from ret window w as (partition by symbol order by day rows between 60 preceding and 1 preceding)),

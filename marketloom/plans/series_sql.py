@@ -393,8 +393,8 @@ def score_scale(returns: str, responses: list[float], memories: list[float]) ->
       select y.symbol, any_value(response) as response, any_value(memory) as memory, round(any_value(level), 6) as level, round(avg((y.z <= {q} * exp(level + away))::integer), 6) as rate from y join best using (symbol, g) join m using (symbol, g, k) group by 1""")
 
 
-def spillover(lv: str, names: tuple[str, ...] = ("A", "N", "R")) -> str:
-    """CTEs that end in share (year, to, from, share): VAR(1) by year and its generalised decomposition over ten steps."""
+def spillover(lv: str, names: tuple[str, ...] = ("A", "N", "R"), block: str = "year(day)", among: str = "v") -> str:
+    """CTEs that end in share (year, to, from, share): VAR(1) by block (of the day and its place k) and its generalised decomposition over ten steps."""
     m = range(len(names))
     x = [f"l{j}" for j in m]
     wide = ", ".join(f"max(lv) filter (symbol = '{s}') as v{i}" for i, s in enumerate(names))
@@ -408,8 +408,8 @@ def spillover(lv: str, names: tuple[str, ...] = ("A", "N", "R")) -> str:
     step += [f"d{i} + " + " + ".join(f"t{i}{k} * s{k}{l} * t{i}{l}" for k in m for l in m) + f" as d{i}" for i in m]
     first = [f"{float(i == j)}::double as t{i}{j}" for i in m for j in m] + [f"0.0::double as n{i}{j}" for i in m for j in m] + [f"0.0::double as d{i}" for i in m]
     rows = " union all ".join(f"select upto as year, '{names[i]}' as to_, '{names[j]}' as from_, n{i}{j} / d{i} / (" + " + ".join(f"n{i}{k} / d{i}" for k in m) + ") as share from w where k = 10" for i in m for j in m)
-    return recursive(f"""{lv}, p as (select day, {wide} from v group by 1), f as (select * from p where {' and '.join(f'v{i} is not null' for i in m)}), o as (select *, {', '.join(f'lag(v{i}) over (order by day) as l{i}' for i in m)} from f),
-      u as (select distinct year(day) as y from v), r as (select u.y as upto, o.* from o join u on year(o.day) < u.y where l0 is not null), {fits},
+    return recursive(f"""{lv}, p as (select day, {wide} from v group by 1), f as (select *, row_number() over (order by day) - 1 as k from p where {' and '.join(f'v{i} is not null' for i in m)}), o as (select *, {block} as block, {', '.join(f'lag(v{i}) over (order by day) as l{i}' for i in m)} from f),
+      u as (select distinct {block} as y from {among}), r as (select u.y as upto, o.* from o join u on o.block < u.y where l0 is not null), {fits},
       c as (select upto, count(*) as rows_, {own} from r {joined} group by 1), w as (select upto, 0 as k, {', '.join(first)} from c where rows_ + 1 >= {2 * (len(names) + 1)} union all select upto, k + 1, {', '.join(step)} from w join c using (upto) where k < 10), share as ({rows})""")
 
 
@@ -417,3 +417,112 @@ def weighted_spillover(lv: str) -> str:
     return spillover(lv) + f""", z as (select symbol, day, case when count(lv) over ({EXPANDING}) >= 60 then (lv - avg(lv) over ({EXPANDING})) / greatest(stddev_samp(lv) over ({EXPANDING}), 1e-12) end as z from v),
       q as (select year, to_, from_, share / greatest(sum(share) over (partition by year, to_), 1e-12) as share from share where to_ <> from_)
       select to_ as symbol, day, round(sum(share * z), 5) as weighted from z join q on q.from_ = z.symbol and q.year = year(day) where z is not null group by 1, 2"""
+
+
+def hac_wald(returns: str) -> str:
+    """Wald statistics of the other's lags: own lags are taken out of them first, so the sandwich has three rows."""
+    own, other = ["y1", "y2", "y3"], ["x1", "x2", "x3"]
+    keys = "cause, effect"
+    lags = ", ".join(f"lag({v}, {k}) over w as {v}{k}" for v in "yx" for k in (1, 2, 3))
+    fits = ", ".join(f"g{i} as (select {keys}, {gram(own, f'x{i}')} from u group by 1, 2), {solved(f'f{i}', f'g{i}', 4, keys)}" for i in (1, 2, 3))
+    clean = ", ".join(f"u.x{i} - {fitted(f'f{i}', own)} as z{i}" for i in (1, 2, 3))
+    lagged = ", ".join(f"sum((1 - l / (a.lags + 1)) * a.s{i + 1} * b.s{j + 1}) as p{i}_{j}, sum(case when l = 0 then a.s{i + 1} * b.s{j + 1} end) as o{i}_{j}" for i in range(3) for j in range(3))
+    sums = ", ".join(f"p{i}_{j} + p{j}_{i} - o{i}_{j} as a{i}_{j}" for i in range(3) for j in range(i, 3))
+    return f"""{returns}, o as (select symbol, day, r from ret where r is not null), p as (select a.symbol as cause, b.symbol as effect, day, a.r as x, b.r as y from o a join o b using (day) where a.symbol <> b.symbol),
+      l as (select *, {lags} from p window w as (partition by {keys} order by day)), u as (select * from l where x3 is not null and y3 is not null), {fits},
+      gl as (select {keys}, {gram(own + other, 'y')} from u group by 1, 2), {solved('fl', 'gl', 7, keys)},
+      e as (select u.cause, u.effect, u.y, row_number() over (partition by u.cause, u.effect order by day) as k, {clean}, u.y - {fitted('fl', [f'u.{c}' for c in own + other])} as e, ceil(1.5 * fl.n ** (1 / 3::double))::integer as lags
+        from u join f1 using ({keys}) join f2 using ({keys}) join f3 using ({keys}) join fl using ({keys})),
+      s as (select {keys}, k, lags, z1 * e as s1, z2 * e as s2, z3 * e as s3 from e), c as (select *, unnest(range(0, lags + 1)) as l from s),
+      q as (select a.cause, a.effect, {lagged} from c a join s b on a.cause = b.cause and a.effect = b.effect and b.k = a.k - a.l group by 1, 2),
+      b as (select {keys}, any_value(lags) as lags, count(*) as n, {', '.join(f'sum(z{i + 1} * y) as b{i}' for i in range(3))} from e group by 1, 2),
+      m as (select q.cause, q.effect, lags, n, 0.0::double as yy, b0, b1, b2, {sums} from q join b using ({keys})), {solved('w', 'm', 3, keys + ', lags')}
+      select {keys}, n, lags, round(ss, 4) as wald, round(2 * (1 - {normal_cdf('sqrt(ss)')}) + sqrt(2 * ss / pi()) * exp(-ss / 2), 5) as p from w"""
+
+
+def partialled_out(folds: str) -> str:
+    """Both sides freed of lw and lm by fits on the other folds, then the ratio of their products."""
+    x = ["lw", "lm"]
+    cells = [f"a{i}_{j}" for i in range(3) for j in range(i, 3)] + ["b0", "b1", "b2", "yy", "n"]
+    rest = lambda g: f"{g}r as (select symbol, fold, {', '.join(f'sum({c}) over (partition by symbol) - {c} as {c}' for c in cells)} from {g})"
+    return f"""{folds}, gy as (select symbol, fold, {gram(x, 'y')} from f group by 1, 2), gd as (select symbol, fold, {gram(x, 'lv')} from f group by 1, 2), {rest('gy')}, {rest('gd')},
+      {solved('fy', 'gyr', 3, 'symbol, fold')}, {solved('fd', 'gdr', 3, 'symbol, fold')},
+      r as (select symbol, y - {fitted('fy', x)} as a, lv - {fitted('fd', x)} as d from f join fy using (symbol, fold) join fd using (symbol, fold)),
+      ratio as (select symbol, count(*) as n, sum(a * d) / sum(d * d) as effect, sum(d * d) as dd from r group by 1), error as (select symbol, sqrt(sum(((a - effect * d) * d) ** 2)) / any_value(dd) as se from r join ratio using (symbol) group by 1)
+      select symbol, n, round(effect, 5) as effect, round(se, 5) as se, round(effect / se, 4) as t from ratio join error using (symbol)"""
+
+
+def poolability(rows: str, x: list[str]) -> str:
+    k = len(x) + 1
+    return f"""{rows}, own_g as (select symbol, {gram(x, 'y')} from harq group by 1), {solved('own', 'own_g', k, 'symbol')}, all_g as (select 0 as one, {gram(x, 'y')} from harq), {solved('every', 'all_g', k, 'one')},
+      t as (select sum(yy - ss) as free, sum(n)::bigint as n, count(*) as groups from own)
+      select round((every.yy - every.ss - free) / ({k} * (groups - 1)) / (free / (t.n - {k} * groups)), 4) as f, ({k} * (groups - 1))::bigint as df1, (t.n - {k} * groups)::bigint as df2 from t, every"""
+
+
+def peaks_over_threshold(losses: str, points: int = 65, span: float = 8.0, rounds: int = 3) -> str:
+    """Weighted generalised Pareto fit of `a` (symbol, day, loss, w): the grid is drawn closer round by round."""
+    tried = """case when v = 0 then mean else shape / ((exp(v) - 1) / top) end"""
+    fit = f"case when shape > -1 then -ln({tried}) - shape - 1 end"
+    ctes = [f"b0 as (select *, {-span}::double as low, {span}::double as high from base)"]
+    for k in range(rounds):
+        ctes.append(f"g{k} as (select *, low + g * ((high - low) / {points - 1}) as v, (high - low) / {points - 1} as step from b{k}, (select unnest(range({points})) as g))")
+        ctes.append(f"s{k} as (select g.symbol, g.g, any_value(g.v) as v, any_value(step) as step, any_value(top) as top, any_value(mean) as mean, sum(x.w * ln(1 + (exp(v) - 1) / top * x.x)) / any_value(mass) as shape from g{k} g join x on x.symbol = g.symbol group by 1, 2)")
+        ctes.append(f"f{k} as (select *, {fit} as fit from s{k}), n{k} as (select *, lag(fit) over w as before, lead(fit) over w as after from f{k} window w as (partition by symbol order by g))")
+        ctes.append(f"t{k} as (select symbol, arg_max({{'v': v, 'step': step, 'fit': fit, 'before': before, 'after': after}}, fit) as t from n{k} where fit is not null group by 1)")
+        ctes.append(f"b{k + 1} as (select base.*, t.t.v - t.t.step as low, t.t.v + t.t.step as high, t.t as t from base join t{k} t using (symbol))")
+    move = "case when t.before - 2 * t.fit + t.after < 0 then (t.before - t.after) / (t.before - 2 * t.fit + t.after) * t.step / 2 else 0 end"
+    return f"""{losses}, c as (select *, sum(w) over (partition by symbol order by loss, day) / sum(w) over (partition by symbol) as upto from a), u as (select symbol, coalesce(min(loss) filter (upto >= 0.9), max(loss)) as threshold, count(*) as n from c group by 1),
+      h as (select a.symbol, sum(case when loss > threshold then w else 0 end) / sum(w) as share from a join u using (symbol) group by 1), x as (select a.symbol, loss - threshold as x, w from a join u using (symbol) where loss > threshold),
+      base as (select symbol, count(*) as n_excess, max(x) as top, sum(w) as mass, sum(w * x) / sum(w) as mean from x group by 1 having count(*) >= 30), {', '.join(ctes)},
+      last_ as (select symbol, n_excess, top, mean, mass, t.v + {move} as v from b{rounds}), z1 as (select l.symbol, any_value(n_excess) as n_excess, any_value(v) as v, any_value(top) as top, any_value(mean) as mean, sum(x.w * ln(1 + (exp(v) - 1) / top * x.x)) / any_value(mass) as shape from last_ l join x on x.symbol = l.symbol group by 1),
+      p as (select z1.symbol, n, threshold, n_excess, shape, {tried} as scale, share from z1 join u using (symbol) join h using (symbol)),
+      q as (select *, threshold + case when abs(shape) < 1e-6 then scale * ln(share / 0.01) else scale / shape * (exp(shape * ln(share / 0.01)) - 1) end as quantile from p)
+      select symbol, n, round(threshold, 5) as threshold, n_excess, round(shape, 5) as shape, round(scale, 5) as scale, round(quantile, 5) as quantile, round(case when shape < 1 then greatest((quantile + scale - shape * threshold) / (1 - shape), quantile) end, 5) as shortfall from q"""
+
+
+def distribution_shift(rows: str, x: list[str]) -> str:
+    k = len(x) + 1
+    cells = [f"a{i}_{j}" for i in range(k) for j in range(i, k)] + [f"b{i}" for i in range(k)] + ["yy", "n"]
+    return f"""{rows}, g as (select symbol, fold, {gram(x, 'after')} from x group by 1, 2), o as (select symbol, fold, {', '.join(f'sum({c}) over (partition by symbol) - {c} as {c}' for c in cells)} from g),
+      {solved('b', 'o', k, 'symbol, fold', 1e-8)}, y as (select symbol, fold, b0 / (n - b0) as odds from o),
+      s as (select x.symbol, day, size, after, {fitted('b', [f'x.{c}' for c in x])} as score, odds from x join b on b.symbol = x.symbol and b.fold = x.fold join y on y.symbol = x.symbol and y.fold = x.fold),
+      r as (select *, least(greatest(score, 0.02::double), 0.98::double) as p, rank() over (partition by symbol order by score) + (count(*) over (partition by symbol, score) - 1) / 2::double as rank from s),
+      n as (select symbol, count(*) filter (after = 0) as n_before, count(*) filter (after = 1) as n_after, sum(rank) filter (after = 1) as ranks, quantile_cont(size, 0.95) filter (after = 1) as q_after, quantile_cont(size, 0.95) filter (after = 0) as q_before from r group by 1),
+      a as (select *, (ranks - n_after * (n_after + 1) / 2::double) / (n_before * n_after) as auc from n), w as (select symbol, day, size, p / (1 - p) / odds as w from r where after = 0),
+      c as (select symbol, size, sum(w) over (partition by symbol order by size, day) / sum(w) over (partition by symbol) as upto from w), q as (select symbol, coalesce(min(size) filter (upto >= 0.95), max(size)) as reweighted from c group by 1)
+      select symbol, n_before, n_after, round(auc, 5) as auc, round((auc - 0.5) / sqrt((n_before + n_after + 1) / (12.0::double * n_before * n_after)), 5) as z, round(reweighted, 5) as reweighted, round(q_before, 5) as q_before, round(q_after, 5) as q_after from a join q using (symbol)"""
+
+
+def configuration_grid(lv: str, windows: tuple[int, ...] = (0, 500), weights: tuple[float, ...] = (0.0, 0.5)) -> str:
+    """Every configuration by itself: fits, panel means, recalibration and loss."""
+    full = lambda n, w: f"case when count(x) over {w} = {n} then avg(x) over {w} end"
+    by = "partition by symbol order by day"
+    ctes, parts = [], []
+    for d in (0, 1):
+        x, back = ("lv", "0.0::double") if d == 0 else ("lv - factor", "next_factor")
+        ctes.append(f"d{d} as (select symbol, day, gap, event, {x} as x, {'next_lv' if d == 0 else 'next_lv - next_factor'} as y, {back} as back from base)")
+        ctes.append(
+            f"c{d} as (select *, {full(5, 'a')} as lw, {full(22, 'b')} as lm, case when count(x) over e > 1 then (sum(x) over e - x) / (count(x) over e - 1) end as others from d{d} window a as ({by} rows between 4 preceding and current row), b as ({by} rows between 21 preceding and current row), e as (partition by day)), "
+            f"h{d} as (select *, case when x is not null and lw is not null and lm is not null and others is not null and event is not null and y is not null then y end as known_y from c{d})"
+        )
+        for n in windows:
+            for choice in range(4):
+                design = ["x", "lw", "lm", *(["others"] if choice % 2 else []), *(["event"] if choice // 2 else [])]
+                ok = "known_y is not null"
+                fit = f"e{d}_{n}_{choice}"
+                k = len(design) + 1
+                ctes.append(f"{fit}_g as (select symbol, day, {gram(design, 'y', f'over ({rolling(n or None)})', ok)} from h{d})")
+                ctes.append(solved(f"{fit}_s", f"{fit}_g", k, "symbol, day", 1e-8))
+                ctes.append(f"{fit} as (select symbol, day, {', '.join(f'x{i} as b{i}, avg(x{i}) over (partition by day) as m{i}' for i in range(k))} from {fit}_s where n >= 60)")
+                for w in weights:
+                    draw = lambda i, w=w: f"({1 - w!r} * b{i} + {w!r} * m{i})"
+                    g = draw(0) + "".join(f" + {draw(i + 1)} * {c}" for i, c in enumerate(design))
+                    parts.append(f"select {d} as deseason, {n} as span, {choice % 2} as others_in, {choice // 2} as event_in, {w!r}::double as shrink, h.symbol, h.day, gap, y, back, {g} as g from h{d} h join {fit} e on e.symbol = h.symbol and e.day = h.day")
+    keys = "deseason, span, others_in, event_in, shrink"
+    over = f"over (partition by {keys}, symbol order by day rows between unbounded preceding and 1 preceding)"
+    loss = lambda f: f"avg(exp(y + back - ({f})) - (y + back - ({f})) - 1)"
+    rows = " union all ".join(f"select {keys}, {r} as recalibrated, symbol, count(*) as n, round({loss(f'{f} + back + 0.5 * s2')}, 5) as loss from r where g is not null and y is not null and back is not null and gap <= 4 and n >= 30 group by {keys}, symbol" for r, f in ((0, "g"), (1, "icpt + slope * g")))
+    return f"""{lv}, dow as (select symbol, isodow(day) as dow, quantile_cont(lv, 0.5) as m from v where day < date '1999-10-13' group by 1, 2), fac as (select symbol, dow, m - avg(m) over (partition by symbol) as factor from dow),
+      own as (select v.symbol, day, lv, factor, (isodow(day) = 5 and day(day) <= 7)::integer::double as own_event from v left join fac on fac.symbol = v.symbol and fac.dow = isodow(day)),
+      base as (select *, lead(day) over w - day as gap, lead(lv) over w as next_lv, lead(factor) over w as next_factor, lead(own_event) over w as event from own window w as ({by})), {', '.join(ctes)}, every as ({' union all '.join(parts)}),
+      r as (select *, count(case when g is not null and y is not null then 1 end) {over} as n, regr_slope(y, g) {over} as slope, regr_intercept(y, g) {over} as icpt, var_samp(y - g) {over} as s2 from every) {rows}"""
