@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marketloom.llm import textnp as tn
 from marketloom.llm.common import map_batches, shared_dir, table
 
 MAGIC = b"DAC1"
@@ -143,15 +144,15 @@ def _tokenizer(path: str):
 
 
 class _Numbers(dict):
-    """Strings to 0, 1, ... as they are asked for."""
+    """Words to 0, 1, ... as they are asked for."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
         return n
 
 
-def _last(numbers: _Numbers, had: int) -> list[str]:
-    """The strings from number `had` on."""
+def _last(numbers: _Numbers, had: int) -> list[bytes]:
+    """The words from number `had` on."""
     return list(islice(reversed(numbers), len(numbers) - had))[::-1]
 
 
@@ -167,7 +168,7 @@ def _picked(ids: np.ndarray, ends: np.ndarray, own: np.ndarray) -> tuple[np.ndar
 
 
 #: Between an ASCII letter or digit and punctuation but the apostrophe, where the tokenizer always parts.
-PARTS = re.compile(r"(?<=[a-z0-9])(?=[!-&(-/:-@\[-`{-~])|(?<=[!-&(-/:-@\[-`{-~])(?=[a-z0-9])")
+PARTS = re.compile(rb"(?<=[a-z0-9])(?=[!-&(-/:-@\[-`{-~])|(?<=[!-&(-/:-@\[-`{-~])(?=[a-z0-9])")
 
 
 class WordEncoder:
@@ -182,25 +183,26 @@ class WordEncoder:
         self.words, self.ids, self.ends = _Numbers(), np.empty(0, np.uint32), np.zeros(1, np.int64)
         self.parts, self.part_ids, self.part_ends = _Numbers(), np.empty(0, np.uint32), np.zeros(1, np.int64)
 
-    def _learn(self, words: list[str]) -> None:
-        # Special tokens are known in their own case only.
-        split = [[w] if "<|" in w else PARTS.split(w.encode().lower().decode()) for w in words]
+    def _learn(self, words: list[bytes]) -> None:
+        split = [[w] if w.isalnum() or b"<|" in w else PARTS.split(w) for w in words]
         had = len(self.parts)
         own = np.array(list(map(self.parts.__getitem__, chain.from_iterable(split))), np.int64)
         if len(self.parts) > had:
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(_last(self.parts, had), add_special_tokens=False)]
+            found = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode(errors="replace") for w in _last(self.parts, had)], add_special_tokens=False)]
             self.part_ids, self.part_ends = _appended(self.part_ids, self.part_ends, np.fromiter(chain.from_iterable(found), np.uint32), np.array(list(map(len, found))))
         flat, size = _picked(self.part_ids, self.part_ends, own)
         upto = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(list(map(len, split)))])]
         self.ids, self.ends = _appended(self.ids, self.ends, flat, np.diff(upto))
 
-    def ids_of(self, texts: list[str | None]) -> list[np.ndarray]:
+    def ids_of(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of texts in UTF-8."""
         if len(self.words) > REMEMBERED or len(self.ids) > REMEMBERED_IDS:
             self._forget()
         had, number, rows = len(self.words), self.words.__getitem__, []
         for text in texts:
-            own = list(map(number, text.replace("\n", " ").replace("\t", " ").split(" "))) if text else []
-            rows.append(np.array(own, np.int64))
+            # Special tokens are known in their own case only.
+            words = (text if b"<|" in text else text.lower()).split()
+            rows.append(np.fromiter(map(number, words), np.int64, len(words)))
         if len(self.words) > had:
             self._learn(_last(self.words, had))
         return [_picked(self.ids, self.ends, own)[0] for own in rows]
@@ -240,9 +242,10 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int = 1, segment: in
             return [pa.array([part], pa.int32()), pa.array([number], pa.int32()), *lists, pa.array([codes], pa.binary())]
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for low in range(0, len(ids), 256):  # a few texts at a time as strings
-                for name, own in zip(ids[low : low + 256], encoder.ids_of(texts.slice(low, 256).to_pylist()), strict=True):
+            docs, (data, at) = batch.column(0).to_pylist(), tn.buffers(batch.column(1))
+            for low in range(0, len(docs), 256):  # a few texts at a time as bytes
+                texts = [data[at[i] : at[i + 1]].tobytes() for i in range(low, min(low + 256, len(docs)))]
+                for name, own in zip(docs[low : low + 256], encoder.ids_of(texts), strict=True):
                     held += [own, np.array([end_id], np.uint32)]
                     total += len(own) + 1
                     names.append(name)
