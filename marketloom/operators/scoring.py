@@ -260,13 +260,38 @@ def interval(replicates: DataFrame, level: float = 0.95, key: str = "symbol") ->
     return replicates.groupBy(key).agg(F.percentile("value", F.lit(a)).alias("low"), F.percentile("value", F.lit(1 - a)).alias("high"), F.count(F.lit(1)).alias("replicates"))
 
 
-def confidence_set(losses: np.ndarray, names: list[str], alpha: float = 0.1, replicates: int = 500, block: int = 10, seed: int = 3) -> list[tuple[str, float]]:
-    """Model confidence set by the range statistic: (model, p-value)."""
-    n, m = losses.shape
-    rng = np.random.default_rng(seed)
-    at = (rng.integers(0, n, (replicates, -(-n // block)))[:, :, None] + np.arange(block)).reshape(replicates, -1)[:, :n] % n
-    means, boots = losses.mean(0), losses[at].mean(1)
-    alive, out, p_run = list(range(m)), {}, 0.0
+def stationary_means(df: DataFrame, columns: list[str], ts: str, replicates: int = 500, block: int = 10, seed: int = 3) -> DataFrame:
+    """replicate, n and the columns' means over a stationary bootstrap's rows.
+
+    A replicate walks through the rows in order and jumps with probability
+    1 / block; jumps and where to are hashed numbers.  The row of a step is that
+    of its last jump and the steps since, which one window finds; so replicates
+    are rows in Spark, and df (one series, a row for each time) is joined once.
+    """
+    over = Window.partitionBy()
+    rows = df.select(ts, *columns).withColumns({"k": F.row_number().over(Window.orderBy(ts)) - 1, "n": F.count(F.lit(1)).over(over)})  # a row for each time
+    steps = rows.select(F.col("k").alias("t"), "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    h = hashed.digest(F.lit(seed), F.col("replicate"), F.col("t"))
+    jump = F.when((F.col("t") == 0) | (hashed.half(h) < 1 / block), F.struct("t", F.floor(hashed.half(h, 14) * F.col("n")).alias("to")))
+    last = F.last(jump, ignorenulls=True).over(Window.partitionBy("replicate").orderBy("t"))
+    drawn = steps.withColumn("jump", last).select("replicate", "n", ((F.col("jump.to") + F.col("t") - F.col("jump.t")) % F.col("n")).alias("k"))
+    return drawn.join(rows.drop("n", ts), "k").groupBy("replicate", "n").agg(*[F.avg(c).alias(c) for c in columns])
+
+
+def _circular_means(x: np.ndarray, replicates: int, block: int, seed: int) -> np.ndarray:
+    n = len(x)
+    at = (np.random.default_rng(seed).integers(0, n, (replicates, -(-n // block)))[:, :, None] + np.arange(block)).reshape(replicates, -1)[:, :n] % n
+    return x[at].mean(1)
+
+
+def confidence_set(losses: np.ndarray, names: list[str], replicates: int = 500, block: int = 10, seed: int = 3) -> list[tuple[str, float]]:
+    return eliminated(losses.mean(0), _circular_means(losses, replicates, block, seed), names)
+
+
+def eliminated(means: np.ndarray, boots: np.ndarray, names: list[str]) -> list[tuple[str, float]]:
+    """Model confidence set by the range statistic, from means and those of
+    replicates: (model, p-value)."""
+    alive, out, p_run = list(range(len(names))), {}, 0.0
     while len(alive) > 1:
         d = means[alive][:, None] - means[alive][None, :]
         bd = boots[:, alive][:, :, None] - boots[:, alive][:, None, :] - d
@@ -277,21 +302,35 @@ def confidence_set(losses: np.ndarray, names: list[str], alpha: float = 0.1, rep
         out[worst] = p_run
         alive.remove(worst)
     out[alive[0]] = 1.0
-    return [(names[i], out[i]) for i in range(m)]
+    return [(n, out[i]) for i, n in enumerate(names)]
 
 
 def superior_ability(d: np.ndarray, replicates: int = 500, block: int = 10, seed: int = 3) -> float:
-    """Hansen's consistent p-value that no model beats the benchmark; d: loss of
-    the benchmark less that of each model."""
-    n, _ = d.shape
-    rng = np.random.default_rng(seed)
-    at = (rng.integers(0, n, (replicates, -(-n // block)))[:, :, None] + np.arange(block)).reshape(replicates, -1)[:, :n] % n
-    mean, boots = d.mean(0), d[at].mean(1)
+    return consistent_p(d.mean(0), _circular_means(d, replicates, block, seed), len(d))
+
+
+def consistent_p(mean: np.ndarray, boots: np.ndarray, n: int) -> float:
+    """Hansen's consistent p-value that no model beats the benchmark; means over
+    n rows of the benchmark's loss less each model's, and those of replicates."""
     sd = np.sqrt(((boots - mean) ** 2).mean(0) * n) + EPS
     t = max(0.0, float((math.sqrt(n) * mean / sd).max()))
     centre = np.where(mean >= -sd * math.sqrt(2 * math.log(math.log(n)) / n), mean, 0.0)
     tb = np.maximum(0, (math.sqrt(n) * (boots - centre) / sd).max(1))
-    return float((1 + (tb >= t).sum()) / (replicates + 1))
+    return float((1 + (tb >= t).sum()) / (len(boots) + 1))
+
+
+def confidence_and_superiority(df: DataFrame, columns: list[str], ts: str, replicates: int = 500, block: int = 10, seed: int = 3) -> DataFrame:
+    """model, mcs_p and spa_p (of the first model as benchmark) of losses with a
+    row for each time.  The last step sees a row for each replicate."""
+    boots = stationary_means(df, columns, ts, replicates, block, seed)
+    means = df.agg(*[F.avg(c).alias(f"mean_{c}") for c in columns])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, b, n = pdf[[f"mean_{c}" for c in columns]].to_numpy()[0], pdf[columns].to_numpy(), int(pdf["n"].iloc[0])
+        spa = consistent_p(own[0] - own[1:], b[:, :1] - b[:, 1:], n) if n > 15 and len(columns) > 1 else None
+        return pd.DataFrame([(c, p, spa) for c, p in eliminated(own, b, columns)], columns=["model", "mcs_p", "spa_p"])
+
+    return boots.crossJoin(means).groupBy().applyInPandas(run, "model string, mcs_p double, spa_p double")  # one row of means
 
 
 def sharpe_parts(value: str) -> list[Column]:

@@ -282,20 +282,20 @@ def diebold_mariano(spark, sf):
 
 
 def _losses(spark, sf):
-    """day, four losses (mean over symbols): small, one row per day."""
+    """day, four losses (mean over symbols): one row per day."""
     rows = vol_forecast(spark, sf)
     h, p = F.col("h"), F.col("p")
-    loss = {f"m{i}": F.avg(scoring.qlike_ratio(h * c, p)) for i, c in enumerate((1.0, 0.7, 1.5, 3.0))}
-    return rows.groupBy("day").agg(*[v.alias(k) for k, v in loss.items()]).orderBy("day")
+    loss = {f"m{i}": F.avg(scoring.qlike_ratio(h * c, p)) for i, c in enumerate(SCALES)}
+    return rows.groupBy("day").agg(*[v.alias(k) for k, v in loss.items()])
 
 
-@query("inf02_03_confidence_set_spa")
+SCALES = (1.0, 0.7, 1.5, 3.0)
+LOSSES = VOL + ", ls as (select day, " + ", ".join(f"avg(p / (h * {c!r}::double) - ln(p / (h * {c!r}::double)) - 1) as m{i}" for i, c in enumerate(SCALES)) + " from vv group by 1)"
+
+
+@query("inf02_03_confidence_set_spa", ssql.confidence_and_superiority(LOSSES, len(SCALES)))
 def confidence(spark, sf):
-    pdf = _losses(spark, sf).toPandas()  # a row per calendar day
-    x = pdf[[f"m{i}" for i in range(4)]].to_numpy()
-    rows = scoring.confidence_set(x, [f"m{i}" for i in range(4)])
-    spa = scoring.superior_ability(x[:, :1] - x[:, 1:])
-    return spark.createDataFrame([(n, float(p), float(spa)) for n, p in rows], "model string, mcs_p double, spa_p double")
+    return rounded(scoring.confidence_and_superiority(_losses(spark, sf), [f"m{i}" for i in range(len(SCALES))], "day"))
 
 
 PV = "with p as (select l_suppkey as k, exp(-abs(avg(l_discount) - 0.05) * 400) as p from lineitem group by 1)"

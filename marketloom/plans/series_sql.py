@@ -526,3 +526,73 @@ def configuration_grid(lv: str, windows: tuple[int, ...] = (0, 500), weights: tu
       own as (select v.symbol, day, lv, factor, (isodow(day) = 5 and day(day) <= 7)::integer::double as own_event from v left join fac on fac.symbol = v.symbol and fac.dow = isodow(day)),
       base as (select *, lead(day) over w - day as gap, lead(lv) over w as next_lv, lead(factor) over w as next_factor, lead(own_event) over w as event from own window w as ({by})), {', '.join(ctes)}, every as ({' union all '.join(parts)}),
       r as (select *, count(case when g is not null and y is not null then 1 end) {over} as n, regr_slope(y, g) {over} as slope, regr_intercept(y, g) {over} as icpt, var_samp(y - g) {over} as s2 from every) {rows}"""
+
+
+def expert_table(s: str, label: str, edge: str, horizon: int) -> str:
+    """CTEs that end in experts: forecasts of the class of the next days from outcomes seen before the row's block."""
+    rates = []
+    for name, by in (("climate", None), ("persist", "prev"), ("regime", "regime")):
+        same = f" and l.{by} is not distinct from q.{by}" if by else ""
+        cols = f"q.symbol, q.block{f', q.{by}' if by else ''}"
+        asked = f"select distinct symbol, block{f', {by}' if by else ''} from xb where block > 0"
+        rates.append(f"r_{name} as (select {cols}, " + ", ".join(f"(count(*) filter (l.y = {k}) + 1) / (count(l.y) + 3)::double as {name}{k}" for k in range(3)) + f" from ({asked}) q left join xb l on l.symbol = q.symbol and l.known < q.block and l.y is not null{same} group by {cols})")
+    block = lambda p: f"case when {p} >= 250 then ({p} - 250) // 21 + 1 else 0 end"
+    names = ", ".join(f"{n}{k}" for n in ("climate", "persist", "student", "regime") for k in range(3))
+    return f"""{s}, xs as (select symbol, day, sigma, regime::integer as regime, {label} as y, {t6_cdf('-' + edge)} as student0, {t6_cdf(edge)} - {t6_cdf('-' + edge)} as student1, 1 - {t6_cdf(edge)} as student2 from d where band is not null and sigma is not null),
+      xp as (select *, coalesce(lag(y, {horizon}) over w, -1) as prev, row_number() over w - 1 as place from xs window w as (partition by symbol order by day)),
+      xb as (select *, {block('place')} as block, {block(f'(place + {horizon})')} as known from xp), {', '.join(rates)},
+      experts as (select symbol, day, y, {names} from xb join r_climate using (symbol, block) join r_persist using (symbol, block, prev) join r_regime using (symbol, block, regime) where block > 0)"""
+
+
+def expert_mixture(table: str, names: tuple[str, ...], horizon: int) -> str:
+    m = range(len(names))
+    loss = ", ".join(f"-ln(greatest(case y when 0 then {n}0 when 1 then {n}1 when 2 then {n}2 end, 1e-9)) as loss{i}" for i, n in enumerate(names))
+    late = ", ".join(f"lag(loss{i}, {horizon}) over w as late{i}" for i in m)
+    g = [f"p.w{i} * exp(-0.5 * (t.late{i} - least({', '.join(f't.late{j}' for j in m)})))" for i in m]
+    total = "(" + " + ".join(g) + ")"
+    columns = {f"w{i}": f"case when t.late0 is null then p.w{i} else 0.99::double * {x} / {total} + 0.01::double / {len(names)} end" for i, x in enumerate(g)}
+    mixed = lambda k: "(" + " + ".join(f"w{i} * {n}{k}" for i, n in enumerate(names)) + ")"
+    every = "(" + " + ".join(mixed(k) for k in range(3)) + ")"
+    return recursive(f"""{table}, z as (select *, {loss} from experts), x as (select *, row_number() over w as k, {late} from z window w as (partition by symbol order by day)), {along('m', 'x', columns, {f'w{i}': f'1 / {len(names)}::double' for i in m})}
+      select symbol, day, {', '.join(f'round({mixed(k)} / {every}, 6) as p{k}' for k in range(3))}, {', '.join(f'round(w{i}, 6) as w_{n}' for i, n in enumerate(names))} from x join m using (symbol, k)""")
+
+
+def bootstrapped_skill(table: str, replicates: int = 200, block: int = 20, seed: int = 5) -> str:
+    brier = lambda n: f"(({n}0 - (y = 0)::integer) ** 2 + ({n}1 - (y = 1)::integer) ** 2 + ({n}2 - (y = 2)::integer) ** 2)"
+    u = hashed.half_sql(f"md5('{seed}|' || b || '|' || k)")
+    interval = lambda name, v: f"select symbol, round(quantile_cont({v}, 0.025), 6) as low, round(quantile_cont({v}, 0.975), 6) as high, count({v}) as replicates, '{name}' as measure from v group by 1"
+    return f"""{table}, e as (select symbol, day, {brier('climate')} as base, {brier('regime')} as own, {brier('student')} as other, persist2 - persist0 + regime2 - regime0 as up, y from experts where y is not null),
+      rows_ as (select *, row_number() over (partition by symbol order by day) - 1 as i, count(*) over (partition by symbol) as n from e),
+      st as (select symbol, n, b, k, floor({u} * n)::bigint as start from (select symbol, any_value(n) as n from rows_ group by 1), (select unnest(range({replicates})) as b), (select unnest(range(100000)) as k) where k < ceil(n / {block}::double)),
+      picked as (select symbol, b, (start + j) % n as i from st, (select unnest(range({block})) as j) where k * {block} + j < n), drawn as (select p.b, r.* from picked p join rows_ r using (symbol, i)),
+      a as (select symbol, b, y, rank() over w + (count(*) over (partition by symbol, b, up) - 1) / 2::double as rank from drawn where y <> 1 window w as (partition by symbol, b order by up)),
+      areas as (select symbol, b, (sum(rank) filter (y = 2) - count(*) filter (y = 2) * (count(*) filter (y = 2) + 1) / 2::double) / nullif(count(*) filter (y = 2) * count(*) filter (y = 0), 0) as area from a group by 1, 2),
+      v as (select drawn.symbol, drawn.b, 1 - avg(own) / avg(base) as skill, (avg(other) - avg(own)) / avg(base) as gain, any_value(area) as area from drawn left join areas on areas.symbol = drawn.symbol and areas.b = drawn.b group by 1, 2)
+      {interval('skill', 'skill')} union all {interval('gain', 'gain')} union all {interval('area', 'area')}"""
+
+
+def confidence_and_superiority(losses: str, models: int, replicates: int = 500, block: int = 10, seed: int = 3) -> str:
+    """From ls (day, m0, ...): a stationary bootstrap's means, then the elimination round by round."""
+    m = range(models)
+    u = hashed.half_sql("h")
+    jump = f"(t = 0 or {u} < {1 / block!r}::double)"
+    rounds, last = [], "a0"
+    for r in range(models - 1):
+        rounds.append(
+            f"t{r} as (select max(abs(d / sd)) as t from pr where i in (select i from a{r}) and j in (select i from a{r})), u{r} as (select b, max(abs(e / sd)) as tb from pb join pr using (i, j) where i in (select i from a{r}) and j in (select i from a{r}) group by 1), "
+            f"p{r} as (select avg((tb >= t)::integer) as p from u{r}, t{r}), w{r} as (select arg_max(i, s) as i from (select i, max(d / sd) as s from pr where i in (select i from a{r}) and j in (select i from a{r}) group by 1)), a{r + 1} as (select i from a{r} where i not in (select i from w{r}))"
+        )
+        last = f"a{r + 1}"
+    worst = " union all ".join([f"select w{r}.i, greatest({', '.join(f'p{k}.p' for k in range(r + 1))}) as p from w{r}, {', '.join(f'p{k}' for k in range(r + 1))}" for r in range(models - 1)] + [f"select i, 1.0::double from {last}"])
+    others = [i for i in m if i]
+    return f"""{losses}, k as (select *, row_number() over (order by day) - 1 as k, count(*) over () as n from ls), hs as (select b, k as t, n, md5('{seed}|' || b || '|' || k) as h from k, (select unnest(range({replicates})) as b)),
+      js as (select b, t, n, case when {jump} then floor({hashed.half_sql('h', 14)} * n)::bigint end as start, case when {jump} then t end as t0 from hs),
+      ds as (select b, (last_value(start ignore nulls) over w + t - last_value(t0 ignore nulls) over w) % n as k from js window w as (partition by b order by t rows between unbounded preceding and current row)),
+      bs as (select b, {', '.join(f'avg(m{i}) as m{i}' for i in m)} from ds join k using (k) group by 1), mean as (select {', '.join(f'avg(m{i}) as m{i}' for i in m)}, any_value(n) as n from k),
+      bi as (select b, unnest({list(m)}) as i, unnest([{', '.join(f'm{i}' for i in m)}]) as v from bs), mi as (select unnest({list(m)}) as i, unnest([{', '.join(f'm{i}' for i in m)}]) as v from mean),
+      dd as (select x.i, y.i as j, x.v - y.v as d from mi x, mi y), pb as (select x.b, x.i, y.i as j, x.v - y.v - d as e from bi x join bi y using (b) join dd on dd.i = x.i and dd.j = y.i),
+      pr as (select i, j, any_value(d) as d, sqrt(avg(e * e)) + 1e-12 as sd from pb join dd using (i, j) group by 1, 2), a0 as (select i from mi), {', '.join(rounds)}, mcs as ({worst}),
+      sp as ({' union all '.join(f'select {i} as i, mean.m0 - mean.m{i} as mean, b, bs.m0 - bs.m{i} as boot, n from bs, mean' for i in others)}),
+      sq as (select i, any_value(mean) as mean, any_value(n) as n, sqrt(avg((boot - mean) ** 2) * any_value(n)) + 1e-12 as sd from sp group by 1), st as (select greatest(0, max(sqrt(n) * mean / sd)) as t from sq),
+      sb as (select b, greatest(0, max(sqrt(sp.n) * (boot - case when sq.mean >= -sd * sqrt(2 * ln(ln(sp.n)) / sp.n) then sq.mean else 0 end) / sd)) as tb from sp join sq using (i) group by 1), spa as (select (1 + count(*) filter (tb >= t)) / ({replicates} + 1)::double as p from sb, st)
+      select 'm' || i as model, round(mcs.p, 6) as mcs_p, round(spa.p, 6) as spa_p from mcs, spa"""
