@@ -44,7 +44,7 @@ BLOCK, BLOCK_WORDS = 512, 8
 #: A segment ends with the document that brings it to so many ids.
 SEGMENT = 1 << 16
 #: Distinct words, and ids of them, that a worker remembers.
-REMEMBERED, REMEMBERED_IDS = 1 << 19, 1 << 22
+REMEMBERED, REMEMBERED_IDS = 700_000, 1 << 23
 
 
 def _padded(x: bytes) -> bytes:
@@ -143,6 +143,16 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@cache
+def _without_normalizer(path: str):
+    """The tokenizer for words that its normalizer leaves as they are."""
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(path)
+    made.normalizer = None
+    return made
+
+
 class _Numbers(dict):
     """Words to 0, 1, ... as they are asked for."""
 
@@ -171,12 +181,24 @@ def _picked(ids: np.ndarray, ends: np.ndarray, own: np.ndarray) -> tuple[np.ndar
 PARTS = re.compile(rb"(?<=[a-z0-9])(?=[!-&(-/:-@\[-`{-~])|(?<=[!-&(-/:-@\[-`{-~])(?=[a-z0-9])")
 
 
+#: Stands between words that are encoded together; words with it are encoded alone.
+MARK, TOGETHER = b"~", 500
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer that lowers case, drops white space and merges
     inside words only: a distinct word, and a distinct part of one, is encoded once."""
 
     def __init__(self, path: str):
-        self.tokenizer = _tokenizer(path)
+        self.tokenizer, self.plain = _tokenizer(path), _without_normalizer(path)
+        normal = self.tokenizer.normalizer
+        letters = "".join(map(chr, range(33, 127))).lower()
+        if normal is not None and normal.normalize_str(letters) != letters:  # not even lower-case ASCII stays
+            self.plain = self.tokenizer
+        mark = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
+        both = self.tokenizer.encode(f"a {MARK.decode()} b", add_special_tokens=False).ids
+        parts = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in "ab"]
+        self.mark = mark[0] if len(mark) == 1 and both == parts[0] + mark + parts[1] else None
         self._forget()
 
     def _forget(self) -> None:
@@ -188,12 +210,35 @@ class WordEncoder:
         had = len(self.parts)
         own = np.array(list(map(self.parts.__getitem__, chain.from_iterable(split))), np.int64)
         if len(self.parts) > had:
-            found = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode(errors="replace") for w in _last(self.parts, had)], add_special_tokens=False)]
-            self.part_ids, self.part_ends = _appended(self.part_ids, self.part_ends, np.fromiter(chain.from_iterable(found), np.uint32), np.array(list(map(len, found))))
+            flat, size, order = self._encoded(_last(self.parts, had))
+            back = np.argsort(order)
+            flat, size = _picked(flat, np.concatenate([[0], np.cumsum(size)]), back)
+            self.part_ids, self.part_ends = _appended(self.part_ids, self.part_ends, flat, size)
         flat, size = _picked(self.part_ids, self.part_ends, own)
         upto = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(list(map(len, split)))])]
         self.ids, self.ends = _appended(self.ids, self.ends, flat, np.diff(upto))
 
+    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids one word after another, how many each has, and the words' places
+        in that order.  Many go as one text, with a mark between them."""
+        kind = np.array([3 if self.mark is None or b"<|" in w or MARK in w else 1 if w.isascii() else 2 for w in words])
+        flat, sizes, order = [], [], []
+        for k, tokenizer in ((1, self.plain), (2, self.tokenizer)):
+            own = np.flatnonzero(kind == k)
+            order.append(own)
+            texts = [b" ~ ".join([words[i] for i in own[low : low + TOGETHER]]).decode(errors="replace") for low in range(0, len(own), TOGETHER)]
+            for made in tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+                ids = np.array(made.ids, np.uint32)
+                marks = np.flatnonzero(ids == self.mark)
+                sizes.append(np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1)
+                flat.append(np.delete(ids, marks))
+        rest = np.flatnonzero(kind == 3)
+        order.append(rest)
+        for made in self.tokenizer.encode_batch_fast([words[i].decode(errors="replace") for i in rest], add_special_tokens=False):
+            sizes.append(np.array([len(made.ids)]))
+            flat.append(np.array(made.ids, np.uint32))
+        return np.concatenate(flat), np.concatenate(sizes), np.concatenate(order)
+
     def ids_of(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of texts in UTF-8."""
         if len(self.words) > REMEMBERED or len(self.ids) > REMEMBERED_IDS:
@@ -201,7 +246,7 @@ class WordEncoder:
         had, number, rows = len(self.words), self.words.__getitem__, []
         for text in texts:
             # Special tokens are known in their own case only.
-            words = (text if b"<|" in text else text.lower()).split()
+            words = [w if b"<|" in w else w.lower() for w in text.split()] if b"<|" in text else text.lower().split()
             rows.append(np.fromiter(map(number, words), np.int64, len(words)))
         if len(self.words) > had:
             self._learn(_last(self.words, had))
