@@ -31,4 +31,4 @@ def rounded(df: DataFrame, digits: int = 6, **more: int) -> DataFrame:
 
 def load() -> None:
     """Import the query modules; each can also be imported on its own."""
-    from marketloom.plans import adaptive_queries, bar_queries, causal_queries, expert_queries, extreme_queries, forecast_queries, relational_queries, research_queries, score_queries, sequence_queries, tail_queries  # noqa: F401
+    from marketloom.plans import adaptive_queries, bar_queries, causal_queries, decision_queries, expert_queries, extreme_queries, file_queries, forecast_queries, relational_queries, research_queries, score_queries, sequence_queries, tail_queries  # noqa: F401

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions import recursive
-from marketloom.operators import experts, forecast, scoring
+from marketloom.operators import experts, forecast, gates, scoring
 from marketloom.operators import indicators as ind
 from marketloom.plans import series_sql as ssql
 from marketloom.plans.catalog import query, rounded
 from marketloom.plans.forecast_queries import EDGE, LABEL, S, student_probabilities, targets
+from marketloom.plans.relational_queries import BINS
+from marketloom.plans.research_queries import rule_rows
 
 HORIZON = 5
 NAMES = ("climate", "persist", "student", "regime")
@@ -107,3 +109,11 @@ def bootstrap_skill(spark, sf):
         one = scoring.interval(scoring.bootstrap(rows, columns, f, 200, 20)).withColumn("measure", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return rounded(out)
+
+
+@query("rul04_08_four_gates", ssql.four_gates(BINS, 100, 20))
+def four_gates(spark, sf):
+    """Every rule and class, and how many gates it passes; rules about busy days alone restate the base."""
+    rows, features = rule_rows(spark, sf)
+    rows = rows.withColumn("train", F.col("day") < F.lit("1999-10-13").cast("date"))
+    return rounded(gates.four_gates(rows, features, "bin", "nb", ("busy",)), 6, z=5, t=4, z_later=5)

@@ -596,3 +596,30 @@ def confidence_and_superiority(losses: str, models: int, replicates: int = 500,
       sq as (select i, any_value(mean) as mean, any_value(n) as n, sqrt(avg((boot - mean) ** 2) * any_value(n)) + 1e-12 as sd from sp group by 1), st as (select greatest(0, max(sqrt(n) * mean / sd)) as t from sq),
       sb as (select b, greatest(0, max(sqrt(sp.n) * (boot - case when sq.mean >= -sd * sqrt(2 * ln(ln(sp.n)) / sp.n) then sq.mean else 0 end) / sd)) as tb from sp join sq using (i) group by 1), spa as (select (1 + count(*) filter (tb >= t)) / ({replicates} + 1)::double as p from sb, st)
       select 'm' || i as model, round(mcs.p, 6) as mcs_p, round(spa.p, 6) as spa_p from mcs, spa"""
+
+
+def four_gates(bins: str, draws: int, run: int, least: int = 100) -> str:
+    """Every conjunction of back, busy, dow and two, and what each gate says of it."""
+    z = lambda h, n, p: f"({h} - {n} * {p}) / sqrt({n} * {p} * (1 - {p}))"
+    return f"""{bins}, f as (select symbol, day, bin as y, n_bars::double as c, day < date '1999-10-13' as train, 'back=' || lag(bin) over w as fa, 'busy=' || (n_bars >= 8)::integer as fb, 'dow=' || isodow(day) as fc, 'two=' || lag(bin, 2) over w as fd from b join daily using (symbol, day) window w as (partition by symbol order by day)),
+      l as (select symbol, day, y, c, train, row_number() over (partition by symbol, train order by day) - 1 as place, list_filter([fa, fb, fc, fd], lambda x: x is not null) as lit from f where y is not null),
+      r as (select symbol, place, y, c, train, unnest(list_concat(lit, flatten(list_transform(range(1, len(lit) + 1), lambda i: list_transform(lit[i + 1:], lambda z: lit[i] || ' & ' || z))))) as rule from l), k as (select unnest([0, 1, 2]) as k),
+      tt as (select symbol, k, train, count(*)::double as n, sum((y = k)::integer)::double as hits, sum(c) as c, sum(c * c) as cc, sum(c * (y = k)::integer) as cy from l, k group by 1, 2, 3),
+      ta as (select k, train, sum(n) as n, sum(hits) as hits, sum(c) as c, sum(cc) as cc, sum(cy) as cy from tt group by 1, 2),
+      rs as (select rule, symbol, train, k, count(*)::double as n, sum((y = k)::integer)::double as hits, sum(c) as mc from r, k group by 1, 2, 3, 4),
+      ra as (select rule, k, train, sum(n) as n, sum(hits) as hits, sum(mc) as mc from rs group by 1, 2, 3),
+      rz as (select ra.rule, ra.k, ra.train, ra.n, ra.hits, ra.mc, ta.n as nn, ta.hits as yy, ta.c, ta.cc, ta.cy, ta.hits / ta.n as base, {z('ra.hits', 'ra.n', '(ta.hits / ta.n)')} as z from ra join ta on ta.k = ra.k and ta.train = ra.train),
+      hy as (select *, n - n * n / nn as smm, mc - n * c / nn as smc, cc - c * c / nn as scc, hits - n * yy / nn as smy, cy - c * yy / nn as scy, yy - yy * yy / nn as syy from rz where train and n >= {least} and z is not null),
+      hr as (select *, smm - smc * smc / scc as rest from hy), hb as (select *, (smy - scy * smc / scc) / rest as b from hr), ht as (select *, case when rest > 0.01 * smm then b / sqrt((syy - scy * scy / scc - b * b * rest) / (nn - 3) / rest) end as t from hb),
+      dr as (select symbol, draw, place, y, md5(symbol || '|' || draw || '|' || (place // {run})) as h from l, (select unnest(range(1, {draws + 1})) as draw) where train),
+      dp as (select symbol, draw, y, row_number() over (partition by symbol, draw order by h, place) - 1 as place from dr),
+      nk as (select r.rule, draw, k, sum((dp.y = k)::integer)::double as hits from r join dp on dp.symbol = r.symbol and dp.place = r.place, k where r.train group by 1, 2, 3),
+      nz as (select ht.rule, ht.k, draw, abs(ht.z) as a, abs({z('nk.hits', 'ht.n', 'ht.base')}) as zn from nk join ht on ht.rule = nk.rule and ht.k = nk.k),
+      wo as (select rule, k, a, max(zn) over (partition by draw order by a, rule, k rows between unbounded preceding and current row) as worst from nz),
+      pr as (select rule, k, any_value(a) as a, (1 + count(*) filter (worst >= a)) / {draws + 1}::double as p from wo group by 1, 2), pm as (select rule, k, max(p) over (order by a desc, rule desc, k desc rows between unbounded preceding and current row) as p from pr),
+      lo as (select ht.rule, ht.k, ((ht.hits - coalesce(rs.hits, 0)) / nullif(ht.n - coalesce(rs.n, 0), 0)) / nullif((ht.yy - tt.hits) / (ht.nn - tt.n), 0) as lift from ht join tt on tt.k = ht.k and tt.train left join rs on rs.rule = ht.rule and rs.k = ht.k and rs.symbol = tt.symbol and rs.train),
+      li as (select rule, k, min(coalesce(lift, 0)) as low, max(coalesce(lift, 9e9)) as high from lo group by 1, 2), la as (select rule, k, z from rz where not train),
+      o as (select ht.rule, ht.k, ht.n, hits / ht.n / base as lift, ht.z, p, len(list_filter(string_split(ht.rule, ' & '), lambda x: not starts_with(x, 'busy='))) = 0 as is_base, t, case when ht.z > 0 then low > 1 else high < 1 end as everywhere, la.z as z_later
+        from ht join pm on pm.rule = ht.rule and pm.k = ht.k join li on li.rule = ht.rule and li.k = ht.k left join la on la.rule = ht.rule and la.k = ht.k),
+      g as (select *, p < 0.05 as g1, p < 0.05 and not is_base and coalesce(abs(t) > 2, false) as g2 from o), gg as (select *, g2 and everywhere as g3, g2 and everywhere and coalesce(sign(z) * z_later >= 1, false) as g4 from g)
+      select rule, k as y, n::bigint as n, round(lift, 6) as lift, round(z, 5) as z, round(p, 6) as p, is_base, round(t, 4) as t, everywhere, round(z_later, 5) as z_later, g1::integer + g2::integer + g3::integer + g4::integer as passed from gg"""

@@ -19,3 +19,14 @@ def session(master: str = "local[*]", partitions: int = 8, memory: str = "8g") -
     if master.startswith("local"):
         builder = builder.config("spark.checkpoint.dir", LOCAL_CHECKPOINTS)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.conf.get("spark.master", "local")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = LOCAL_CHECKPOINTS
+    return root.rstrip("/")

@@ -59,6 +59,6 @@ def test_entry(spark):
         assert isinstance(sql, str) and sql.strip().lower().startswith(("select", "with")), name
 
 
-@pytest.mark.parametrize("name", ["adaptive", "bar", "forecast", "relational", "research", "score", "sequence", "tail"])
+@pytest.mark.parametrize("name", ["adaptive", "bar", "causal", "decision", "expert", "extreme", "file", "forecast", "relational", "research", "score", "sequence", "tail"])
 def test_modules_import_on_their_own(name):
     subprocess.run([sys.executable, "-c", f"import marketloom.plans.{name}_queries"], check=True, cwd=os.path.dirname(os.path.abspath(entry.__file__)))
