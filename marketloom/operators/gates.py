@@ -71,14 +71,16 @@ def four_gates(
     whole = spans(total, ["train", "y"], ["all_n", "all_hits", "all_c", "all_cc", "all_cy"])
     rule = spans(own, ["rule", "train", "y"], ["n", "hits", "mc"]).join(whole, ["train", "y"])
     share = F.col("all_hits") / F.col("all_n")
-    z = (F.col("hits") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
+    over = lambda a, b: F.try_divide(a, b)  # noqa: E731  (a class that no row or every row has has no z)
+    z = over(F.col("hits") - F.col("n") * share, F.sqrt(F.col("n") * share * (1 - share)))
     rule = rule.withColumns({"base": share, "z": z})
     found = rule.where(F.col("train") & (F.col("n") >= least) & F.col("z").isNotNull())
     smm, smc, scc = F.col("n") - F.col("n") * F.col("n") / F.col("all_n"), F.col("mc") - F.col("n") * F.col("all_c") / F.col("all_n"), F.col("all_cc") - F.col("all_c") * F.col("all_c") / F.col("all_n")
     smy, scy, syy = F.col("hits") - F.col("n") * F.col("all_hits") / F.col("all_n"), F.col("all_cy") - F.col("all_c") * F.col("all_hits") / F.col("all_n"), F.col("all_hits") - F.col("all_hits") * F.col("all_hits") / F.col("all_n")
-    rest = smm - smc * smc / scc
-    b = (smy - scy * smc / scc) / F.col("rest")
-    found = found.withColumn("rest", rest).withColumn("b", b).withColumn("t", F.when(F.col("rest") > 0.01 * smm, F.col("b") / F.sqrt((syy - scy * scy / scc - F.col("b") * F.col("b") * F.col("rest")) / (F.col("all_n") - 3) / F.col("rest"))))
+    beside = lambda a: F.coalesce(over(a, scc), F.lit(0.0))  # noqa: E731  (a control without spread explains nothing)
+    rest = smm - beside(smc * smc)
+    b = over(smy - beside(scy * smc), F.col("rest"))
+    found = found.withColumn("rest", rest).withColumn("b", b).withColumn("t", F.when(F.col("rest") > 0.01 * smm, over(F.col("b"), F.sqrt(over(over(syy - beside(scy * scy) - F.col("b") * F.col("b") * F.col("rest"), F.col("all_n") - 3), F.col("rest"))))))
     found = found.select("rule", "y", "n", (F.col("hits") / F.col("n") / F.col("base")).alias("lift"), "z", "t", "base", "hits", "all_n", "all_hits")
 
     drawn = scoring.permuted_runs(rows.where("train").select(F.col(symbol).alias("symbol"), F.col("__place").alias("place"), F.col(y).alias("__y")), "__y", run, draws)
@@ -89,7 +91,7 @@ def four_gates(
 
     every = found.join(total.where("train").select(symbol, "y", F.col("all_n").alias("s_all"), F.col("all_hits").alias("s_all_hits")), "y")  # symbols are few beside rows
     every = every.join(own.where("train").select("rule", symbol, "y", F.col("n").alias("sn"), F.col("hits").alias("sh")), ["rule", symbol, "y"], "left").fillna(0.0, ["sn", "sh"])
-    without = F.try_divide(F.try_divide(F.col("hits") - F.col("sh"), F.col("n") - F.col("sn")), (F.col("all_hits") - F.col("s_all_hits")) / (F.col("all_n") - F.col("s_all")))
+    without = F.try_divide(F.try_divide(F.col("hits") - F.col("sh"), F.col("n") - F.col("sn")), over(F.col("all_hits") - F.col("s_all_hits"), F.col("all_n") - F.col("s_all")))
     side = every.groupBy("rule", "y").agg(F.min(F.coalesce(without, F.lit(0.0))).alias("low"), F.max(F.coalesce(without, F.lit(9e9))).alias("high"))
     later = rule.where(~F.col("train")).select("rule", "y", F.col("z").alias("z_later"))
     out = found.join(tested, ["rule", "y"]).join(side, ["rule", "y"]).join(later, ["rule", "y"], "left")
