@@ -23,6 +23,7 @@ def fit_pareto(excesses: DataFrame, keys: list[str], excess: str = "x", weight:
     fewer than `least` excesses have no row.
     """
     rows = excesses.select(*keys, F.col(excess).cast("double").alias("x"), F.col(weight).cast("double").alias("w")).where("x > 0 and w > 0")
+    rows = rows.checkpoint()  # every round reads the excesses
     base = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_excess"), F.max("x").alias("top"), F.sum("w").alias("mass"), (F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("mean")).where(F.col("n_excess") >= least)
     bounds = base.withColumns({"low": F.lit(-SPAN), "high": F.lit(SPAN)})
     t = (F.exp("v") - 1) / F.col("top")
