@@ -5,7 +5,8 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from marketloom.llm import chat, decontaminate, jaccard, langid, mixing, quality, search, secrets, sharding, toxicity
+from marketloom.llm import chat, decontaminate, divergence, jaccard, langid, mixing, quality, resampling, search, secrets, sharding, tokenfile, toxicity
+from marketloom.llm.common import shared_dir
 
 SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, `__text` int, `row` int, `size` string, copies string, toxicity string, "
@@ -114,6 +115,35 @@ def test_search(spark, docs):
     assert search.top_k(docs.limit(0), asked).collect() == search.top_k(docs, asked.limit(0)).collect() == []
 
 
+def test_divergence(spark, docs):
+    got = divergence.audit(docs, least_docs=1).collect()
+    assert {(r.lang, r.source) for r in got} == {("", ""), ("", "a"), ("en", ""), ("en", "a")}
+    assert sorted(r["rank"] for r in got if r.part == "term" and (r.lang, r.source) == ("en", "a")) == list(range(1, sum(r.part == "term" and (r.lang, r.source) == ("en", "a") for r in got) + 1))
+    assert divergence.audit(docs.limit(0)).collect() == [] and all(r.part == "pair" and r.value == 0 for r in divergence.audit(docs, least_docs=99).collect())
+
+
+def test_resampling(spark, docs, folder):
+    features = resampling.featurize(docs)
+    assert features.columns == [*docs.columns, "n_words", "features"]
+    target = resampling.featurize(spark.read.parquet(f"{folder}/benchmark.parquet"))
+    out = resampling.resample(features, target, percent=100)  # one text has 20 words
+    new = ["n_features", "weight", "score", "rank"]
+    assert out.columns == [*docs.columns, *new]
+    rest = [f"`{c}`" for c in docs.columns]
+    assert plain(out.select(*rest).collect()) == plain(docs.select(*rest).collect())
+    by = {r.text: r for r in out.collect()}
+    assert by[None].n_features == by[""].n_features == by[None].weight == 0 and by[LONG].n_features == 120_000 and by[LONG]["rank"] == 1
+    assert resampling.resample(features.limit(0), target).collect() == []
+
+
+def test_token_files(spark, docs):
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    tokenfile.write(docs, f"{shared_dir(spark)}/edges", path, segment=1000)
+    got = tokenfile.documents(spark, f"{shared_dir(spark)}/edges").collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows()) and max(r.n_tokens for r in got) > 120_000
+    assert {r.n_tokens for r in got if r.doc_id in (0, 1, 2)} == {1}
+
+
 def test_conversations(spark):
     turns = [(2**60, 0, "user", "q"), (2**60, 1, "assistant", "yes " * 50_000), (2**60 + 1, 0, "user", "q"), (2**60 + 1, None, None, None), (4, 0, "user", "alone"), (None, 0, "user", "lost"), (-2, 0, "user", "a"), (-1, 0, "user", "a"), (-1, 0, "user", "a")]
     convs = chat.conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
