@@ -117,7 +117,14 @@ class Matcher:
                 continue
             if start not in found or found[start][0] < last + 1:
                 found[start] = (last + 1, term)
-        return [(s, e, t) for s, (e, t) in sorted(found.items()) if not any(a <= s < b for a, b in spared)]
+        out, until, k = [], 0, 0
+        spared.sort()
+        for start, (end, term) in sorted(found.items()):
+            while k < len(spared) and spared[k][0] <= start:
+                until, k = max(until, spared[k][1]), k + 1
+            if start >= until:
+                out.append((start, end, term))
+        return out
 
     def feature(self, text: str) -> tuple[float, list[tuple[int, int, str]]]:
         got = self.matches(fold(text))

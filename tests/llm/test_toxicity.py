@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 from marketloom.llm import toxicity as tox
@@ -35,6 +36,14 @@ def test_matches_against_brute_force():
         assert model.matcher().matches(tox.fold(text)) == brute(tox.ToxicModel(model.weights, ("abcab cc",)), text)
 
 
+def test_many_exceptions_take_linear_time():
+    m = tox.ToxicModel({"trash": 4.0}).matcher()
+    text = "trash can " * 100_000 + "trash"
+    begun = time.process_time()
+    assert m.matches(text) == [(1_000_000, 1_000_005, "trash")]
+    assert time.process_time() - begun < 10
+
+
 def test_held_out_accuracy_and_edge_cases(spark, tmp_path):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice(["ta", "ri", "no", "se", "lu", "mek"]) for _ in range(rng.randint(1, 4)))
