@@ -3,11 +3,15 @@
 Items and documents are sequences of words without case and punctuation, joined
 by single spaces, and are read as characters.
 
-Windows: an item of m characters with k edits keeps k + 1 runs between them.
-Seeds are an item's strings of q characters; q is the largest at which edits of
-SIMILAR at random places break every run of that length with a probability of at
-most MISS (or at which they never can).  A seed that a document has too aligns
-an item with the text.
+Windows: seeds align an item with the text.  A seed is a sample of an item's
+characters at fixed offsets: two parts with one character left out between them.
+The text is asked for both parts with none, one or two characters between, so a
+seed survives a deletion, a replacement or an insertion there.  That finds edits
+spread evenly, which leave no long run whole: an edit in every fifth character
+leaves runs of four beside each other.  Parts have LONGEST characters together, or
+as many as edits of SIMILAR at random places break everywhere with a probability
+of at most MISS.  Items too short for LEAST have seeds of one part, as long as a
+run that edits of SIMILAR can't break or break with that probability.
 
 Embedding: from both ends of the seed, item and text walk outward together (CGK).
 A step looks at one character and moves on by one or stays, as a fixed random
@@ -19,7 +23,8 @@ AGREE of its steps agree.  An edited item has many seeds, and one of them is eno
 
 What is left is verified exactly: Levenshtein distance in characters between the
 item and the best part of the text around the diagonal.  A document has a leak of
-an item when 1 - distance / item length is at least SIMILAR.
+an item when 1 - distance / item length is at least SIMILAR.  Items shorter than
+SHORT are compared with a space at either end, so they are found as whole words.
 
 Items are broadcast in blocks of at most about BLOCK_ITEMS; each block is a pass
 over the documents.  A block's index has some 150 bytes for each of its characters.
@@ -42,15 +47,19 @@ from marketloom.llm.common import columns, map_batches, quoted, text_at
 SIMILAR = 0.8
 #: Probability that an item at SIMILAR, edited at random places, has no seed left.
 MISS = 0.005
-#: Lengths of seeds.
-SEEDS = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12)
+#: Characters of seeds in two parts, at least and at most.
+LEAST, LONGEST = 5, 8
+#: Characters of the text between the parts; an item has one there.
+GAPS = (0, 1, 2)
 #: Steps of a walk to one side, and share of all steps that must agree.
 WALK, AGREE = 48, 0.42
-#: Steps to one side that are compared first, and steps of both sides that must agree there.
-FIRST, FIRST_AGREE = 12, 6
-#: Items shorter than this are verified wherever they have a seed.
+#: Steps that are compared together, and steps of both sides that must agree by then.
+STAGES = ((0, 4, 2), (4, 12, 6), (12, WALK, None))
+#: Items shorter than this are verified wherever they have a seed, as whole words.
 SHORT = 24
 BLOCK_ITEMS = 2000
+#: Added to diagonals: longer than any item, as a column's value has at most 2^31 bytes.
+ORIGIN = 1 << 32
 
 
 def normal(text: str) -> str:
@@ -88,15 +97,19 @@ def distance_inside(item: str, text: str) -> int:
     return best
 
 
-def seed_length(m: int) -> int:
-    """Characters of the seeds of an item of m characters."""
+def seed_shape(m: int) -> tuple[int, int]:
+    """Characters of the two parts of the seeds of an item of m characters; the
+    second is 0 if its seeds have one part."""
     k = int((1 - SIMILAR) * m + 1e-9)
+    for q in range(LONGEST, LEAST - 1, -1):
+        if (1 - SIMILAR**q) ** (2 * k + 1) <= MISS:
+            return -(-q // 2), q // 2
     sure = -(-(m - k) // (k + 1))  # k edits leave a run of this length
-    best = SEEDS[0]
-    for q in SEEDS:
+    best = 1
+    for q in range(2, LONGEST + 1):
         if q <= m and (q <= sure or (1 - SIMILAR**q) ** (k + 1) <= MISS):
             best = q
-    return best
+    return best, 0
 
 
 def flatten(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -127,10 +140,17 @@ def _sums(code: np.ndarray) -> np.ndarray:
     return out
 
 
-def _grams(sums: np.ndarray, q: int) -> np.ndarray:
-    """Hashes of all strings of q codes."""
-    n = len(sums) - q
-    return tn.mix((sums[q:] - sums[:n]) * tn.powers(tn._INVERSE, n)) if n > 0 else np.empty(0, tn.U64)
+def _grams(sums: np.ndarray, left: int, right: int, gap: int) -> np.ndarray:
+    """Hashes of all pairs of left codes and, behind a gap, right codes; the gap
+    has no part in them."""
+    first, end = left + gap, left + gap + right
+    n = len(sums) - end
+    if n <= 0:
+        return np.empty(0, tn.U64)
+    own = sums[left : left + n] - sums[:n]
+    if right:
+        own += (sums[end:] - sums[first : first + n]) * tn.powers(tn._INVERSE, gap + 1)[gap]
+    return tn.mix(own * tn.powers(tn._INVERSE, n))
 
 
 #: Whether a walk moves on at a step (of one side, then of the other) from a character.
@@ -139,7 +159,8 @@ MOVES = np.random.default_rng(20).integers(0, 2, (2 * WALK, 256))
 
 @dataclass
 class Seeds:
-    q: int
+    left: int  # characters of the first part
+    right: int  # characters of the second part
     maybe: np.ndarray  # first bits of a hash -> whether a seed has them
     lookup: tn.Lookup
     start: np.ndarray  # seed -> its first posting
@@ -148,11 +169,11 @@ class Seeds:
     seen: np.ndarray  # (step, posting) -> character that the item's walk looks at; 0 beyond the item
 
 
-def _walks(code: np.ndarray, offset: np.ndarray, q: int) -> np.ndarray:
+def _walks(code: np.ndarray, offset: np.ndarray, span: int) -> np.ndarray:
     """What an item's walks from its seeds look at: (step, seed)."""
     padded = np.concatenate([np.zeros(WALK, np.uint8), code, np.zeros(WALK, np.uint8)])
     out = np.empty((2 * WALK, len(offset)), np.uint8)
-    for side, at in enumerate((offset + q, offset - 1)):
+    for side, at in enumerate((offset + span, offset - 1)):
         at = at + WALK
         for t in range(side * WALK, (side + 1) * WALK):
             out[t] = padded[at]
@@ -171,31 +192,33 @@ class Index:
                 self.names.append(name)
                 self.texts.append(flat)
         self.length = np.array([len(x) for x in self.texts], int)
+        self.whole = [f" {x} " if len(x) < SHORT else x for x in self.texts]
         # Beyond an item's ends nothing agrees: of a seed in the middle, about 2 steps for each character can.
         self.need = np.where(self.length < SHORT, 0, AGREE * np.minimum(2 * WALK, 2 * self.length))
-        found: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        found: dict[tuple[int, int], list[tuple[np.ndarray, ...]]] = {}
         for i, text in enumerate(self.texts):
             data = np.frombuffer(text.encode(), np.uint8)
             code = flatten(data, np.array([0, len(data)]))[1]
-            q = seed_length(len(code))
-            gram = _grams(_sums(code), q)
+            left, right = seed_shape(len(code))
+            gap = 1 if right else 0
+            gram = _grams(_sums(code), left, right, gap)
             at = np.arange(len(gram))
-            found.setdefault(q, []).append((gram, np.full(len(gram), i), at, _walks(code, at, q)))
+            found.setdefault((left, right), []).append((gram, np.full(len(gram), i), at, _walks(code, at, left + gap + right)))
         self.seeds = []
-        for q, own in sorted(found.items()):
+        for (left, right), own in sorted(found.items()):
             gram, item, offset, seen = (np.concatenate(x, axis=-1) for x in zip(*own, strict=True))
             order = np.argsort(gram, kind="stable")
             keys, start = np.unique(gram[order], return_index=True)
             maybe = np.zeros(1 << 20, bool)
             maybe[keys >> tn.U64(44)] = True
-            self.seeds.append(Seeds(q, maybe, tn.Lookup(keys), np.append(start, len(gram)), item[order], offset[order], np.ascontiguousarray(seen[:, order])))
+            self.seeds.append(Seeds(left, right, maybe, tn.Lookup(keys), np.append(start, len(gram)), item[order], offset[order], np.ascontiguousarray(seen[:, order])))
 
     def candidates(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(item, diagonal): where the text has a seed, and walks from it agree."""
         items, diagonals = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         sums = _sums(code)
-        for s in self.seeds:
-            gram = _grams(sums, s.q)
+        for s, gap in ((s, gap) for s in self.seeds for gap in (GAPS if s.right else (0,))):
+            gram, span = _grams(sums, s.left, s.right, gap), s.left + gap + s.right
             p = np.flatnonzero(s.maybe[gram >> tn.U64(44)])
             row = s.lookup.rows(gram[p])
             p, row = p[row > 0], row[row > 0] - 1
@@ -204,19 +227,19 @@ class Index:
             p = np.repeat(p, times)
             for lo in range(0, len(p), 1 << 16):
                 own, at = posting[lo : lo + (1 << 16)], p[lo : lo + (1 << 16)]
-                good = self._agree(code, s, own, at)
+                good = self._agree(code, s, own, at, span)
                 items.append(s.item[own[good]])
                 diagonals.append(at[good] - s.offset[own[good]])
-        key = np.unique(np.concatenate(items) << 40 | (np.concatenate(diagonals) + (1 << 20)))
-        # Neighbouring diagonals of an item are one candidate.
+        key = np.unique(np.concatenate(items) << 44 | (np.concatenate(diagonals) + ORIGIN))
+        # Neighbouring diagonals of an item, up to four, are one candidate by the first.
         key = key[np.append(True, key[1:] >> 2 != key[:-1] >> 2)] if len(key) else key
-        return key >> 40, (key & ((1 << 40) - 1)) - (1 << 20)
+        return key >> 44, (key & ((1 << 44) - 1)) - ORIGIN
 
-    def _agree(self, code: np.ndarray, s: Seeds, posting: np.ndarray, p: np.ndarray) -> np.ndarray:
+    def _agree(self, code: np.ndarray, s: Seeds, posting: np.ndarray, p: np.ndarray, span: int) -> np.ndarray:
         """Which of the seeds' walks in the text agree with the items'."""
         left, last = np.arange(len(p)), len(code) - 1
-        ends, hits = [p + s.q, p - 1], np.zeros(len(p), np.int16)
-        for lo, hi in ((0, FIRST), (FIRST, WALK)):
+        ends, hits = [p + span, p - 1], np.zeros(len(p), np.int16)
+        for lo, hi, least in STAGES:
             for side, ahead in ((0, 1), (1, -1)):
                 at = ends[side]
                 for t in range(side * WALK + lo, side * WALK + hi):
@@ -225,7 +248,7 @@ class Index:
                     at = at + ahead * MOVES[t][x]
                 ends[side] = at
             need = self.need[s.item[posting]]
-            keep = (hits >= (FIRST_AGREE if hi == FIRST else need)) | (need == 0)
+            keep = (hits >= (need if least is None else least)) | (need == 0)
             left, posting, hits, ends = left[keep], posting[keep], hits[keep], [e[keep] for e in ends]
         return left
 
@@ -246,19 +269,21 @@ class Index:
         item, diagonal = self.candidates(code)
         tried: set[tuple[int, int, int]] = set()
         for i, head in zip(item.tolist(), diagonal.tolist(), strict=True):
-            size = int(self.length[i])
+            size, whole = int(self.length[i]), self.whole[i]
+            edge = (len(whole) - size) // 2
             most = int((1 - SIMILAR) * size + 1e-9)
             # A window may reach into a neighbouring text; each is looked at by itself.
-            low, high = max(0, head - most - 1), min(len(code), head + size + most + 1)
+            low, high = max(0, head - most - 1 - edge), min(len(code), head + 3 + size + most + 1 + edge)
             for t in range(max(0, int(np.searchsorted(bounds, low, "right")) - 1), int(np.searchsorted(bounds, high, "left"))):
                 x, y = max(low, int(bounds[t])), min(high, int(bounds[t + 1]))
                 if y - x < size - most or (t, i, head // 4) in tried or found[t].get(i, (1,))[0] == 0:
                     continue
                 tried.add((t, i, head // 4))
-                around = flat[byte[x] : byte[y]].tobytes().decode(errors="replace")
-                d = distance_inside(self.texts[i], around)
+                opening, closing = edge * (x == bounds[t]), edge * (y == bounds[t + 1])
+                around = " " * opening + flat[byte[x] : byte[y]].tobytes().decode(errors="replace") + " " * closing
+                d = distance_inside(whole, around)
                 if d <= most and (i not in found[t] or d < found[t][i][0]):
-                    place = x + around.find(self.texts[i]) if d == 0 else min(max(head, int(bounds[t])), len(code) - 1)
+                    place = x + around.find(whole) + edge - opening if d == 0 else min(max(head, int(bounds[t])), len(code) - 1)
                     found[t][i] = (d, int(words[place] - words[bounds[t]]))
         return found
 
@@ -270,8 +295,10 @@ def annotate(df: DataFrame, items: DataFrame, item_id: str = "item_id", item_tex
     """df with leaks: array of (item_id, edits, similarity, at_word), by item_id.
 
     Whole texts of any length are read.  A null or empty text has no leaks; null
-    items and those without a letter or digit are not looked for; equal items
-    are found each; repeated rows have equal leaks.  Of places where an item
+    items and those without a letter or digit are not looked for; items of a few
+    letters are found as whole words only; items may have any length, and
+    verifying an edited one takes time in proportion to its length's square;
+    equal items are found each; repeated rows have equal leaks.  Of places where an item
     fits equally well, one is reported.  An empty table gives an empty table,
     and no items give empty arrays.  An input column with the result's name is
     replaced; others may have any names.

@@ -41,6 +41,11 @@ def edited(rng, x, share):
     return "".join(c)
 
 
+def whole(x, t):
+    """Short items are looked for as words."""
+    return (f" {x} ", f" {t} ") if len(x) < dc.SHORT else (x, t)
+
+
 def test_recall_and_precision_against_brute_force(spark):
     # Items of one word to seventy, edited up to the bound, against plain dynamic programming over all items.
     rng = random.Random(9)
@@ -61,13 +66,13 @@ def test_recall_and_precision_against_brute_force(spark):
     got = {(r.doc_id, int(x.item_id)): x for r in rows for x in r.leaks}
     flat = {i: dc.normal(t) for i, t in items if t and dc.normal(t)}
     texts = {d: dc.normal(t) for d, t, _ in docs[:120]}
-    want = {(d, i) for d, t in texts.items() if d % 2 and t for i, x in flat.items() if 1 - plain_distance(x, t) / len(x) >= dc.SIMILAR}
+    want = {(d, i) for d, t in texts.items() if d % 2 and t for i, x in flat.items() if 1 - plain_distance(*whole(x, t)) / len(x) >= dc.SIMILAR}
     seen = {k for k in got if k[0] is not None and k[0] in texts and k[0] % 2}
     assert seen <= want and len(want) > 100
     assert len(want & seen) / len(want) >= 0.97
     long = {(d, i) for d, i in want if len(flat[i]) >= 40}
     assert len(long) > 20 and len(long & seen) / len(long) >= 0.95
-    exact = {(d, i) for d, t in texts.items() for i, x in flat.items() if x in t}
+    exact = {(d, i) for d, t in texts.items() for i, x in flat.items() for a, b in [whole(x, t)] if a in b}
     assert exact <= set(got)
     assert (None, 7) in got and (202, 6) in got and (201, 5) in got
     assert all(((d, 94) in got) == ((d, 3) in got) for d, _, _ in docs)
@@ -105,3 +110,42 @@ def test_edited_characters():
     assert len(near) == 60 and sum(i in found[i] for i in near) >= 58
     for own, t in zip(found, texts, strict=True):
         assert all(d == dc.distance_inside(items[i][1], t) for i, (d, _) in own.items())
+
+
+def test_edits_spread_evenly():
+    # The same edit in every word or every fifth character leaves no long run whole.
+    rng = random.Random(8)
+    parts = ["ka", "lo", "mi", "ru", "te", "shin", "br", "og", "ul", "vest", "na", "di"]
+    text = lambda n: " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    letter = lambda: rng.choice("abcdefghijklmnopqrstuvwxyz")
+    items = [(i, text(rng.randint(15, 59))) for i in range(40)]
+    index = dc.Index(items)
+    in_words = lambda at: lambda x: " ".join(w[: at(w)] + letter() + w[at(w) + 1 :] for w in x.split())
+    in_places = lambda made: lambda x: "".join(made(c) if i % 5 == 4 and c != " " else c for i, c in enumerate(x))
+    kinds = [in_words(lambda w: 0), in_words(lambda w: len(w) // 2), in_words(lambda w: len(w) - 1)]
+    kinds += [in_places(lambda c: letter()), in_places(lambda c: letter() + c), in_places(lambda c: "")]
+    for kind in kinds:
+        texts = [text(80) + " " + kind(x) + " " + text(80) for _, x in items]
+        raw = [t.encode() for t in texts]
+        found = index.leaks(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        near = [i for i, x in items if 1 - dc.distance_inside(x, dc.normal(texts[i])) / len(x) >= dc.SIMILAR]
+        assert len(near) > 20 and sum(i in found[i] for i in near) >= 0.95 * len(near)
+
+
+def test_short_items_are_whole_words():
+    texts = ["the party began", "art", "modern ART, here", "an apples", "pineapples", "starts with a", "art"]
+    raw = [t.encode() for t in texts]
+    index = dc.Index([(0, "art"), (1, "a"), (2, "apple")])
+    found = index.leaks(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert found == [{}, {0: (0, 0)}, {0: (0, 1)}, {2: (1, 1)}, {}, {1: (0, 2)}, {0: (0, 0)}]
+
+
+def test_items_longer_than_a_million():
+    rng = random.Random(12)
+    item = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_100_000))
+    index = dc.Index([("short", item[-30:]), ("long", item)])
+    code = np.frombuffer(item[-500:].encode(), np.uint8)
+    assert {(int(i), int(d)) for i, d in zip(*index.candidates(code), strict=True)} == {(0, 470), (1, 500 - 1_100_000)}
+    data = ("x " + item + " y").encode()
+    (found,) = index.leaks(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    assert {i: d for i, (d, _) in found.items()} == {0: 0, 1: 0} and found[1] == (0, 1)
