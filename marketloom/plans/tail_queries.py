@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marketloom.functions import hashed, special, tails
-from marketloom.operators import forecast, scoring
+from marketloom.operators import forecast, scoring, surprises
 from marketloom.operators import indicators as ind
 from marketloom.plans import series_sql as ssql
 from marketloom.plans.catalog import query, rounded
@@ -166,6 +166,17 @@ def surprise(spark, sf):
     return rounded(c.select("day", "n", (F.col("n") - F.lag("n").over(w)).alias("change"), (F.col("n") - F.avg("n").over(w.rowsBetween(-10, -1))).alias("surprise")))
 
 
+@query(
+    "txt07_market_surprise",
+    f"""with {frames.DAILY}, {frames.CALENDAR}, moves as (select symbol, day, 10000 * (close / lag(close) over (partition by symbol order by day) - 1) as move
+      from daily where symbol in ('A', 'N', 'R')), found as (select day, max(move) filter (symbol = 'A') as surprise, max(abs(move)) filter (symbol = 'A') as abs_surprise,
+      max(abs(move)) filter (symbol = 'N') as abs_n, max(abs(move)) filter (symbol = 'R') as abs_r from moves where day in (select day from calendar) group by day)
+    select day, round(surprise, 6) as surprise, round(abs_surprise, 6) as abs_surprise, round(abs_n, 6) as abs_n, round(abs_r, 6) as abs_r from found where surprise is not null""",
+)
+def market_surprise(spark, sf):
+    return rounded(surprises.market_surprises(frames.calendar(spark, sf), frames.daily(spark, sf), "A", ["N", "R"]))
+
+
 @query("rul08_gate_funnel", RULES.replace("select rule, y, n, hits, round", "select count(*) as candidates, count(*) filter (lift >= 1.05) as lifted, count(*) filter (lift >= 1.05 and z >= 2) as sure, count(*) filter (lift >= 1.05 and z >= 4) as surer from (select rule, y, n, hits, round") + ")")
 def funnel(spark, sf):
     from marketloom.operators import research
