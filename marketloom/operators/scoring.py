@@ -169,9 +169,12 @@ def fdr(df: DataFrame, p: str, dependent: bool = False, ranges: int = 4096) -> D
 
     Equal p-values have equal results, so distinct ones are ranked: ranges of p
     are counted first, and each range is ordered by itself, from the count of
-    the ranges before and with the least value of those after.
+    the ranges before and with the least value of those after.  The p-values are
+    fixed first: a mean computed again may differ in its last bits, and the
+    results are joined to them by value.
     """
     spark = df.sparkSession
+    df = df.checkpoint()
     counts = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("p")).agg(F.count(F.lit(1)).alias("n"))
     counts = counts.withColumn("range", F.floor(F.col("p") * ranges).cast("int"))
     sizes = counts.groupBy("range").agg(F.sum("n").alias("size"))
