@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -232,7 +234,8 @@ def state_code(spark, sf):
 def subsequence(spark, sf):
     o = ind.over(8)
     rows = frames.daily(spark, sf).withColumns({"x": F.collect_list("close").over(o), "m": F.avg("close").over(o), "s": F.stddev_pop("close").over(o)}).where(F.size("x") == 8)
-    return rows.select("symbol", "day", F.transform("x", lambda v: F.round((v - F.col("m")) / F.col("s"), 4)).alias("z"))
+    z = F.transform("x", lambda v: F.when(F.col("s") == 0, F.lit(math.nan)).otherwise((v - F.col("m")) / F.col("s")))
+    return rows.select("symbol", "day", F.transform(z, lambda v: F.abs(F.round(v, 4)) * F.signum(v)).alias("z"))  # what is just below zero rounds to -0.0
 
 
 @query("win16_rolling_tail", RETURNS + """, h as (select symbol, day, quantile_cont(r, 0.05) over w as q, list(r) over w as x, count(r) over w as n from ret window w as (partition by symbol order by day rows between 250 preceding and 1 preceding))
