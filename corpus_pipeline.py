@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.llm import decontaminate, jaccard, mixing, sharding, toxicity
-from marketloom.llm.common import fresh, n_words, packed, remove, scratch, shared_dir
+from marketloom.llm.common import cleaned, fresh, n_words, packed, remove, scratch, shared_dir
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -83,7 +83,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
         with scratch(spark):  # what the stage stored goes when its table is written
-            stage(spark, docs, sf_dir).write.parquet(path)
+            made = stage(spark, docs, sf_dir)
+            with cleaned(spark):
+                made.write.parquet(path)
         docs = spark.read.parquet(path)
         if before:
             remove(spark, before)

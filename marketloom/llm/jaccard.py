@@ -120,31 +120,34 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
 def _class_of(h: np.ndarray) -> int:
     if not len(h):
         return 0
-    return int(tn.signed(tn.mix(np.array([np.sum(tn.mix(h + tn.U64(77)), dtype=tn.U64) + tn.U64(len(h))], dtype=tn.U64)))[0])
+    c = tn.mix(np.array([np.sum(tn.mix(h + tn.U64(77)), dtype=tn.U64) + tn.U64(len(h))], dtype=tn.U64))
+    return int(tn.signed(c)[0]) & -2  # even: the last bit carries the slot of a key
 
 
 def _describe(k: int, percent: int):
+    """A row for each document, with its index keys: first those of its own
+    band (size0 of them), then those of the band below."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # of this task's rows: equal sets send their keys once
         for batch in batches:
-            size, cls, needs = [], [], ([], [])
-            at, found = ([0], [0]), ([np.empty(0, tn.U64)], [np.empty(0, tn.U64)])
+            n, cls, at, found, facts = [], [], [0], [np.empty(0, tn.U64)], ([], [], [], [])
             for _, h in _sets(batch, k):
                 c = _class_of(h)
-                size.append(len(h))
+                n.append(len(h))
                 cls.append(c)
-                got = [(None, None)] * 2 if c in seen else keys(h, percent)
+                got = None if c in seen else keys(h, percent)
                 seen.add(c)
-                for i, (x, need) in enumerate(got):
-                    needs[i].append(need)
-                    if x is not None:
-                        found[i].append(x)
-                    at[i].append(at[i][-1] + (0 if x is None else len(x)))
-            lists = [pa.ListArray.from_arrays(pa.array(at[i], pa.int32()), pa.array(tn.signed(np.concatenate(found[i])))) for i in (0, 1)]
+                for i in (0, 1):
+                    facts[i].append(got and len(got[i][0]))
+                    facts[2 + i].append(got and got[i][1])
+                found += [x for x, _ in got or ()]
+                at.append(at[-1] + sum(len(x) for x, _ in got or ()))
+            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(tn.signed(np.concatenate(found))))
             column = lambda c: batch.column(batch.schema.get_field_index(c))
             yield pa.RecordBatch.from_arrays(
-                [column("doc_id"), column("text_hash"), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), *lists, *[pa.array(x, pa.int32()) for x in needs]],
-                names=["doc_id", "text_hash", "n_shingles", "cls", "keys0", "keys1", "need0", "need1"],
+                [column("doc_id"), column("text_hash"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), *[pa.array(x, pa.int32()) for x in facts], lists],
+                names=["doc_id", "text_hash", "n_shingles", "cls", "size0", "size1", "need0", "need1", "keys"],
             )
 
     return run
@@ -192,14 +195,9 @@ def _across(mixed: DataFrame) -> DataFrame:
     return stored(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "jaccard-across")
 
 
-def _deltas(mixed: DataFrame, sets: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, tokens) of the other keys: how every member differs from one
-    class p, the root of the key's largest component.
-
-    members: p, cls, np, n, d, delta.  tokens: the elements of each difference
-    that more than one member of p has, with the number of members (uses) and
-    the place in the difference, rarest first.
-    """
+def _deltas(mixed: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Members of the other keys (p, cls, np, n, d, delta): how each differs
+    from one class p, the root of the key's largest component."""
     hot = mixed.where(F.col("outside") > FEW).select(F.col("major").alias("p"), "cls")
     rows = hot.union(hot.select("p", F.col("p").alias("cls"))).distinct()
     for side in ("p", "cls"):
@@ -208,18 +206,23 @@ def _deltas(mixed: DataFrame, sets: DataFrame, sizes: DataFrame) -> tuple[DataFr
         rows = rows.join(size, side).join(held, side)
     delta = F.concat(F.array_except("held_cls", "held_p"), F.array_except("held_p", "held_cls"))
     rows = rows.select("p", "cls", F.col("n_p").cast("long").alias("np"), F.col("n_cls").cast("long").alias("n"), delta.alias("delta"))
-    rows = stored(rows.withColumn("d", F.size("delta").cast("long")), "jaccard-deltas")
-    token = rows.where("d > 0").select("p", "cls", "np", "n", "d", F.explode("delta").alias("token"))
+    return stored(rows.withColumn("d", F.size("delta").cast("long")), "jaccard-deltas")
+
+
+def _tokens(members: DataFrame) -> DataFrame:
+    """The elements of each difference that more than one member of p has, with
+    the number of members (uses) and the place in the difference, rarest first."""
+    token = members.where("d > 0").select("*", F.explode("delta").alias("token")).drop("delta")
     token = token.withColumn("uses", F.count(F.lit(1)).over(Window.partitionBy("p", "token"))).where("uses > 1")
     member = Window.partitionBy("p", "cls")
-    token = token.withColumn("place", F.row_number().over(member.orderBy("uses", "token")) + F.col("d") - F.count(F.lit(1)).over(member))
-    return rows, stored(token, "jaccard-tokens")
+    place = F.row_number().over(member.orderBy("uses", "token")) + F.col("d") - F.count(F.lit(1)).over(member)
+    return stored(token.withColumn("place", place), "jaccard-tokens")
 
 
-def _with_p(rows: DataFrame, of_p: DataFrame, part: str = "cls") -> DataFrame:
-    """rows joined with what each p has (a row), in PARTS parts of each p."""
+def _with_p(rows: DataFrame, of_p: DataFrame) -> DataFrame:
+    """Members joined with what their p has (a row), in PARTS parts of each p."""
     parts = of_p.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    return rows.withColumn("part", F.pmod(F.xxhash64(part), F.lit(PARTS)).cast("int")).join(parts, ["p", "part"]).drop("part")
+    return rows.withColumn("part", F.pmod(F.xxhash64("cls"), F.lit(PARTS)).cast("int")).join(parts, ["p", "part"]).drop("part")
 
 
 def _centre_stars(members: DataFrame) -> DataFrame:
@@ -228,8 +231,9 @@ def _centre_stars(members: DataFrame) -> DataFrame:
     than half of the differences hold.  Those are at most twice as many as a
     difference has on average, so they are one array for each p."""
     half = members.groupBy("p").agg((F.count(F.lit(1)) / 2).alias("half"))
-    uses = members.select("p", F.explode("delta").alias("token")).groupBy("p", "token").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1")
-    usual = _with_p(uses, half, "token").where("uses > half").groupBy("p").agg(F.collect_list("token").alias("usual"))
+    uses = _with_p(members, half).select("p", "half", F.explode("delta").alias("token"))
+    uses = uses.groupBy("p", "token").agg(F.count(F.lit(1)).alias("uses"), F.first("half").alias("half")).where("uses > 1 and uses > half")
+    usual = uses.groupBy("p").agg(F.collect_list("token").alias("usual"))
     usual = half.join(usual, "p", "left").select("p", F.coalesce("usual", F.array().cast("array<bigint>")).alias("usual"))
     away = _with_p(members, usual).select("p", "cls", (F.col("d") - 2 * F.size(F.array_intersect("delta", "usual"))).alias("away"))
     centre = away.groupBy("p").agg(F.min_by("cls", F.struct("away", "cls")).alias("c"))
@@ -237,7 +241,16 @@ def _centre_stars(members: DataFrame) -> DataFrame:
     return pairs.distinct()
 
 
-def _by_pivot(members: DataFrame, tokens: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of each p that still has several components, with their own root
+    and p's.  The others are done, however many members they have."""
+    known = roots.select(F.col("v").alias("cls"), "root")
+    rows = members.join(known, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    of_p = rows.groupBy("p").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.when(F.col("cls") == F.col("p"), F.col("root"))).alias("p_root"))
+    return stored(_with_p(rows, of_p.where("lo < hi").select("p", "p_root")), "jaccard-open")
+
+
+def _by_pivot(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that may link, found without pairing members.
 
     With d(x) = x without p, and p without x, two members x and y differ in d(x)
@@ -255,10 +268,7 @@ def _by_pivot(members: DataFrame, tokens: DataFrame, roots: DataFrame, percent:
     own elements, which come last.
     """
     lost, kept = 100 - percent, 100 + percent
-    known = roots.select(F.col("v").alias("cls"), "root")
-    rooted = lambda df: df.join(known, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    rows, token = rooted(members.drop("delta")), rooted(tokens)
-
+    token, rows = _tokens(rows), rows.drop("delta")
     worth = F.col("n") * lost - F.col("d") * kept
     best = rows.groupBy("p").agg(F.max(worth).alias("worth"), F.max_by(F.struct("cls", "root"), F.struct(worth, "cls")).alias("y"))
     sure = _with_p(rows, best.select("p", "worth", F.col("y.cls").alias("y"), F.col("y.root").alias("y_root")))
@@ -267,8 +277,6 @@ def _by_pivot(members: DataFrame, tokens: DataFrame, roots: DataFrame, percent:
 
     # y has the smaller difference.  If it is in p's component, x is not, so
     # |d(x)| is more than p and x may differ in.
-    at_p = rows.where("cls = p").select("p", F.col("root").alias("p_root"))
-    token = _with_p(token, at_p)
     slack = F.greatest(F.lit(0), F.ceil(F.lit(lost) * (F.col("n") - F.col("np")) / kept))
     widest = F.floor(F.lit(lost) * (F.col("n") + F.floor(F.lit(100) * F.col("n") / percent)) / kept)
     shared = F.when(F.col("root") == F.col("p_root"), F.ceil((F.col("d") + 1 - slack) / 2)).otherwise(F.ceil((2 * F.col("d") - widest) / 2))
@@ -294,19 +302,28 @@ def link(df: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataFrame, DataF
     empty sets link with nothing.  Hashes have 64 bits.
     """
     texts = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
-    schema = "doc_id long, text_hash long, n_shingles long, cls long, keys0 array<long>, keys1 array<long>, need0 int, need1 int"
-    described = stored(texts.mapInArrow(_describe(k, percent), schema), "jaccard-documents")
-    docs = described.select("doc_id", "text_hash", "n_shingles", "cls")
+    schema = "doc_id long, text_hash long, n_shingles long, cls long, size0 int, size1 int, need0 int, need1 int, keys array<long>"
+    described = texts.mapInArrow(_describe(k, percent), schema)
+    # One pass over the texts sends a row for each key, and one, under a key of
+    # its own, with what else is known of the document.  Most keys have one class
+    # and end here, so they are never stored.
+    facts = ["doc_id", "text_hash", "n_shingles", "cls", "size0", "size1", "need0", "need1"]
+    sent = described.select(*facts, F.posexplode(F.concat(F.array(F.xxhash64(*facts[:4])), "keys")).alias("pos", "key"))
+    slot = F.when((F.col("pos") > 0) & (F.col("pos") > F.col("size0")), 1).otherwise(0)
+    sent = sent.select("key", F.col("cls").bitwiseOR(slot.cast("long")).alias("sender"), F.when(F.col("pos") == 0, F.struct(*facts)).alias("doc"))
+    by_key = Window.partitionBy("key")
+    cls = F.col("sender").bitwiseAND(F.lit(-2).cast("long"))
+    sent = sent.withColumns({"least": F.min(cls).over(by_key), "most": F.max(cls).over(by_key), "uses": F.count(F.lit(1)).over(by_key)})
+    sent = sent.where("doc is not null or least < most").select("key", cls.alias("cls"), F.col("sender").bitwiseAND(F.lit(1).cast("long")).cast("int").alias("slot"), "uses", "doc")
+    described = stored(sent, "jaccard-documents")
+    docs = described.where("doc is not null").select("doc.doc_id", "doc.text_hash", "doc.n_shingles", "doc.cls")
     rep = docs.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
 
-    by_key = Window.partitionBy("key")
     ends = {"least": F.min("cls").over(by_key), "most": F.max("cls").over(by_key)}
-    every = [described.where(F.size(f"keys{i}") > 0).select("cls", F.lit(i).alias("slot"), F.explode(f"keys{i}").alias("key")) for i in (0, 1)]
-    indexed = every[0].union(every[1]).withColumns(ends | {"uses": F.count(F.lit(1)).over(by_key)})
-    indexed = indexed.where("least < most").select("key", "cls", "slot", "uses").distinct()
+    indexed = described.where("doc is null").select("key", "cls", "slot", "uses").distinct()
     # Of its keys a class needs the rarest; those that no other class has come first.
-    facts = described.where("need0 is not null").groupBy("cls").agg(*[F.max(F.struct(F.size(f"keys{i}").alias("size"), f"need{i}")).alias(f"s{i}") for i in (0, 1)])
-    facts = facts.select("cls", F.explode(F.array(*[F.struct(F.lit(i).alias("slot"), F.col(f"s{i}.size").alias("size"), F.col(f"s{i}.need{i}").alias("need")) for i in (0, 1)])).alias("x"))
+    facts = described.where("doc.need0 is not null").select("doc.*").groupBy("cls").agg(*[F.max(F.struct(f"size{i}", f"need{i}")).alias(f"s{i}") for i in (0, 1)])
+    facts = facts.select("cls", F.explode(F.array(*[F.struct(F.lit(i).alias("slot"), F.col(f"s{i}.size{i}").alias("size"), F.col(f"s{i}.need{i}").alias("need")) for i in (0, 1)])).alias("x"))
     own = Window.partitionBy("cls", "slot")
     indexed = indexed.join(facts.select("cls", "x.*"), ["cls", "slot"])
     place = F.row_number().over(own.orderBy("uses", "key")) + F.col("size") - F.count(F.lit(1)).over(own)
@@ -345,12 +362,12 @@ def link(df: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataFrame, DataF
     )
     split = split.where("lo < hi").select("key", "major", "outside")
     mixed = stored(rooted.join(split, "key"), "jaccard-mixed")
-    members_of, tokens = _deltas(mixed, sets, sizes)
+    members_of = _deltas(mixed, sets, sizes)
     centred = stored(_centre_stars(members_of), "jaccard-centres")
     if not centred.isEmpty():
         links = links.union(verified(_apart(centred, roots)))
         roots = components(links)
-    more = [_apart(_across(mixed), roots), _by_pivot(members_of, tokens, roots, percent)]
+    more = [_apart(_across(mixed), roots), _by_pivot(_open(members_of, roots), percent)]
     rest = stored(more[0].union(more[1]).distinct(), "jaccard-rest")
     if not rest.isEmpty():
         roots = components(links.union(verified(rest)))
@@ -387,12 +404,23 @@ def deduplicated(df: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     of any length count; an empty table gives an empty table; other columns may
     have any names.
     """
-    keep = grouped(df, k, percent).where("component_id <=> doc_id").select("doc_id", "text_hash").distinct()
+    same = [F.coalesce("doc_id", F.lit(0)).alias("at"), F.col("doc_id").isNull().alias("none"), "text_hash"]
+    on = ["at", "none", "text_hash"]
+    marks = grouped(df, k, percent).select(*same, F.expr("component_id <=> doc_id").alias("stays"))
+    marks = stored(marks.groupBy(*on).agg(F.first("stays").alias("stays"), F.count(F.lit(1)).alias("n")), "jaccard-marks")
+    gone, twice = marks.where("not stays").select(*on), marks.where("stays and n > 1").select(*on)
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), identity(df, 5).alias("tie"), packed(df))
-    same = rows["doc_id"].eqNullSafe(keep["doc_id"]) & (rows["text_hash"] == keep["text_hash"])
-    rows = rows.join(keep, same, "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("tie"))
-    return rows.withColumn("first", first).where("first = 1").select("row.*")
+    rows = rows.select(*same, "tie", "row")
+
+    def once(repeated: DataFrame) -> DataFrame:
+        first = F.row_number().over(Window.partitionBy(*on).orderBy("tie"))
+        return repeated.withColumn("first", first).where("first = 1").select("row.*")
+
+    if marks.where("not stays or n > 1").count() > BROADCAST_IDS:
+        return once(rows.join(marks.where("stays").select(*on), on, "left_semi"))
+    # Few go or are repeated: the other rows need not move.
+    single = rows.join(F.broadcast(gone), on, "left_anti").join(F.broadcast(twice), on, "left_anti")
+    return single.select("row.*").unionByName(once(rows.join(F.broadcast(twice), on, "left_semi")))
 
 
 def op5_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
