@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from marketloom.operators import aggregates, bars, joins
+from marketloom.operators import aggregates, bars, joins, neighbours
 from marketloom.plans.catalog import query, rounded
 from marketloom.sources import frames
 
@@ -195,15 +193,7 @@ def last_n(spark, sf):
 def nearest(spark, sf):
     e = frames.table(spark, sf, "embeddings")
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("x"))
-    blocks = max(1, -(-q.count() // 10_000))  # a stated query set, sent to the rows in blocks of that many
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    parts = [e.join(F.broadcast(q.where(block == b)), F.col("vec_id") != F.col("query_id")) for b in range(blocks)]
-    pairs = reduce(DataFrame.unionAll, parts)
-    dist = F.aggregate(F.zip_with("x", "embedding", lambda a, b: F.pow(a.cast("double") - b.cast("double"), F.lit(2))), F.lit(0.0), lambda s, v: s + v)
-    # Ranks up to five are cut off within a task before rows are sent (window group limit).
-    best = pairs.select("query_id", F.struct(F.round(dist, 6).alias("dist"), "vec_id").alias("c"))
-    k = F.row_number().over(Window.partitionBy("query_id").orderBy("c"))
-    return best.withColumn("k", k).where("k <= 5").select("query_id", "c.vec_id", "c.dist")
+    return neighbours.nearest(e, q)
 
 
 @query("srt05_argmax_and_mode", "select o_orderpriority as symbol, arg_max(o_orderkey, (o_totalprice, o_orderkey)) as largest, arg_max(o_orderstatus, (n, o_orderstatus)) as usual from orders join (select o_orderpriority, o_orderstatus, count(*) as n from orders group by 1, 2) using (o_orderpriority, o_orderstatus) group by 1")
