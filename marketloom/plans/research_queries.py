@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from marketloom.functions import hashed
 from marketloom.operators import bars, research
 from marketloom.operators import indicators as ind
+from marketloom.operators import tfidf as tfidf_blocks
 from marketloom.plans import series_sql as ssql
 from marketloom.plans.catalog import query, rounded
 from marketloom.plans.relational_queries import BINS, RETURNS, binned, returns
@@ -185,23 +186,10 @@ def topic(spark, sf):
 @query("txt01_tfidf_change", ssql.TFIDF)
 def tfidf(spark, sf):
     """One less the cosine of neighbouring statements' TF-IDF vectors of one and
-    two words.  Every term counts; weights are joined and summed, so no vector
-    is as wide as the vocabulary."""
+    two words.  Every term counts; frequencies are summed over blocks of
+    documents, so no vector is as wide as the vocabulary."""
     d = frames.table(spark, sf, "documents").where(F.col("text").rlike(r"\S"))
-    words = F.split(F.regexp_replace(F.lower("text"), r"^\s+|\s+$", ""), r"\s+")
-    two = F.transform(F.sequence(F.lit(2), F.size("w")), lambda i: F.concat_ws(" ", F.element_at("w", i - 1), F.element_at("w", i)))
-    terms = d.select("doc_id", words.alias("w")).select("doc_id", F.explode(F.when(F.size("w") > 1, F.concat("w", two)).otherwise(F.col("w"))).alias("term"))
-    tf = terms.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    n = d.agg(F.count(F.lit(1)).alias("n"))  # one row
-    idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("term", (F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    v = tf.join(idf, "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("v"))
-    norm = v.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    pair = previous(d.select("doc_id"), "doc_id", F.col("doc_id")).select("doc_id", "before")
-    own = v.join(pair, "doc_id")
-    dots = own.join(v.select(F.col("doc_id").alias("before"), "term", F.col("v").alias("u")), ["before", "term"]).groupBy("doc_id").agg(F.sum(F.col("v") * F.col("u")).alias("dot"))
-    both = pair.join(dots, "doc_id", "left").join(norm, "doc_id").join(norm.select(F.col("doc_id").alias("before"), F.col("norm").alias("other")), "before", "left")
-    change = F.when(F.col("before").isNotNull(), 1 - F.coalesce("dot", F.lit(0.0)) / F.col("norm") / F.col("other"))
-    return rounded(both.select("doc_id", change.alias("change")))
+    return rounded(tfidf_blocks.changes(d.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))))
 
 
 @query("txt05_embedding_components")
