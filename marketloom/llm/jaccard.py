@@ -18,7 +18,7 @@ Candidates share an indexed key.  A hot key is never expanded into pairs:
    members outside the key's largest component, those meet the members of
    others.  With many, all members are described by how they differ from one
    class; they meet the member nearest to their majority, and then only what
-   may link is paired (_by_pivot).
+   may link is paired (_may_link, _by_pivot).
 
 So copies cost a row each, every link between different components is found
 and verified exactly, and none is lost.
@@ -45,6 +45,8 @@ BAND = 1.5
 #: Members of a key outside its largest component, up to which all of them meet
 #: the rest of the key one by one.
 FEW = 48
+#: Elements that a member far from p must have in common with others to be paired.
+MET = 24
 #: A class has its rows in so many parts where it may hold most of a table.
 PARTS = 32
 #: Stands for "every key" where a class needs its whole list.
@@ -250,6 +252,26 @@ def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     return stored(_with_p(rows, of_p.where("lo < hi").select("p", "p_root")), "jaccard-open")
 
 
+def _may_link(rows: DataFrame, percent: int) -> DataFrame:
+    """rows without members that link with no member of another component of their p.
+
+    x has s elements in common with p, and a link of x has at least percent of
+    x's in common.  Of a member far from p more than s are needed, so need of
+    them are among those that p lacks.  In any one order, the first
+    |x less p| - need + MET of those hold the first MET that both have, and so
+    do the other member's.  A far member is left out where fewer of its first
+    are another component's too.  Only these are counted, not whole differences.
+    """
+    lacked = ((F.col("d") + F.col("n") - F.col("np")) / 2).cast("int")  # they come first in delta
+    need = F.ceil(F.col("n") * percent / 100).cast("int") - F.col("n").cast("int") + lacked
+    first = F.slice(F.array_sort(F.slice("delta", F.lit(1), lacked)), F.lit(1), lacked - F.greatest(need, F.lit(1)) + MET)
+    token = rows.select("p", "cls", "root", need.alias("need"), F.explode(first).alias("token"))
+    met = token.groupBy("p", "token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("p", "token")
+    alive = token.where("need > 0").join(met, ["p", "token"], "left_semi").groupBy("p", "cls").agg(F.count(F.lit(1)).alias("met"), F.first("need").alias("need"))
+    alive = alive.where(F.col("met") >= F.least("need", F.lit(MET))).select("p", "cls")
+    return stored(rows.where(need <= 0).unionByName(rows.where(need > 0).join(alive, ["p", "cls"], "left_semi").select(*rows.columns)), "jaccard-may-link")
+
+
 def _by_pivot(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that may link, found without pairing members.
 
@@ -367,7 +389,7 @@ def link(df: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataFrame, DataF
     if not centred.isEmpty():
         links = links.union(verified(_apart(centred, roots)))
         roots = components(links)
-    more = [_apart(_across(mixed), roots), _by_pivot(_open(members_of, roots), percent)]
+    more = [_apart(_across(mixed), roots), _by_pivot(_may_link(_open(members_of, roots), percent), percent)]
     rest = stored(more[0].union(more[1]).distinct(), "jaccard-rest")
     if not rest.isEmpty():
         roots = components(links.union(verified(rest)))

@@ -26,3 +26,19 @@ def test_pivots_of_one_component_are_done(spark):
     roots = spark.createDataFrame([(c, 2) for c in range(2, 12, 2)] + [(20, 20), (22, 20)], "v long, root long")
     rows = jaccard._open(members, roots).collect()
     assert sorted((r.cls, r.root, r.p_root) for r in rows) == [(20, 20, 20), (22, 20, 20), (24, 24, 20), (26, 26, 20), (28, 28, 20)]
+
+
+def test_members_that_link_with_none_are_left_out(spark):
+    """Far members of a p that share a passage besides what p has too; two of them link, and near ones stay."""
+    p = list(range(100))
+    sets = {2: p, 4: p[:95] + [1000, 1001], 6: p[:60] + list(range(2000, 2040)), 8: p[:60] + list(range(2000, 2035)) + list(range(2100, 2105))}
+    sets |= {c: p[:60] + list(range(10_000, 10_010)) + list(range(100 * c, 100 * c + 30)) for c in range(30, 60, 2)}
+    rows = []
+    for c, own in sets.items():
+        delta = sorted(set(own) - set(p)) + sorted(set(p) - set(own))
+        rows.append((2, c, 100, len(own), delta, len(delta), c, 2))
+    rows = spark.createDataFrame(rows, "p long, cls long, np long, n long, delta array<long>, d long, root long, p_root long")
+    left = jaccard._may_link(rows, 80)
+    assert left.columns == rows.columns and sorted(r.cls for r in left.collect()) == [2, 4, 6, 8]
+    assert sorted((r.cls, r.d) for r in left.collect()) == sorted((r.cls, r.d) for r in rows.where("cls < 10").collect())
+    assert (6, 8) in {tuple(r) for r in jaccard._by_pivot(left, 80).collect()}
