@@ -35,7 +35,7 @@ from marketloom.llm.common import columns, held_out, packed, quoted, stored
 
 ORDER = 5
 #: Bytes of text of a block, about, and of what a task packs at a time.
-BLOCK_BYTES, PACK_BYTES = 64_000_000, 32_000_000
+BLOCK_BYTES, PACK_BYTES = 64_000_000, 8_000_000
 #: Ids that are broadcast to pick the trusted texts; beyond it, a shuffle join.
 BROADCAST_IDS = 1_000_000
 #: Languages whose limits are broadcast; beyond it, a shuffle join.
@@ -159,7 +159,7 @@ def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 out.write_table(part)
             yield pa.RecordBatch.from_arrays([pa.array(block[order[x : x + 1]], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "texts"])
 
-    for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
+    for batch in (b.slice(i, 128) for b in batches for i in range(0, b.num_rows, 128)):
         held.append(batch)
         if sum(b.nbytes for b in held) > PACK_BYTES:
             yield from flush()

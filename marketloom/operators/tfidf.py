@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text of a block, about; a longer document is a block of its own.
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 8_000_000
 #: Ids in a range in which blocks are laid out.
 RANGE = 100_000
 U64 = np.uint64

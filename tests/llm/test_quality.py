@@ -106,3 +106,20 @@ def test_one_odd_trusted_document(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
     got = {r.doc_id: r.keep for r in quality.classify(df, df.where("doc_id < 1000")).collect()}
     assert not any(got[1000 + i] for i in range(30)) and sum(got[i] for i in range(300)) >= 297
+
+
+def test_packing_holds_few_texts():
+    import pyarrow as pa
+
+    start, most = pa.total_allocated_bytes(), []
+
+    def batches():
+        for i in range(48):
+            most.append(pa.total_allocated_bytes() - start)
+            text = pa.array([f"{i} {j} ".ljust(2000, "x") for j in range(500)])
+            yield pa.RecordBatch.from_arrays([pa.array([0] * 500, pa.int32()), *[pa.array(range(i * 500, i * 500 + 500), pa.int64())] * 2, text], names=["block", "v", "w", "text"])
+
+    sent = list(quality._packed_texts(batches()))
+    rows = pa.Table.from_batches(sent)
+    assert sum(len(place) for _, place, _, _ in quality._texts(rows)) == 24_000
+    assert max(most) < 20_000_000
