@@ -49,6 +49,8 @@ FEW = 48
 MET = 24
 #: A class has its rows in so many parts where it may hold most of a table.
 PARTS = 32
+#: Elements of differences that are sorted at once.
+HELD = 250_000
 #: Stands for "every key" where a class needs its whole list.
 ALL = -1
 #: Segments beyond the pigeonhole's, as a share; they let costly ones be left out.
@@ -227,17 +229,30 @@ def _with_p(rows: DataFrame, of_p: DataFrame) -> DataFrame:
     return rows.withColumn("part", F.pmod(F.xxhash64("cls"), F.lit(PARTS)).cast("int")).join(parts, ["p", "part"]).drop("part")
 
 
+def _usual(members: DataFrame) -> DataFrame:
+    """(p, usual): the elements that more than half of the differences from p hold.
+
+    A p's members are dealt to parts of about HELD elements.  In a part's sorted
+    elements, one that more than half of its members have comes again that many
+    places on, so no row is made for an element.  With several parts, one is
+    usual if it is in more than half of them.  A part has at most twice as many
+    as its differences have on average.
+    """
+    parts = members.groupBy("p").agg(F.greatest(F.lit(1), F.ceil(F.sum("d") / HELD)).alias("parts"))
+    dealt = _with_p(members, parts).groupBy("p", "parts", F.pmod(F.xxhash64("p", "cls"), "parts").alias("of"))
+    dealt = dealt.agg(F.sort_array(F.flatten(F.collect_list("delta"))).alias("held"), F.floor(F.count(F.lit(1)) / 2).cast("int").alias("half"))
+    again = F.filter("held", lambda x, i: (F.col("half") > 0) & (F.get("held", i + F.col("half")) == x))
+    uses = dealt.select("p", "parts", F.explode(F.array_distinct(again)).alias("token")).groupBy("p", "parts", "token").count()
+    usual = uses.where(2 * F.col("count") > F.col("parts")).groupBy("p").agg(F.collect_list("token").alias("usual"))
+    return parts.select("p").join(usual, "p", "left").select("p", F.coalesce("usual", F.array().cast("array<bigint>")).alias("usual"))
+
+
 def _centre_stars(members: DataFrame) -> DataFrame:
     """Every member of a p with the member that is nearest to what most of them
     have: the one whose difference from p is nearest to the elements that more
     than half of the differences hold.  Those are at most twice as many as a
     difference has on average, so they are one array for each p."""
-    half = members.groupBy("p").agg((F.count(F.lit(1)) / 2).alias("half"))
-    uses = _with_p(members, half).select("p", "half", F.explode("delta").alias("token"))
-    uses = uses.groupBy("p", "token").agg(F.count(F.lit(1)).alias("uses"), F.first("half").alias("half")).where("uses > 1 and uses > half")
-    usual = uses.groupBy("p").agg(F.collect_list("token").alias("usual"))
-    usual = half.join(usual, "p", "left").select("p", F.coalesce("usual", F.array().cast("array<bigint>")).alias("usual"))
-    away = _with_p(members, usual).select("p", "cls", (F.col("d") - 2 * F.size(F.array_intersect("delta", "usual"))).alias("away"))
+    away = _with_p(members, _usual(members)).select("p", "cls", (F.col("d") - 2 * F.size(F.array_intersect("delta", "usual"))).alias("away"))
     centre = away.groupBy("p").agg(F.min_by("cls", F.struct("away", "cls")).alias("c"))
     pairs = _with_p(members.select("p", "cls"), centre).where("cls <> c").select(F.least("cls", "c").alias("a"), F.greatest("cls", "c").alias("b"))
     return pairs.distinct()
@@ -265,7 +280,7 @@ def _may_link(rows: DataFrame, percent: int) -> DataFrame:
     lacked = ((F.col("d") + F.col("n") - F.col("np")) / 2).cast("int")  # they come first in delta
     need = F.ceil(F.col("n") * percent / 100).cast("int") - F.col("n").cast("int") + lacked
     first = F.slice(F.array_sort(F.slice("delta", F.lit(1), lacked)), F.lit(1), lacked - F.greatest(need, F.lit(1)) + MET)
-    token = rows.select("p", "cls", "root", need.alias("need"), F.explode(first).alias("token"))
+    token = stored(rows.select("p", "cls", "root", need.alias("need"), F.explode(first).alias("token")), "jaccard-first")
     met = token.groupBy("p", "token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("p", "token")
     alive = token.where("need > 0").join(met, ["p", "token"], "left_semi").groupBy("p", "cls").agg(F.count(F.lit(1)).alias("met"), F.first("need").alias("need"))
     alive = alive.where(F.col("met") >= F.least("need", F.lit(MET))).select("p", "cls")

@@ -1,4 +1,6 @@
+import random
 import time
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -42,3 +44,37 @@ def test_members_that_link_with_none_are_left_out(spark):
     assert left.columns == rows.columns and sorted(r.cls for r in left.collect()) == [2, 4, 6, 8]
     assert sorted((r.cls, r.d) for r in left.collect()) == sorted((r.cls, r.d) for r in rows.where("cls < 10").collect())
     assert (6, 8) in {tuple(r) for r in jaccard._by_pivot(left, 80).collect()}
+
+
+def differences():
+    """Members of three p: many that share half of their elements, few far ones, and one alone."""
+    rng = random.Random(4)
+    rows = [(2, c, rng.sample(range(30), 22) + rng.sample(range(1000, 9000), rng.randint(0, 9))) for c in range(2, 400, 2)]
+    rows += [(20, c, rng.sample(range(100), 50)) for c in range(20, 60, 2)] + [(20, 20, []), (80, 80, [1, 2])]
+    return [(p, c, sorted(d)) for p, c, d in dict(((p, c), (p, c, d)) for p, c, d in rows).values()]
+
+
+def test_usual_elements(spark, monkeypatch):
+    rows = differences()
+    members = spark.createDataFrame([(*r, len(r[2])) for r in rows], "p long, cls long, delta array<long>, d long")
+    want = {}
+    for at in (2, 20, 80):
+        own = [d for p, _, d in rows if p == at]
+        want[at] = {t for t, n in Counter(x for d in own for x in d).items() if n > 1 and 2 * n > len(own)}
+    got = {r.p: set(r.usual) for r in jaccard._usual(members).collect()}
+    assert got == want and len(want[2]) > 20 and want[80] == set()
+    pairs = {tuple(sorted((r.a, r.b))) for r in jaccard._centre_stars(members).collect()}
+    for at in (2, 20, 80):
+        own = [(len(d) - 2 * len(want[at].intersection(d)), c) for p, c, d in rows if p == at]
+        assert {(min(c, min(own)[1]), max(c, min(own)[1])) for _, c in own} - {(min(own)[1],) * 2} <= pairs
+    monkeypatch.setattr(jaccard, "HELD", 500)  # about ten parts of the first
+    parts = {r.p: set(r.usual) for r in jaccard._usual(members).collect()}
+    sure = {t for t in range(30) if sum(t in d for p, _, d in rows if p == 2) > 0.65 * 199}
+    assert sure <= parts[2] <= set(range(30)) and parts[80] == set()
+
+
+def test_centres_make_no_row_for_an_element(spark):
+    rows = differences()
+    members = spark.createDataFrame([(*r, len(r[2])) for r in rows], "p long, cls long, delta array<long>, d long")
+    plan = jaccard._centre_stars(members)._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(delta" not in plan and "explode(" in plan
