@@ -20,6 +20,9 @@ Candidates share an indexed key.  A hot key is never expanded into pairs:
    class; they meet the member nearest to their majority, and then only what
    may link is paired (_may_link, _by_pivot).
 
+Keys are sent in packs of 12 bytes a key, and sets are moved only for pairs that
+sketches of them don't rule out (_bits_apart).
+
 So copies cost a row each, every link between different components is found
 and verified exactly, and none is lost.
 """
@@ -31,7 +34,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.llm import textnp as tn
@@ -51,6 +54,12 @@ MET = 24
 PARTS = 32
 #: Elements of differences that are sorted at once.
 HELD = 250_000
+#: Parts of the keys, and keys that a task packs at once.
+BUCKETS, PACKED = 1 << 13, 1 << 21
+#: Bits of a key: its bucket, and what is sent of it.
+KEY_BITS = 13 + 32
+#: Documents whose facts are sent in a row, and rows that leave a task at once.
+DOCS, ROWS = 256, 1 << 16
 #: Stands for "every key" where a class needs its whole list.
 ALL = -1
 #: Segments beyond the pigeonhole's, as a share; they let costly ones be left out.
@@ -128,14 +137,35 @@ def _class_of(h: np.ndarray) -> int:
     return int(tn.signed(c)[0]) & -2  # even: the last bit carries the slot of a key
 
 
+#: What is known of a document: of its keys, those of its own band (size0) come
+#: first, then those of the band below, and so many of them are needed.
+DOC = "struct<doc_id:long,text_hash:long,n_shingles:long,cls:long,size0:int,size1:int,need0:int,need1:int>"
+DOC_TYPE = pa.struct([*[(c, pa.int64()) for c in ("doc_id", "text_hash", "n_shingles", "cls")], *[(c, pa.int32()) for c in ("size0", "size1", "need0", "need1")]])
+
+
+def _packs(keys: list[np.ndarray], senders: list[int]) -> pa.RecordBatch:
+    """A row for each bucket: its keys, and who sends each of them."""
+    sender = np.repeat(np.array(senders, np.int64), [len(x) for x in keys])
+    key = np.concatenate(keys)
+    bucket = (key >> tn.U64(32)).astype(np.uint16)
+    order = np.argsort(bucket, kind="stable")
+    cut = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+    held = np.flatnonzero(np.diff(cut))
+    at = np.append(cut[held], len(order))
+    flat = lambda x: pa.Array.from_buffers(pa.binary(), len(held), [None, pa.py_buffer((at * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+    docs = pa.nulls(len(held), pa.list_(DOC_TYPE))
+    return pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), flat(key.astype(np.uint32)[order]), flat(sender[order]), docs], names=["bucket", "keys", "senders", "docs"])
+
+
 def _describe(k: int, percent: int):
-    """A row for each document, with its index keys: first those of its own
-    band (size0 of them), then those of the band below."""
+    """Index keys of the documents in packs, each of one bucket; and, in any
+    bucket, what is known of the documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # of this task's rows: equal sets send their keys once
+        found, senders, waiting, turn = [], [], 0, 0
         for batch in batches:
-            n, cls, at, found, facts = [], [], [0], [np.empty(0, tn.U64)], ([], [], [], [])
+            n, cls, facts = [], [], ([], [], [], [])
             for _, h in _sets(batch, k):
                 c = _class_of(h)
                 n.append(len(h))
@@ -143,33 +173,106 @@ def _describe(k: int, percent: int):
                 got = None if c in seen else keys(h, percent)
                 seen.add(c)
                 for i in (0, 1):
-                    facts[i].append(got and len(got[i][0]))
+                    own = got and tn.distinct_sorted(got[i][0] >> tn.U64(64 - KEY_BITS))
+                    facts[i].append(got and len(own))
                     facts[2 + i].append(got and got[i][1])
-                found += [x for x, _ in got or ()]
-                at.append(at[-1] + sum(len(x) for x, _ in got or ()))
-            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(tn.signed(np.concatenate(found))))
-            column = lambda c: batch.column(batch.schema.get_field_index(c))
-            yield pa.RecordBatch.from_arrays(
-                [column("doc_id"), column("text_hash"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), *[pa.array(x, pa.int32()) for x in facts], lists],
-                names=["doc_id", "text_hash", "n_shingles", "cls", "size0", "size1", "need0", "need1", "keys"],
-            )
+                    if got and len(own):
+                        found.append(own)
+                        senders.append(c | i)
+                        waiting += len(own)
+                if waiting >= PACKED:
+                    yield _packs(found, senders)
+                    found, senders, waiting = [], [], 0
+            if batch.num_rows:
+                column = lambda c: batch.column(batch.schema.get_field_index(c))
+                columns = [column("doc_id"), column("text_hash"), *[pa.array(x, t) for x, t in zip([n, cls, *facts], [f.type for f in DOC_TYPE][2:], strict=True)]]
+                docs = pa.StructArray.from_arrays(columns, fields=list(DOC_TYPE))
+                at = np.append(np.arange(0, len(docs), DOCS), len(docs))
+                bucket = (np.arange(turn, turn + len(at) - 1) * 2_654_435_761 + (cls[0] >> 1)) % BUCKETS
+                turn += len(bucket)
+                none = pa.nulls(len(bucket), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), none, none, pa.ListArray.from_arrays(pa.array(at, pa.int32()), docs)], names=["bucket", "keys", "senders", "docs"])
+        if found:
+            yield _packs(found, senders)
 
     return run
 
 
+def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From packs in the order of their buckets: a row for each sender of a key
+    that several classes send, with how many send it, and one for each document."""
+    names = ["key", "cls", "slot", "uses", "doc"]
+    at, packs = -1, []
+
+    def done() -> Iterator[pa.RecordBatch]:
+        key, sender = (np.concatenate([np.frombuffer(p[i], t) for p in packs]) for i, t in ((0, np.uint32), (1, np.int64)))
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        cut = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+        uses = np.diff(cut)
+        some = np.repeat(uses > 1, uses)
+        key, sender, uses = key[some], sender[order[some]], uses[uses > 1]
+        cls = sender & -2
+        first = np.cumsum(uses) - uses
+        if len(first):
+            shared = np.repeat(np.minimum.reduceat(cls, first) < np.maximum.reduceat(cls, first), uses)
+            key, sender, cls, uses = key[shared], sender[shared], cls[shared], np.repeat(uses, uses)[shared]
+        for i in range(0, len(key), ROWS):
+            own = slice(i, i + ROWS)
+            whole = key[own].astype(np.int64) | np.int64(at << 32)
+            columns = [pa.array(whole), pa.array(cls[own]), pa.array((sender[own] & 1).astype(np.int32)), pa.array(uses[own].astype(np.int64)), pa.nulls(len(whole), DOC_TYPE)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    for batch in batches:
+        buckets, keys_, senders, docs = (batch.column(batch.schema.get_field_index(c)) for c in ("bucket", "keys", "senders", "docs"))
+        rows = docs.flatten().cast(DOC_TYPE)
+        if len(rows):
+            none = lambda t: pa.nulls(len(rows), t)
+            yield pa.RecordBatch.from_arrays([none(pa.int64()), none(pa.int64()), none(pa.int32()), none(pa.int64()), rows], names=names)
+        for i, bucket in enumerate(buckets.to_pylist()):
+            if keys_[i].is_valid:
+                if bucket != at and packs:
+                    yield from done()
+                    packs = []
+                at = bucket
+                packs.append((keys_[i].as_py(), senders[i].as_py()))
+    if packs:
+        yield from done()
+
+
+def _sketch(h: np.ndarray) -> np.ndarray:
+    """For each of about as many bits as a set has elements, whether an odd
+    number of them fall on it.  Sets differ in at least as many elements as
+    their sketches differ in bits."""
+    bits = 1 << max(6, int(len(h) - 1).bit_length())
+    odd = np.bincount((tn.mix(h + tn.U64(1234567)) & tn.U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _bits_apart(a: str, b: str) -> Column:
+    """Bits in which two sketches differ; the longer one is folded, if it is twice as long."""
+    half = lambda c: (F.size(c) / 2).cast("int")
+    xor = lambda x, y: x.bitwiseXOR(y)
+    fold = lambda c: F.zip_with(F.slice(c, F.lit(1), half(c)), F.slice(c, half(c) + 1, half(c)), xor)
+    x, y = F.when(F.size(a) == 2 * F.size(b), fold(a)).otherwise(F.col(a)), F.when(F.size(b) == 2 * F.size(a), fold(b)).otherwise(F.col(b))
+    bits = F.aggregate(F.zip_with(x, y, xor), F.lit(0), lambda n, w: n + F.bit_count(w))
+    return F.coalesce(F.when(F.greatest(F.size(a), F.size(b)) <= 2 * F.least(F.size(a), F.size(b)), bits), F.lit(0))
+
+
 def _held_sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             want = batch.column(batch.schema.get_field_index("cls")).to_pylist()
             # A repeated doc_id brings other texts along, or the same again.
-            held = {want[i]: tn.signed(h) for i, h in _sets(batch, k) if want[i] not in seen and _class_of(h) == want[i]}
+            held = {want[i]: h for i, h in _sets(batch, k) if want[i] not in seen and _class_of(h) == want[i]}
             seen.update(held)
-            at = np.cumsum([0, *map(len, held.values())])
-            flat = np.concatenate([*held.values(), np.empty(0, np.int64)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(held.keys(), pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))], names=["cls", "held"]
-            )
+
+            def lists(x: list[np.ndarray]) -> pa.Array:
+                return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate([*x, np.empty(0, np.int64)])))
+
+            columns = [pa.array(held.keys(), pa.int64()), lists([tn.signed(h) for h in held.values()]), lists([_sketch(h) for h in held.values()])]
+            yield pa.RecordBatch.from_arrays(columns, names=["cls", "held", "sketch"])
 
     return run
 
@@ -181,6 +284,13 @@ def _fetch(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.join(ids, "doc_id")
 
 
+def _of(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """The sets of classes (cls), without moving the others."""
+    if classes.count() <= BROADCAST_IDS:
+        classes = F.broadcast(classes)
+    return sets.select("cls", "held").join(classes, "cls", "left_semi")
+
+
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs whose classes are in different components."""
     for side in "ab":
@@ -204,6 +314,7 @@ def _deltas(mixed: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFrame:
     from one class p, the root of the key's largest component."""
     hot = mixed.where(F.col("outside") > FEW).select(F.col("major").alias("p"), "cls")
     rows = hot.union(hot.select("p", F.col("p").alias("cls"))).distinct()
+    sets = _of(sets, rows.select("cls").distinct())
     for side in ("p", "cls"):
         size = sizes.select(F.col("cls").alias(side), F.col("n").alias(f"n_{side}"))
         held = sets.select(F.col("cls").alias(side), F.col("held").alias(f"held_{side}"))
@@ -339,23 +450,16 @@ def link(df: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataFrame, DataF
     empty sets link with nothing.  Hashes have 64 bits.
     """
     texts = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
-    schema = "doc_id long, text_hash long, n_shingles long, cls long, size0 int, size1 int, need0 int, need1 int, keys array<long>"
-    described = texts.mapInArrow(_describe(k, percent), schema)
-    # One pass over the texts sends a row for each key, and one, under a key of
-    # its own, with what else is known of the document.  Most keys have one class
-    # and end here, so they are never stored.
-    facts = ["doc_id", "text_hash", "n_shingles", "cls", "size0", "size1", "need0", "need1"]
-    sent = described.select(*facts, F.posexplode(F.concat(F.array(F.xxhash64(*facts[:4])), "keys")).alias("pos", "key"))
-    slot = F.when((F.col("pos") > 0) & (F.col("pos") > F.col("size0")), 1).otherwise(0)
-    sent = sent.select("key", F.col("cls").bitwiseOR(slot.cast("long")).alias("sender"), F.when(F.col("pos") == 0, F.struct(*facts)).alias("doc"))
-    by_key = Window.partitionBy("key")
-    cls = F.col("sender").bitwiseAND(F.lit(-2).cast("long"))
-    sent = sent.withColumns({"least": F.min(cls).over(by_key), "most": F.max(cls).over(by_key), "uses": F.count(F.lit(1)).over(by_key)})
-    sent = sent.where("doc is not null or least < most").select("key", cls.alias("cls"), F.col("sender").bitwiseAND(F.lit(1).cast("long")).cast("int").alias("slot"), "uses", "doc")
-    described = stored(sent, "jaccard-documents")
+    # One pass over the texts sends the keys in packs, and with them what else is
+    # known of the documents.  Most keys have one class and end here, so they are
+    # never stored.
+    sent = texts.mapInArrow(_describe(k, percent), f"bucket int, keys binary, senders binary, docs array<{DOC}>")
+    sent = sent.repartition("bucket").sortWithinPartitions("bucket")
+    described = stored(sent.mapInArrow(_shared_keys, f"key long, cls long, slot int, uses long, doc {DOC}"), "jaccard-documents")
     docs = described.where("doc is not null").select("doc.doc_id", "doc.text_hash", "doc.n_shingles", "doc.cls")
     rep = docs.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
 
+    by_key = Window.partitionBy("key")
     ends = {"least": F.min("cls").over(by_key), "most": F.max("cls").over(by_key)}
     indexed = described.where("doc is null").select("key", "cls", "slot", "uses").distinct()
     # Of its keys a class needs the rarest; those that no other class has come first.
@@ -372,15 +476,20 @@ def link(df: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataFrame, DataF
     members = shared.select("cls").distinct().join(rep, "cls")
     members = stored(members, "jaccard-members")
     fetched = _fetch(texts, members.select("doc_id", "cls"))
-    sets = stored(fetched.mapInArrow(_held_sets(k), "cls long, held array<long>"), "jaccard-sets")
+    sets = stored(fetched.mapInArrow(_held_sets(k), "cls long, held array<long>, sketch array<long>"), "jaccard-sets")
     sizes = members.select("cls", "n")
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """Pairs that link.  Sketches leave out most others; only sets of the rest are moved."""
         for side in "ab":
-            pairs = pairs.join(sizes.select(F.col("cls").alias(side), F.col("n").alias(f"n_{side}")), side)
-        pairs = pairs.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).select("a", "b")
-        held = pairs.join(sets.select(F.col("cls").alias("b"), F.col("held").alias("held_b")), "b")
-        held = held.join(sets.select(F.col("cls").alias("a"), F.col("held").alias("held_a")), "a")
+            of = sizes.join(sets.select("cls", "sketch"), "cls")
+            pairs = pairs.join(of.select(F.col("cls").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
+        pairs = pairs.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+        apart = F.floor(F.lit(100 - percent) * (F.col("n_a") + F.col("n_b")) / (100 + percent))
+        pairs = stored(pairs.where(_bits_apart("sketch_a", "sketch_b") <= apart).select("a", "b").distinct(), "jaccard-near")
+        some = _of(sets, pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct())
+        held = pairs.join(some.select(F.col("cls").alias("b"), F.col("held").alias("held_b")), "b")
+        held = held.join(some.select(F.col("cls").alias("a"), F.col("held").alias("held_a")), "a")
         both = F.size(F.array_intersect("held_a", "held_b"))
         union = F.size("held_a") + F.size("held_b") - both
         return stored(held.where(both * 100 >= union * percent).select("a", "b"), "jaccard-links")
