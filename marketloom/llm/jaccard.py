@@ -55,7 +55,7 @@ PARTS = 32
 #: Elements of differences that are sorted at once.
 HELD = 250_000
 #: Parts of the keys, and keys that a task packs at once.
-BUCKETS, PACKED = 1 << 13, 1 << 21
+BUCKETS, PACKED = 1 << 13, 1 << 19
 #: Bits of a key: its bucket, and what is sent of it.
 KEY_BITS = 13 + 32
 #: Documents whose facts are sent in a row, and rows that leave a task at once.
